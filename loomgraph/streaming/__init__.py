@@ -1,0 +1 @@
+"""The engine's data model has no streams: there are no streaming operators."""
