@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +65,6 @@ def singular(word: str) -> str:
 
 def typo_ratio(column: Column, token: str) -> Column:
     """Ratcliff-Obershelp similarity to a token, in Arrow batches; null where lengths already rule out 0.8."""
-    import pandas as pd
-
     low = token.lower()
 
     @F.pandas_udf("double")

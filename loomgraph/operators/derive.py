@@ -87,6 +87,8 @@ def promotion_candidates(wb: Workbook, repeat: int = 2, lists: float = 0.2, shar
         items = F.array(*(F.struct(F.lit(c).alias("col"), quoted(c).cast("string").alias("value")) for c in plain))
         part = wb.rows(s.name).select(F.lit(s.name).alias("registry"), F.explode(items).alias("x")).select("registry", "x.col", "x.value")
         cells = part if cells is None else cells.unionByName(part)
+    if cells is None:
+        return wb.spark.createDataFrame([], "registry string, col string, value string, members long, promoted_id string")
     cells = cells.where((F.trim("value") != "") & ~S.is_null_word(F.col("value")))
     values = cells.groupBy("registry", "col", "value").agg(F.count("*").alias("members"))
     columns = values.groupBy("registry", "col").agg(F.count("*").alias("d"), F.sum("members").alias("n"), F.sum(F.when(F.col("value").contains(";"), F.col("members")).otherwise(0)).alias("listed"), F.max("members").alias("most"))

@@ -136,7 +136,7 @@ def from_csv(spark: SparkSession, path: str) -> Workbook:
     suffix = PurePosixPath(path).suffix.lower()
     if suffix not in (".csv", ".tsv"):
         raise WorkbookError(f"not a .csv or .tsv file: {path}")
-    df = spark.read.csv(path, sep="\t" if suffix == ".tsv" else ",", header=True, inferSchema=False, emptyValue="", nullValue="\0", multiLine=True, encoding="UTF-8")
+    df = spark.read.csv(path, sep="\t" if suffix == ".tsv" else ",", header=True, inferSchema=False, multiLine=True, encoding="UTF-8").na.fill("")
     df = df.toDF(*unique_header([c.lstrip("﻿") for c in df.columns]))
     return Workbook(spark, {PurePosixPath(path).stem: df.withColumn(ORD, F.monotonically_increasing_id())})
 

@@ -1,0 +1,195 @@
+import random
+from collections import deque
+
+import pytest
+
+from loomgraph.operators import discovery, graph, identity
+from loomgraph.plans import language
+from loomgraph.plans.session import Engine
+
+CATALOG = [["Registry (self)", "Role in Model", "PK Prefix", "FK Edges (→ owner registry)", "Evidence Col"]]
+
+
+def owner(name, prefix, links=""):
+    return [name, f"Owner (entity: {name.split()[0]})", prefix, links, "Evidence"]
+
+
+ROBOT = {
+    "Registry Catalog": CATALOG + [owner("Joint Registry", "JNT", "Actuator → Actuator Registry; Link → Link Registry"), owner("Actuator Registry", "ACT", "Controller → Controller Registry"), owner("Link Registry", "LNK"), owner("Controller Registry", "CTRL")],
+    "Joint Registry": [["Joint ID", "Name", "Actuator (FK)", "Link (FK)", "Evidence"], ["JNT-1", "shoulder", "ACT-1", "LNK-1", "robot.py:10"], ["JNT-2", "elbow", "ACT-2", "LNK-2", "robot.py:20"], ["JNT-3", "wrist", "ACT-1", "LNK-1", "robot.py:30"]],
+    "Actuator Registry": [["Act ID", "Name", "Controller (FK)", "Evidence"], ["ACT-1", "servo_a", "CTRL-1", "act.py:5"], ["ACT-2", "servo_b", "CTRL-2", "act.py:9"]],
+    "Link Registry": [["Link ID", "Name", "Evidence"], ["LNK-1", "upper_arm", "link.py:1"], ["LNK-2", "forearm", "link.py:2"]],
+    "Controller Registry": [["Ctrl ID", "Name", "Evidence"], ["CTRL-1", "pid_a", "ctrl.py:1"], ["CTRL-2", "pid_b", "ctrl.py:2"]],
+}
+
+
+@pytest.fixture(scope="module")
+def robot(spark):
+    return Engine.from_rows(spark, ROBOT)
+
+
+def test_robot(robot):
+    counts = {r["rel"]: r["count"] for r in robot.edges.groupBy("rel").count().collect()}
+    assert counts == {"actuator": 3, "link": 3, "controller": 2}
+    assert robot.entities.count() == 9 and robot.resolve("shoulder").one["pk"] == "JNT-1"
+    assert {r["rel"]: r["cardinality"] for r in graph.cardinality(robot.edges).collect()}["controller"] == "1→1"
+    r = robot.reachability.collect()
+    assert [(x["source_class"], x["target_class"], x["hops"], x["confirmed"], x["candidates"], x["confidence"]) for x in r] == [("Joint Registry", "Controller Registry", 2, 3, 3, 0.5)]
+    assert robot.confidence() == 100
+
+
+def test_paths_and_discovery(robot):
+    hops = graph.path_between(robot.edges, "JNT-1", "CTRL-1")
+    assert [(h["to"], h["relation"]) for h in hops] == [("ACT-1", "actuator"), ("CTRL-1", "controller")]
+    assert graph.path_between(robot.edges, "JNT-1", "JNT-1") == []
+    assert graph.path_between(robot.edges, "CTRL-1", "JNT-1", direction="out") is None
+    assert len(graph.path_between(robot.edges, "LNK-1", "CTRL-1")) == 3
+    d = robot.discover("pid_a", "shoulder")
+    assert (d["status"], d["distance"], d["confidence"], d["weakest_tier"]) == ("resolved", 2, 1.0, "L1")
+    assert robot.discover("no such thing")["status"] == "unknown"
+
+
+def test_resolution_stages(robot, spark):
+    assert robot.resolve("JNT-2").how == "id"
+    assert robot.resolve("Joint:elbow").one["pk"] == "JNT-2"
+    assert robot.resolve("servo").how == "fuzzy" and len(robot.resolve("servo").found) == 2
+    assert robot.resolve("shuolder").found[0]["pk"] == "JNT-1" and robot.resolve("shuolder").how == "typo"
+    assert robot.resolve("zzzz").how == "unresolved"
+    names = {"Registry Catalog": CATALOG + [owner("Staff Registry", "STF"), owner("Product Registry", "PRD")], "Staff Registry": [["Staff ID", "Name"], ["STF-1", "Store"], ["STF-2", "Alice"]], "Product Registry": [["Product ID", "Name"], ["PRD-1", "Store"], ["PRD-2", "Widget"]]}
+    e = Engine.from_rows(spark, names)
+    assert e.resolve("Store").how == "ambiguous_name" and e.resolve("Store").one is None
+    assert e.resolve("Staff:Store").one["pk"] == "STF-1" and e.resolve("Product:Store").one["pk"] == "PRD-1"
+    assert e.edges.count() == 0
+
+
+def test_numeric_and_colliding_keys(spark):
+    rows = {"Registry Catalog": CATALOG + [owner("Alpha Registry", "A"), owner("Beta Registry", "B", "Alpha → Alpha Registry")], "Alpha Registry": [["Alpha ID", "Name"], [1, "AlphaOne"], [2, "AlphaTwo"]], "Beta Registry": [["Beta ID", "Name", "Alpha (FK)"], [1, "BetaOne", 2], [2, "BetaTwo", 9], [3, "BetaThree", "1;2"]]}
+    e = Engine.from_rows(spark, rows)
+    assert e.resolve("1").how == "ambiguous_id" and len(e.resolve("1").found) == 2
+    keys = {r["canonical"]: r["node_key"] for r in e.entities.collect()}
+    assert "CID-4530bf1ca8872e32" in keys and sum(v == "3" for v in keys.values()) == 1
+    assert e.edges.count() == 3 and e.checks()["broken_fk"] == 1
+    assert {r["shape"] for r in identity.pk_schema(e.entities).collect()} == {"numeric"}
+
+
+def test_structure_fallbacks(spark):
+    tasks = {"Task Registry": [["Task ID", "Name", "Evidence"]] + [[f"TASK-{i}", f"t{i}", "a.py:1"] for i in range(1, 6)]}
+    e = Engine.from_rows(spark, tasks)
+    assert e.contexts() == ["Task Registry"] and e.invariants().count() >= 1
+    e = Engine.from_rows(spark, tasks | {"Registry Catalog": CATALOG + [owner("Ghost Registry", "GH")]})
+    assert e.wb.owners() == [] or e.edges.count() == 0
+    e = Engine.from_rows(spark, tasks | {"Registry Catalog": [["Registry (self)", "PK Prefix"], ["Task Registry", "TASK"]]})
+    assert [s.name for s in e.wb.owners()] == ["Task Registry"]
+
+
+def test_relationship_sheet(spark):
+    rel = [["Source (FK)", "Relation", "Target (FK)", "Flow Type", "Evidence (file:line)"], ["JNT-1", "feeds", "CTRL-2", "Data", "x.py:1"]]
+    cat = [*ROBOT["Registry Catalog"][0], "Rel-Provider"]
+    e = Engine.from_rows(spark, ROBOT | {"Registry Catalog": [cat, *([*r, ""] for r in ROBOT["Registry Catalog"][1:]), ["Relationships", "Reference", "REL", "", "", "yes"]], "Relationships": rel})
+    assert e.edges.count() == 9
+    flow = graph.walk_relationship(e.edges, e.entities.selectExpr("node_key AS node"), "out", flow="Data").collect()
+    assert [(r["node"], r["other"], r["rel"]) for r in flow] == [("JNT-1", "CTRL-2", "feeds")]
+
+
+# --- synthetic graphs --------------------------------------------------------------------------------------------
+
+
+def made(spark, edges, nodes):
+    cls = dict(nodes)
+    rows = [(s, r, d, cls.get(s), cls.get(d), None, None, "declared", (0, i, 0)) for i, (s, r, d) in enumerate(edges)]
+    e = spark.createDataFrame(rows, "src string, rel string, dst string, src_class string, dst_class string, evidence string, flow string, source string, ord struct<sheet:int,row:bigint,nth:int>")
+    ents = spark.createDataFrame([(n, c) for n, c in nodes], "node_key string, class string")
+    return e, ents
+
+
+def queue_bfs(edges, start, both=True):
+    out = {start: (0, None)}
+    todo = deque([start])
+    while todo:
+        x = todo.popleft()
+        steps = [(d, r) for s, r, d in edges if s == x] + ([(s, r) for s, r, d in edges if d == x] if both else [])
+        for y, r in steps:
+            if y not in out:
+                out[y] = (out[x][0] + 1, x)
+                todo.append(y)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_found_parents_follow_the_queue(spark, seed):
+    rng = random.Random(seed)
+    nodes = [(f"n{i}", f"C{i % 3}") for i in range(30)]
+    edges = [(f"n{rng.randrange(30)}", "r", f"n{rng.randrange(30)}") for _ in range(60)]
+    e, _ = made(spark, edges, nodes)
+    got = {r["node"]: (r["hop"], r["parent"]) for r in graph.bfs(e, graph.one_seed(e, "n0"), "both", 40, paths=True).collect()}
+    assert got == queue_bfs(edges, "n0")
+
+
+def test_reachability_against_search(spark):
+    rng = random.Random(9)
+    nodes = [(f"n{i}", f"C{i % 5}") for i in range(40)]
+    edges = [(f"n{rng.randrange(40)}", "r", f"n{rng.randrange(40)}") for _ in range(45)]
+    edges = [x for x in edges if x[0] != x[2]]
+    cls = dict(nodes)
+    direct = {(cls[s], cls[d]) for s, _, d in edges} | {(cls[d], cls[s]) for s, _, d in edges}
+    want = {}
+    for n, c in nodes:
+        hops = {}
+        for m, (h, _) in queue_bfs(edges, n, both=False).items():
+            if 0 < h <= 5 and cls[m] != c and (c, cls[m]) not in direct:
+                hops[cls[m]] = min(h, hops.get(cls[m], 9))
+        for t, h in hops.items():
+            k, old = want.get((c, t), (0, 9))
+            want[c, t] = (k + 1, min(old, h))
+    e, ents = made(spark, edges, nodes)
+    got = {(r["source_class"], r["target_class"]): (r["confirmed"], r["hops"]) for r in graph.reachability(e, ents).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(("edges", "nodes"), [([], []), ([], [("a", "A")]), ([("a", "r", "b"), ("b", "r", "a")], [("a", "A"), ("b", "B")]), ([("a", "r", "a")], [("a", "A")]), ([("a", "r", "b"), ("a", "r", "b")], [("a", "A"), ("b", "B")]), ([("a", "r", "ghost")], [("a", "A")])])
+def test_adversarial_graphs(spark, edges, nodes):
+    e, ents = made(spark, edges, nodes)
+    assert graph.reachability(e, ents).count() == 0
+    graph.cardinality(e).collect()
+
+
+def test_depth_bound(spark):
+    nodes = [(f"l{i}", f"L{i}") for i in range(9)]
+    e, ents = made(spark, [(f"l{i}", "r", f"l{i + 1}") for i in range(8)], nodes)
+    assert max(r["hops"] for r in graph.reachability(e, ents).where("source_class = 'L0'").collect()) == 5
+
+
+def test_suggestions(robot):
+    rows = robot.suggest_next("JNT-1").collect()
+    assert {r["hop"] for r in rows} == {1, 2} and max(r["score"] for r in rows) <= 1.0 and rows
+
+
+def test_words_to_operations(robot):
+    v = language.grammar()
+    ops = lambda t: language.operations(language.intent_of(language.tokenize(t, v), v))
+    assert ops("Top 10 X") == ["SORT_DESC", "LIMIT"] and ops("average X") == ["GROUP", "AVG"]
+    assert ops("total X") == ["SUM"] and ops("lowest X") == ["SORT_ASC", "LIMIT"] and ops("JNT-1") == ["OPEN"]
+    v.add("purchase order line", "POL", "registry")
+    v.add("purchase", "P", "registry")
+    assert [t.norm for t in language.tokenize("purchase order line status", v)] == ["purchase order line", "status"]
+    v.deprecate("purchase", "P", "old")
+    assert v.candidates("purchase") == [] and [c.status for c in v.history("purchase")] == ["superseded", "deprecated"]
+    assert robot.ask("count joints")["result"] == 3
+    assert [h["to"] for h in robot.ask("path JNT-1 to CTRL-1")["result"]] == ["ACT-1", "CTRL-1"]
+    assert {r["src"] for r in robot.ask("joints in ACT-1")["result"].collect()} == {"JNT-1", "JNT-3"}
+
+
+def test_prose_and_promotion(spark):
+    rows = ROBOT | {"Registry Catalog": ROBOT["Registry Catalog"], "Link Registry": [["Link ID", "Name", "Main Controller", "Status"], ["LNK-1", "upper_arm", "pid_a", "ok"], ["LNK-2", "forearm", "uses pid_b here", "ok"], ["LNK-3", "hand", "none", "bad"]]}
+    e = Engine.from_rows(spark, rows)
+    got = {(r["src"], r["dst"]) for r in discovery.prose_edges(e.wb, e.entities).collect()}
+    assert ("LNK-1", "CTRL-1") in got
+    assert {r["value"] for r in e.promoted.where("col = 'Status'").collect()} == {"ok"}
+    assert e.resolve("ok").how == "promoted"
+
+
+def test_export(robot, tmp_path):
+    a, b = tmp_path / "a.zip", tmp_path / "b.zip"
+    robot.export(str(a))
+    robot.export(str(b))
+    assert a.read_bytes() == b.read_bytes()
