@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import compare, derive, discovery, graph, identity, integrity, relational
+from loomgraph.operators import compare, derive, discovery, explore, graph, identity, integrity, relational
 from loomgraph.sources.workbook import ORD, Link, Sheet, Workbook, from_parquet
 
 from .session import Engine
@@ -626,3 +626,113 @@ def tabular_dimensions(spark, d):
 @query("SELECT 'Business Dataset' AS kind", False)
 def classify_workbook(spark, d):
     return spark.createDataFrame([(discovery.classify(engine(spark, d).wb)["kind"],)], "kind string")
+
+
+# --- exploring one entity ------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT src, rel, dst AS node_key, e.class, e.pk, e.name FROM edges JOIN ent e ON e.node_key = dst WHERE src = '{CUSTOMER}'")
+def walk_parent(spark, d):
+    e = engine(spark, d)
+    return explore.walk_parent(e.edges, e.entities, spark.createDataFrame([(CUSTOMER,)], "node string"))
+
+
+@query("""SELECT 'customer' AS sheet, CAST(c_custkey AS BIGINT) AS row, 'c_nationkey' AS col FROM customer WHERE c_nationkey = 7
+UNION ALL SELECT 'supplier', s_suppkey, 's_nationkey' FROM supplier WHERE s_nationkey = 7
+UNION ALL SELECT 'customer', c_custkey, 'c_custkey' FROM customer WHERE c_custkey = 7
+UNION ALL SELECT 'supplier', s_suppkey, 's_suppkey' FROM supplier WHERE s_suppkey = 7
+UNION ALL SELECT 'part', p_partkey, 'p_partkey' FROM part WHERE p_partkey = 7
+UNION ALL SELECT 'part', p_partkey, 'p_size' FROM part WHERE p_size = 7
+UNION ALL SELECT 'orders', o_orderkey, 'o_orderkey' FROM orders WHERE o_orderkey = 7
+UNION ALL SELECT 'orders', o_orderkey, 'o_custkey' FROM orders WHERE o_custkey = 7""", False)
+def walk_child(spark, d):
+    e = engine(spark, d)
+    return explore.walk_child(e.wb, e.entities, NATION)
+
+
+@query(f"SELECT dir, rel, 'Reference' AS kind, count(*) AS n FROM sides WHERE node = '{NATION}' GROUP BY ALL")
+def relation_inventory(spark, d):
+    return engine(spark, d).relation_inventory(NATION)
+
+
+@query("SELECT 'n_regionkey' AS rel, 'region' AS target_class", False)
+def reachable_relations(spark, d):
+    return engine(spark, d).reachable_relations(CUSTOMER)
+
+
+@query(f"SELECT b.dst AS node, 2 AS hop, a.rel || ' -> ' || b.rel AS path FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = '{CUSTOMER}' AND b.rel = 'n_regionkey'")
+def discover_relation(spark, d):
+    return engine(spark, d).discover_relation(CUSTOMER, "n_regionkey")
+
+
+@query("SELECT 'GET_C_NATIONKEY' AS name, 'c_nationkey' AS rel, 'direct' AS mode UNION ALL SELECT 'GET_N_REGIONKEY', 'n_regionkey', 'discovered'", False)
+def applicable_queries(spark, d):
+    return engine(spark, d).applicable_queries(CUSTOMER)
+
+
+@query(f"SELECT dir || '::' || rel AS key, 'nation' || CASE dir WHEN 'out' THEN ' → ' ELSE ' ← ' END || other_class AS label, 'relation' AS kind, count(*) AS n, 'direct' AS mode FROM sides WHERE node = '{NATION}' GROUP BY dir, rel, other_class")
+def entity_actions(spark, d):
+    return engine(spark, d).entity_actions(NATION)
+
+
+@query()
+def analyze(spark, d):
+    return engine(spark, d).analyze(CUSTOMER)
+
+
+@query("SELECT 0 AS nth, 'Entry' AS stage, TRUE AS filled, 'filled' AS status UNION ALL SELECT 1, 'c_nationkey', TRUE, 'filled' UNION ALL SELECT 1000000, 'Output', TRUE, 'filled' UNION ALL SELECT 1000001, 'Evidence', FALSE, 'not_referenced'", False)
+def lifecycle(spark, d):
+    return engine(spark, d).lifecycle(CUSTOMER)
+
+
+@query("""
+, r AS (SELECT class, pk, row_number() OVER (PARTITION BY class ORDER BY pk) - 1 AS i, count(*) OVER (PARTITION BY class) AS n FROM ent),
+  k AS (SELECT DISTINCT n, CAST(floor(j * n / 40.0) AS BIGINT) AS i FROM (SELECT DISTINCT n FROM r), range(40) t(j))
+SELECT class, pk FROM r WHERE n <= 40 OR (n, i) IN (SELECT (n, i) FROM k)""")
+def strided_sample(spark, d):
+    return explore.strided_sample(engine(spark, d).entities, ["class"], "pk").select("class", "pk")
+
+
+@query("SELECT sheet, feature FROM (VALUES ('region','primary_key'),('region','measure'),('nation','primary_key'),('nation','measure')) AS t(sheet, feature)", False)
+def structural_features(spark, d):
+    wb = engine(spark, d).wb
+    return discovery.features(Workbook(spark, {s: wb.frames[s] for s in ("region", "nation")}))
+
+
+@query("SELECT 'resolved' AS outcome, count(*) AS n FROM customer", False)
+def canonicalization_report(spark, d):
+    e = engine(spark, d)
+    return explore.canonicalization_report(e.wb, "customer", "c_nationkey", e.entities)
+
+
+@query("SELECT 0 AS nth, 'n_name' AS stage, n_name AS value FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 1, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_nationkey = 7", False)
+def render_timeline(spark, d):
+    return derive.stages(engine(spark, d).wb, "nation", "7", 1)
+
+
+@query("SELECT sheet, col, n, d FROM (SELECT 'nation' AS sheet, 'n_name' AS col, count(*) AS n, count(DISTINCT n_name) AS d FROM nation UNION ALL SELECT 'nation', 'n_nationkey', count(*), count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'nation', 'n_regionkey', count(*), count(DISTINCT n_regionkey) FROM nation)", False)
+def column_profile(spark, d):
+    return discovery.profile(engine(spark, d).wb, ["nation"]).select("sheet", "col", "n", "d")
+
+
+@query("SELECT col, CASE WHEN col IN ('o_orderstatus', 'o_orderpriority') THEN 'dimension' ELSE 'measure' END AS role FROM (VALUES ('o_orderkey'),('o_custkey'),('o_orderstatus'),('o_totalprice'),('o_orderdate'),('o_orderpriority')) AS t(col)", False)
+def tabular_roles(spark, d):
+    return discovery.column_roles(engine(spark, d).wb, "orders").select("col", "role")
+
+
+@query("""
+, s AS (SELECT CAST(o_orderkey AS BIGINT) AS o FROM orders)
+SELECT (SELECT count(DISTINCT o_orderstatus) FROM orders) AS statuses, (SELECT count(*) FROM s) AS facts, 2 * (SELECT count(*) FROM s) AS links""")
+def tabular_fact(spark, d):
+    wb = engine(spark, d).wb
+    star = discovery.star_schema(Workbook(spark, {"orders": wb.frames["orders"]}))
+    fact = star.frame("orders Registry")
+    linked = fact.agg(F.count("*").alias("facts"), (F.count("o_orderstatus (FK)") + F.count("o_orderpriority (FK)")).alias("links")).first()
+    return spark.createDataFrame([(star.frame("o_orderstatus Registry").count(), linked["facts"], linked["links"])], "statuses long, facts long, links long")
+
+
+@query("SELECT 'resolved' AS status, 2 AS distance, CAST(1.0 AS DOUBLE) AS confidence, 'L1' AS weakest_tier", False)
+def discover_path(spark, d):
+    region = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey = 10").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
+    x = engine(spark, d).discover(cid("region", region), CUSTOMER)
+    return spark.createDataFrame([(x["status"], x["distance"], x["confidence"], x["weakest_tier"])], "status string, distance int, confidence double, weakest_tier string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import compare, derive, discovery, graph, identity, integrity, relational
+from loomgraph.operators import compare, derive, discovery, explore, graph, identity, integrity, relational
 from loomgraph.sources import sinks, workbook
 from loomgraph.sources.workbook import Workbook
 from loomgraph.storage import written
@@ -128,9 +128,45 @@ class Engine:
             return compare.compare_group(self.edges, node, compare.scope(self.edges, self.entities, node, scope))
         return compare.compare_pair(self.edges, node, self._node(scope))
 
+    def _known(self, token: str) -> tuple[str, str]:
+        self._node(token)
+        one = self.resolve(token).one
+        return one["node_key"], one["class"]
+
     def reachable_relations(self, token: str) -> DataFrame:
-        cls = self.resolve(token).one["class"]
-        return self.reachability.where(F.col("source_class") == cls)
+        return explore.reachable_relations(self.edges, self.reachability, *self._known(token))
+
+    def discover_relation(self, token: str, relation: str) -> DataFrame:
+        return explore.discover_relation(self.edges, self._node(token), relation)
+
+    def relation_inventory(self, token: str) -> DataFrame:
+        return explore.relation_inventory(self.edges, self._node(token))
+
+    def entity_actions(self, token: str) -> DataFrame:
+        return explore.actions(self.edges, self.reachability, *self._known(token))
+
+    def applicable_queries(self, token: str) -> DataFrame:
+        return explore.applicable_queries(self.edges, self.reachability, *self._known(token))
+
+    def describe(self, token: str) -> list[dict]:
+        return explore.entity_capabilities(self.entities, self.edges, self._node(token))
+
+    def analyze(self, token: str) -> DataFrame:
+        return explore.analyze(self.edges, self.entities, self.reachability, self._node(token))
+
+    def lifecycle(self, token: str) -> DataFrame:
+        return explore.lifecycle(self.edges, self.entities, self._node(token))
+
+    def entity_row(self, token: str) -> dict | None:
+        r = self.entities.where(F.col("node_key") == self._node(token)).first()
+        return r and r["metadata"]
+
+    def observe(self, token: str) -> dict[str, object]:
+        return integrity.observe(self.wb, token)
+
+    def diagnose(self, text: str) -> explore.Diagnosis:
+        answer = self.ask(text)
+        return explore.diagnose(self.checks(), bool(answer["intent"].targets or answer["intent"].unresolved), answer["operations"], answer["result"] is not None)
 
     def discover(self, query: str, context: str | None = None, max_hops: int = 6) -> dict:
         """What a token is and, from a context, the path to it with the confidence of its hops."""

@@ -193,3 +193,22 @@ def test_export(robot, tmp_path):
     robot.export(str(a))
     robot.export(str(b))
     assert a.read_bytes() == b.read_bytes()
+
+
+def test_command_line(robot):
+    from loomgraph.plans.cli import handle
+
+    assert "JNT-1" in handle(robot, ["search", "shoulder"]) and handle(robot, ["list", "JNT"]).endswith("3 rows")
+    assert handle(robot, []).startswith("commands") and "names no single entity" in handle(robot, ["chain", "nothing"])
+    assert "'confidence': 100" in handle(robot, ["verify"]) and "3" in handle(robot, ["count", "joints"])
+
+
+def test_exploring(robot):
+    assert {r["mode"] for r in robot.applicable_queries("JNT-1").collect()} == {"direct", "discovered"}
+    kinds = {r["kind"] for r in robot.analyze("JNT-1").collect()}
+    assert {"registry_membership", "evidence", "siblings", "reachable_relations", "next_steps", "dependencies"} <= kinds
+    assert [r["status"] for r in robot.lifecycle("JNT-1").collect()] == ["filled"] * 5
+    assert robot.diagnose("count joints").band == "green"
+    assert robot.observe("ACT-1")["occurrences"] == 3 and robot.observe("ACT-1")["files"] == ["act.py:5", "robot.py:10", "robot.py:30"]
+    assert all(x["supported"] for x in robot.describe("JNT-1") if x["category"] == "identity")
+    assert [r["path"] for r in robot.discover_relation("JNT-1", "controller").collect()] == ["actuator -> controller"]
