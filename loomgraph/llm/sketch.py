@@ -67,15 +67,18 @@ def encoded(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
-def id_ranges(docs: DataFrame, id_col: str, rows: int) -> tuple[list[int], int]:
-    """Bounds of id ranges of about so many rows each, at most 4,096, and the number of rows."""
+MOST_RANGES, STRIDE = 65_536, 256
+
+
+def id_ranges(docs: DataFrame, id_col: str, rows: int) -> list[int]:
+    """Bounds of id ranges of about so many rows each, at most 65,536."""
     n = docs.select(id_col).count()
-    parts = min(4096, max(1, -(-n // rows)))
+    parts = min(MOST_RANGES, max(1, -(-n // rows)))
     if parts == 1:
-        return [], n
+        return []
     at = [i / parts for i in range(1, parts)]
-    got = docs.select(F.percentile_approx(id_col, at, 10000).alias("x")).first()[0] or []
-    return sorted({int(x) for x in got}), n
+    got = docs.select(F.percentile_approx(id_col, at, max(10_000, 4 * parts)).alias("x")).first()[0] or []
+    return sorted({int(x) for x in got})
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, own: dict[str, Column], rows: int = 500) -> DataFrame:
@@ -83,11 +86,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, own: dict[str, Column
 
     Rows are in ascending order of id, nulls last, ties by text; after the last comes the first. Ids are cut into ranges
     at approximate percentiles, and the first row of a range is also put at the end of the one before, so that ranges
-    are ordered apart and no window spans the table. There are at most 4,096 ranges; bounds are longs.
+    are ordered apart and no window spans the table. There are at most 65,536 ranges; bounds are longs.
     """
-    bounds, _ = id_ranges(docs.where(F.col(id_col).isNotNull()), id_col, rows)
+    bounds = id_ranges(docs.where(F.col(id_col).isNotNull()), id_col, rows)
     rows_ = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("part", _range_of(bounds, F.col("id")))
-    # ranges that have rows, and their first ids: at most 4,096 rows
+    # ranges that have rows, and their first ids: at most 65,536 rows of numbers
     firsts = rows_.groupBy("part").agg(F.min("id").alias("first_id")).orderBy("part").collect()
     before = {r["part"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
     heads = docs.sparkSession.createDataFrame([(r["part"], r["first_id"], before[r["part"]]) for r in firsts], "part int, first_id long, before int")
@@ -106,11 +109,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, own: dict[str, Column
 
 
 def _range_of(bounds: list[int], column: Column) -> Column:
-    """The number of bounds that aren't above the id; null ids are in the last range."""
+    """The number of bounds that aren't above the id; null ids are in the last range. Every 256th bound is looked up first."""
     if not bounds:
         return F.lit(0)
-    ids = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.when(column.isNull(), len(bounds)).otherwise(F.size(F.filter(ids, lambda b: b <= column)))
+    longs = lambda x: F.expr(f"cast(split('{','.join(map(str, x))}', ',') AS array<bigint>)")
+    up_to = lambda x: F.size(F.filter(x, lambda b: b <= column))
+    first = F.greatest(up_to(longs(bounds[::STRIDE])) - 1, F.lit(0)) * STRIDE
+    return F.when(column.isNull(), len(bounds)).otherwise(first + up_to(F.slice(longs(bounds), first + 1, STRIDE)))
 
 
 def edited_text(text: Column, following: Column) -> Column:

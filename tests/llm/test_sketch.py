@@ -72,3 +72,10 @@ def test_empty_and_single(spark):
 def test_no_python_in_the_plan(spark):
     df = sketch.document_fingerprints(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
     assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_many_ranges(spark):
+    bounds = [3 * i - 700 for i in range(1200)]
+    ids = [-10_000, -700, -699, 0, 1, 2, 68, 69, 1000, 2897, 2898, 99_999, None]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", sketch._range_of(bounds, F.col("id")).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in got} == {i: sum(i is None or b <= i for b in bounds) for i in ids}
