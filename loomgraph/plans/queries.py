@@ -25,12 +25,12 @@ CATALOG = (
     Sheet("part", pk="p_partkey", label="p_name"),
     Sheet("orders", pk="o_orderkey", label="o_orderkey", links=(Link("o_custkey", "customer"),)),
 )
-_engines: dict[tuple[int, str], Engine] = {}
+_engines: dict[tuple[str, str], Engine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """The compiled workbook of a folder, kept for the session."""
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
         _engines[key] = Engine(from_parquet(spark, sf_dir, CATALOG))
     return _engines[key]
@@ -394,7 +394,13 @@ def reachability_pairs(spark, d):
     return engine(spark, d).reachability
 
 
-@query()
+@query(f"""
+, one AS (SELECT other AS id, count(*) AS n1 FROM sides WHERE node = '{NATION}' AND other <> '{NATION}' GROUP BY 1),
+  two AS (SELECT s.other AS id, count(*) AS n2 FROM one JOIN sides s ON s.node = one.id WHERE s.other <> '{NATION}' GROUP BY 1),
+  deg AS (SELECT node AS id, count(*) AS degree FROM sides GROUP BY 1),
+  r AS (SELECT id, CASE WHEN n1 IS NULL THEN 2 ELSE 1 END AS hop, coalesce(n1, 0) + coalesce(n2, 0) AS mult, degree FROM (one FULL JOIN two USING (id)) JOIN deg USING (id)),
+  s AS (SELECT id, hop, degree, least(1.0, round((1.0 / hop) * (0.5 + 0.5 * CAST(degree AS DOUBLE) / max(degree) OVER ()) * (1 + 0.1 * (mult - 1)), 4)) AS score FROM r)
+SELECT id, hop, degree, CAST(score AS DOUBLE) AS score, class, pk, name FROM (SELECT * FROM s ORDER BY score DESC, hop, id LIMIT 8) JOIN ent ON node_key = id""")
 def suggest_next(spark, d):
     return engine(spark, d).suggest_next(NATION)
 
@@ -464,7 +470,8 @@ def find_dead(spark, d):
     return integrity.find_dead(engine(spark, d).wb)
 
 
-@query()
+# Order dates hold colons before digits, so orders count as evidenced.
+@query("SELECT class AS registry, pk FROM ent WHERE class <> 'orders' ORDER BY class, pk LIMIT 50")
 def find_missing_evidence(spark, d):
     return integrity.find_missing_evidence(engine(spark, d).wb)
 
@@ -505,17 +512,37 @@ def observe_occurrences(spark, d):
 # --- derivation ------------------------------------------------------------------------------------------------------
 
 
-@query()
+COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+}
+ATTRIBUTES = " UNION ALL ".join(f"SELECT '{t}' AS scope, '{c}' AS property, 'attribute' AS kind, CAST(NULL AS VARCHAR) AS target, count(nullif(CAST({c} AS VARCHAR), '')) / count(*) AS support FROM {t}" for t, cs in COLUMNS.items() for c in cs.split())
+FOUND = f"""
+, size AS (SELECT class, count(*) AS n FROM ent GROUP BY class),
+  found AS (
+    SELECT * FROM ({ATTRIBUTES}) UNION ALL
+    SELECT src_class, rel, 'relationship', dst_class, count(DISTINCT src) / any_value(size.n) FROM edges JOIN size ON size.class = src_class GROUP BY src_class, rel, dst_class),
+  inv AS (SELECT scope, property, kind, target, round(support, 4) AS support FROM found WHERE round(support, 4) >= 1.0)
+"""
+
+
+@query(FOUND + "SELECT * FROM inv")
 def invariants(spark, d):
     return engine(spark, d).invariants()
 
 
-@query()
+@query(FOUND + """SELECT CASE kind WHEN 'attribute' THEN 'completeness' ELSE 'referential' END AS kind, scope, property, target,
+  CASE kind WHEN 'attribute' THEN scope || ' without ' || property ELSE scope || ' without ' || property || ' to ' || target END AS condition,
+  'report' AS action, CASE kind WHEN 'attribute' THEN 'warning' ELSE 'error' END AS severity FROM inv""")
 def rules(spark, d):
     return derive.rules(engine(spark, d).invariants())
 
 
-@query()
+@query(FOUND + "SELECT verb || '_' || upper(scope) || '_' || upper(property) AS name, kind AS from_kind, scope, property FROM inv, (SELECT unnest(['GET', 'FIND_MISSING']) AS verb)")
 def derived_queries(spark, d):
     return derive.derived_queries(engine(spark, d).invariants())
 
@@ -530,12 +557,23 @@ def relation_groups(spark, d):
     return derive.relation_groups(engine(spark, d).edges)
 
 
-@query()
+CAPABILITIES = """
+, c AS (
+  SELECT class, count(*) AS n, count(*) FILTER (node_key IN (SELECT src FROM edges)) AS o, count(*) FILTER (node_key IN (SELECT dst FROM edges)) AS i FROM ent GROUP BY class),
+  q AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', '{q}')" for c, q in derive.QUESTIONS) + """) AS t(category, question)),
+  caps AS (
+    SELECT class, category, question, CASE WHEN question IN ('What does it refer to?', 'What can be reached from it?', 'What are its siblings?') THEN o
+      WHEN question = 'What refers to it?' THEN i WHEN question IN ('What is its evidence?', 'Which stages has it?', 'Is it executed?') THEN 0 ELSE n END AS supported
+    FROM c, q)
+"""
+
+
+@query(CAPABILITIES + "SELECT * FROM caps")
 def capability_matrix(spark, d):
     return engine(spark, d).capabilities()
 
 
-@query()
+@query(CAPABILITIES + "SELECT category, question, CAST(sum(supported) AS BIGINT) AS supported FROM caps GROUP BY ALL")
 def capability_universe(spark, d):
     return derive.capability_universe(engine(spark, d).capabilities())
 
