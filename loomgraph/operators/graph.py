@@ -2,8 +2,9 @@
 
 Traversal is a loop over levels on the driver; each level is one join of the frontier with the edges, written to the
 shared folder. Frontiers hold each node once, so work is bounded by the edges met, not by the number of paths. First-found
-parents follow the order of a queue: a level's candidates are ranked by the place of their parent and the edge's order
-(outgoing before incoming), which makes paths, not only distances, the same in every run.
+parents follow the order of a queue: a node's place is that of its parent and the edge's order (outgoing before
+incoming), an array that grows by a step a level, which makes paths, not only distances, the same in every run. The least
+place of a node comes from an aggregate, so neither a hub nor a wide level is one task's work.
 """
 
 from __future__ import annotations
@@ -176,20 +177,19 @@ def bfs(e: DataFrame, seeds: DataFrame, direction: str = "both", max_hops: int =
     null = lambda t: F.lit(None).cast(t)
     start = seeds.select("origin", "node").distinct().withColumns({"hop": F.lit(0), "node_class": null("string")})
     if paths:
-        start = start.withColumns({"parent": null("string"), "rel": null("string"), "dir": null("string"), "evidence": null("string"), "qpos": F.row_number().over(Window.partitionBy("origin").orderBy("node"))})
+        start = start.withColumns({"parent": null("string"), "rel": null("string"), "dir": null("string"), "evidence": null("string"), "qpos": F.array().cast("array<bigint>")})
     seen = frontier = written(start.select("origin", "node", "hop", "node_class", *extra), "bfs-0")
     for hop in range(1, max_hops + 1):
         next_ = frontier.select("origin", "node", *(["qpos"] if paths else [])).join(steps, "node")
         if paths:
-            w = Window.partitionBy("origin", "other").orderBy("qpos", "step")
-            next_ = next_.withColumn("r", F.row_number().over(w)).where("r = 1")
-            next_ = next_.select("origin", F.col("other").alias("node"), F.lit(hop).alias("hop"), F.col("other_class").alias("node_class"), F.col("node").alias("parent"), "rel", "dir", "evidence", F.struct("qpos", "step").alias("key"))
+            # the place in the queue is the place of the parent, then the edge's order: arrays that compare level by level
+            place = F.concat("qpos", F.array(F.col("step.side"), F.col("step.ord.sheet"), F.col("step.ord.row"), F.col("step.ord.nth")).cast("array<bigint>"))
+            first = F.min(F.struct(place.alias("qpos"), F.col("node").alias("parent"), "rel", "dir", "evidence", F.col("other_class").alias("node_class"))).alias("first")
+            next_ = next_.groupBy("origin", F.col("other").alias("node")).agg(first)
+            next_ = next_.select("origin", "node", F.lit(hop).alias("hop"), *(f"first.{c}" for c in ("node_class", *extra)))
         else:
             next_ = next_.groupBy("origin", F.col("other").alias("node")).agg(F.lit(hop).alias("hop"), F.min("other_class").alias("node_class"))
         next_ = next_.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
-        if paths:
-            # places within a level: a window by origin, whose size is that origin's level
-            next_ = next_.withColumn("qpos", F.row_number().over(Window.partitionBy("origin").orderBy("key"))).drop("key")
         frontier = written(next_.select("origin", "node", "hop", "node_class", *extra), f"bfs-{hop}")
         if frontier.isEmpty():
             break
