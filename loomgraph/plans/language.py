@@ -7,35 +7,62 @@ from dataclasses import dataclass, field, replace
 
 # Concepts, their kinds, the words that name them, and the operations they ask for.
 CONCEPTS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
-    "LIST": ("ACTION", ("list", "show", "display"), ("LIST",)),
-    "FIND": ("ACTION", ("find", "search", "lookup"), ("SEARCH",)),
-    "OPEN": ("ACTION", ("open", "view"), ("OPEN",)),
-    "EXPLAIN": ("ACTION", ("explain", "describe"), ("EXPLAIN",)),
-    "COUNT": ("ACTION", ("count", "how many", "number of"), ("COUNT",)),
-    "SUM": ("ACTION", ("sum", "total"), ("SUM",)),
-    "AVERAGE": ("ACTION", ("average", "avg", "mean"), ("GROUP", "AVG")),
-    "MAXIMUM": ("QUALIFIER", ("highest", "maximum", "max", "most"), ("SORT_DESC", "LIMIT")),
-    "MINIMUM": ("QUALIFIER", ("lowest", "minimum", "min", "least"), ("SORT_ASC", "LIMIT")),
-    "TOP": ("QUALIFIER", ("top", "best"), ("SORT_DESC", "LIMIT")),
-    "BOTTOM": ("QUALIFIER", ("bottom", "worst"), ("SORT_ASC", "LIMIT")),
-    "FIRST": ("QUALIFIER", ("first",), ("LIMIT",)),
-    "LAST": ("QUALIFIER", ("last",), ("LIMIT",)),
-    "GROUP": ("ACTION", ("group", "group by", "per"), ("GROUP",)),
-    "COMPARE": ("ACTION", ("compare", "versus", "vs"), ("COMPARE",)),
-    "PATH": ("ACTION", ("path", "route", "connection"), ("PATH",)),
-    "DEPENDENCY": ("ACTION", ("dependency", "dependencies", "depends on"), ("DEPENDENCY",)),
-    "REACH": ("ACTION", ("reachable", "reaches"), ("REACH",)),
-    "EVIDENCE": ("ACTION", ("evidence", "proof"), ("EVIDENCE",)),
-    "FILTER": ("CONSTRAINT", ("where", "with", "having"), ("FILTER",)),
-    "IN": ("CONSTRAINT", ("in", "of", "within"), ()),
-    "AND": ("LOGIC", ("and",), ()),
-    "OR": ("LOGIC", ("or",), ()),
-    "NOT": ("LOGIC", ("not",), ()),
-    "AFTER": ("TIME", ("after", "since"), ("FILTER",)),
-    "BEFORE": ("TIME", ("before", "until"), ("FILTER",)),
-    "TO": ("LINK", ("to",), ()),
+    "SHOW": ("ACTION", ("show", "display", "list", "give", "get", "return"), ("SHOW",)),
+    "COUNT": ("ACTION", ("count", "number", "tally", "kitne", "kitna", "how many", "howmany"), ("GROUP", "COUNT")),
+    "COMPARE": ("ACTION", ("compare", "versus", "vs", "difference", "diff"), ("COMPARE",)),
+    "EXPLAIN": ("ACTION", ("explain", "why", "reason", "justify"), ("EXPLAIN",)),
+    "ANALYZE": ("ACTION", ("analyze", "analyse", "analysis", "inspect", "examine"), ("SHOW",)),
+    "FIND": ("ACTION", ("find", "search", "locate", "lookup"), ("SEARCH",)),
+    "TRACE": ("ACTION", ("trace", "path", "route", "connect", "reach", "reaches"), ("PATH",)),
+    "DEPEND": ("ACTION", ("depends", "depend", "dependency", "dependencies", "requires", "needs", "upstream"), ("DEPENDENCY",)),
+    "IMPACT": ("ACTION", ("impacts", "impact", "affects", "affect", "downstream"), ("REACHABILITY",)),
+    "REVERSE": ("ACTION", ("uses", "used-by", "usedby", "used by", "consumed-by", "consumedby", "consumed by", "consumers", "referenced-by", "referencedby", "referenced by", "points-to", "points to", "depended-on-by", "depended on by"), ("REVERSE",)),
+    "EVIDENCE": ("ACTION", ("evidence", "source", "provenance", "cell", "sheet", "row-of", "backing"), ("EVIDENCE",)),
+    "WHAT": ("QUESTION", ("what",), ()),
+    "WHICH": ("QUESTION", ("which",), ()),
+    "WHO": ("QUESTION", ("who", "whom"), ()),
+    "WHERE": ("QUESTION", ("where",), ()),
+    "HOWMANY": ("QUESTION", ("how-many", "howmany"), ("GROUP", "COUNT")),
+    "TOP": ("QUALIFIER", ("top", "most", "highest", "best"), ("SORT_DESC", "LIMIT")),
+    "BOTTOM": ("QUALIFIER", ("bottom", "least", "lowest", "worst", "fewest"), ("SORT_ASC", "LIMIT")),
+    "FIRST": ("QUALIFIER", ("first", "earliest"), ("LIMIT",)),
+    "LAST": ("QUALIFIER", ("last", "latest"), ("LIMIT",)),
+    "UNIQUE": ("QUALIFIER", ("unique", "distinct", "different"), ("DISTINCT",)),
+    "EQUALS": ("CONSTRAINT", ("equals", "equal", "is", "of"), ("FILTER",)),
+    "GREATER": ("CONSTRAINT", ("greater", "more", "above", "over"), ("FILTER",)),
+    "LESS": ("CONSTRAINT", ("less", "fewer", "below", "under"), ("FILTER",)),
+    "CONTAINS": ("CONSTRAINT", ("contains", "has", "having", "with", "includes"), ("FILTER",)),
+    "BETWEEN": ("CONSTRAINT", ("between", "range"), ("FILTER",)),
+    "AFTER": ("TIME", ("after", "since", "from"), ("FILTER",)),
+    "BEFORE": ("TIME", ("before", "until", "till"), ("FILTER",)),
+    "DURING": ("TIME", ("during", "within"), ("FILTER",)),
+    "AND": ("LOGIC", ("and", "plus", "also"), ()),
+    "OR": ("LOGIC", ("or", "either"), ()),
+    "NOT": ("LOGIC", ("not", "without", "except", "excluding"), ()),
+    "TOTAL": ("VALUE_MOD", ("total", "sum", "summed"), ("SUM",)),
+    "AVERAGE": ("VALUE_MOD", ("average", "avg", "mean"), ("GROUP", "AVG")),
+    "MIN": ("VALUE_MOD", ("minimum", "min", "smallest"), ("MIN",)),
+    "MAX": ("VALUE_MOD", ("maximum", "max", "largest", "biggest"), ("MAX",)),
 }
 
+# Classes of requests, and the words in a request that make it one; the first that fits counts.
+REQUESTS: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("Q-03", ("trace", "depend", "flow", "produce", "consume")),
+    ("Q-05", ("which command", "commands that", "commands run", "kaun se command")),
+    ("Q-04", ("how does", "execution of", "run karta", "stages")),
+    ("Q-07", ("audit", "dead", "orphan", "missing", "validate", "duplicate")),
+    ("Q-08", ("why", "incomplete", "gap", "kyu", "adhura")),
+    ("Q-02", ("uses", "used by", "who use")),
+)
+
+
+def request_class(text: str, verb: str = "") -> str:
+    """The class of a request by its verb and words; Q-01 (a lookup) if no other fits."""
+    if verb.upper() == "TRACE":
+        return "Q-03"
+    low = text.lower()
+    return next((q for q, words in REQUESTS if any(w in low for w in words)), "Q-01")
+
 
 @dataclass(frozen=True)
 class Token:

@@ -227,8 +227,14 @@ class Engine:
             out["result"] = compare.compare_pair(self.edges, named[0], named[1])
         elif "DEPENDENCY" in ops and named:
             out["result"] = graph.neighbors(self.edges, named[0], "in")
-        elif "REACH" in ops and named:
-            out["result"] = graph.reachable(self.edges, named[0], 5)
+        elif "REACHABILITY" in ops and named:
+            out["result"] = graph.neighbors(self.edges, named[0], "out")
+        elif "REVERSE" in ops and named and not registry:
+            out["result"] = graph.reverse_lookup(self.edges, self.entities, named[0])
+        elif "EVIDENCE" in ops and named:
+            out["result"] = self.entities.where(F.col("node_key") == named[0]).select("class", "pk", "evidence", "metadata")
+        elif "SEARCH" in ops and intent.unresolved and not registry:
+            out["result"] = self.search(" ".join(intent.unresolved))
         elif registry and named:
             prefix = self.wb.sheet(registry).prefix
             out["result"] = graph.reverse_lookup(self.edges, self.entities, named[0], source_prefix=prefix)
@@ -239,6 +245,13 @@ class Engine:
             n = intent.values[0] if intent.values else 10
             if "COUNT" in ops:
                 out["result"] = rows.count()
+            elif "DISTINCT" in ops:
+                out["result"] = relational.distinct_entities(rows, self.wb.sheet(registry).pk)
+            elif {"SUM", "AVG", "MIN", "MAX"} & set(ops):
+                # a column that the question names, or else a count, as the operation without a column gives
+                fn = next(o for o in ops if o in ("SUM", "AVG", "MIN", "MAX")).lower()
+                column = next((c for c in self.wb.header(registry) if c.lower() in {x.lower() for x in intent.unresolved}), None)
+                out["result"] = relational.aggregate(rows, fn, column)
             elif "SORT_DESC" in ops or "SORT_ASC" in ops:
                 sheet = self.wb.sheet(registry)
                 out["result"] = relational.top(rows, sheet.label or sheet.pk, n, "SORT_DESC" in ops)
@@ -248,6 +261,36 @@ class Engine:
             out["result"] = self.discover(intent.unresolved[-1], intent.unresolved[0] if len(named) > 1 else None)
         return out
 
+    def request(self, text: str, target: str | None = None, verb: str = "", stage: str | None = None) -> dict:
+        """A request by its class: data flow, dependencies, execution stages, rows at a stage, audits, gaps, or a lookup."""
+        q = language.request_class(text, verb)
+        out: dict = {"query_type": q, "target": target, "result": None}
+        node = self.node(target) if target else None
+        runs = next((s for s in self.wb.catalog if s.execution and s.name in self.wb.frames), None)
+        if q == "Q-07":
+            low = text.lower()
+            if "dead" in low:
+                out["result"] = integrity.find_dead(self.wb)
+            elif "orphan" in low or "lifecycle" in low:
+                out["result"] = integrity.find_orphan(self.edges, self.entities)
+            elif "evidence" in low:
+                out["result"] = integrity.find_missing_evidence(self.wb)
+            else:
+                out["result"] = integrity.check_fk(self.wb, self.entities)
+        elif q == "Q-05" and runs and stage:
+            out["result"] = relational.filtered(self.wb.rows(runs.name), stage, "✅")
+        elif node is None:
+            out["note"] = "the target names no single entity"
+        elif q == "Q-03":
+            out["result"] = graph.walk_relationship(self.edges, graph.one_seed(self.edges, node), flow="Data")
+        elif q == "Q-04" and runs:
+            out["result"] = derive.stages(self.wb, runs.name, self.resolve(target).one["pk"], 2)
+        elif q == "Q-08":
+            out["result"] = self.lifecycle(target).where("NOT filled")
+        else:
+            out["result"] = graph.neighbors(self.edges, node)
+        return out
+
     # --- the whole workbook --------------------------------------------------------------------------------------------
 
     def invariants(self, threshold: float = 1.0) -> DataFrame:

@@ -212,3 +212,14 @@ def test_exploring(robot):
     assert robot.observe("ACT-1")["occurrences"] == 3 and robot.observe("ACT-1")["files"] == ["act.py:5", "robot.py:10", "robot.py:30"]
     assert all(x["supported"] for x in robot.describe("JNT-1") if x["category"] == "identity")
     assert [r["path"] for r in robot.discover_relation("JNT-1", "controller").collect()] == ["actuator -> controller"]
+
+
+def test_requests(robot):
+    c = language.request_class
+    assert [c("trace x"), c("which command runs"), c("stages of x"), c("find orphan rows"), c("why x"), c("what uses x"), c("x"), c("x", "trace")] == ["Q-03", "Q-05", "Q-04", "Q-07", "Q-08", "Q-02", "Q-01", "Q-03"]
+    assert {r["class"] for r in robot.request("orphan audit")["result"].collect()} == {"Link Registry", "Controller Registry"}
+    assert robot.request("audit keys")["result"].count() == 0
+    assert robot.request("what uses it", "ACT-1")["result"].count() == 3
+    assert robot.request("what is it", "nothing")["result"] is None
+    assert {r["src"] for r in robot.ask("used by ACT-1")["result"].collect()} == {"JNT-1", "JNT-3"}
+    assert robot.ask("distinct joints")["result"].count() == 3 and robot.ask("average joints")["result"].first()["value"] == 3.0
