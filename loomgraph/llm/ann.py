@@ -9,8 +9,9 @@ Index: every vector goes to the part that the classifier finds most probable. Se
 probable parts, where it is ranked against every vector by the inner product in double precision.
 
 Equal vectors are searched once: of a vector's copies only the smallest ids can be among the nearest, and equal queries
-share one search. Large parts are cut into chunks by a hash, and partial results are merged, so that no task holds a
-whole part. The sample size is a documented bound (``sample``), as are chunk sizes; there is no cap on candidates.
+share one search. Small parts are searched together in bins, so that a query has one partial result a bin, and large parts are
+cut into several bins by a hash, so that no task holds more than a bin and a block of queries. The sample size is a
+documented bound (``sample``), as is the size of bins; there is no cap on candidates.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .shared import written
 
-SAMPLE, CHUNK = 12_000, 8_192
+SAMPLE, BIN = 12_000, 8_192
 
 
 # --- fitting -----------------------------------------------------------------------------------------------------
@@ -189,19 +190,25 @@ def top(query_ids: np.ndarray, vec_ids: np.ndarray, scores: np.ndarray, k: int)
 
 
 def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of each query within one block; scores are summed in the order of the components."""
+    """The k best candidates of each query within one bin, among those of the parts that the query is routed to."""
     kept: list[tuple] = []
-    x, ids = matrix(candidates["v"]), candidates["vec_id"].to_numpy(np.int64)
-    for i in range(0, len(queries), 256):
-        q = matrix(queries["v"].iloc[i : i + 256])
-        s = q @ x.T
+    q_all, q_ids = matrix(queries["v"]), queries["query"].to_numpy(np.int64)
+    probed = queries["parts"].map(set).to_numpy()
+    x_all, ids_all, part_of = matrix(candidates["v"]), candidates["vec_id"].to_numpy(np.int64), candidates["part"].to_numpy()
+    for part in np.unique(part_of):
+        rows = np.flatnonzero(part_of == part)
+        asks = np.array([i for i, p in enumerate(probed) if part in p], np.int64)
+        x, ids = x_all[rows], ids_all[rows]
         near = min(k, len(ids))
-        # every candidate that ties with the k-th or comes within rounding of it goes on to the exact comparison
-        floor = np.partition(s, len(ids) - near, axis=1)[:, len(ids) - near]
-        a, b = np.nonzero(s >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
-        exact = exact_scores(q[a], x[b])
-        kept.append(top(queries["query"].to_numpy(np.int64)[i + a], ids[b], exact, k))
+        for i in range(0, len(asks), 256):
+            q = q_all[asks[i : i + 256]]
+            s = q @ x.T
+            # every candidate that ties with the k-th or comes within rounding of it goes on to the exact comparison
+            floor = np.partition(s, len(ids) - near, axis=1)[:, len(ids) - near]
+            a, b = np.nonzero(s >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
+            kept.append(top(q_ids[asks[i + a]], ids[b], exact_scores(q[a], x[b]), k))
     out = [np.concatenate(c) for c in zip(*kept, strict=True)] if kept else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+    out = top(*out, k)
     return pd.DataFrame({"query": out[0], "vec_id": out[1], "score": out[2]})
 
 
@@ -210,7 +217,7 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b, optimize=False)
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rows_per_part: int = 600, most_parts: int = 256, sample: int = SAMPLE, chunk: int = CHUNK, target: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rows_per_part: int = 600, most_parts: int = 256, sample: int = SAMPLE, bin_rows: int = BIN, target: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest other rows found, for ids divisible by ``every``.
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length than the most frequent (ties: the longest). Repeated rows (id and vector) count once. Ties
@@ -233,37 +240,44 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     router = fit(matrix(picked), int(min(most_parts, max(1, n // rows_per_part))), k, target)
     held = spark.sparkContext.broadcast(vars(router))  # plain arrays: some 128 x most_parts numbers
 
-    def routed(many: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            r = Router(**held.value)
-            for b in batches:
-                parts = r.best(matrix(b["v"]), r.probes if many else 1) if len(b) else np.zeros((0, 1), int)
-                yield b.iloc[np.repeat(np.arange(len(b)), parts.shape[1])].assign(part=parts.ravel().astype(np.int32))
-
-        return run
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = Router(**held.value)
+        for b in batches:
+            yield b.assign(part=r.best(matrix(b["v"]), 1)[:, 0].astype(np.int32) if len(b) else np.zeros(0, np.int32))
 
     # a query is a distinct vector that some row with a fitting id holds
     asked = by_vec.where(F.col("vec_id") % every == 0)
     queries = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"), "v")
     queries = written(queries, "ann-queries")
-    placed = written(distinct.mapInPandas(routed(False), "v array<double>, rep long, part int"), "ann-index")
-    sizes = placed.groupBy("part").count()
-    placed = placed.join(F.broadcast(sizes), "part")  # at most most_parts rows
-    chunks = F.ceil(F.col("count") / chunk).cast("int")
-    placed = placed.select("part", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.col("rep").alias("vec_id"), "v")
-    sent = queries.dropDuplicates(["query"]).select("query", "v").mapInPandas(routed(True), "query long, v array<double>, part int")
-    sent = sent.join(F.broadcast(sizes), "part").select("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / chunk).cast("int") - 1)).alias("chunk"), "query", "v")
-    # queries go in blocks of a bounded size as well; the candidates of a chunk are repeated for each
-    blocks = 1 + router_blocks(n, every, router, int(placed.select("part").distinct().count()), chunk)
+    placed = written(distinct.mapInPandas(homes, "v array<double>, rep long, part int"), "ann-index")
+    bins = bins_of({r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}, bin_rows)  # at most most_parts rows
+
+    def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = Router(**held.value)
+        for b in batches:
+            rows: list[tuple] = []
+            for i, parts in enumerate(r.best(matrix(b["v"]), r.probes) if len(b) else ()):
+                by_bin: dict[int, list[int]] = {}
+                for p in parts.tolist():
+                    for x in range(*bins.get(p, (0, 0))):
+                        by_bin.setdefault(x, []).append(p)
+                rows += [(i, x, ps) for x, ps in by_bin.items()]
+            out = b.iloc[[x[0] for x in rows]]
+            yield out.assign(bin=np.array([x[1] for x in rows], np.int32), parts=[x[2] for x in rows])
+
+    # a bin's queries go in blocks of a bounded size as well; its candidates are repeated for each block
+    blocks = 1 + n // every // bin_rows
+    place = F.create_map(*(F.lit(x) for p, (lo, hi) in bins.items() for x in (p, lo)))
+    chunks = F.create_map(*(F.lit(x) for p, (lo, hi) in bins.items() for x in (p, hi - lo)))
+    placed = placed.select((place[F.col("part")] + F.pmod(F.xxhash64("rep"), chunks[F.col("part")])).cast("int").alias("bin"), "part", F.col("rep").alias("vec_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    sent = queries.dropDuplicates(["query"]).select("query", "v").mapInPandas(routes, "query long, v array<double>, bin int, parts array<int>")
     sent = sent.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["part", "chunk", "block"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         # one more than k: the query's own vector is among them
         return search_block(left, right, k + 1)
 
-    found = sent.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(search, "query long, vec_id long, score double")
+    found = sent.groupBy("bin", "block").cogroup(placed.groupBy("bin", "block")).applyInPandas(search, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query", F.col("vec_id").alias("rep"), "score")
     # distinct vectors are expanded to their copies' ids, and equal queries to theirs
@@ -275,6 +289,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     return hits.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def router_blocks(n: int, every: int, router: Router, parts: int, chunk: int) -> int:
-    """How many further blocks the queries of a part need to hold about ``chunk`` each."""
-    return int(n / every * router.probes / max(1, parts) // chunk)
+def bins_of(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """Bins [lo, hi) of each part: small parts share one of about ``most`` rows, a larger part has several of its own."""
+    out, at, room = {}, -1, 0
+    for part, n in sorted(sizes.items()):
+        if n > most:
+            need = -(-n // most)
+            out[part], at, room = (at + 1, at + 1 + need), at + need, 0
+            continue
+        if n > room:
+            at, room = at + 1, most
+        out[part], room = (at, at + 1), room - n
+    return out

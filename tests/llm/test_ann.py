@@ -47,7 +47,7 @@ def test_small_table_is_exact(spark):
 
 def test_recall_over_many_parts(spark):
     rows = clustered(6000)
-    got, want = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows_per_part=100, sample=3000, chunk=50)), brute(rows)
+    got, want = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows_per_part=100, sample=3000, bin_rows=50)), brute(rows)
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
     assert set(got) == set(want) and recall >= 0.9
 
@@ -65,3 +65,14 @@ def test_few_rows_and_none(spark):
     assert ann.nearest(spark.createDataFrame([(20, [1.0, 0.0])], schema)).count() == 0
     got = collected(ann.nearest(spark.createDataFrame([(20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [0.5, 0.0]), (20, [1.0, 0.0])], schema)))
     assert [i for i, _ in got[20]] == [21, 22]
+
+
+def test_bins():
+    sizes = {0: 40, 1: 70, 2: 350, 3: 10, 5: 80, 6: 20}
+    got = ann.bins_of(sizes, 100)
+    assert set(got) == set(sizes) and got[2][1] - got[2][0] == 4 and got[5] == got[3] and got[6] != got[5]
+    load = {}
+    for p, (lo, hi) in got.items():
+        for b in range(lo, hi):
+            load[b] = load.get(b, 0) + sizes[p] / (hi - lo)
+    assert max(load.values()) <= 100 and sorted(load) == list(range(len(load)))
