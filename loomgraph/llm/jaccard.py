@@ -149,7 +149,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that both sides of the join are plain exchanges, of which Spark splits those of a hub
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node's lesser neighbours and itself are joined to the least of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -188,16 +189,49 @@ def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 def likely(sig_a: np.ndarray, sig_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of which at least so large a share of the signatures agree."""
     us, vs = [], []
-    for i in range(0, len(sig_a), 64):
-        agree = np.zeros((len(sig_a[i : i + 64]), len(sig_b)), np.uint16)
-        for j in range(sig_a.shape[1]):
-            agree += sig_a[i : i + 64, j][:, None] == sig_b[:, j][None, :]
+    step = max(1, (1 << 21) // (len(sig_b) * sig_a.shape[1]))
+    for i in range(0, len(sig_a), step):
+        agree = (sig_a[i : i + step, None, :] == sig_b[None, :, :]).sum(2)
         a, b = np.nonzero(agree >= least * sig_a.shape[1])
         us.append(a + i)
         vs.append(b)
     return np.concatenate(us), np.concatenate(vs)
 
 
+def by_group(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(columns as arrays) -> lists of the schema's columns, for the rows of each key; keys are whole numbers.
+
+    A partition streams in the order of the keys and many small groups are handled in one batch, where a call of its own
+    for each group would cost more than its work. No more is held than a batch and the group that it ends in.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = np.column_stack([table.column(k).to_numpy() for k in keys])
+            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
+            columns = {c: table.column(c).to_numpy() for c in table.column_names}
+            out: list[list] = [[] for _ in names]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                for have, more in zip(out, run({c: v[lo:hi] for c, v in columns.items()}), strict=True):
+                    have.extend(more)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            key = np.column_stack([table.column(k).to_numpy() for k in keys])
+            last = len(key) - int(np.argmax((key[::-1] != key[-1]).any(1))) if len(key) and (key != key[-1]).any() else 0
+            if last:
+                yield from handled(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield from handled(held)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
 def tiles(rows: DataFrame, key: str, size: str, block: int, salt: str) -> DataFrame:
     """Deals the rows of a key into blocks of about so many, and each block to the tiles (x <= y) that hold it.
 
@@ -218,19 +252,17 @@ def candidate_edges(classes: DataFrame, trees: int, depth: int, used: int, thres
     members = tiles(members, "key", "n", block, "cls")
     least = threshold - 5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges: list[tuple[int, int]] = []
-        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint16).reshape(len(pdf), -1)
-        cls, own = pdf["cls"].to_numpy(np.int64), pdf["own"].to_numpy()
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        left, right = (np.flatnonzero(own == x), np.flatnonzero(own == y))
-        if len(left) and len(right):
-            a, b = likely(sig[left], sig[right], least)
-            u, v = cls[left][a], cls[right][b]
-            edges = forest(u[u != v], v[u != v])
-        return pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
-
-    return members.groupBy("key", "x", "y").applyInPandas(run, "u long, v long")
+    def run(c: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+        sig = np.frombuffer(b"".join(c["signature"]), np.uint16).reshape(len(c["cls"]), -1)
+        left, right = np.flatnonzero(c["own"] == c["x"][0]), np.flatnonzero(c["own"] == c["y"][0])
+        if not len(left) or not len(right):
+            return [], []
+        a, b = likely(sig[left], sig[right], least)
+        u, v = c["cls"][left][a], c["cls"][right][b]
+        tree = forest(u[u != v], v[u != v])
+        return [e[0] for e in tree], [e[1] for e in tree]
+
+    return by_group(members, ["key", "x", "y"], run, "u long, v long")
 
 
 # --- verification ------------------------------------------------------------------------------------------------
