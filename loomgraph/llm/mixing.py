@@ -20,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import fresh, small, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 STATE = "row_key string, source_no int, size long, fraction double, copies int"
@@ -95,7 +96,7 @@ def rounded(rows: DataFrame, fan_in: int, seed: int) -> DataFrame:
         largest = max(counts.values(), default=0)
         sizes = spark.createDataFrame([(s, -(-n // fan_in)) for s, n in counts.items()] or [(-1, 1)], "source_no int, buckets int")
         last = largest <= fan_in
-        table = rows.join(F.broadcast(sizes), "source_no", "left")  # a row a source, of which targets need all on the driver as well
+        table = rows.join(small(sizes, len(counts)), "source_no", "left")
         table = table.withColumn("bucket", F.pmod(F.xxhash64("row_key", F.lit(seed + level)), F.coalesce("buckets", F.lit(1))).cast("int"))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +117,7 @@ def rounded(rows: DataFrame, fan_in: int, seed: int) -> DataFrame:
         rows, level = out.where("fraction > 0"), level + 1
 
 
-def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, most: float = 3.0, fan_in: int = 20_000, seed: int = 20240501, key: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, most: float = 3.0, fan_in: int = 4_000, seed: int = 20240501, key: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """(rows with row_key, size, source_no, copies; sources with source_no, source, source_size, target).
 
     Sources are taken by code point, null last, with the weights repeating. Documents of size 0 are never taken. Rows are
@@ -133,7 +134,7 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     goal = targets([n for _, n in sources], [weights[i % len(weights)] for i in range(len(sources))], most)
     spark = docs.sparkSession
     table = spark.createDataFrame([(i, s, int(n), float(t), min(most, t / n) if n else 0.0) for i, ((s, n), t) in enumerate(zip(sources, goal, strict=True))], "source_no int, source string, source_size long, target double, rate double")
-    state = keyed.join(F.broadcast(table), keyed["source"].eqNullSafe(table["source"]))
+    state = keyed.join(small(table, len(sources)), keyed["source"].eqNullSafe(table["source"]))
     rate = F.when(F.col("size") > 0, F.col("rate")).otherwise(F.lit(0.0))
     state = state.select("row_key", "source_no", "size", (rate - F.floor(rate)).alias("fraction"), F.floor(rate).cast("int").alias("copies"))
     return rounded(state, fan_in, seed), table
@@ -148,21 +149,18 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     rows, sources = mixed(docs, source_col, text_col, key=(id_col,), **options)
     kind = docs.schema[id_col].dataType.simpleString()
     first = F.split("row_key", r"\|")[0]
-    rows = rows.join(F.broadcast(sources), "source_no")
+    rows = rows.join(sources, "source_no")
     return rows.select(F.when(first != "null", first).cast(kind).alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents that the mix takes, with all their columns, each as often as it is taken."""
-    from pyspark.sql.window import Window
-
-    from .shared import fresh
-
     rows, _ = mixed(docs, source_col, text_col, key=(id_col,), **options)
-    k, total, nth = (fresh(docs.columns, x) for x in ("mix_key", "mix_copies", "mix_nth"))
-    # equal rows are interchangeable: their copies are added up and dealt out by a running number within the key
-    taken = rows.where("copies > 0").select(F.regexp_replace("row_key", "#[0-9]+$", "").alias(k), F.regexp_extract("row_key", "#([0-9]+)$", 1).cast("int").alias(nth), F.col("copies").alias(total))
+    k, total, same, nth = (fresh(docs.columns, x) for x in ("mix_key", "mix_copies", "mix_same", "mix_nth"))
+    # repeated rows are interchangeable: their copies are added up and dealt out evenly, so that texts are exchanged once
+    taken = rows.groupBy(F.regexp_replace("row_key", "#[0-9]+$", "").alias(k)).agg(F.sum("copies").cast("int").alias(total), F.count("*").cast("int").alias(same)).where(F.col(total) > 0)
     salt = fresh(docs.columns, "mix_salt")
-    same = docs.withColumn(k, row_key(text_col, (id_col,))).withColumn(salt, F.monotonically_increasing_id())
-    same = same.withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(salt)))
-    return same.join(taken, [k, nth]).withColumn(total, F.explode(F.sequence(F.lit(1), F.col(total)))).select(*docs.columns)
+    found = docs.withColumns({k: row_key(text_col, (id_col,)), salt: F.monotonically_increasing_id()}).join(taken, k)
+    found = found.withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(salt)))
+    copies = F.floor(F.col(total) / F.col(same)) + (F.col(nth) <= F.col(total) % F.col(same)).cast("int")
+    return found.withColumn(total, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*docs.columns)

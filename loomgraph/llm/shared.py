@@ -24,4 +24,9 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-__all__ = ["fresh", "scratch", "table", "text_or_empty", "written"]
+def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """Asks for a broadcast of a table of so many short rows, if they are few enough."""
+    return F.broadcast(df) if rows <= most else df
+
+
+__all__ = ["fresh", "scratch", "small", "table", "text_or_empty", "written"]
