@@ -6,8 +6,8 @@ a later model sees them as it will on new texts. Categories are 0/1 columns of t
 labels are left out of its training.
 
 Features are presences: words in lower case and their first 4, 5 and 6 letters (for stems), of whole texts. The model
-keeps at most ``most_features`` of them, those whose presence differs most between a category's classes (chi square), found on a
-bounded sample of labelled rows (``sample``, by the hash of the id). All documents are scored, by whole text.
+keeps at most ``most_features`` of them, those whose presence differs most between a category's classes (chi square, at
+least its 99.9 % point), found on a bounded sample of labelled rows (``sample``, by the hash of the id). All documents are scored, by whole text.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .shared import fresh
 
 SAMPLE, FEATURES, BITS, FOLDS = 10_000, 4_096, 21, 3
+CHI_SQUARE = 10.83  # the 99.9 % point for one degree of freedom
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -105,6 +106,14 @@ def train_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, n:
     return Linear(w, float(b))
 
 
+def counted(rows: list[np.ndarray], n: int, step: int = 500) -> np.ndarray:
+    """How many rows have each feature, a few hundred rows at a time."""
+    out = np.zeros(n)
+    for i in range(0, len(rows), step):
+        out += np.bincount(np.concatenate(rows[i : i + step]), minlength=n)
+    return out
+
+
 def select_features(rows: list[np.ndarray], ys: np.ndarray, most: int, least_rows: int = 4) -> dict[int, int]:
     """The features of the largest chi square for any category, numbered from the largest on."""
     n = 1 << BITS
@@ -114,28 +123,24 @@ def select_features(rows: list[np.ndarray], ys: np.ndarray, most: int, least_row
         y = ys[known, c]
         if not known.any() or y.min() == y.max():
             continue
-        chosen = [r for r, k in zip(rows, known, strict=True) if k]
-        flat = np.concatenate(chosen)
-        label = np.repeat(y, [len(r) for r in chosen])
-        a = np.bincount(flat[label == 1], minlength=n).astype(float)
-        b = np.bincount(flat[label == 0], minlength=n).astype(float)
+        a, b = (counted([r for r, v in zip(rows, ys[:, c], strict=True) if v == x], n) for x in (1, 0))
         p, q = y.sum(), len(y) - y.sum()
         chi = (a * (q - b) - b * (p - a)) ** 2 * len(y) / np.maximum(1, (a + b) * (len(y) - a - b) * p * q)
         chi[a + b < least_rows] = 0
         best = np.maximum(best, chi)
     order = np.argsort(-best, kind="stable")[:most]
-    return {int(f): i for i, f in enumerate(order) if best[f] > 0}
+    return {int(f): i for i, f in enumerate(order) if best[f] > CHI_SQUARE}
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of the largest F1 on out-of-fold predictions, halfway to the next lower prediction; 1/2 without both classes."""
+    """The cut of the largest F1 on out-of-fold predictions, halfway to the next lower one; 1/2 without both classes."""
     if not len(y) or y.min() == y.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][p[order][:-1] == p[order][1:]] = -1  # a cut between equal predictions isn't one
-    i = int(f1.argmax())
+    f = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f[:-1][p[order][:-1] == p[order][1:]] = -1  # a cut between equal predictions isn't one
+    i = int(f.argmax())
     return float(p[order[i]] + (p[order[i + 1]] if i + 1 < len(y) else 0)) / 2
 
 
@@ -170,13 +175,14 @@ def sample_features(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     ys = [f"y{i}" for i in range(len(categories))]
     both = docs.select(F.col(id_col).alias("label_id")).join(known, "label_id").dropDuplicates(["label_id"])
     chosen = both.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "label_id")  # at most ``sample`` rows of numbers
+    texts = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "label_id")  # at most ``sample`` ids and labels
+    texts = texts.select(F.xxhash64("label_id").alias("id"), "t", *ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Features()
         for b in batches:
             found = [np.array(sorted(seen.of(t)), np.int32).tobytes() for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label_id").cast(pa.int64()), *(b.column(y).cast(pa.int32()) for y in ys), pa.array(found, pa.binary())], names=["id", *ys, "f"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(y).cast(pa.int32()) for y in ys), pa.array(found, pa.binary())], names=["id", *ys, "f"])
 
     got = texts.mapInArrow(run, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").dropDuplicates(["id"]).toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
