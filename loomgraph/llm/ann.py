@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from .shared import written
 
 SAMPLE, BIN = 12_000, 8_192
+TARGET = 0.97  # share of true neighbours on held-out sample queries that the probed parts must hold
 
 
 # --- fitting -----------------------------------------------------------------------------------------------------
@@ -134,7 +135,7 @@ def fit_classifier(x: np.ndarray, soft: np.ndarray, hidden: int = 128, epochs: i
     return Router(mean, scale, *(q.astype(np.float64) for q in p))
 
 
-def fit(x: np.ndarray, parts: int, k: int = 20, target: float = 0.97, seed: int = 7) -> Router:
+def fit(x: np.ndarray, parts: int, k: int = 20, target: float = TARGET, seed: int = 7) -> Router:
     """A router for the sample; a tenth of it is held out to choose the number of parts a query looks at."""
     rng = np.random.default_rng(seed)
     if len(x) < 4 * parts or parts < 2:
@@ -217,7 +218,7 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b, optimize=False)
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rows_per_part: int = 600, most_parts: int = 256, sample: int = SAMPLE, bin_rows: int = BIN, target: float = 0.95) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rows_per_part: int = 600, most_parts: int = 256, sample: int = SAMPLE, bin_rows: int = BIN, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest other rows found, for ids divisible by ``every``.
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length than the most frequent (ties: the longest). Repeated rows (id and vector) count once. Ties

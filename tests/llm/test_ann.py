@@ -59,6 +59,13 @@ def test_routing_looks_at_few_parts():
     assert r.probes < 16 and home.max() < 6 * len(x) / 24
 
 
+def test_search_keeps_the_target_of_the_fit(spark, monkeypatch):
+    seen, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda x, parts, k, target: seen.append(target) or fit(x, parts, k, target))
+    ann.nearest(spark.createDataFrame(clustered(200), "vec_id long, embedding array<float>"))
+    assert seen == [0.97]
+
+
 def test_few_rows_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
