@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -227,32 +227,149 @@ def classify(wb: Workbook) -> dict[str, object]:
     return {"kind": kind, "sheets": sheets, "rows": rows, "id_ratio": ratio, "status": "Verified" if CATALOG in wb.frames else "Candidate" if kind != "Unknown" else "Rejected"}
 
 
+NO_PROSE = ("not found", "none", "n/a", "-")
+PROSE_EDGE = "src string, rel string, dst string, src_class string, dst_class string, evidence string, flow string, source string, ord struct<sheet:int,row:bigint,nth:int>, how int"
+
+
+def plain_text(value: Column) -> Column:
+    """Without what is in brackets, trimmed, in small letters."""
+    return F.lower(F.regexp_replace(F.regexp_replace(value, r"\(.*?\)", ""), r"^\s+|\s+$", ""))
+
+
+def prose_parts(wb: Workbook, s: Sheet, column: str) -> DataFrame:
+    """(pk, evidence, row, nth, core): the parts of a column's cells, at ; , or /."""
+    evidence = quoted(s.evidence).cast("string") if s.evidence else F.lit(None).cast("string")
+    rows = wb.rows(s.name).select(quoted(s.pk).cast("string").alias("pk"), evidence.alias("evidence"), F.col(ORD).alias("row"), F.posexplode(F.split(quoted(column).cast("string"), "[;,/]")).alias("nth", "part"))
+    return rows.select("pk", "evidence", "row", "nth", plain_text(F.col("part")).alias("core")).where("core <> ''")
+
+
+def prose_target(wb: Workbook, header: str) -> Sheet | None:
+    """The first owner whose title holds a word of the header, of four letters or more, with or without an s at its end."""
+    words = [w for w in re.split(r"[^a-z]+", header.lower()) if len(w) > 3]
+    return next((o for o in wb.owners() if any(w in o.name.lower() or w.rstrip("s") in o.name.lower() for w in words)), None)
+
+
+def is_prose(wb: Workbook, s: Sheet, column: str) -> bool:
+    """Whether fewer than half of a column's first 20 values look like identifiers."""
+    values = [r[0] for r in wb.rows(s.name).where(quoted(column).isNotNull()).orderBy(ORD).select(quoted(column).cast("string")).limit(20).collect()]
+    return bool(values) and sum(bool(re.match(S.ID_START, v)) for v in values) < max(1, len(values) // 2)
+
+
+def grams(text: Column, n: int) -> Column:
+    """Distinct pieces of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def first_match(rows: DataFrame, how: int) -> DataFrame:
+    """(core, dst, how): the first name of each text in entity order."""
+    return rows.groupBy("core").agg(F.min_by("dst", "ord").alias("dst")).select("core", "dst", F.lit(how).alias("how"))
+
+
+def contained(cores: DataFrame, names: DataFrame) -> DataFrame:
+    """(core, dst, ord): names of at least five characters that are within a text or hold it.
+
+    The shorter of the two has all its pieces of five characters in the longer one, so they meet at its rarest piece
+    alone. Texts of up to four characters meet the first name that holds them.
+    """
+    names = names.where(F.length("name") >= 5)
+    pieces = names.select("name", "dst", "ord", F.explode(grams(F.col("name"), 5)).alias("g"))
+    often = pieces.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = F.min_by("g", F.struct("n", "g")).alias("g")
+    own = pieces.join(often, "g").groupBy("name", "dst", "ord").agg(rarest)
+    core_pieces = cores.select("core", F.explode(grams(F.col("core"), 5)).alias("g"))
+    inside = core_pieces.join(own, "g").where(F.col("core").contains(F.col("name")))
+    known = core_pieces.join(often, "g", "left").groupBy("core").agg(rarest, F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0")
+    around = known.join(pieces, "g").where(F.col("name").contains(F.col("core")))
+    short = names.select("dst", "ord", F.explode(F.flatten(F.array(*(grams(F.col("name"), n) for n in range(1, 5))))).alias("core"))
+    short = short.groupBy("core").agg(F.min_by("dst", "ord").alias("dst"), F.min("ord").alias("ord")).join(cores, "core")
+    return inside.select("core", "dst", "ord").unionByName(around.select("core", "dst", "ord")).unionByName(short.select("core", "dst", "ord"))
+
+
+def words_of(text: Column, split: str) -> Column:
+    return F.array_distinct(F.filter(F.split(text, split), lambda w: F.length(w) > 3))
+
+
+def shared_words(cores: DataFrame, names: DataFrame) -> DataFrame:
+    """(core, dst, ord): names that share two words of four or more letters with a text.
+
+    Two sets that share two words also share one without each set's most frequent word, and meet at it.
+    """
+    names = names.select("name", "dst", "ord", words_of(F.col("name"), "[^a-z0-9]+").alias("name_words"))
+    cores = cores.select("core", words_of(F.col("core"), "[^a-z0-9_.]+").alias("core_words"))
+    often = names.select(F.explode("name_words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rare(df: DataFrame, key: str, words: str) -> DataFrame:
+        ordered = df.select(key, F.explode(words).alias("w")).join(often, "w").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("ws"))
+        return ordered.select(key, F.explode(F.slice("ws", F.lit(1), F.size("ws") - 1)).alias("x")).select(key, F.col("x.w").alias("w"))
+
+    met = rare(cores, "core", "core_words").join(rare(names, "name", "name_words"), "w").select("core", "name").distinct()
+    return met.join(cores, "core").join(names, "name").where(F.size(F.array_intersect("core_words", "name_words")) >= 2).select("core", "dst", "ord")
+
+
+def match_prose(cores: DataFrame, names: DataFrame) -> DataFrame:
+    """(core, dst, how) of distinct texts and names (name, dst, ord): equal (0), one within the other (1), two shared words (2).
+
+    An equal word of five or more letters, a stage of its own in the specification, is a name within the text already.
+    """
+    equal = first_match(cores.join(names, F.col("core") == F.col("name")), 0)
+    rest = cores.join(equal, "core", "left_anti")
+    inside = first_match(contained(rest, names), 1)
+    words = first_match(shared_words(rest.join(inside, "core", "left_anti"), names), 2)
+    return equal.unionByName(inside).unionByName(words)
+
+
+def secondary_targets(wb: Workbook, header: str, primary: Sheet, names: DataFrame) -> list[str]:
+    """Other registries whose names a column's texts equal, of those that the primary target doesn't have: at least three, and half of the most."""
+    first = names.groupBy("name").agg(F.min_by("class", "ord").alias("class"))
+    have = names.where(F.col("class") == primary.name).select(F.col("name").alias("core"))
+    landed = None
+    for s in wb.owners():
+        if header in wb.header(s.name):
+            part = prose_parts(wb, s, header).select("core", F.struct(F.lit(s.ix).alias("sheet"), "row", "nth").alias("at"))
+            landed = part if landed is None else landed.unionByName(part)
+    landed = landed.join(have, "core", "left_anti").join(first, F.col("core") == F.col("name")).where(F.col("class") != primary.name)
+    rows = landed.groupBy("class").agg(F.count("*").alias("n"), F.min("at").alias("at")).orderBy(F.desc("n"), "at").collect()  # a row a sheet
+    return [r["class"] for r in rows if r["n"] >= max(3, rows[0]["n"] * 0.5)]
+
+
+def match_secondary(cores: DataFrame, names: DataFrame, targets: list[str]) -> DataFrame:
+    """(core, dst, how = 3): the first target that has a text as a name, or else one of its words of five or more letters."""
+    words = F.filter(F.split("core", "[^a-z0-9_.]+"), lambda w: F.length(w) >= 5)
+    keys = cores.select("core", F.posexplode(F.concat(F.array("core"), words)).alias("pos", "name"))
+    rank = F.create_map(*(x for i, t in enumerate(targets) for x in (F.lit(t), F.lit(i))))
+    found = keys.join(names.where(F.col("class").isin(targets)), "name").select("core", "dst", F.struct(rank[F.col("class")].alias("k"), "pos").alias("ord"))
+    return first_match(found, 3)
+
+
 def prose_edges(wb: Workbook, ents: DataFrame) -> DataFrame:
-    """(src, rel, dst, how) from plain columns whose header shares a word with another registry's title.
+    """Edges with ``how`` from columns that are no links and whose header shares a word with another registry's title.
 
-    Each part of a cell (at ; , or /) is matched against that registry's names: equal, or containing a name of at least
-    five letters; the first match in that order, then in entity order, is taken. Equal names meet by a join on the name;
-    contained ones by the words of the part, so that no cell is compared with every name.
+    Each part of a cell is matched against that registry's names by match_prose, and where nothing matches, against the
+    column's secondary targets. Equal texts are matched once. No cell is compared with every name.
     """
-    out = wb.spark.createDataFrame([], "src string, rel string, dst string, how int")
-    words = lambda t: {w for w in re.findall(r"[a-z]+", t.lower()) if len(w) > 3} - {"registry"}
+    out = wb.spark.createDataFrame([], PROSE_EDGE)
+    name = F.regexp_replace(F.lower("name"), r"^\s+|\s+$", "")
+    names = ents.select("class", name.alias("name"), F.col("node_key").alias("dst"), "ord").where("name <> ''")
+    names = names.groupBy("class", "name").agg(F.min_by("dst", "ord").alias("dst"), F.min("ord").alias("ord"))
+    ends = ents.select(F.col("node_key").alias("dst"), F.col("class").alias("dst_class"))
+    secondary: dict[tuple[str, str], list[str]] = {}
     for s in wb.owners():
-        skip = {s.pk, s.label, s.evidence, *(x.column for x in s.links)}
-        for c in wb.header(s.name):
-            target = next((o for o in wb.owners() if o.name != s.name and words(c) & words(o.name)), None)
-            if c in skip or target is None:
+        skip = {s.pk, s.evidence, wb.header(s.name)[0], *(x.column for x in s.links)}
+        for i, c in enumerate(wb.header(s.name)):
+            target = prose_target(wb, c)
+            if c in skip or "evidence" in c.lower() or target is None or target.name == s.name or not is_prose(wb, s, c):
                 continue
-            parts = wb.rows(s.name).select(quoted(s.pk).cast("string").alias("pk"), F.explode(F.split(F.regexp_replace(quoted(c).cast("string"), r"\(.*?\)", ""), "[;,/]")).alias("part"))
-            parts = parts.select("pk", F.lower(F.trim("part")).alias("part")).where("part <> ''")
-            names = ents.where((F.col("class") == target.name) & F.col("name").isNotNull()).select(F.lower("name").alias("name"), F.col("node_key").alias("dst"), "ord")
-            equal = parts.join(names, parts["part"] == names["name"]).select("pk", "part", "dst", "ord", F.lit(0).alias("how"))
-            by_word = names.where(F.length("name") >= 5).select("name", "dst", "ord", F.element_at(F.split("name", r"\s+"), 1).alias("w"))
-            part_words = parts.select("pk", "part", F.explode(F.array_distinct(F.split("part", r"\s+"))).alias("w"))
-            inside = part_words.join(by_word, "w").where(F.col("part").contains(F.col("name"))).select("pk", "part", "dst", "ord", F.lit(1).alias("how"))
-            w = Window.partitionBy("pk", "part").orderBy("how", "ord")
-            best = equal.unionByName(inside).withColumn("r", F.row_number().over(w)).where("r = 1")
+            parts = prose_parts(wb, s, c)
+            cores = parts.where(~F.col("core").isin(*NO_PROSE)).select("core").distinct()
+            best = match_prose(cores, names.where(F.col("class") == target.name).drop("class"))
+            if (c, target.name) not in secondary:
+                secondary[c, target.name] = secondary_targets(wb, c, target, names)
+            if more := secondary[c, target.name]:
+                best = best.unionByName(match_secondary(cores.join(best, "core", "left_anti"), names, more))
             mine = ents.where(F.col("class") == s.name).select("pk", F.col("node_key").alias("src"))
-            out = out.unionByName(best.join(mine, "pk").where("src <> dst").select("src", F.lit(S.relation_slug(c)).alias("rel"), "dst", "how"))
+            found = parts.join(best, "core").join(mine, "pk").where("src <> dst").join(ends, "dst")
+            at = F.struct(F.lit(len(wb.catalog) + s.ix).alias("sheet"), F.col("row").alias("row"), (F.lit(i * 1000) + F.col("nth")).alias("nth"))
+            out = out.unionByName(found.select("src", F.lit(S.relation_slug(c)).alias("rel"), "dst", F.lit(s.name).alias("src_class"), "dst_class", "evidence", F.lit(None).cast("string").alias("flow"), F.lit("inferred").alias("source"), at.alias("ord"), "how"))
     return out
 
 

@@ -17,6 +17,7 @@ from loomgraph.functions import scalars as S
 from loomgraph.sources.workbook import ORD, Workbook
 from loomgraph.storage import written
 
+from . import discovery
 from .identity import quoted
 
 EDGE = ["src", "rel", "dst", "src_class", "dst_class", "evidence", "flow", "source", "ord"]
@@ -69,8 +70,8 @@ def relationship_edges(wb: Workbook, ents: DataFrame) -> DataFrame:
 
 
 def edges(wb: Workbook, ents: DataFrame) -> DataFrame:
-    """Relationship-sheet edges, then link edges; duplicates stay."""
-    return relationship_edges(wb, ents).unionByName(link_edges(wb, ents))
+    """Relationship-sheet edges, then link edges, then prose edges; duplicates stay."""
+    return relationship_edges(wb, ents).unionByName(link_edges(wb, ents)).unionByName(discovery.prose_edges(wb, ents).select(*EDGE))
 
 
 def _no_edges(wb: Workbook) -> DataFrame:
