@@ -653,6 +653,14 @@ def fk_overlap(spark, d):
     return discovery.fk_overlap(few, KEYS).where(F.col("col").isin("n_regionkey", "c_nationkey", "s_nationkey"))
 
 
+@query()
+def fk_overlap_all(spark, d):
+    """All sheets, detected keys and columns; fk_overlap keeps to what its SQL twin covers."""
+    wb = engine(spark, d).wb
+    keys = {r["sheet"]: r["col"] for r in discovery.detect_pks(discovery.profile(wb)).collect()}  # a row a sheet
+    return discovery.fk_overlap(wb, keys)
+
+
 @query("""
 WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders),
 v AS (SELECT 'o_orderstatus' AS col, o_orderstatus AS value, min(o_orderkey) AS seen FROM o GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, min(o_orderkey) FROM o GROUP BY 2)

@@ -35,6 +35,21 @@ def test_query(spark, name):
     assert got == rows(con.sql(f"SELECT {quoted} FROM ({queries.ORACLES[name]})").fetchall())
 
 
+def test_fk_overlap_of_all_sheets(spark):
+    values = {}
+    for r in queries.engine(spark, SMALL).wb.cells().collect():
+        values.setdefault((r["sheet"], r["col"]), set()).add(r["value"])
+    want = {}
+    for (s, c), mine in values.items():
+        for sheet in queries.CATALOG:
+            share = len(mine & values[sheet.name, sheet.pk]) / len(mine)
+            own = next(x for x in queries.CATALOG if x.name == s).pk
+            if s != sheet.name and c != own and (share >= 0.5 or (sheet.name[:8] in c and share >= 0.3)):
+                want[s, c, sheet.name] = share
+    got = {(r["sheet"], r["col"], r["target"]): r["overlap"] for r in queries.QUERIES["fk_overlap_all"](spark, SMALL).collect()}
+    assert got == pytest.approx(want, abs=1e-4) and ("orders", "o_custkey", "customer") in got
+
+
 def test_flagship(spark):
     import __spark_entry__
 
