@@ -64,14 +64,18 @@ def singular(word: str) -> str:
 
 
 def typo_ratio(column: Column, token: str) -> Column:
-    """Ratcliff-Obershelp similarity to a token, in Arrow batches; null where lengths already rule out 0.8."""
+    """The largest Ratcliff-Obershelp similarity of a token to a text or to one of its words of three or more letters, in
+    Arrow batches; null where lengths already rule out 0.8."""
     low = token.lower()
 
     @F.pandas_udf("double")
     def ratio(values: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return values.map(lambda v: None if v is None else SequenceMatcher(None, v.lower(), low).ratio())
+        def best(text: str) -> float:
+            return max(SequenceMatcher(None, low, x).ratio() for x in [text, *(w for w in text.split() if len(w) >= 3)])
 
-    possible = 2.0 * F.least(F.length(column), F.lit(len(low))) / (F.length(column) + len(low)) >= 0.8
-    return F.when(possible, ratio(column))
+        return values.map(lambda v: None if v is None else best(v.lower()))
+
+    possible = lambda n: 2.0 * F.least(n, F.lit(len(low))) / (n + len(low)) >= 0.8
+    return F.when(possible(F.length(column)) | F.exists(F.split(column, r"(?U)\s+"), lambda w: possible(F.length(w))), ratio(column))

@@ -100,14 +100,15 @@ class Resolution:
 def resolve(ents: DataFrame, token: str, promoted: DataFrame | None = None, most: int = 8) -> Resolution:
     """Stages in order, the first with a hit decides: id, Class:name, name, promoted value, part of a name, typo.
 
-    Each stage is a filter that stops at a few rows. Several hits of an exact stage make the token ambiguous.
+    Each stage is a filter that stops at a few rows. Several hits of an exact stage make the token ambiguous. Of typos the
+    closest come first.
     """
     t = token.strip()
     low = t.lower()
     shown = ["node_key", "class", "pk", "name", "canonical"]
 
-    def probe(df: DataFrame, n: int = most + 1) -> list[dict]:
-        return [r.asDict() for r in df.orderBy("ord").select(*shown).limit(n).collect()]
+    def probe(df: DataFrame, n: int = most + 1, by: tuple = ()) -> list[dict]:
+        return [r.asDict() for r in df.orderBy(*by, "ord").select(*shown).limit(n).collect()]
 
     if found := probe(ents.where((F.col("pk") == t) | (F.col("node_key") == t) | (F.col("canonical") == t))):
         return Resolution("id" if len(found) == 1 else "ambiguous_id", found[:most])
@@ -127,7 +128,7 @@ def resolve(ents: DataFrame, token: str, promoted: DataFrame | None = None, most
         return Resolution("fuzzy", found)
     if len(low) >= 3:
         close = F.greatest(S.typo_ratio(F.col("name"), t), S.typo_ratio(F.col("pk"), t))
-        if found := probe(ents.where(F.col("name").isNotNull()).withColumn("ratio", close).where("ratio >= 0.8"), most):
+        if found := probe(ents.where(F.col("name").isNotNull()).withColumn("ratio", close).where("ratio >= 0.8"), most, (F.desc("ratio"),)):
             return Resolution("typo", found)
     return Resolution("unresolved", [])
 

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import deque
+from difflib import SequenceMatcher
 
 import pytest
 
@@ -63,6 +64,18 @@ def test_resolution_stages(robot, spark):
     assert e.edges.count() == 0
 
 
+def test_typos_by_word_and_by_ratio(spark):
+    names = [f"customer#0000000{i:02}" for i in range(15)] + ["left shoulder bracket", "it"]
+    e = Engine.from_rows(spark, {"Registry Catalog": CATALOG + [owner("Part Registry", "PT")], "Part Registry": [["Part ID", "Name"], *([f"PT-{i}", n] for i, n in enumerate(names))]})
+    found = e.resolve("shuolder")
+    assert (found.how, [x["pk"] for x in found.found]) == ("typo", ["PT-15"])
+    found = e.resolve("custmer#000000014")
+    ratio = [max(SequenceMatcher(None, "custmer#000000014", w).ratio() for w in [n, *n.split()]) for n in names]
+    want = sorted((i for i, x in enumerate(ratio) if x >= 0.8), key=lambda i: (-ratio[i], i))
+    assert len(want) == 15 and want[0] == 14
+    assert (found.how, [x["pk"] for x in found.found]) == ("typo", [f"PT-{i}" for i in want[:8]])
+
+
 def test_numeric_and_colliding_keys(spark):
     rows = {"Registry Catalog": CATALOG + [owner("Alpha Registry", "A"), owner("Beta Registry", "B", "Alpha → Alpha Registry")], "Alpha Registry": [["Alpha ID", "Name"], [1, "AlphaOne"], [2, "AlphaTwo"]], "Beta Registry": [["Beta ID", "Name", "Alpha (FK)"], [1, "BetaOne", 2], [2, "BetaTwo", 9], [3, "BetaThree", "1;2"]]}
     e = Engine.from_rows(spark, rows)
