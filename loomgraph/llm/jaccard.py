@@ -21,6 +21,7 @@ only part that grows faster than the input, if such a group does.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -139,15 +140,18 @@ def signed(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int)
 # --- connected components ----------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for all nodes of (u, v) long edges, root the least node of the component.
 
     Alternating large and small stars on a table that is written each round; the number of edges never grows. Least
-    neighbours come from an aggregate with partial sums, so a node of many edges is no task of its own.
+    neighbours come from an aggregate with partial sums, so a node of many edges is no task of its own. Rounds go on until
+    the edges no longer change; an error is raised if a given number of rounds isn't enough to see that.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that both sides of the join are plain exchanges, of which Spark splits those of a hub
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")

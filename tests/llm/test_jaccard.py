@@ -118,6 +118,12 @@ def test_components(spark, n):
     assert got == want
 
 
+def test_components_that_have_not_settled(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(25)], "u long, v long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        jaccard.components(path, rounds=2)
+
+
 def test_one_of_each(spark):
     rows = corpus() + [(None, "lonely null"), (None, "lonely null"), (0, corpus()[0][1]), (4, corpus()[0][1])]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, near_keep int")
