@@ -105,5 +105,5 @@ def observe(wb: Workbook, value: str) -> dict[str, object]:
     hits = wb.cells().where(F.col("value") == value)
     r = hits.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("sheet")).alias("sheets"), F.array_sort(F.collect_set("col")).alias("columns"), F.countDistinct("sheet", "row").alias("rows")).first()
     files = wb.cells().join(hits.select("sheet", "row").distinct(), ["sheet", "row"], "left_semi").select(F.explode(F.regexp_extract_all("value", F.lit(r"[\w./]+\.py:\d+"), F.lit(0))).alias("f")).distinct()
-    found = {"occurrences": r["n"], "sheets": r["sheets"], "columns": r["columns"], "rows": r["rows"], "files": sorted(x["f"] for x in files.limit(1000).collect())}
+    found = {"occurrences": r["n"], "sheets": r["sheets"], "columns": r["columns"], "rows": r["rows"], "files": sorted(x["f"] for x in files.collect())}
     return {k: v or "UNKNOWN" for k, v in found.items()}

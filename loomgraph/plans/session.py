@@ -59,7 +59,7 @@ class Engine:
             for w in {s.name, s.name.removesuffix(" Registry"), s.entity or s.name}:
                 for form in {w.lower(), w.lower() + "s", S.singular(w)}:
                     v.add(form, s.name, "registry", "workbook")
-        for r in self.edges.select("rel").distinct().orderBy("rel").limit(10_000).collect():
+        for r in self.edges.select("rel").distinct().orderBy("rel").collect():
             v.add(r["rel"].replace("_", " "), r["rel"], "relation", "workbook", 0.5)
         return v
 

@@ -268,6 +268,14 @@ def test_exploring(robot):
     assert [r["path"] for r in robot.discover_relation("JNT-1", "controller").collect()] == ["actuator -> controller"]
 
 
+def test_all_files_and_relations(spark):
+    rel = [["Source (FK)", "Relation", "Target (FK)", "Evidence"], *(["JNT-1", f"r{i}", "ACT-1", f"f{i}.py:1"] for i in range(10_001))]
+    cat = [*ROBOT["Registry Catalog"][0], "Rel-Provider"]
+    e = Engine.from_rows(spark, ROBOT | {"Registry Catalog": [cat, *([*r, ""] for r in ROBOT["Registry Catalog"][1:]), ["Relationships", "Reference", "REL", "", "", "yes"]], "Relationships": rel})
+    assert len(e.observe("ACT-1")["files"]) == 10_004
+    assert all(e.vocabulary.candidates(f"r{i}") for i in range(10_001))
+
+
 def test_requests(robot):
     c = language.request_class
     assert [c("trace x"), c("which command runs"), c("stages of x"), c("find orphan rows"), c("why x"), c("what uses x"), c("x"), c("x", "trace")] == ["Q-03", "Q-05", "Q-04", "Q-07", "Q-08", "Q-02", "Q-01", "Q-03"]
