@@ -593,6 +593,12 @@ def promotion_candidates(spark, d):
     return engine(spark, d).promoted.where("col = 'c_mktsegment'")
 
 
+@query()
+def promotion_candidates_all(spark, d):
+    """All sheets and columns; promotion_candidates keeps to what its SQL twin covers."""
+    return engine(spark, d).promoted
+
+
 @query("SELECT 'customer' AS registry, CAST(c_custkey AS VARCHAR) AS pk FROM customer WHERE c_mktsegment = 'BUILDING'", False)
 def promotion_members(spark, d):
     return derive.promotion_members(engine(spark, d).wb, "c_mktsegment", "BUILDING")
@@ -745,6 +751,12 @@ def structural_features(spark, d):
     return discovery.features(Workbook(spark, {s: wb.frames[s] for s in ("region", "nation")}))
 
 
+@query()
+def structural_features_all(spark, d):
+    """All sheets; structural_features keeps to what its SQL twin covers."""
+    return discovery.features(engine(spark, d).wb)
+
+
 @query("SELECT 'resolved' AS outcome, count(*) AS n FROM customer", False)
 def canonicalization_report(spark, d):
     e = engine(spark, d)
@@ -761,6 +773,12 @@ def column_profile(spark, d):
     return discovery.profile(engine(spark, d).wb, ["nation"]).select("sheet", "col", "n", "d")
 
 
+@query()
+def column_profile_all(spark, d):
+    """All sheets; column_profile keeps to what its SQL twin covers."""
+    return discovery.profile(engine(spark, d).wb).select("sheet", "col", "n", "d")
+
+
 @query("SELECT col, CASE WHEN col IN ('o_orderstatus', 'o_orderpriority') THEN 'dimension' ELSE 'measure' END AS role FROM (VALUES ('o_orderkey'),('o_custkey'),('o_orderstatus'),('o_totalprice'),('o_orderdate'),('o_orderpriority')) AS t(col)", False)
 def tabular_roles(spark, d):
     return discovery.column_roles(engine(spark, d).wb, "orders").select("col", "role")

@@ -50,6 +50,21 @@ def test_fk_overlap_of_all_sheets(spark):
     assert got == pytest.approx(want, abs=1e-4) and ("orders", "o_custkey", "customer") in got
 
 
+def test_profile_features_and_promotion_of_all_sheets(spark):
+    wb, values = queries.engine(spark, SMALL).wb, {}
+    for r in wb.cells().collect():
+        values.setdefault((r["sheet"], r["col"]), []).append(r["value"])
+    rows = {s.name: wb.frame(s.name).count() for s in queries.CATALOG}
+    want = {k: (rows[k[0]], len(set(v))) for k, v in values.items()}
+    assert {(r["sheet"], r["col"]): (r["n"], r["d"]) for r in queries.QUERIES["column_profile_all"](spark, SMALL).collect()} == want
+    found = queries.QUERIES["structural_features_all"](spark, SMALL).collect()
+    assert {r["sheet"] for r in found if r["feature"] == "primary_key"} == {s.name for s in queries.CATALOG}
+    assert ("orders", "status") in {(r["sheet"], r["feature"]) for r in found}
+    promoted = queries.QUERIES["promotion_candidates_all"](spark, SMALL).collect()
+    assert {"customer", "orders"} <= {r["registry"] for r in promoted}
+    assert all(r["members"] == values[r["registry"], r["col"]].count(r["value"]) for r in promoted)
+
+
 def test_flagship(spark):
     import __spark_entry__
 
