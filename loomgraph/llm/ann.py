@@ -2,16 +2,22 @@
 
 Fit (on a bounded sample, on the driver): the sample's neighbour graph is cut into parts of equal capacity by balanced
 label propagation over its edges, from a balanced start; a small softmax classifier learns to tell a vector's part from
-the vector, with the parts of its neighbours as soft labels. The number of parts that a query looks at is the least
-whose measured recall on held-out sample queries reaches the target.
+the vector, with the parts of its neighbours as soft labels. There are about sqrt(n) parts for n distinct vectors (at most
+``most_parts``), whatever n is: no table is searched without routing.
 
-Index: every vector goes to the part that the classifier finds most probable. Search: a query goes to its several most
-probable parts, where it is ranked against every vector by the inner product in double precision.
+Routing: a query looks at its most probable parts until their probabilities add up to a mass that is chosen on held-out
+sample queries, as the least whose measured recall reaches the target. So a query that the classifier is sure of looks at
+few parts. A query always looks at enough parts to find k rows.
+
+Index: every vector goes to the part that the classifier finds most probable, once. Search: a query is ranked against every
+vector of its parts by the inner product in double precision.
 
 Equal vectors are searched once: of a vector's copies only the smallest ids can be among the nearest, and equal queries
 share one search. Small parts are searched together in bins, so that a query has one partial result a bin, and large parts are
-cut into several bins by a hash, so that no task holds more than a bin and a block of queries. The sample size is a
-documented bound (``sample``), as is the size of bins; there is no cap on candidates.
+cut into several bins by a hash. A bin's queries are cut into blocks of a bounded size, so that no task holds more than a
+bin and a block; a bin is copied once for each full block of queries that are routed to it, so that what is exchanged follows the
+number of routed queries. The sample is a documented bound (``sample`` rows, or 48 a part if that is more, at most 196,608);
+there is no cap on candidates. ``exact`` looks at all parts.
 """
 
 from __future__ import annotations
@@ -25,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import small, written
 
-SAMPLE, BIN = 12_000, 8_192
-TARGET = 0.97  # share of true neighbours on held-out sample queries that the probed parts must hold
+SAMPLE, BIN, MOST_PARTS = 12_000, 8_192, 4_096
+TARGET = 0.93  # share of true neighbours on held-out sample queries that the probed parts must hold
 
 
 # --- fitting -----------------------------------------------------------------------------------------------------
@@ -36,11 +42,13 @@ TARGET = 0.97  # share of true neighbours on held-out sample queries that the pr
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k rows of largest inner product of each row, without itself."""
+    x = x.astype(np.float32)
     out = np.empty((len(x), k), np.int64)
-    for i in range(0, len(x), 1000):
-        s = x[i : i + 1000] @ x.T
+    step = max(1, min(1000, (1 << 24) // len(x)))
+    for i in range(0, len(x), step):
+        s = x[i : i + step] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out[i : i + 1000] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[i : i + step] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -68,12 +76,18 @@ def balanced_partition(graph: np.ndarray, start: np.ndarray, parts: int, slack:
     """Moves nodes to the part that holds most of their neighbours, best gains first, while that part has room."""
     n, label = len(graph), start.copy()
     room = int(np.ceil(n / parts * (1 + slack)))
+    ends = np.concatenate([np.repeat(np.arange(n), graph.shape[1]), graph.ravel()])
+    others = np.concatenate([graph.ravel(), np.repeat(np.arange(n), graph.shape[1])])
     for _ in range(rounds):
-        votes = np.zeros((n, parts), np.int32)
-        np.add.at(votes, (np.repeat(np.arange(n), graph.shape[1]), label[graph.ravel()]), 1)
-        np.add.at(votes, (graph.ravel(), np.repeat(label, graph.shape[1])), 1)
-        want = votes.argmax(1)
-        gain = votes[np.arange(n), want] - votes[np.arange(n), label]
+        # a node's votes are counted for the parts that its neighbours are in, not for all parts
+        pairs, votes = np.unique(ends * parts + label[others], return_counts=True)
+        node, part = pairs // parts, pairs % parts
+        order = np.lexsort((part, -votes, node))
+        best = order[np.r_[True, node[order][1:] != node[order][:-1]]]
+        want, gain = label.copy(), np.zeros(n, np.int64)
+        want[node[best]], gain[node[best]] = part[best], votes[best]
+        own = np.flatnonzero(part == label[node])
+        gain[node[own]] -= votes[own]
         sizes, moved = np.bincount(label, minlength=parts), 0
         for i in np.argsort(-gain, kind="stable"):
             if gain[i] <= 0:
@@ -98,30 +112,50 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int = 1
+    mass: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         h = np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0)
         return h @ self.w2 + self.b2
 
-    def best(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n most probable parts of each row, ties to the smaller part."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :n]
-
-
-def fit_classifier(x: np.ndarray, soft: np.ndarray, hidden: int = 128, epochs: int = 30, seed: int = 7) -> Router:
-    """Adam on cross entropy with soft labels, in minibatches; float32."""
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each row, ties to the smaller part."""
+        return np.concatenate([self.logits(x[i : i + 2000]).argmax(1) for i in range(0, len(x), 2000)]) if len(x) else np.zeros(0, np.int64)
+
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All parts of each row, the most probable first, and the probability of the parts before each."""
+        o = self.logits(x)
+        p = np.exp(o - o.max(1, keepdims=True))
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p / p.sum(1, keepdims=True), order, 1)
+        return order, np.cumsum(p, axis=1) - p
+
+    def routes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The parts that each row looks at: those of the mass, and more until they hold ``least`` rows."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(x), 2000):
+            order, before = self.ranked(x[i : i + 2000])
+            held = np.cumsum(sizes[order], axis=1) - sizes[order]
+            take = (before < self.mass) | (held < least)
+            out += [o[t] for o, t in zip(order, take, strict=True)]
+        return out
+
+
+def fit_classifier(x: np.ndarray, labels: np.ndarray, parts: int, hidden: int = 128, epochs: int = 30, seed: int = 7) -> Router:
+    """Adam on cross entropy with soft labels, a row's being the shares of its label list, in minibatches; float32."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = ((x - mean) / scale).astype(np.float32)
-    shapes = [(x.shape[1], hidden), (hidden,), (hidden, soft.shape[1]), (soft.shape[1],)]
+    shapes = [(x.shape[1], hidden), (hidden,), (hidden, parts), (parts,)]
     p = [(rng.standard_normal(s) * (2 / s[0]) ** 0.5).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in shapes]
     m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
     for epoch in range(epochs):
         rate = 3e-3 * (1 - epoch / epochs)
         order = rng.permutation(len(z))
         for i in range(0, len(z), 256):
-            a, t = z[order[i : i + 256]], soft[order[i : i + 256]]
+            rows = order[i : i + 256]
+            a, t = z[rows], np.zeros((len(rows), parts), np.float32)
+            np.add.at(t, (np.repeat(np.arange(len(rows)), labels.shape[1]), labels[rows].ravel()), 1 / labels.shape[1])
             h = np.maximum(a @ p[0] + p[1], 0)
             o = h @ p[2] + p[3]
             e = np.exp(o - o.max(1, keepdims=True))
@@ -135,34 +169,37 @@ def fit_classifier(x: np.ndarray, soft: np.ndarray, hidden: int = 128, epochs: i
     return Router(mean, scale, *(q.astype(np.float64) for q in p))
 
 
+def parts_for(n: int, most: int = MOST_PARTS) -> int:
+    """About sqrt(n) parts of at least four rows."""
+    return max(1, min(most, round(n**0.5), n // 4))
+
+
 def fit(x: np.ndarray, parts: int, k: int = 20, target: float = TARGET, seed: int = 7) -> Router:
-    """A router for the sample; a tenth of it is held out to choose the number of parts a query looks at."""
+    """A router for the sample; a tenth of it is held out to choose the mass of parts a query looks at."""
     rng = np.random.default_rng(seed)
-    if len(x) < 4 * parts or parts < 2:
-        parts = 1
-    if parts == 1:
-        d = x.shape[1] if x.ndim == 2 else 1
-        return Router(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     held = np.zeros(len(x), bool)
-    held[rng.permutation(len(x))[: max(20, len(x) // 10)]] = True
+    held[rng.permutation(len(x))[: max(2, len(x) // 10)]] = True
     base = x[~held]
+    parts = max(1, min(parts, len(base) // 2))
     near = min(k, len(base) - 1)
-    graph = neighbour_graph(base, min(10, near))
+    if parts < 2 or near < 1:  # fewer than some eight vectors
+        d = x.shape[1] if x.ndim == 2 else 1
+        return Router(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    graph = neighbour_graph(base, min(20, near))
     label = balanced_partition(graph, balanced_start(base, parts), parts)
-    soft = np.zeros((len(base), parts), np.float32)
-    np.add.at(soft, (np.repeat(np.arange(len(base)), graph.shape[1]), label[graph.ravel()]), 1)
-    soft[np.arange(len(base)), label] += 1
-    router = fit_classifier(base, soft / soft.sum(1, keepdims=True), seed=seed)
-    home = router.best(base, 1)[:, 0]
+    router = fit_classifier(base, np.column_stack([label, label[graph]]), parts, seed=seed)
+    home = router.home(base)
+    # the mass before a true neighbour's part: beyond which share of them do queries have to look?
+    before = []
     queries = x[held]
-    true = np.argpartition(-(queries @ base.T), near - 1, axis=1)[:, :near]
-    order = router.best(queries, parts)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(parts), order.shape), 1)
-    reached = np.take_along_axis(place, home[true], 1).ravel()
-    recall = np.cumsum(np.bincount(reached, minlength=parts)) / reached.size
-    router.probes = int(np.searchsorted(recall, target) + 1) if recall[-1] >= target else parts
-    router.probes = min(parts, router.probes)
+    for i in range(0, len(queries), 500):
+        q = queries[i : i + 500]
+        true = np.argpartition(-(q @ base.T), near - 1, axis=1)[:, :near]
+        order, ahead = router.ranked(q)
+        by_part = np.empty_like(ahead)
+        np.put_along_axis(by_part, order, ahead, 1)
+        before.append(np.take_along_axis(by_part, home[true], 1).ravel())
+    router.mass = float(np.nextafter(np.quantile(np.concatenate(before), target, method="higher"), 2.0))
     return router
 
 
@@ -194,11 +231,14 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
     """The k best candidates of each query within one bin, among those of the parts that the query is routed to."""
     kept: list[tuple] = []
     q_all, q_ids = matrix(queries["v"]), queries["query"].to_numpy(np.int64)
-    probed = queries["parts"].map(set).to_numpy()
+    asked = queries["parts"].map(len).to_numpy(np.int64)
+    flat, asker = (np.concatenate(queries["parts"].tolist()) if len(queries) else np.zeros(0, int)), np.repeat(np.arange(len(queries)), asked)
+    order = np.argsort(flat, kind="stable")
+    flat, asker = flat[order], asker[order]
     x_all, ids_all, part_of = matrix(candidates["v"]), candidates["vec_id"].to_numpy(np.int64), candidates["part"].to_numpy()
     for part in np.unique(part_of):
         rows = np.flatnonzero(part_of == part)
-        asks = np.array([i for i, p in enumerate(probed) if part in p], np.int64)
+        asks = asker[slice(*np.searchsorted(flat, [part, part + 1]))]
         x, ids = x_all[rows], ids_all[rows]
         near = min(k, len(ids))
         for i in range(0, len(asks), 256):
@@ -218,7 +258,7 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b, optimize=False)
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rows_per_part: int = 600, most_parts: int = 256, sample: int = SAMPLE, bin_rows: int = BIN, target: float = TARGET) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, most_parts: int = MOST_PARTS, sample: int = SAMPLE, bin_rows: int = BIN, target: float = TARGET, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest other rows found, for ids divisible by ``every``.
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length than the most frequent (ties: the longest). Repeated rows (id and vector) count once. Ties
@@ -237,42 +277,53 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     n = distinct.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()["v"]
-    router = fit(matrix(picked), int(min(most_parts, max(1, n // rows_per_part))), k, target)
+    parts = parts_for(n, most_parts)
+    picked = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max(sample, 48 * parts)).select("v").toPandas()["v"]
+    router = fit(matrix(picked), parts, k, target)
+    if exact:
+        router.mass = 2.0
     held = spark.sparkContext.broadcast(vars(router))  # plain arrays: some 128 x most_parts numbers
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Router(**held.value)
         for b in batches:
-            yield b.assign(part=r.best(matrix(b["v"]), 1)[:, 0].astype(np.int32) if len(b) else np.zeros(0, np.int32))
+            yield b.assign(part=r.home(matrix(b["v"])).astype(np.int32))
 
     # a query is a distinct vector that some row with a fitting id holds
     asked = by_vec.where(F.col("vec_id") % every == 0)
     queries = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"), "v")
     queries = written(queries, "ann-queries")
     placed = written(distinct.mapInPandas(homes, "v array<double>, rep long, part int"), "ann-index")
-    bins = bins_of({r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}, bin_rows)  # at most most_parts rows
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most most_parts rows
+    bins = bins_of(sizes, bin_rows)
+    room = np.array([sizes.get(p, 0) for p in range(parts)])
 
-    def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def routes(batches: Iterator[pd.DataFrame], vectors_too: bool = True) -> Iterator[pd.DataFrame]:
         r = Router(**held.value)
         for b in batches:
             rows: list[tuple] = []
-            for i, parts in enumerate(r.best(matrix(b["v"]), r.probes) if len(b) else ()):
+            for i, chosen in enumerate(r.routes(matrix(b["v"]), room, k + 1)):
                 by_bin: dict[int, list[int]] = {}
-                for p in parts.tolist():
+                for p in chosen.tolist():
                     for x in range(*bins.get(p, (0, 0))):
                         by_bin.setdefault(x, []).append(p)
                 rows += [(i, x, ps) for x, ps in by_bin.items()]
-            out = b.iloc[[x[0] for x in rows]]
-            yield out.assign(bin=np.array([x[1] for x in rows], np.int32), parts=[x[2] for x in rows])
-
-    # a bin's queries go in blocks of a bounded size as well; its candidates are repeated for each block
-    blocks = 1 + n // every // bin_rows
-    place = F.create_map(*(F.lit(x) for p, (lo, hi) in bins.items() for x in (p, lo)))
-    chunks = F.create_map(*(F.lit(x) for p, (lo, hi) in bins.items() for x in (p, hi - lo)))
-    placed = placed.select((place[F.col("part")] + F.pmod(F.xxhash64("rep"), chunks[F.col("part")])).cast("int").alias("bin"), "part", F.col("rep").alias("vec_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    sent = queries.dropDuplicates(["query"]).select("query", "v").mapInPandas(routes, "query long, v array<double>, bin int, parts array<int>")
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+            of = np.array([x[1] for x in rows], np.int32)
+            if vectors_too:
+                yield b.iloc[[x[0] for x in rows]].assign(bin=of, parts=[x[2] for x in rows])
+            else:
+                yield pd.DataFrame({"bin": of})
+
+    # a bin's queries go in blocks of a bounded size as well, as many as are routed to it; its candidates are repeated for each
+    distinct_queries = queries.dropDuplicates(["query"]).select("query", "v")
+    routed = distinct_queries.mapInPandas(lambda b: routes(b, False), "bin int").groupBy("bin").count().collect()  # a row a bin
+    blocks = [(r["bin"], -(-r["count"] // bin_rows)) for r in routed]
+    blocks = small(spark.createDataFrame(blocks, "bin int, blocks int"), len(blocks))
+    ranges = small(spark.createDataFrame([(p, lo, hi - lo) for p, (lo, hi) in bins.items()], "part int, lo int, wide int"), len(bins))
+    placed = placed.join(ranges, "part").select((F.col("lo") + F.pmod(F.xxhash64("rep"), F.col("wide"))).cast("int").alias("bin"), "part", F.col("rep").alias("vec_id"), "v")
+    placed = placed.join(blocks, "bin").select("bin", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    sent = distinct_queries.mapInPandas(routes, "query long, v array<double>, bin int, parts array<int>").join(blocks, "bin")
+    sent = sent.select("query", "v", "bin", "parts", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         # one more than k: the query's own vector is among them

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomgraph.llm import ann
 
@@ -34,36 +35,52 @@ def collected(df):
     return out
 
 
-def test_small_table_is_exact(spark):
+def test_exact_mode(spark):
     rows = clustered(300) + [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] + [1.0] * 15), (None, [1.0] * 16), (1080, []), (1100, [1.0, 2.0])]
     rows += [(2000 + i, rows[20][1]) for i in range(45)]  # copies of a vector, some of them queries
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, rank int, part int")
-    got, want = collected(ann.nearest(df)), brute([r for r in rows if r[0] != 1100])
+    got, want = collected(ann.nearest(df, exact=True)), brute([r for r in rows if r[0] != 1100])
     assert set(got) == set(want)
     for q, near in want.items():
         assert [i for i, _ in got[q]] == [i for i, _ in near]
         assert np.allclose([s for _, s in got[q]], [s for _, s in near], rtol=1e-12)
 
 
-def test_recall_over_many_parts(spark):
-    rows = clustered(6000)
-    got, want = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows_per_part=100, sample=3000, bin_rows=50)), brute(rows)
+@pytest.mark.parametrize("n", [300, 6000])
+def test_recall_of_routed_search(spark, n):
+    rows = clustered(n)
+    got, want = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), sample=3000, bin_rows=50)), brute(rows)
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
-    assert set(got) == set(want) and recall >= 0.9
+    assert set(got) == set(want) and recall >= 0.9 and all(len(x) == 20 for x in got.values())
 
 
-def test_routing_looks_at_few_parts():
-    x = np.array([v for _, v in clustered(3000)])
-    r = ann.fit(x, 24)
-    home = np.bincount(r.best(x, 1)[:, 0], minlength=24)
-    assert r.probes < 16 and home.max() < 6 * len(x) / 24
+@pytest.mark.parametrize("n", [400, 3000])
+def test_routing_looks_at_few_parts(n):
+    x = np.array([v for _, v in clustered(n)])
+    r = ann.fit(x, ann.parts_for(n))
+    sizes = np.bincount(r.home(x), minlength=ann.parts_for(n))
+    looked = np.mean([sizes[p].sum() / n for p in r.routes(x[::20], sizes, 21)])
+    assert looked < 0.5 and sizes.max() < 6 * n / len(sizes)
 
 
-def test_search_keeps_the_target_of_the_fit(spark, monkeypatch):
-    seen, fit = [], ann.fit
-    monkeypatch.setattr(ann, "fit", lambda x, parts, k, target: seen.append(target) or fit(x, parts, k, target))
-    ann.nearest(spark.createDataFrame(clustered(200), "vec_id long, embedding array<float>"))
-    assert seen == [0.97]
+def test_routes_hold_enough_rows():
+    x = np.array([v for _, v in clustered(200)])
+    r = ann.fit(x, 14)
+    sizes = np.bincount(r.home(x), minlength=14)
+    r.mass = 0.0
+    assert all(sizes[p].sum() >= 21 for p in r.routes(x, sizes, 21))
+
+
+def test_parts_grow_with_the_table():
+    got = [ann.parts_for(n) for n in (1, 9, 500, 2_000, 51_282, 1_000_000, 10**9)]
+    assert got == [1, 2, 22, 45, 226, 1000, 4096]
+
+
+def test_blocks_follow_the_routed_queries(spark):
+    rows = clustered(2000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    a, b = (collected(ann.nearest(df, every=1, bin_rows=r)) for r in (300, 8192))
+    assert a == b  # several blocks a bin
 
 
 def test_few_rows_and_none(spark):
