@@ -185,7 +185,7 @@ def fit(x: np.ndarray, parts: int, k: int = 20, target: float = TARGET, seed: in
     if parts < 2 or near < 1:  # fewer than some eight vectors
         d = x.shape[1] if x.ndim == 2 else 1
         return Router(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = neighbour_graph(base, min(20, near))
+    graph = neighbour_graph(base, min(20, len(base) - 1))
     label = balanced_partition(graph, balanced_start(base, parts), parts)
     router = fit_classifier(base, np.column_stack([label, label[graph]]), parts, seed=seed)
     home = router.home(base)
@@ -279,7 +279,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     parts = parts_for(n, most_parts)
     picked = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max(sample, 48 * parts)).select("v").toPandas()["v"]
-    router = fit(matrix(picked), parts, k, target)
+    # of a row's k nearest about k * len(picked) / n are in the sample
+    router = fit(matrix(picked), parts, max(5, -(-k * len(picked) // n)), target)
     if exact:
         router.mass = 2.0
     held = spark.sparkContext.broadcast(vars(router))  # plain arrays: some 128 x most_parts numbers

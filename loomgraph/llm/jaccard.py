@@ -6,16 +6,21 @@ documents whose shingle sets have a Jaccard similarity of at least the threshold
 
 1. Classes: documents of equal texts are one class, known by a digest; all later steps work on classes. So a third of all rows
    may be copies of one text.
-2. Forest: a class has ``trees`` MinHash sequences, each a path in a prefix tree. Two classes are candidates where they
-   share a tree's prefix. Prefixes are shortened from ``depth`` until the probability that a pair at the threshold
-   shares at least one reaches the target recall.
-3. Within a prefix, candidates are first compared by their whole signatures (a bound several standard errors below the
-   threshold); what is left joins classes to groups, as connected components of at most one edge a member and block.
-4. Within a group all pairs are verified exactly, in tiles of two blocks of bounded size, as products of 0/1 matrices.
+2. Forest: a class has ``trees`` MinHash sequences of ``depth`` values, each a path in a prefix tree. The tries are kept as
+   sorted prefixes: a node is the hash of (tree, prefix), its members are the classes with that prefix.
+3. Descent from the longest prefixes: at each depth, from ``depth`` on, the classes that still ask are compared by their
+   whole signatures (a bound several standard errors below the threshold) with all members of their nodes. Then a class
+   stops if even the least similar of those it has found would be found at this depth with the target probability; the others
+   shorten their prefixes by one. A class that finds nothing is shortened to ``floor``, the depth at which a pair at the
+   threshold shares a node with the target probability. So crowded prefixes of nearly equal texts are resolved deep in the
+   tries, and only classes with distant or no partners ask for the wider nodes above.
+4. What is found joins classes to groups, the connected components of at most one edge a member and block of a node.
+   Within a node, members that are already joined aren't compared again.
+5. Within a group all pairs are verified exactly, in tiles of two blocks of bounded size, as products of 0/1 matrices.
    A tile returns counts of links a class and a spanning forest of the verified links, never pairs.
-5. Near-duplicate groups are the components of the verified links.
+6. Near-duplicate groups are the components of the verified links.
 
-The work of step 4 is the number of pairs within groups of different but alike texts, by matrix products; it is the
+The work of step 5 is the number of pairs within groups of different but alike texts, by matrix products; it is the
 only part that grows faster than the input, if such a group does.
 """
 
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import fresh, text_or_empty, written
+from .shared import discard, fresh, text_or_empty, written
 
 WORDS, TREES, DEPTH, BLOCK = 5, 24, 8, 512
 _word = re.compile(r"\w+")
@@ -91,13 +96,18 @@ def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-def depth_for(recall: float, threshold: float, trees: int, depth: int) -> int:
-    """The longest prefix, shortened one by one from depth, that a pair at the threshold shares in some tree with this probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def floor_of(recall: float, threshold: float, trees: int, depth: int) -> int:
+    """The longest prefix that a pair at the threshold shares in some tree with this probability, shortened one by one from depth."""
+    while depth > 1 and least_found(recall, trees, depth) > threshold:
         depth -= 1
     return depth
 
 
+def least_found(recall: float, trees: int, depth: int) -> float:
+    """The similarity from which on two classes share a prefix of this depth in some tree with this probability."""
+    return (1 - (1 - recall) ** (1 / trees)) ** (1 / depth)
+
+
 def digest(text: str) -> Column:
     """What tells texts apart (null: empty): 128 bits."""
     return F.unhex(F.md5(text_or_empty(text).cast("binary")))
@@ -159,11 +169,14 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         # small star: a node's lesser neighbours and itself are joined to the least of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if before is not None and tuple(state) == before:
+        new = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        # settled when both tables have the same edges: equal counts, and no edge of the one lacks in the other
+        n = new.count()
+        settled = n == before and new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        discard(edges, least)
+        edges, before = new, n
+        if settled:
             break
-        before = tuple(state)
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -190,16 +203,27 @@ def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 # --- candidates --------------------------------------------------------------------------------------------------
 
 
-def likely(sig_a: np.ndarray, sig_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of which at least so large a share of the signatures agree."""
-    us, vs = [], []
-    step = max(1, (1 << 21) // (len(sig_b) * sig_a.shape[1]))
-    for i in range(0, len(sig_a), step):
-        agree = (sig_a[i : i + step, None, :] == sig_b[None, :, :]).sum(2)
-        a, b = np.nonzero(agree >= least * sig_a.shape[1])
-        us.append(a + i)
-        vs.append(b)
-    return np.concatenate(us), np.concatenate(vs)
+def joined_pairs(sig: np.ndarray, asks: np.ndarray, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, share): pairs of rows that connect each asking row with the other rows of which so large a share agrees.
+
+    Rows already connected, directly or by others, are not compared again; so rows that are all alike cost one
+    comparison each, and what is returned connects the same rows as all alike pairs would.
+    """
+    component = np.arange(len(sig))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in asks.tolist():
+        left = others[component[others] != component[i]]
+        if not len(left):
+            continue
+        share = (sig[left] == sig[i]).mean(1)
+        hit = share >= least
+        if hit.any():
+            alike = left[hit]
+            found.append((np.full(len(alike), i), alike, share[hit]))
+            component[np.isin(component, component[alike])] = component[i]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def by_group(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
@@ -247,26 +271,80 @@ def tiles(rows: DataFrame, key: str, size: str, block: int, salt: str) -> DataFr
     return rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("blocks", "other")
 
 
-def candidate_edges(classes: DataFrame, trees: int, depth: int, used: int, threshold: float, block: int) -> DataFrame:
-    """(u, v) edges that connect the classes that share a prefix of the used depth and have alike signatures."""
-    prefix = [F.xxhash64(F.lit(t), F.substring(F.col("signature"), 2 * depth * t + 1, 2 * used)) for t in range(trees)]
-    keys = classes.where(F.col("signature").isNotNull()).select("cls", F.explode(F.array(*prefix)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(shared, "key").join(classes.select("cls", "signature"), "cls")
-    members = tiles(members, "key", "n", block, "cls")
-    least = threshold - 5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
+def trie_nodes(classes: DataFrame, trees: int, depth: int, floor: int) -> DataFrame:
+    """(cls, node_floor .. node_depth) of each class and tree whose shortest prefix another class shares: the tries' inner paths.
 
-    def run(c: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
-        sig = np.frombuffer(b"".join(c["signature"]), np.uint16).reshape(len(c["cls"]), -1)
-        left, right = np.flatnonzero(c["own"] == c["x"][0]), np.flatnonzero(c["own"] == c["y"][0])
-        if not len(left) or not len(right):
-            return [], []
-        a, b = likely(sig[left], sig[right], least)
-        u, v = c["cls"][left][a], c["cls"][right][b]
-        tree = forest(u[u != v], v[u != v])
-        return [e[0] for e in tree], [e[1] for e in tree]
+    Deeper nodes lie within these, so that all later steps look at paths that share something only.
+    """
 
-    return by_group(members, ["key", "x", "y"], run, "u long, v long")
+    def node(t: int, d: int) -> Column:
+        return F.xxhash64(F.lit(t), F.substring(F.col("signature"), 2 * depth * t + 1, 2 * d)).alias(f"node_{d}")
+
+    paths = [F.struct(*(node(t, d) for d in range(floor, depth + 1))) for t in range(trees)]
+    rows = classes.where(F.col("signature").isNotNull()).select("cls", F.explode(F.array(*paths)).alias("path")).select("cls", "path.*")
+    shared = rows.groupBy(f"node_{floor}").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(shared, f"node_{floor}")
+
+
+def asked_tiles(rows: DataFrame, key: str, block: int, salt: str) -> DataFrame:
+    """Deals (key, asks, ...) rows into tiles x, y of about ``block`` asking rows and as many of all rows of the key.
+
+    A row is in a tile as one that asks (side 0) or as one to be compared with (side 1). Keys with one row, or with none that
+    asks, have no tiles.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("m")).where("n > 1 AND m > 0")
+    sizes = sizes.select(key, F.ceil(F.col("m") / block).cast("int").alias("xs"), F.ceil(F.col("n") / block).cast("int").alias("ys"))
+    rows = rows.join(sizes, key)
+    cell = lambda n: F.pmod(F.xxhash64(salt), F.col(n)).cast("int")
+    all_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+    with_all = F.transform(all_("xs"), lambda x: at(1, x, cell("ys")))
+    asking = F.transform(all_("ys"), lambda y: at(0, cell("xs"), y))
+    # one tile holds both sides: a row that asks there is on side 0 only
+    one = (F.col("xs") == 1) & (F.col("ys") == 1)
+    places = F.when(one, F.array(at(F.when(F.col("asks"), 0).otherwise(1), F.lit(0), F.lit(0)))).when(F.col("asks"), F.concat(with_all, asking)).otherwise(with_all)
+    return rows.withColumn("place", F.explode(places)).select(*(c for c in rows.columns if c not in ("xs", "ys")), "place.*")
+
+
+def compare_node(c: dict[str, np.ndarray], least: float) -> tuple[list, list, list]:
+    """(u, v, share in millionths) of the pairs that connect the asking members of a tile with those alike."""
+    # a class may be on both sides of a tile
+    cls, row = np.unique(c["cls"], return_inverse=True)
+    at = np.zeros(len(cls), np.int64)
+    at[row] = np.arange(len(row))
+    asks = np.unique(row[c["side"] == 0])
+    if not len(asks) or len(cls) < 2:
+        return [], [], []
+    sig = np.frombuffer(b"".join(c["signature"][at]), np.uint16).reshape(len(cls), -1)
+    alone = not (c["side"] == 1).any()
+    others = np.arange(len(cls)) if alone or c["x"][0] == c["y"][0] == 0 else np.unique(row[c["side"] == 1])
+    a, b, share = joined_pairs(sig, asks, others, least)
+    return cls[a].tolist(), cls[b].tolist(), np.round(share * 1e6).astype(np.int64).tolist()
+
+
+def candidate_edges(classes: DataFrame, trees: int, depth: int, floor: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """(u, v) edges that connect classes with alike signatures that share a prefix, the longest prefixes first."""
+    nodes = written(trie_nodes(classes, trees, depth, floor), "near-tries")
+    least = threshold - 5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
+    found: DataFrame | None = None
+    stopped: DataFrame | None = None  # classes that ask no more
+    for d in range(depth, floor - 1, -1):
+        rows = nodes.select("cls", F.col(f"node_{d}").alias("node"))
+        if stopped is None:
+            rows = rows.withColumn("asks", F.lit(True))
+        else:
+            rows = rows.join(stopped.withColumn("asks", F.lit(False)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
+        members = asked_tiles(rows, "node", block, "cls").join(classes.select("cls", "signature"), "cls")
+        pairs = by_group(members, ["node", "x", "y"], lambda c: compare_node(c, least), "u long, v long, share long")
+        pairs = written(pairs, f"near-pairs-{d}")
+        found = pairs if found is None else found.unionByName(pairs)
+        if d > floor:
+            enough = int(least_found(recall, trees, d) * 1e6)
+            ends = found.select(F.explode(F.array("u", "v")).alias("cls"), "share")
+            before, stopped = stopped, written(ends.groupBy("cls").agg(F.min("share").alias("share")).where(F.col("share") >= enough).select("cls"), f"near-stopped-{d}")
+            discard(*[before] * (before is not None))
+    discard(nodes, *[stopped] * (stopped is not None))
+    return found.select("u", "v")
 
 
 # --- verification ------------------------------------------------------------------------------------------------
@@ -353,8 +431,8 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     classes = signed(docs, id_col, text_col, trees, depth).groupBy("digest").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     # numbers of the classes, fixed by the written table
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
-    used = depth_for(recall, threshold, trees, depth)
-    groups = written(components(candidate_edges(classes, trees, depth, used, threshold, block)), "near-groups")
+    floor = floor_of(recall, threshold, trees, depth)
+    groups = written(components(candidate_edges(classes, trees, depth, floor, threshold, recall, block)), "near-groups")
     sized = groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root")
     members = sized.join(classes.select(F.col("cls").alias("node"), "digest", "copy_id", "copies"), "node").withColumnRenamed("node", "cls")
     # a class's text is that of a row with its least id and its digest

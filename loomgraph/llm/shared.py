@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.storage import scratch, written
+from loomgraph.storage import discard, scratch, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,4 +29,4 @@ def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-__all__ = ["fresh", "scratch", "small", "table", "text_or_empty", "written"]
+__all__ = ["discard", "fresh", "scratch", "small", "table", "text_or_empty", "written"]

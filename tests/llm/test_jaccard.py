@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard
 
@@ -86,10 +87,92 @@ def test_large_group_of_near_copies(spark):
     assert {i: r["n_links"] for i, r in got.items()} == want
 
 
-def test_prefix_shortens_until_the_recall():
-    depths = [jaccard.depth_for(r, 0.8, 24, 8) for r in (0.9, 0.99, 0.999, 0.99999)]
-    assert depths == sorted(depths, reverse=True) and depths[0] == 8
-    assert 1 - (1 - 0.8 ** depths[2]) ** 24 >= 0.999
+def test_floor_keeps_the_recall():
+    floors = [jaccard.floor_of(r, 0.8, 24, 8) for r in (0.9, 0.99, 0.999, 0.99999)]
+    assert floors == sorted(floors, reverse=True) and floors[0] == 8
+    assert 1 - (1 - 0.8 ** floors[2]) ** 24 >= 0.999
+    s = jaccard.least_found(0.999, 24, 8)
+    assert 1 - (1 - s**8) ** 24 == pytest.approx(0.999)
+
+
+def signed_classes(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return jaccard.signed(df, "doc_id", "text", 24, 8).withColumn("cls", F.col("id"))
+
+
+def test_tries_hold_the_paths_that_share_a_prefix(spark):
+    rows = corpus()
+    classes = signed_classes(spark, rows)
+    sig = {r["cls"]: np.frombuffer(r["signature"], np.uint16).reshape(24, 8) for r in classes.collect() if r["signature"]}
+    got = {}
+    for r in jaccard.trie_nodes(classes, 24, 8, 6).collect():
+        for d in (6, 7, 8):
+            got.setdefault((d, r[f"node_{d}"]), set()).add(r["cls"])
+    want = {}
+    for c, s in sig.items():
+        for t in range(24):
+            for d in (6, 7, 8):
+                want.setdefault((d, t, s[t, :d].tobytes()), set()).add(c)
+    alone = {(t, c) for (d, t, _), m in want.items() if d == 6 and len(m) == 1 for c in m}
+    inner = [m for (d, t, _), m in want.items() if not any((t, c) in alone for c in m)]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, inner))
+
+
+def test_descent_connects_what_all_pairs_of_nodes_would(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(250)]
+    crowd = []
+    for i in range(60):
+        t = list(base)
+        t[rng.randrange(250)] = f"x{i}"
+        crowd.append(t)
+    for _ in range(6):  # at some distance from the crowd
+        t = list(base)
+        for _ in range(5):
+            t[rng.randrange(250)] = "far"
+        crowd.append(t)
+    rows = corpus() + [(5000 + i, " ".join(t)) for i, t in enumerate(crowd)]
+    classes = signed_classes(spark, rows).where("signature IS NOT NULL")
+    sig = {r["cls"]: np.frombuffer(r["signature"], np.uint16).reshape(24, 8) for r in classes.collect()}
+    least = 0.8 - 5 * (0.8 * 0.2 / 192) ** 0.5
+    shares = lambda a, b: (sig[a][:, :6] == sig[b][:, :6]).all(1).any() and (sig[a] == sig[b]).mean() >= least
+    want = nx_components(list(sig), [(a, b) for a in sig for b in sig if a < b and shares(a, b)])
+    for block in (4, 512):
+        edges = jaccard.candidate_edges(classes, 24, 8, 6, 0.8, 0.999, block).collect()
+        got = nx_components(list(sig), [(e["u"], e["v"]) for e in edges])
+        assert got == want
+
+
+def nx_components(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_classes_with_near_partners_stop_early(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, f"{base} x{i}") for i in range(30)] + [(100 + i, " ".join(f"v{i}_{j}" for j in range(50))) for i in range(5)]
+    names = []
+    keep = jaccard.written
+
+    def seen(df, name):
+        out = keep(df, name)
+        names.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    jaccard.candidate_edges(signed_classes(spark, rows), 24, 8, 6, 0.8, 0.999, 512)
+    found = dict(names)
+    assert found["near-stopped-8"] == 30 and found["near-pairs-7"] == found["near-pairs-6"] == 0
+    assert 29 <= found["near-pairs-8"] <= 24 * 29  # one comparison joins a member of a node
 
 
 def test_signatures_estimate_similarity():
