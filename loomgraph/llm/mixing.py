@@ -7,25 +7,26 @@ until one of them is integral. Mass is counted in words (a document of twice the
 the source's words stay exact while pairs are resolved; only the last document of a source is rounded alone, and a
 source misses its target by at most one document's size.
 
-The reduction is a tree: documents are dealt into buckets by a hash (a hot source has many buckets), each bucket is
+Documents whose expected copies are whole take no part in the rounding. The reduction is a tree: the others are dealt into
+buckets by a hash (a hot source has many buckets, of at most ``fan_in`` documents but for a chance in a billion), each bucket is
 resolved apart and leaves at most one fractional document, and these residuals meet in the next level until a source has
 one. Random numbers are hashes of the seed, the level and the document, so reruns agree.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import fresh, small, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
-STATE = "row_key string, source_no int, size long, fraction double, copies int"
 
 
 def words(text: str | Column) -> Column:
@@ -52,12 +53,14 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
     return out
 
 
-def uniform(seed: int, level: int, keys: pd.Series) -> np.ndarray:
-    """Numbers in [0, 1) by hashes of the rows' keys."""
-    import xxhash
+def hashed(seed: int, level: int, nth: int) -> Column:
+    """A hash of a row of the state; rows differ in id, text and number."""
+    return F.xxhash64(F.lit(seed), F.lit(level), F.lit(nth), "id", "h", "nth")
 
-    salt = seed * 1009 + level
-    return np.array([xxhash.xxh64_intdigest(k, salt) >> 11 for k in keys], np.float64) / 2.0**53
+
+def uniform(seed: int, level: int, nth: int) -> Column:
+    """A number in [0, 1) by a hash of the row."""
+    return F.shiftrightunsigned(hashed(seed, level, nth), 11) / F.lit(2.0**53)
 
 
 def resolve(size: np.ndarray, fraction: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
@@ -86,49 +89,54 @@ def resolve(size: np.ndarray, fraction: np.ndarray, draw: np.ndarray) -> tuple[n
     return out, held
 
 
+def dealt(rows: DataFrame, fan_in: int, seed: int, level: int) -> tuple[DataFrame, int]:
+    """rows with a bucket, by source and hash, and the number of rows of the largest source."""
+    counts = {r["source_no"]: r["n"] for r in rows.groupBy("source_no").agg(F.count("*").alias("n")).collect()}  # a row a source
+    if not counts:
+        return rows, 0
+    mean = max(2, fan_in - int(6 * fan_in**0.5))
+    sizes = rows.sparkSession.createDataFrame([(s, 1 if n <= fan_in else -(-n // mean)) for s, n in counts.items()], "source_no int, buckets int")
+    table = rows.join(small(sizes, len(counts)), "source_no")
+    return table.withColumn("bucket", F.pmod(hashed(seed, level, 0), F.col("buckets")).cast("int")).drop("buckets"), max(counts.values())
+
+
 def rounded(rows: DataFrame, fan_in: int, seed: int) -> DataFrame:
-    """Resolves the fractions of STATE rows, source by source, in a tree of buckets of about ``fan_in`` rows."""
-    spark: SparkSession = rows.sparkSession
-    done: DataFrame | None = None
-    level = 0
-    while True:
-        counts = {r["source_no"]: r["n"] for r in rows.where("fraction > 0").groupBy("source_no").agg(F.count("*").alias("n")).collect()}
-        largest = max(counts.values(), default=0)
-        sizes = spark.createDataFrame([(s, -(-n // fan_in)) for s, n in counts.items()] or [(-1, 1)], "source_no int, buckets int")
+    """Resolves the fractions of (id, h, nth, source_no, size, fraction, copies) rows, by source, in a tree of buckets."""
+    done = rows.where("fraction = 0")
+    rows, schema, names = rows.where("fraction > 0"), rows.schema, rows.columns
+    for level in itertools.count():
+        table, largest = dealt(rows, fan_in, seed, level)
+        if not largest:
+            return done
         last = largest <= fan_in
-        table = rows.join(small(sizes, len(counts)), "source_no", "left")
-        table = table.withColumn("bucket", F.pmod(F.xxhash64("row_key", F.lit(seed + level)), F.coalesce("buckets", F.lit(1))).cast("int"))
+        table = table.withColumns({f"draw{i}": uniform(seed, level, i) for i in (1, 2, 3)})
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            draw = uniform(seed, level, pdf["row_key"])
-            order = np.lexsort((pdf["row_key"].to_numpy(), draw))
-            pdf, draw = pdf.iloc[order], uniform(seed + 1, level, pdf["row_key"].iloc[order])
-            got, held = resolve(pdf["size"].to_numpy(np.float64), pdf["fraction"].to_numpy(np.float64), draw)
+            pdf = pdf.iloc[np.lexsort((pdf["nth"], pdf["h"], pdf["draw1"]))]
+            got, held = resolve(pdf["size"].to_numpy(np.float64), pdf["fraction"].to_numpy(np.float64), pdf["draw2"].to_numpy())
             if held >= 0 and last:
-                got[held] = float(uniform(seed + 2, level, pdf["row_key"].iloc[[held]])[0] < got[held])
+                got[held] = float(pdf["draw3"].iloc[held] < got[held])
             one = got == 1.0
-            return pd.DataFrame({"row_key": pdf["row_key"], "source_no": pdf["source_no"].astype(np.int32), "size": pdf["size"], "fraction": np.where(one, 0.0, got), "copies": (pdf["copies"] + one).astype(np.int32)})
+            return pdf[names].assign(fraction=np.where(one, 0.0, got), copies=(pdf["copies"] + one).astype(np.int32))
 
-        out = written(table.groupBy("source_no", "bucket").applyInPandas(run, STATE), f"mix-{level}")
-        settled = out.where("fraction = 0") if not last else out
-        done = settled if done is None else done.unionByName(settled)
+        out = written(table.groupBy("source_no", "bucket").applyInPandas(run, schema), f"mix-{level}")
+        done = done.unionByName(out.where("fraction = 0"))
         if last:
             return done
-        rows, level = out.where("fraction > 0"), level + 1
+        rows = out.where("fraction > 0")
 
 
-def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, most: float = 3.0, fan_in: int = 4_000, seed: int = 20240501, key: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(rows with row_key, size, source_no, copies; sources with source_no, source, source_size, target).
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, most: float = 3.0, fan_in: int = 4_000, seed: int = 20240501) -> tuple[DataFrame, DataFrame]:
+    """(rows with id, h, nth, size, source_no, copies; sources with source_no, source, source_size, target).
 
     Sources are taken by code point, null last, with the weights repeating. Documents of size 0 are never taken. Rows are
-    told apart by their key columns, size and a hash of the text, and rows that agree in all of these (repeated rows) by a
+    told apart by their id, size and h, a hash of the text, and rows that agree in all of these (repeated rows) by a
     running number within them: repeated rows are documents of their own. The number of sources must fit the driver.
     """
-    keyed = docs.select(F.col(source_col).alias("source"), words(text_col).alias("size"), row_key(text_col, key).alias("row_key"))
+    keyed = docs.select(F.col(source_col).alias("source"), words(text_col).alias("size"), F.col(id_col).alias("id"), text_hash(text_col).alias("h"))
     # repeated rows become one with a number of occurrences, and are spread again: only numbers are exchanged
-    keyed = keyed.groupBy("source", "size", "row_key").agg(F.count("*").alias("occurs"))
-    keyed = keyed.select("source", "size", F.explode(F.sequence(F.lit(1), F.col("occurs").cast("int"))).alias("nth"), "row_key")
-    keyed = keyed.select("source", "size", F.concat_ws("#", "row_key", F.col("nth").cast("string")).alias("row_key"))
+    keyed = keyed.groupBy("source", "size", "id", "h").agg(F.count("*").alias("occurs"))
+    keyed = keyed.select("source", "size", F.explode(F.sequence(F.lit(1), F.col("occurs").cast("int"))).alias("nth"), "id", "h")
     keyed = written(keyed, "mix-rows")
     sources = sorted(((r["source"], r["n"]) for r in keyed.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in sources], [weights[i % len(weights)] for i in range(len(sources))], most)
@@ -136,31 +144,32 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     table = spark.createDataFrame([(i, s, int(n), float(t), min(most, t / n) if n else 0.0) for i, ((s, n), t) in enumerate(zip(sources, goal, strict=True))], "source_no int, source string, source_size long, target double, rate double")
     state = keyed.join(small(table, len(sources)), keyed["source"].eqNullSafe(table["source"]))
     rate = F.when(F.col("size") > 0, F.col("rate")).otherwise(F.lit(0.0))
-    state = state.select("row_key", "source_no", "size", (rate - F.floor(rate)).alias("fraction"), F.floor(rate).cast("int").alias("copies"))
+    state = state.select("id", "h", "nth", "source_no", "size", (rate - F.floor(rate)).alias("fraction"), F.floor(rate).cast("int").alias("copies"))
     return rounded(state, fan_in, seed), table
 
 
-def row_key(text_col: str, key: Sequence[str]) -> Column:
-    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in key), F.hex(F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0null")))))
+def text_hash(text_col: str) -> Column:
+    """A hash that tells null from empty."""
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """One row a row: id, size, source_size, target, taken (words, repeats counted) and copies."""
-    rows, sources = mixed(docs, source_col, text_col, key=(id_col,), **options)
-    kind = docs.schema[id_col].dataType.simpleString()
-    first = F.split("row_key", r"\|")[0]
-    rows = rows.join(sources, "source_no")
-    return rows.select(F.when(first != "null", first).cast(kind).alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    rows, sources = mixed(docs, id_col, source_col, text_col, **options)
+    rows = rows.join(small(sources, sources.count()), "source_no")
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents that the mix takes, with all their columns, each as often as it is taken."""
-    rows, _ = mixed(docs, source_col, text_col, key=(id_col,), **options)
+    rows, _ = mixed(docs, id_col, source_col, text_col, **options)
     k, total, same, nth = (fresh(docs.columns, x) for x in ("mix_key", "mix_copies", "mix_same", "mix_nth"))
-    # repeated rows are interchangeable: their copies are added up and dealt out evenly, so that texts are exchanged once
-    taken = rows.groupBy(F.regexp_replace("row_key", "#[0-9]+$", "").alias(k)).agg(F.sum("copies").cast("int").alias(total), F.count("*").cast("int").alias(same)).where(F.col(total) > 0)
+    # one key column for join and window: texts are exchanged once; a null id is no field of the key, so that no text equals it
+    key = lambda i, h: F.to_json(F.struct(i.alias("i"), h.alias("h")))
+    # repeated rows are interchangeable: their copies are added up and dealt out evenly
+    taken = rows.groupBy(key(F.col("id"), F.col("h")).alias(k)).agg(F.sum("copies").cast("int").alias(total), F.count("*").cast("int").alias(same)).where(F.col(total) > 0)
     salt = fresh(docs.columns, "mix_salt")
-    found = docs.withColumns({k: row_key(text_col, (id_col,)), salt: F.monotonically_increasing_id()}).join(taken, k)
+    found = docs.withColumns({k: key(F.col(id_col), text_hash(text_col)), salt: F.monotonically_increasing_id()}).join(taken, k)
     found = found.withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(salt)))
     copies = F.floor(F.col(total) / F.col(same)) + (F.col(nth) <= F.col(total) % F.col(same)).cast("int")
     return found.withColumn(total, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*docs.columns)

@@ -84,6 +84,32 @@ def test_documents_of_the_mix(spark):
     assert got.columns == df.columns and got.count() == want and {r["mix_key"] for r in got.collect()} <= set(range(len(rows)))
 
 
+def test_groups_stay_below_the_fan_in(spark):
+    rows = spark.range(60_000).selectExpr("id", "id * 7 AS h", "1 AS nth", "cast(id % 100 = 0 AS int) AS source_no")
+    table, largest = mixing.dealt(rows, 1_000, 1, 0)
+    sizes = {(r["source_no"], r["bucket"]): r["count"] for r in table.groupBy("source_no", "bucket").count().collect()}
+    assert largest == 59_400 and max(sizes.values()) <= 1_000 and sizes[1, 0] == 600
+
+
+@pytest.mark.parametrize("rows, rate", [([(i, "w " * (1 + i % 9), "only") for i in range(500)], 1), ([(i, "w " * 9, "a" if i % 50 else "b") for i in range(500)], None)])
+def test_whole_rates_need_no_rounding(spark, monkeypatch, rows, rate):
+    """One source (rate 1), and a source capped at three times its size: their rows are in no bucket."""
+    seen = []
+    monkeypatch.setattr(mixing, "written", lambda df, name, keep=mixing.written: seen.append(out := keep(df, name)) or out)
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), fan_in=100).collect()
+    rounded_sources = {r["source_no"] for df in seen[1:] for r in df.select("source_no").distinct().collect()}
+    assert rounded_sources == (set() if rate else {0})
+    small_ = [r for r in got if rate or r["source_size"] == 90]
+    assert {r["copies"] for r in small_} == {rate or 3} and len(got) == 500
+
+
+def test_ids_of_any_text(spark):
+    ids = ["null", None, "a|b", "a", "", '"', "null"]
+    df = spark.createDataFrame([(x, "one two three", "s") for x in ids], "doc_id string, text string, source string")
+    assert sorted(str(r["doc_id"]) for r in mixing.mix_report(df).collect()) == sorted(map(str, ids))
+    assert sorted(str(r["doc_id"]) for r in mixing.mixed_documents(df).collect()) == sorted(map(str, ids))
+
+
 def test_empty(spark):
     assert mixing.mix_report(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert mixing.mixed_documents(spark.createDataFrame([(1, "", "a")], "doc_id long, text string, source string")).count() == 0
