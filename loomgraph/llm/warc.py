@@ -3,8 +3,9 @@
 ``spark.read.format("warc")`` lists the archives on the driver and packs whole files into partitions. A task reads
 each record's header block first and inflates a payload only if the record passes the pushed-down predicates. Archives
 are gzip members, one a record, as the format advises; the writer adds each member's compressed length as a gzip extra
-field ("sl"), so that a reader seeks past unwanted records instead of inflating them. Members without that field are
-inflated and discarded.
+field ("sl"), so that a reader seeks past unwanted records instead of inflating them. Members without that field, files
+compressed as a whole and plain files are read as streams whose unwanted blocks are passed over piece by piece. An archive that
+ends within a record, or holds anything but records, raises an error that names the place; nothing is dropped silently.
 
 Predicates pushed down: equality and IN on record_type and record_id; equality and prefixes on target_uri and
 refers_to. Spark evaluates all others afterwards.
@@ -13,12 +14,14 @@ refers_to. Spark evaluates all others afterwards.
 from __future__ import annotations
 
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +42,7 @@ LENGTH_HEADER = "X-Payload-Length"
 
 
 def filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 # --- writing -----------------------------------------------------------------------------------------------------
@@ -86,46 +87,64 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own under a temporary name; the commit on the driver gives them their names."""
+    """Each task writes files of its own to the job's staging folder; the commit on the driver moves them to the path.
+
+    The folder goes with the commit or the abort, and with it what failed, lost and repeated tasks left. Tasks that outlive
+    an abort remove their own files; a killed one can leave its folder, which readers don't look into, and which the next commit to
+    the path removes once it is a day old.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         self.roll = int(options.get("roll_bytes", 128 << 20))
         self.level = int(options.get("level", 1))
+        self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = filesystem(self.path)
-        fs.create_dir(base, recursive=True)
+        fs.create_dir(f"{base}/{self.staging}", recursive=True)
         files: list[tuple[str, str]] = []
         out, size = None, 0
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None:
-                    name = f"{base}/part-{uuid.uuid4().hex}.warc.gz"
-                    files.append((f"{name}.tmp", name))
-                    out, size = fs.open_output_stream(f"{name}.tmp"), 0
-                    info = {"record_type": "warcinfo", "record_id": f"urn:uuid:{uuid.uuid4()}", "date": None, "target_uri": None, "payload": b"software: loomgraph\r\n", "payload_digest": None, "payload_length": None, "refers_to": None}
-                    out.write(gzip_member(record(info), self.level))
-                size += out.write(data := gzip_member(record(row), self.level)) or len(data)
-                if size >= self.roll:
-                    out.close()
-                    out = None
-        if out is not None:
-            out.close()
+        try:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    if out is None:
+                        name = f"part-{uuid.uuid4().hex}.warc.gz"
+                        files.append((f"{base}/{self.staging}/{name}", f"{base}/{name}"))
+                        out, size = fs.open_output_stream(files[-1][0], compression=None), 0
+                        info = {"record_type": "warcinfo", "record_id": f"urn:uuid:{uuid.uuid4()}", "date": None, "target_uri": None, "payload": b"software: loomgraph\r\n", "payload_digest": None, "payload_length": None, "refers_to": None}
+                        out.write(gzip_member(record(info), self.level))
+                    size += out.write(data := gzip_member(record(row), self.level)) or len(data)
+                    if size >= self.roll:
+                        out.close()
+                        out = None
+            if out is not None:
+                out.close()
+        except BaseException:
+            if out is not None:
+                out.close()
+            for staged, _ in files:
+                fs.delete_file(staged)
+            if not fs.get_file_info(pafs.FileSelector(f"{base}/{self.staging}", allow_not_found=True)):
+                self.abort([])
+            raise
         return Written(files)
 
     def commit(self, messages: list) -> None:
         fs, base = filesystem(self.path)
         fs.create_dir(base, recursive=True)
         for m in messages:
-            for tmp, name in m.files if m else ():
-                fs.move(tmp, name)
+            for staged, name in m.files if m else ():
+                fs.move(staged, name)
+        self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        fs, _ = filesystem(self.path)
-        for m in messages:
-            for tmp, _ in m.files if m else ():
-                fs.delete_file(tmp)
+        fs, base = filesystem(self.path)
+        if fs.get_file_info(f"{base}/{self.staging}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{base}/{self.staging}")
+        for x in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            if x.base_name.startswith("_staging-") and x.mtime_ns and time.time() - x.mtime_ns / 1e9 > 86_400:
+                fs.delete_dir(x.path)
 
 
 # --- reading -----------------------------------------------------------------------------------------------------
@@ -162,74 +181,132 @@ def payload_of(row: dict, head: dict[str, str], block: bytes) -> bytes | None:
     return block
 
 
+class Bytes:
+    """The bytes of an archive, inflated where they are gzip members; members may begin and end anywhere."""
+
+    def __init__(self, stream, chunk: int = 1 << 16):
+        self.stream, self.chunk = stream, chunk
+        self.raw = b""  # read from the file, not yet inflated
+        self.data = bytearray()  # inflated, not yet taken
+        self.member = None  # the inflater of the open member
+        self.used = 0  # bytes of the file that the open member has taken
+        self.length: int | None = None  # of the open member, if it tells
+        self.at_start = False  # the data begin with the open member's first byte
+        self.gz: bool | None = None
+
+    def _read(self) -> bool:
+        got = self.stream.read(self.chunk) or b""
+        self.raw += got
+        return bool(got)
+
+    def more(self, most: int = 1 << 16) -> bool:
+        """Adds at most about so many bytes to data; false at the end of the archive."""
+        if self.gz is None:
+            while len(self.raw) < 2 and self._read():
+                pass
+            self.gz = self.raw[:2] == b"\x1f\x8b"
+        if not self.gz:
+            if not self.raw and not self._read():
+                return False
+            self.data += self.raw
+            self.raw = b""
+            return True
+        if self.member is None:
+            while len(self.raw) < 24 and self._read():
+                pass
+            if not self.raw.strip(b"\0"):  # padding
+                self.raw = b""
+                return self._read() and self.more(most)
+            if self.raw[:2] != b"\x1f\x8b":
+                raise ValueError("an archive holds bytes between its gzip members")
+            self.member, self.used, self.length = zlib.decompressobj(31), 0, member_length(self.raw[:24])
+            self.at_start = not self.data
+        ended = not self.raw and not self._read()
+        out = self.member.decompress(self.raw, most)  # may hold back output of earlier bytes
+        if ended and not out and not self.member.eof:
+            raise EOFError("an archive ends within a gzip member")
+        rest = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+        self.used += len(self.raw) - len(rest)
+        self.raw = rest
+        self.data += out
+        if self.member.eof:
+            self.member = None
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Takes the bytes up to and with a mark; None if nothing but line ends is left."""
+        seen = 0
+        while (end := self.data.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.data)
+            if not self.more(4096):
+                if not self.data.strip():
+                    return None
+                raise EOFError("an archive ends within a header")
+        out = bytes(self.data[: end + len(mark)])
+        del self.data[: end + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.data) < n:
+            if not self.more():
+                raise EOFError("an archive ends within a block")
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > len(self.data):
+            n -= len(self.data)
+            self.data.clear()
+            if not self.gz and not self.raw:
+                if not (got := self.stream.read(min(n, 1 << 20))):
+                    raise EOFError("an archive ends within a block")
+                n -= len(got)
+            elif not self.more():
+                raise EOFError("an archive ends within a block")
+        del self.data[:n]
+
+    def skip_member(self) -> None:
+        """Past the open member, whose length is known, without inflating it."""
+        rest = self.length - self.used
+        self.data.clear()
+        self.member, self.raw, rest = None, self.raw[rest:], rest - len(self.raw)
+        while rest > 0:
+            if not (got := self.stream.read(min(rest, 1 << 20))):
+                raise EOFError("an archive ends within a gzip member")
+            rest -= len(got)
+
+
 def records(stream, wanted: Callable[[dict], bool], payloads: bool = True, chunk: int = 1 << 16) -> Iterator[dict]:
-    """Records of one archive (gzip members or plain), in order; payloads only of wanted ones."""
-    buffer, gz = b"", None
-    stream_read = lambda n: stream.read(n) or b""
+    """Records of one archive (gzip members, one gzip stream, or plain), in order; payloads only of wanted ones."""
+    source = Bytes(stream, chunk)
     while True:
-        if len(buffer) < chunk:
-            buffer += stream_read(chunk)
-        if not buffer:
+        source.at_start = False
+        while True:  # line ends between records, up to the end of their member
+            source.data = source.data.lstrip(b"\r\n")
+            if source.data or (source.member is None and source.gz is not False) or not source.more(64):
+                break
+        fresh_member = not source.data and source.member is None
+        text = source.until(b"\r\n\r\n")
+        if text is None:
             return
-        if gz is None:
-            gz = buffer[:2] == b"\x1f\x8b"
-        if gz:
-            z, data, length, used = zlib.decompressobj(31), b"", member_length(buffer[:24]), 0
-            while b"\r\n\r\n" not in data and not z.eof:
-                piece, buffer = buffer, b""
-                if not piece and not (piece := stream_read(chunk)):
-                    raise EOFError("an archive ends within a record")
-                used += len(piece)
-                # the header block is inflated first, in small steps, and the rest only if it is wanted
-                data += z.decompress(piece, 4096)
-                buffer, used = z.unconsumed_tail or z.unused_data, used - len(z.unconsumed_tail or z.unused_data)
-            head = parse_head(data.partition(b"\r\n\r\n")[0])
-            row = fields(head)
-            if not wanted(row) or not payloads:
-                if length is not None and not z.eof:
-                    rest = length - used
-                    buffer, rest = buffer[rest:], rest - len(buffer)
-                    while rest > 0:
-                        if not (got := stream_read(min(rest, 1 << 20))):
-                            raise EOFError("an archive ends within a record")
-                        rest -= len(got)
-                else:
-                    while not z.eof:
-                        z.decompress(buffer or stream_read(chunk))
-                        buffer = z.unused_data
-                if wanted(row):
-                    yield row | {"payload": None}
-                continue
-            parts = [data]
-            while not z.eof:
-                piece = buffer or stream_read(chunk)
-                if not piece:
-                    raise EOFError("an archive ends within a record")
-                parts.append(z.decompress(piece))
-                buffer = z.unused_data
-            data = b"".join(parts)
+        if not text.lstrip().startswith(b"WARC/"):
+            raise ValueError("an archive holds bytes that are no record")
+        head = parse_head(text.lstrip())
+        row = fields(head)
+        if not head.get("content-length", "").isdigit():
+            raise ValueError("a record without a length")
+        n, take = int(head["content-length"]), wanted(row)
+        if take and payloads:
+            yield row | {"payload": payload_of(row, head, source.take(n))}
         else:
-            while (end := buffer.find(b"\r\n\r\n")) < 0:
-                if not (got := stream_read(chunk)):
-                    if not buffer.strip():
-                        return
-                    raise EOFError("an archive ends within a header")
-                buffer += got
-            head = parse_head(buffer[:end].lstrip())
-            row, n = fields(head), int(head.get("content-length", 0))
-            need = end + 4 + n + 4
-            if not wanted(row) or not payloads:
-                buffer, skip = buffer[need:], need - len(buffer)
-                while skip > 0 and (got := stream_read(min(skip, 1 << 20))):
-                    skip -= len(got)
-                if wanted(row):
-                    yield row | {"payload": None}
-                continue
-            while len(buffer) < need and (got := stream_read(max(chunk, need - len(buffer)))):
-                buffer += got
-            data, buffer = buffer[:need], buffer[need:]
-        _, _, rest = data.partition(b"\r\n\r\n")
-        yield row | {"payload": payload_of(row, head, rest[: int(head.get("content-length", 0))])}
+            # a member that tells its length holds one record: so the writer makes them
+            if fresh_member and source.at_start and source.member is not None and source.length is not None:
+                source.skip_member()
+            else:
+                source.skip(n)
+            if take:
+                yield row | {"payload": None}
 
 
 class WarcReader(DataSourceReader):
@@ -255,12 +332,11 @@ class WarcReader(DataSourceReader):
         return all(row[name] is not None and (row[name] in x if how == "in" else row[name].startswith(x)) for name, how, x in self.tests)
 
     def partitions(self) -> list[Files]:
-        from pyarrow import fs as pfs
-
         fs, base = filesystem(self.path)
         info = fs.get_file_info(base)
-        found = [info] if info.type == pfs.FileType.File else fs.get_file_info(pfs.FileSelector(base, recursive=True))
-        found = sorted((x for x in found if x.type == pfs.FileType.File and x.path.endswith((".warc", ".warc.gz"))), key=lambda x: (-x.size, x.path))
+        found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(base, recursive=True))
+        hidden = lambda x: any(p.startswith(("_", ".")) for p in x.path[len(base) :].split("/"))
+        found = sorted((x for x in found if x.type == pafs.FileType.File and x.path.endswith((".warc", ".warc.gz")) and not hidden(x)), key=lambda x: (-x.size, x.path))
         groups: list[Files] = []
         room = 0
         for x in found:
@@ -334,20 +410,23 @@ def archive_rows(pages: DataFrame, id_col: str, url_col: str, body_col: str, lea
     The payload is the body in UTF-8 (null: empty). Within such a group the row with the smallest id is the response
     and the others revisit it; rows with a null id come last, and rows that repeat the smallest id are responses too. A
     group of null ids has responses only. Only digests and ids are aggregated, with partial sums before the exchange;
-    the payloads are exchanged once, in a join whose skewed partitions Spark splits.
+    the payloads are exchanged once, in a join whose skewed partitions Spark splits. Record ids are made of the row's id and
+    its place in the input, so that repeated ids have records of their own; revisits refer to the first such record. (The
+    input is read twice: it must give its rows in the same places both times, as files do.)
     """
+    name = lambda c: F.concat(F.lit("urn:row:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.lpad(c.cast("string"), 19, "0"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("target_uri"), F.coalesce(F.col(body_col), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("record_id", name(F.monotonically_increasing_id()))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_length", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("payload_length") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first_id")
-    rows = rows.join(first, "payload_digest", "left")
+    first = rows.where(F.col("payload_length") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "record_id")).alias("first"), F.count("*").alias("n"))
+    rows = rows.join(first.where("n > 1").select("payload_digest", "first_id", F.col("first.record_id").alias("first_record")), "payload_digest", "left")
     again = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
-    name = lambda c: F.concat(F.lit("urn:row:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     return rows.select(
-        name("page_id").alias("record_id"),
+        "record_id",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         F.lit(date).alias("date"),
-        F.when(again, name("first_id")).alias("refers_to"),
+        F.when(again, F.col("first_record")).alias("refers_to"),
         "payload_digest",
         "payload_length",
         F.when(~again, F.col("payload")).alias("payload"),
@@ -361,7 +440,7 @@ def write_archives(rows: DataFrame, path: str, **options: str) -> None:
 
 def archived_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row a page from the archives: a response's length and digest are taken from the payload as read."""
-    row_id = lambda c: F.expr(f"try_cast(substring({c}, 9) AS bigint)")
+    row_id = lambda c: F.expr(f"try_cast(split_part({c}, ':', 3) AS bigint)")
     is_response = F.col("record_type") == "response"
     return read_warc(spark, path).where(F.col("record_type").isin("response", "revisit")).select(
         row_id("record_id").alias("page_id"),
