@@ -3,11 +3,13 @@
 The categories are predicted one after another, each by a logistic regression over the text's features and the
 probabilities of the categories before it. For training, those earlier probabilities are out-of-fold predictions, so that
 a later model sees them as it will on new texts. Categories are 0/1 columns of the label table; a category's missing
-labels are left out of its training.
+labels are left out of its training. Features are chosen within each fold as well, from the other folds' rows, so that no
+out-of-fold prediction, and no threshold chosen by them, has seen its own label of that category.
 
 Features are presences: words in lower case and their first 4, 5 and 6 letters (for stems), of whole texts. The model
 keeps at most ``most_features`` of them, those whose presence differs most between a category's classes (chi square, at
-least its 99.9 % point), found on a bounded sample of labelled rows (``sample``, by the hash of the id). All documents are scored, by whole text.
+least its 99.9 % point), found on a bounded sample of labelled rows (``sample``, by the hash of the id). Of rows with the same id the text that sorts
+first is trained on, of repeated labels the largest. All documents are scored, by whole text, a batch at a time.
 """
 
 from __future__ import annotations
@@ -57,13 +59,26 @@ class Features(dict):
         return out
 
 
+class Bag:
+    """The feature numbers of some texts, end to end."""
+
+    def __init__(self, rows: Sequence[np.ndarray]):
+        self.n = len(rows)
+        self.flat = np.concatenate(rows).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(self.n), [len(r) for r in rows])
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights[self.flat], self.n)
+
+
 @dataclass
 class Linear:
     weights: np.ndarray  # of features, then of earlier categories
     bias: float
 
-    def logit(self, ids: Sequence[int], earlier: Sequence[float], n: int) -> float:
-        return float(self.weights[list(ids)].sum() + np.dot(self.weights[n:], np.asarray(earlier, float)) + self.bias)
+    def logits(self, bag: Bag, earlier: np.ndarray) -> np.ndarray:
+        n = len(self.weights) - earlier.shape[1]
+        return bag.sums(self.weights[:n]) + earlier @ self.weights[n:] + self.bias
 
 
 @dataclass
@@ -73,10 +88,11 @@ class Chain:
     models: list[Linear]
     thresholds: list[float]
 
-    def probabilities(self, ids: set[int]) -> list[float]:
-        out: list[float] = []
+    def probabilities(self, bag: Bag) -> np.ndarray:
+        """A row a text, a column a category."""
+        out = np.zeros((bag.n, 0))
         for m in self.models:
-            out.append(sigmoid(m.logit(sorted(ids), out, len(self.kept))))
+            out = np.column_stack([out, sigmoid(m.logits(bag, out))])
         return out
 
 
@@ -88,15 +104,15 @@ def train_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, n:
     """Logistic regression on presences and earlier probabilities by accelerated gradient descent."""
     if not len(y) or y.min() == y.max():
         return Linear(np.zeros(n + earlier.shape[1]), 0.0 if not len(y) else 4.0 if y[0] else -4.0)
-    lengths = np.array([len(r) for r in rows])
-    flat, of = np.concatenate(rows) if lengths.sum() else np.zeros(0, int), np.repeat(np.arange(len(rows)), lengths)
+    bag = Bag(rows)
+    flat, of, mean_length = bag.flat, bag.of, len(bag.flat) / bag.n
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # the classes count alike
-    scale = 1 / np.sqrt(max(1.0, lengths.mean()))
+    scale = 1 / np.sqrt(max(1.0, mean_length))
     w, b = np.zeros(n + earlier.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(of, w[flat], len(rows)) + earlier @ w[n:] + b
+        z = bag.sums(w[:n]) + earlier @ w[n:] + b
         g = weight * (sigmoid(z) - y)
         grad = np.concatenate([np.bincount(flat, g[of], n), earlier.T @ g, [g.sum()]])
         grad[:-1] += l2 * w
@@ -144,28 +160,34 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(p[order[i]] + (p[order[i + 1]] if i + 1 < len(y) else 0)) / 2
 
 
-def train(rows: list[np.ndarray], ys: np.ndarray, categories: Sequence[str], most_features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """The chain from feature hashes by row and labels (-1: none); out-of-fold predictions feed the next category."""
-    kept = select_features(rows, ys, most_features) if rows else {}
+def renumbered(rows: list[np.ndarray], kept: dict[int, int]) -> list[np.ndarray]:
+    """The rows' kept features, by number."""
     table = np.full(1 << BITS, -1, np.int64)
     for f, i in kept.items():
         table[f] = i
-    rows = [(x := table[r])[x >= 0] for r in rows]
-    n, fold = len(kept), np.arange(len(rows)) % folds
-    earlier = np.zeros((len(rows), 0))
+    return [(x := table[r])[x >= 0] for r in rows]
+
+
+def train(rows: list[np.ndarray], ys: np.ndarray, categories: Sequence[str], most_features: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """The chain from feature hashes by row and labels (-1: none); out-of-fold predictions feed the next category."""
+    fold = np.arange(len(rows)) % folds
+    parts_of = [(np.flatnonzero(fold != f), np.flatnonzero(fold == f)) for f in range(folds)]
+    parts_of = [(use, out) for use, out in parts_of if len(use) and len(out)]
+    chosen = [select_features([rows[i] for i in use], ys[use], most_features) for use, _ in parts_of]
+    seen = [renumbered(rows, kept) for kept in chosen]
+    earlier = np.zeros((len(rows), len(categories)))
+    for c in range(len(categories)):
+        for (use, out), kept, near in zip(parts_of, chosen, seen, strict=True):
+            known = use[ys[use, c] >= 0]
+            m = train_linear([near[i] for i in known], earlier[known, :c], ys[known, c], len(kept))
+            earlier[out, c] = sigmoid(m.logits(Bag([near[i] for i in out]), earlier[out, :c]))
+    kept = select_features(rows, ys, most_features) if rows else {}
+    near = renumbered(rows, kept)
     models, thresholds = [], []
     for c in range(len(categories)):
-        known = ys[:, c] >= 0
-        oof = np.zeros(len(rows))
-        for f in range(folds):
-            use = np.flatnonzero(known & (fold != f))
-            m = train_linear([rows[i] for i in use], earlier[use], ys[use, c], n)
-            for i in np.flatnonzero(fold == f):
-                oof[i] = sigmoid(m.logit(rows[i], earlier[i], n))
-        use = np.flatnonzero(known)
-        models.append(train_linear([rows[i] for i in use], earlier[use], ys[use, c], n))
-        thresholds.append(best_threshold(oof[use], ys[use, c]))
-        earlier = np.column_stack([earlier, oof])
+        use = np.flatnonzero(ys[:, c] >= 0) if len(rows) else np.zeros(0, int)
+        models.append(train_linear([near[i] for i in use], earlier[use, :c], ys[use, c], len(kept)))
+        thresholds.append(best_threshold(earlier[use, c], ys[use, c]))
     return Chain(list(categories), kept, models, thresholds)
 
 
@@ -176,7 +198,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     both = docs.select(F.col(id_col).alias("label_id")).join(known, "label_id").dropDuplicates(["label_id"])
     chosen = both.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "label_id")  # at most ``sample`` ids and labels
-    texts = texts.select(F.xxhash64("label_id").alias("id"), "t", *ys)
+    texts = texts.groupBy("label_id").agg(F.min("t").alias("t"), *(F.first(y).alias(y) for y in ys)).select(F.xxhash64("label_id").alias("id"), "t", *ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Features()
@@ -184,7 +206,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
             found = [np.array(sorted(seen.of(t)), np.int32).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(y).cast(pa.int32()) for y in ys), pa.array(found, pa.binary())], names=["id", *ys, "f"])
 
-    got = texts.mapInArrow(run, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").dropDuplicates(["id"]).toArrow()
+    got = texts.mapInArrow(run, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     rows = [np.frombuffer(got.column("f")[int(i)].as_py(), np.int32) for i in order]
     labels_ = np.column_stack([np.array([-1 if v is None else v for v in got.column(y).to_pylist()], int)[order] for y in ys]) if len(order) else np.zeros((0, len(ys)), int)
@@ -214,7 +236,7 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> tuple[DataF
         c = Chain(categories, kept, [Linear(*m) for m in models], thresholds)
         known = Features(c.kept)
         for b in batches:
-            p = np.array([c.probabilities(known.of(t.as_py() or "")) for t in b.column(at)]).reshape(b.num_rows, len(names))
+            p = c.probabilities(Bag([np.array(sorted(known.of(t.as_py() or "")), np.int64) for t in b.column(at)]))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i], pa.float64()) for i in range(len(names)))], names=[*b.schema.names, *names])
 
     at = docs.columns.index(text_col)

@@ -44,15 +44,105 @@ def test_later_models_use_earlier_probabilities():
     rows = [np.array([1000 + f, 2000 + int(rng.integers(0, 5))], np.int32) for f in first]
     chain = toxicity.train(rows, np.column_stack([first, second]), ["a", "b"])
     assert chain.models[1].weights.shape[0] == len(chain.kept) + 1 and chain.models[1].weights[-1] < 0
-    p = chain.probabilities({chain.kept[1001]})
+    p = chain.probabilities(toxicity.Bag([np.array([chain.kept[1001]])]))[0]
     assert p[0] > 0.8 and p[1] < 0.2
 
 
+def dense_chain(x, ys, most, folds=3):
+    """The chain in plain loops over a dense 0/1 matrix of all features: thresholds and a function for probabilities."""
+
+    def chosen(x, ys):
+        score = {}
+        for j in range(x.shape[1]):
+            for c in range(ys.shape[1]):
+                known = ys[:, c] >= 0
+                f, y = x[known, j], ys[known, c]
+                if len(set(y)) < 2 or f.sum() < 4:
+                    continue
+                a, b = (f * y).sum(), (f * (1 - y)).sum()
+                n, p = len(y), y.sum()
+                chi = (a * (n - p - b) - b * (p - a)) ** 2 * n / max(1, (a + b) * (n - a - b) * p * (n - p))
+                score[j] = max(score.get(j, 0), chi)
+        return sorted((j for j in score if score[j] > 10.83), key=lambda j: (-score[j], j))[:most]
+
+    def fitted(z, y, plain):
+        if not len(y) or len(set(y)) < 2:
+            return np.zeros(z.shape[1]), (0.0 if not len(y) else 4.0 if y[0] else -4.0)
+        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        w, m, v = np.zeros(z.shape[1] + 1), 0.0, 0.0
+        for step in range(1, 151):
+            g = weight * (1 / (1 + np.exp(-(z @ w[:-1] + w[-1]))) - y)
+            grad = np.append(z.T @ g + w[:-1], g.sum())
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            w = w - (1 - step / 151) / np.sqrt(max(1.0, plain)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return w[:-1], w[-1]
+
+    def model(x, ys, earlier, c, cols, rows):
+        rows = rows[ys[rows, c] >= 0]
+        return fitted(np.column_stack([x[np.ix_(rows, cols)], earlier[rows, :c]]), ys[rows, c], x[np.ix_(rows, cols)].sum(1).mean())
+
+    def apply(m, x, earlier):
+        return 1 / (1 + np.exp(-(np.column_stack([x, earlier]) @ m[0] + m[1])))
+
+    n, earlier = len(x), np.zeros(ys.shape)
+    for c in range(ys.shape[1]):
+        for f in range(folds):
+            use, out = np.flatnonzero(np.arange(n) % folds != f), np.flatnonzero(np.arange(n) % folds == f)
+            cols = chosen(x[use], ys[use])
+            earlier[out, c] = apply(model(x, ys, earlier, c, cols, use), x[np.ix_(out, cols)], earlier[out, :c])
+    cols = chosen(x, ys)
+    models = [model(x, ys, earlier, c, cols, np.arange(n)) for c in range(ys.shape[1])]
+
+    def probabilities(new):
+        out = np.zeros((len(new), 0))
+        for m in models:
+            out = np.column_stack([out, apply(m, new[:, cols], out)])
+        return out
+
+    return earlier, probabilities
+
+
+def test_chain_against_dense_loops():
+    rng = np.random.default_rng(8)
+    n, width = 240, 60
+    x = (rng.random((n, width)) < 0.15).astype(float)
+    first = (x[:, :3].sum(1) + rng.random(n) > 1.2).astype(int)
+    second = ((x[:, 3:6].sum(1) + first * 0.6 + rng.random(n)) > 1.4).astype(int)
+    ys = np.column_stack([first, second])
+    ys[rng.random(ys.shape) < 0.1] = -1
+    rows = [np.flatnonzero(r).astype(np.int32) for r in x]
+    chain = toxicity.train(rows, ys, ["a", "b"], most_features=8)
+    earlier, probabilities = dense_chain(x, ys, 8)
+    new = (rng.random((50, width)) < 0.15).astype(float)
+    got = chain.probabilities(toxicity.Bag([np.array([chain.kept[j] for j in np.flatnonzero(r) if j in chain.kept], int) for r in new]))
+    assert np.allclose(got, probabilities(new), atol=1e-6)
+    for c in (0, 1):
+        known = ys[:, c] >= 0
+        assert chain.thresholds[c] == pytest.approx(toxicity.best_threshold(earlier[known, c], ys[known, c]), abs=1e-6)
+
+
+def test_features_are_chosen_within_folds(monkeypatch):
+    seen, keep = [], toxicity.select_features
+    monkeypatch.setattr(toxicity, "select_features", lambda rows, ys, most: seen.append(len(rows)) or keep(rows, ys, most))
+    toxicity.train([np.array([i % 7], np.int32) for i in range(90)], np.arange(90)[:, None] % 2, ["a"])
+    assert seen == [60, 60, 60, 90]
+
+
+def test_rows_that_share_an_id_train_on_the_first_text(spark):
+    docs = [(1, "zeta"), (1, "alpha"), (1, None), (2, "b"), (2, "a")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], LABELS)
+    got = [toxicity.sample_features(spark.createDataFrame(d, "doc_id long, text string"), labels, toxicity.label_categories(), "doc_id", "text", 10) for d in (docs, docs[::-1])]
+    want = {tuple(sorted(toxicity.parts("a"))), ()}
+    for rows, ys in got:
+        assert {tuple(r) for r in rows} == want and ys.tolist() == got[0][1].tolist()
+
+
 def test_missing_labels_are_left_out():
     rows = [np.array([5 if i % 2 else 6], np.int32) for i in range(60)]
     ys = np.array([[i % 2, -1] if i < 30 else [-1, i % 2] for i in range(60)])
     chain = toxicity.train(rows, ys, ["a", "b"])
-    assert chain.probabilities({chain.kept[5]})[1] > 0.6 > chain.probabilities({chain.kept[6]})[1]
+    p = chain.probabilities(toxicity.Bag([np.array([chain.kept[x]]) for x in (5, 6)]))
+    assert p[0, 1] > 0.6 > p[1, 1]
 
 
 @pytest.mark.parametrize("labels", [[], [(0, 1, 0), (1, 1, 0)], [(None, 0, 1), (99999, 0, 1)], [(0, None, None)]])
