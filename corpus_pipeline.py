@@ -38,7 +38,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token counts and digests of each document."""
     import public_tokenizers
 
-    return bpe.bpe_round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    return bpe.bpe_round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, boundary=bpe.BOUNDARY)
 
 
 STAGES = [

@@ -1,9 +1,12 @@
 """Byte-level BPE with a local rank file, by tiktoken.
 
-A text is cut into pieces before it is encoded: a long text at positions where a blank or line feed follows another
-kind of character than white space. No match of the splitting pattern spans such a position (a pattern alternative takes white space
-only at its beginning), so the pieces' ids are those of the whole text, and the memory an encoder holds at once is
-bounded by the piece, not by the text. A text without such positions is one piece.
+A long text is cut into pieces before it is encoded, at positions that no match of the splitting pattern spans or looks
+across, so that the pieces' ids are those of the whole text and the memory an encoder holds at once is bounded by the piece.
+Which positions are safe depends on the pattern: ``boundary`` is a regular expression for them, and a pattern that comes
+without one is applied to whole texts. BOUNDARY fits patterns whose alternatives are contractions, an optional blank and
+letters, digits or other characters, and white space: safe are a blank or line feed after anything but white space, and changes
+between ASCII letters, digits and punctuation but the apostrophe, or between ideographs or kana and their punctuation.
+A run of one kind without any of these is one piece.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 PIECE = 100_000
 _encoders: dict[tuple[bytes, str], object] = {}
-_boundary = re.compile(r"(?<=\S)[ \n]")  # narrower than any definition of white space
+# Python's white space is wider, and so \S narrower, than in other engines; the other classes are the same in all
+_mark = r"[!-&(-/:-@\[-`{-~]"
+BOUNDARY = "|".join([r"(?<=\S)(?=[ \n])", "(?<=[A-Za-z])(?=[0-9])", "(?<=[0-9])(?=[A-Za-z])", f"(?<=[A-Za-z0-9])(?={_mark})", f"(?<={_mark})(?=[A-Za-z0-9])", "(?<=[ぁ-ヺ一-龥])(?=[、。！？])", "(?<=[、。！？])(?=[ぁ-ヺ一-龥])"])
 
 
 def ranks_of(data: bytes) -> dict[bytes, int]:
@@ -35,25 +40,25 @@ def encoder(data: bytes, pattern: str):
     return _encoders[key]
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """The text in pieces of about ``size`` code points that end at safe boundaries."""
+def pieces(text: str, boundary: re.Pattern | None, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about ``size`` code points that end at safe boundaries; whole, without a boundary."""
     start = 0
-    while len(text) - start > size and (m := _boundary.search(text, start + size)):
+    while boundary and len(text) - start > size and (m := boundary.search(text, start + size)):
         yield text[start : m.start()]
         start = m.start()
     yield text[start:]
 
 
-def encode(enc, text: str, size: int = PIECE) -> list[int]:
+def encode(enc, text: str, boundary: re.Pattern | None = None, size: int = PIECE) -> list[int]:
     if len(text) <= size:
         return enc.encode_ordinary(text)
     out: list[int] = []
-    for piece in pieces(text, size):
+    for piece in pieces(text, boundary, size):
         out += enc.encode_ordinary(piece)
     return out
 
 
-def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, boundary: str | None = None) -> DataFrame:
     """Encode each whole text (null: empty), decode the ids to raw bytes; one row a row, without an exchange.
 
     Returns id_col, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 and, on request, ids and
@@ -70,11 +75,11 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        enc = encoder(held.value, pattern)
+        enc, cut = encoder(held.value, pattern), re.compile(boundary) if boundary else None
         for batch in batches:
             counts, ids_sha, decoded_sha, all_ids, all_bytes = [], [], [], [], []
             for x in batch.column(1):
-                ids = encode(enc, x.as_py() or "")
+                ids = encode(enc, x.as_py() or "", cut)
                 raw = enc.decode_bytes(ids)
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest())
