@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.llm import linededup
+from loomgraph.llm import linededup, shared
 
 
 def brute(rows):
@@ -54,7 +54,14 @@ def test_repeated_rows_and_extra_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, line_hash string")
     out, before, gone = linededup.dedup_lines(df)
     assert out.columns[:4] == df.columns and before != "n_lines"
-    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["line_hash"], r[gone]) for r in out.collect()) == [(1, "a\nb\nc", 5, "u", 0), (1, "a\nb\nc", 6, "v", 0), (2, "d", 7, "w", 3)]
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["line_hash"], r[gone]) for r in out.collect()) == [(1, "", 6, "v", 3), (1, "a\nb\nc", 5, "u", 0), (2, "d", 7, "w", 3)]
+
+
+def test_equal_texts_without_ids_keep_one_occurrence(spark):
+    df = spark.createDataFrame([(None, "a\nb\nc")] * 5 + [(None, "b\nc")] * 2, "doc_id long, text string").repartition(3)
+    df.write.mode("overwrite").parquet(path := shared.scratch(spark, "line-test"))
+    out, _, gone = linededup.dedup_lines(spark.read.parquet(path))
+    assert sorted((r["text"], r[gone]) for r in out.collect()) == [("", 3)] * 4 + [("a\nb\nc", 0)] + [("b\nc", 0)] * 2
 
 
 def test_long_text_of_repeats(spark):
