@@ -11,8 +11,6 @@ Random numbers are hashes of a seed and the row, so that reruns, retried tasks a
 
 from __future__ import annotations
 
-from math import exp, lgamma
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,26 +43,29 @@ def draw(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """An exact draw; numpy's generator takes populations below 10^9, larger ones are inverted outward from the mode."""
+    """A draw by numpy's generator, which takes populations below 10^9; larger ones are inverted.
+
+    There the probabilities are taken relative to the mode's, as products of ratios of neighbours, out to where they are
+    below 10^-25 of it, and added up: no logarithms of factorials, so that the error is some units of the last place.
+    """
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
     least, most = max(0, n - bad), min(n, good)
     mode = min(max((n + 1) * (good + 1) // (good + bad + 2), least), most)
-    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
-    p = exp(choose(good, mode) + choose(bad, n - mode) - choose(good + bad, n))
-    u, low, high, p_low, p_high = rng.random() - p, mode, mode, p, p
-    while u > 0 and (low > least or high < most):
-        if high < most:
-            p_high *= (good - high) * (n - high) / ((high + 1) * (bad - n + high + 1))
-            high, u = high + 1, u - p_high
-            if u <= 0:
-                return high
-        if low > least:
-            p_low *= low * (bad - n + low) / ((good - low + 1) * (n - low + 1))
-            low, u = low - 1, u - p_low
-            if u <= 0:
-                return low
-    return mode
+
+    def outward(step: int, end: int) -> np.ndarray:
+        """Weights of mode + step, mode + 2 step, ... relative to the mode's."""
+        out, x, weight = [], mode, 1.0
+        while x != end and weight > 1e-25:
+            k = np.arange(x, end, step)[:4096].astype(np.float64)
+            up = (good - k) * (n - k) / ((k + 1) * (bad - n + k + 1)) if step > 0 else k * (bad - n + k) / ((good - k + 1) * (n - k + 1))
+            out.append(weight * np.cumprod(up))
+            x, weight = x + step * len(k), float(out[-1][-1])
+        return np.concatenate(out) if out else np.zeros(0)
+
+    low, high = outward(-1, least), outward(1, most)
+    sums = np.cumsum(np.concatenate([low[::-1], [1.0], high]))
+    return mode - len(low) + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240501, rows_per_part: int = 1 << 17) -> DataFrame:

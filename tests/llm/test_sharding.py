@@ -56,3 +56,13 @@ def test_few_rows_and_none(spark):
     schema = "doc_id long, text string"
     assert sharding.sharded(spark.createDataFrame([], schema)).count() == 0
     assert sorted(r["slot"] for r in sharding.sharded(spark.createDataFrame([(1, "a"), (2, "b")], schema)).collect()) == [0, 0]
+
+
+def test_draws_from_large_urns_follow_the_law():
+    """Beyond numpy's range: mean and variance over many draws, and the same law as numpy's just below."""
+    rng = np.random.default_rng(4)
+    good, bad, n = 400_000_000_000, 600_000_000_000, 1_000
+    x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+    assert abs(x.mean() - 400) < 4 * (240 / 4000) ** 0.5 and abs(x.var() / 240 - 1) < 0.1
+    assert sharding.hypergeometric(rng, 10, 10**12, 10**12 + 10) == 10
+    assert sharding.hypergeometric(rng, 10**12, 3, 0) == 0
