@@ -22,7 +22,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, boundary=bpe.BOUNDARY)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bad_rate", "bad_bound")
+    rows = urlfilter.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_bound")})
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """,
-    "op7_urls": """
+    "op7_urls": r"""
 WITH u AS (
   SELECT page_id, coalesce(instr(url, '://') > 0, FALSE) AS has, substr(url, instr(url, '://') + 3) AS rest FROM pages),
 h AS (
@@ -82,8 +83,8 @@ parts AS (
   SELECT *, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM bare),
 named AS (
   SELECT page_id, host, path,
-         CASE WHEN two IN ('ac.uk','co.jp','co.uk','com.au','com.br','gov.uk','org.uk') THEN three ELSE two END AS domain,
-         CASE WHEN two IN ('ac.uk','co.jp','co.uk','com.au','com.br','gov.uk','org.uk') THEN two ELSE one END AS suffix
+         CASE WHEN regexp_matches(two, '^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN three ELSE two END AS domain,
+         CASE WHEN regexp_matches(two, '^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN two ELSE one END AS suffix
   FROM parts),
 lab AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 hosts AS (
@@ -98,9 +99,9 @@ d2 AS (SELECT domain, (y + k*m) / (n + k) AS m FROM domains, k2),
 h1 AS (SELECT host, n, y, m FROM hosts JOIN d2 USING (domain)),
 k3 AS (SELECT 1 / least(0.5, greatest(0.001, (sum((y - n*m)*(y - n*m) / (m*(1-m))) - sum(n)) / nullif(sum(n*n) - sum(n), 0))) - 1 AS k FROM h1),
 ab AS (SELECT host, y + k*m AS a, n - y + k*(1-m) AS b FROM h1, k3),
-rep AS (SELECT host, a/(a+b) - 1.645*sqrt(a*b / ((a+b)*(a+b)*(a+b+1))) AS bound FROM ab),
+rep AS (SELECT host, a/(a+b) AS rate, a/(a+b) - 1.645*sqrt(a*b / ((a+b)*(a+b)*(a+b+1))) AS bound FROM ab),
 r AS (
-  SELECT page_id, host, path, bound,
+  SELECT page_id, host, path, rate, bound,
          CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
               WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
@@ -109,7 +110,8 @@ r AS (
   FROM named JOIN rep USING (host))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       round(rate, 6) AS bad_rate, round(bound, 6) AS bad_bound
 FROM r
 """,
     "op8_lines": r"""

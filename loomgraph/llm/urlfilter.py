@@ -10,19 +10,23 @@ mean m, the intraclass correlation is
 and the strength is 1 / rho - 1. A host is blocked where the lower bound of its posterior bad rate, mean - z sd of the
 beta law, is above ``most_bad``. Only counts by host are aggregated, with partial sums before each exchange.
 
-The registered domain is the suffix and one more label; the suffix is the last label, or the last two where they are
-one of ``suffixes``. A port and user part don't count for these.
+The registered domain is the suffix and one more label. Suffixes come from a table in the form of the public suffix list
+(:func:`read_suffix_table`: plain, ``*.`` and ``!`` rules, the longest that fits); without a table the suffix is the last label,
+or the last two where the last has two letters and the one before is one of the usual second levels. A port and user part
+don't count for these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+SECOND_LEVEL = r"^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,12 +47,40 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return name, action
 
 
-def levels(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
-    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    two = F.substring_index(bare, ".", -2)
-    long_ = two.isin(*suffixes) if suffixes else F.lit(False)
-    return F.when(long_, F.substring_index(bare, ".", -3)).otherwise(two), F.when(long_, two).otherwise(F.substring_index(bare, ".", -1))
+def bare(host: Column) -> Column:
+    """A host without user part and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def read_suffix_table(spark: SparkSession, path: str) -> DataFrame:
+    """(rule) of a file in the form of the public suffix list: a rule a line, comments after //."""
+    rule = F.lower(F.trim(F.split("value", r"\s|//", 2)[0]))
+    return spark.read.text(path).select(rule.alias("rule")).where("rule <> ''").distinct()
+
+
+def with_levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """hosts (one row a host) with columns domain and suffix."""
+    name = bare(F.col("host"))
+    two, split = F.substring_index(name, ".", -2), F.split(name, r"\.")
+
+    def tail(k: Column) -> Column:
+        """The last k labels, or all."""
+        return F.array_join(F.slice(split, F.greatest(F.lit(1), F.size(split) - k + 1), k), ".")
+
+    if suffixes is None:
+        n = F.when(two.rlike(SECOND_LEVEL), 2).otherwise(1)
+        rows = hosts.withColumn("suffix_labels", n)
+    else:
+        # each tail of a host's labels may be a rule, fit *.rule with one label more, or be an exception, whose suffix is one label shorter
+        at = F.transform(F.sequence(F.lit(1), F.size(split)), lambda k: F.array(
+            F.struct(tail(k).alias("rule"), k.alias("labels"), F.lit(0).alias("first")),
+            F.struct(F.concat(F.lit("*."), F.when(k > 1, tail(k - 1))).alias("rule"), k.alias("labels"), F.lit(0).alias("first")),
+            F.struct(F.concat(F.lit("!"), tail(k)).alias("rule"), (k - 1).alias("labels"), F.lit(1).alias("first")),
+        ))
+        tails = hosts.select("host", F.explode(F.flatten(at)).alias("t")).select("host", "t.*")
+        fits = tails.join(suffixes.select("rule"), "rule").groupBy("host").agg(F.max(F.struct("first", "labels")).alias("best"))
+        rows = hosts.join(fits.select("host", F.col("best.labels").alias("suffix_labels")), "host", "left").withColumn("suffix_labels", F.coalesce("suffix_labels", F.lit(1)))
+    return rows.withColumns({"domain": tail(F.col("suffix_labels") + 1), "suffix": tail(F.col("suffix_labels"))}).drop("suffix_labels")
 
 
 def strength(groups: DataFrame) -> float:
@@ -59,13 +91,13 @@ def strength(groups: DataFrame) -> float:
     return 1 / min(0.5, max(0.001, (s["s"] - s["n"]) / (s["q"] - s["n"]))) - 1
 
 
-def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, y, mean, sd) from (host, bad) rows, bad 0, 1 or null (unlabelled): posterior of each host's bad rate.
 
     Without labelled pages all hosts have the mean 1/2.
     """
-    domain, suffix = levels(F.col("host"), suffixes)
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y")).withColumns({"domain": domain, "suffix": suffix})
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
+    hosts = written(with_levels(hosts, suffixes), "url-hosts")  # a row a host: the pages are read once for all levels
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     all_ = tops.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
@@ -93,7 +125,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.join(known, "page_id", "left")
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, suffixes: Sequence[str] = SUFFIXES, most_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, suffixes: DataFrame | None = None, most_bad: float = 0.5, z: float = 1.645) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bad_bound) of every page; null and odd urls have the empty host."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))

@@ -30,9 +30,18 @@ def test_hosts_paths_and_rules(spark):
 
 
 def test_levels(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("b.org",), ("org",), ("u@x.y.net:8080",), ("",)], "host string")
-    got = [tuple(r) for r in df.select(*urlfilter.levels(df["host"], urlfilter.SUFFIXES)).collect()]
-    assert got == [("b.co.uk", "co.uk"), ("b.org", "org"), ("org", "org"), ("y.net", "net"), ("", "")]
+    df = spark.createDataFrame([("a.b.co.uk",), ("b.org",), ("org",), ("u@x.y.net:8080",), ("",), ("x.co.info",)], "host string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in urlfilter.with_levels(df).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.org": ("b.org", "org"), "org": ("org", "org"), "u@x.y.net:8080": ("y.net", "net"), "": ("", ""), "x.co.info": ("co.info", "info")}
+
+
+def test_levels_by_a_table(spark, tmp_path):
+    (tmp_path / "suffixes.dat").write_text("// public suffixes\ncom\nuk\nco.uk // second level\n*.ck\n!www.ck\ngithub.example\n\n")
+    table = urlfilter.read_suffix_table(spark, str(tmp_path / "suffixes.dat"))
+    assert table.count() == 6
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.uk": ("b.uk", "uk"), "x.y.foo.ck": ("y.foo.ck", "foo.ck"), "a.www.ck": ("www.ck", "ck"), "p.q.github.example:80": ("q.github.example", "github.example"), "odd": ("odd", "odd"), "a.odd": ("a.odd", "odd"), "": ("", "")}
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in urlfilter.with_levels(spark.createDataFrame([(h,) for h in hosts], "host string"), table).collect()}
+    assert got == hosts
 
 
 def outcomes():
