@@ -15,7 +15,8 @@ documents whose shingle sets have a Jaccard similarity of at least the threshold
    threshold shares a node with the target probability. So crowded prefixes of nearly equal texts are resolved deep in the
    tries, and only classes with distant or no partners ask for the wider nodes above.
 4. What is found joins classes to groups, the connected components of at most one edge a member and block of a node.
-   Within a node, members that are already joined aren't compared again.
+   Within a node, members that are already joined aren't compared again. In a node of more than a block, members like the
+   node's least class are joined by it, and only the others are dealt with all members into tiles.
 5. Within a group all pairs are verified exactly, in tiles of two blocks of bounded size, as products of 0/1 matrices.
    A tile returns counts of links a class and a spanning forest of the verified links, never pairs.
 6. Near-duplicate groups are the components of the verified links.
@@ -206,24 +207,25 @@ def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 def joined_pairs(sig: np.ndarray, asks: np.ndarray, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, share): pairs of rows that connect each asking row with the other rows of which so large a share agrees.
 
-    Rows already connected, directly or by others, are not compared again; so rows that are all alike cost one
-    comparison each, and what is returned connects the same rows as all alike pairs would.
+    Rows already connected, directly or by others, are not compared again, and each pair connects two components. So rows
+    that are all alike cost a comparison or two each and return one pair each, but connect what all alike pairs would.
     """
     component = np.arange(len(sig))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[int, int, float]] = []
     for i in asks.tolist():
         left = others[component[others] != component[i]]
-        if not len(left):
-            continue
-        share = (sig[left] == sig[i]).mean(1)
-        hit = share >= least
-        if hit.any():
-            alike = left[hit]
-            found.append((np.full(len(alike), i), alike, share[hit]))
-            component[np.isin(component, component[alike])] = component[i]
+        heads = left[np.unique(component[left], return_index=True)[1]]
+        for group in (heads, left) if len(heads) < len(left) else (left,):
+            group = group[component[group] != component[i]]
+            share = (sig[group] == sig[i]).mean(1)
+            hit = np.flatnonzero(share >= least)
+            for j in hit[np.unique(component[group[hit]], return_index=True)[1]].tolist():
+                found.append((i, int(group[j]), float(share[j])))
+                component[component == component[group[j]]] = component[i]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    a, b, share = zip(*found, strict=True)
+    return np.array(a), np.array(b), np.array(share)
 
 
 def by_group(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
@@ -286,13 +288,34 @@ def trie_nodes(classes: DataFrame, trees: int, depth: int, floor: int) -> DataFr
     return rows.join(shared, f"node_{floor}")
 
 
+def node_sizes(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, m, pivot) of the keys that have several rows, some of which ask: rows, asking rows and the least class."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("m"), F.min("cls").alias("pivot")).where("n > 1 AND m > 0")
+
+
+def joined_to_pivots(rows: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
+    """(cls, node, pivot, share) of the members of nodes of more than a block: how alike they are to the node's pivot."""
+    crowds = node_sizes(rows, "node").where(F.col("n") > block).select("node", "pivot")
+    sigs = classes.select("cls", "signature")
+    pivots = crowds.join(sigs.toDF("pivot", "pivot_signature"), "pivot")
+    members = rows.select("cls", "node").join(pivots, "node").join(sigs, "cls").select("cls", "node", "pivot", "signature", "pivot_signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (3, 4))
+            share = (x == y).mean(1) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.round(share * 1e6).astype(np.int64))], names=["cls", "node", "pivot", "share"])
+
+    return members.mapInArrow(run, "cls long, node long, pivot long, share long")
+
+
 def asked_tiles(rows: DataFrame, key: str, block: int, salt: str) -> DataFrame:
     """Deals (key, asks, ...) rows into tiles x, y of about ``block`` asking rows and as many of all rows of the key.
 
     A row is in a tile as one that asks (side 0) or as one to be compared with (side 1). Keys with one row, or with none that
     asks, have no tiles.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("m")).where("n > 1 AND m > 0")
+    sizes = node_sizes(rows, key)
     sizes = sizes.select(key, F.ceil(F.col("m") / block).cast("int").alias("xs"), F.ceil(F.col("n") / block).cast("int").alias("ys"))
     rows = rows.join(sizes, key)
     cell = lambda n: F.pmod(F.xxhash64(salt), F.col(n)).cast("int")
@@ -334,9 +357,15 @@ def candidate_edges(classes: DataFrame, trees: int, depth: int, floor: int, thre
             rows = rows.withColumn("asks", F.lit(True))
         else:
             rows = rows.join(stopped.withColumn("asks", F.lit(False)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
+        # the members of a crowded node that are like its pivot are joined by it; the others are compared with all members
+        crowds = written(joined_to_pivots(rows, classes, least, block), f"near-crowds-{d}")
+        alike = crowds.where(F.col("share") >= int(least * 1e6))
+        rows = rows.join(crowds.select("cls", "node", (F.col("share") < int(least * 1e6)).alias("unlike")), ["cls", "node"], "left")
+        rows = rows.select("cls", "node", F.coalesce("unlike", "asks").alias("asks"))
         members = asked_tiles(rows, "node", block, "cls").join(classes.select("cls", "signature"), "cls")
         pairs = by_group(members, ["node", "x", "y"], lambda c: compare_node(c, least), "u long, v long, share long")
-        pairs = written(pairs, f"near-pairs-{d}")
+        pairs = written(pairs.unionByName(alike.where("cls <> pivot").select(F.col("cls").alias("u"), F.col("pivot").alias("v"), "share")), f"near-pairs-{d}")
+        discard(crowds)
         found = pairs if found is None else found.unionByName(pairs)
         if d > floor:
             enough = int(least_found(recall, trees, d) * 1e6)
