@@ -63,19 +63,28 @@ def singular(word: str) -> str:
     return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
 
 
-def typo_ratio(column: Column, token: str) -> Column:
-    """The largest Ratcliff-Obershelp similarity of a token to a text or to one of its words of three or more letters, in
-    Arrow batches; null where lengths already rule out 0.8."""
+def typo_possible(column: Column, token: str) -> Column:
+    """Whether the lengths of a text, or of one of its words, allow a similarity of 0.8 to a token."""
+    possible = lambda n: 2.0 * F.least(n, F.lit(len(token))) / (n + len(token)) >= 0.8
+    return possible(F.length(column)) | F.exists(F.split(column, r"(?U)\s+"), lambda w: possible(F.length(w)))
+
+
+def typo_ratio(token: str):
+    """A function of two columns: the largest Ratcliff-Obershelp similarity of the token to one of the texts or to one of
+    their words of three or more letters, in Arrow batches; of texts whose lengths don't rule out 0.8."""
     low = token.lower()
 
     @F.pandas_udf("double")
-    def ratio(values: pd.Series) -> pd.Series:
+    def ratio(names: pd.Series, keys: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        def best(text: str) -> float:
-            return max(SequenceMatcher(None, low, x).ratio() for x in [text, *(w for w in text.split() if len(w) >= 3)])
+        def fits(n: int) -> bool:
+            return 2.0 * min(n, len(low)) / (n + len(low)) >= 0.8
+
+        def best(*texts: str | None) -> float:
+            words = [x.lower() for t in texts if t is not None for x in [t, *(w for w in t.split() if len(w) >= 3)] if fits(len(x))]
+            return max((SequenceMatcher(None, low, x).ratio() for x in words), default=0.0)
 
-        return values.map(lambda v: None if v is None else best(v.lower()))
+        return pd.Series([best(a, b) for a, b in zip(names, keys, strict=True)], dtype="float64")
 
-    possible = lambda n: 2.0 * F.least(n, F.lit(len(low))) / (n + len(low)) >= 0.8
-    return F.when(possible(F.length(column)) | F.exists(F.split(column, r"(?U)\s+"), lambda w: possible(F.length(w))), ratio(column))
+    return ratio

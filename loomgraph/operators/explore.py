@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,10 @@ from . import derive, graph
 from .identity import quoted
 
 
+S_FILES = re.compile(r"[\w./]+\.py:\d+")
+NO_VALUE = ("not found", "none", "n/a")  # fixed values: what stands for nothing in a lifecycle
+
+
 def walk_parent(e: DataFrame, ents: DataFrame, seeds: DataFrame) -> DataFrame:
     """Owner rows that the link columns of the seed nodes name."""
     up = e.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select("src", "rel", F.col("dst").alias("node_key"))
@@ -23,9 +28,10 @@ def walk_parent(e: DataFrame, ents: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def walk_child(wb: Workbook, ents: DataFrame, node: str) -> DataFrame:
     """(sheet, row, col): rows of other sheets with a cell that equals the node's key."""
-    mine = ents.where(F.col("node_key") == node).select(F.col("class").alias("own"), F.col("pk").alias("value"))
-    hits = wb.cells().join(mine, "value").where(F.col("sheet") != F.col("own"))  # the node's one row is the small side
-    return hits.select("sheet", "row", "col")
+    mine = ents.where(F.col("node_key") == node).select("class", "pk").first()
+    if mine is None:
+        return wb.hits("", []).select("sheet", "row", "col")
+    return wb.hits(mine["pk"], [s for s in wb.frames if s != mine["class"]]).select("sheet", "row", "col")
 
 
 def relation_inventory(e: DataFrame, node: str) -> DataFrame:
@@ -71,10 +77,73 @@ def applicable_queries(e: DataFrame, reach: DataFrame, node: str, cls: str) -> D
 
 
 def entity_capabilities(ents: DataFrame, e: DataFrame, node: str) -> list[dict]:
-    """Each question with whether the entity can answer it."""
+    """Each question with whether the entity can answer it, and by what."""
     one = ents.where(F.col("node_key") == node)
+    row = one.select("class", "evidence").first()
     around = e.where((F.col("src") == node) | (F.col("dst") == node))
-    return [{"category": r["category"], "question": r["question"], "supported": bool(r["supported"])} for r in derive.capabilities(one, around).collect()]
+    by = {q: k for _, q, k in derive.QUESTIONS}
+    out = []
+    for r in derive.capabilities(one, around, derive.relation_names(e)).collect():
+        ok = bool(r["supported"])
+        kind = by.get(r["question"])
+        why = row["evidence"] or "none" if kind == "evidence" else row["class"] if kind in ("row", "name") else ("edges" if kind else r["question"][4:].lower()) if ok else "no edges"
+        out.append({"category": r["category"], "question": r["question"], "supported": ok, "evidence": why})
+    return out
+
+
+def applicable_pipelines(wb: Workbook, e: DataFrame, ents: DataFrame, node: str) -> list[dict]:
+    """Steps that fit what the entity has: owners, data flows, neighbours, stages, gaps, evidence, a reconstruction; with ids AQ-01 on."""
+    row = ents.where(F.col("node_key") == node).select("class", "pk", "metadata").first()
+    near = graph.neighbors(e, node)
+    parents = near.where("dir = 'out'").select("rel").limit(1).collect()
+    flows = {r["dir"] for r in near.where(F.col("flow") == "Data").select("dir").distinct().collect()}
+    linked = not near.isEmpty()
+    holds = lambda s: s is not None and not wb.rows(s).where(quoted(wb.header(s)[0]).cast("string") == row["pk"]).isEmpty()
+    executed = holds(next((s.name for s in wb.catalog if s.execution and s.name in wb.frames and "Profile" in s.name), None))
+    tracked = holds(next((s for s in wb.frames if "Lifecycle Status" in s), None))
+    sourced = any(v and S_FILES.search(v) for v in (row["metadata"] or {}).values())
+    found: list[tuple[str, list[str], dict]] = []
+    if parents:
+        found.append((f"OWNER_via_{parents[0]['rel']}", ["seed", "walk_parent", "attach_evidence", "render"], {}))
+    for name, d in (("PRODUCERS", "in"), ("CONSUMERS", "out")):
+        if d in flows:
+            found.append((name, ["seed", "walk", "attach_evidence", "render"], {"direction": d, "flow": "Data"}))
+    if linked:
+        found.append(("NEIGHBORS", ["seed", "walk", "attach_evidence", "render"], {}))
+    if executed:
+        found.append(("EXECUTION_STAGES", ["seed", "stages", "render"], {}))
+    if tracked:
+        found.append(("LIFECYCLE_GAP", ["seed", "lifecycle", "walk", "stages", "gaps", "render"], {}))
+    if sourced:
+        found.append(("EVIDENCE", ["seed", "attach_evidence", "render"], {}))
+    if executed or linked:
+        found.append(("LIFECYCLE_RECONSTRUCT", ["seed", "stages", "walk", "attach_evidence", "render"], {}))
+    return [{"id": f"AQ-{i:02d}", "name": n, "pipeline": p, "bind": b} for i, (n, p, b) in enumerate(found, 1)]
+
+
+def promoted_view(wb: Workbook, promoted: DataFrame, promoted_id: str) -> dict | None:
+    """A repeated value as an entity: its value, column, members, and what can be asked of it."""
+    r = promoted.where(F.col("promoted_id") == promoted_id).orderBy("registry", "col", "value").first()
+    if r is None:
+        return None
+    total = promoted.where((F.col("registry") == r["registry"]) & (F.col("col") == r["col"])).agg(F.sum("members")).first()[0]
+    actions = [("What is", "WHAT_IS", "Identity", 1), ("Name", "GET_NAME", "Identity", 1), (r["registry"], "REL", "Relationships", r["members"]), ("Evidence", "GET_EVIDENCE", "Evidence", 1), ("Source row", "GET_SOURCE_ROW", "Evidence", 1)]
+    return {
+        "id": promoted_id, "name": r["value"], "registry": r["registry"], "column": r["col"], "count": r["members"], "confidence": round(r["members"] / total, 3),
+        "members": derive.promotion_members(wb, r["col"], r["value"]),
+        "actions": [{"label": a, "query": q, "capability": c, "count": n, "available": n > 0} for a, q, c, n in actions],
+    }
+
+
+def source_rows(wb: Workbook, view: dict) -> DataFrame:
+    """The rows that hold a promoted value, with all their columns."""
+    return wb.rows(view["registry"]).where(quoted(view["column"]).cast("string") == view["name"])
+
+
+def busiest(e: DataFrame, ents: DataFrame, limit: int = 8) -> DataFrame:
+    """(id, degree, class, pk, name): the nodes of most edges, ties by node."""
+    top = graph.degrees(e).orderBy(F.desc("degree"), "node").limit(limit)
+    return top.join(ents.select(F.col("node_key").alias("node"), "class", "pk", "name"), "node").select(F.col("node").alias("id"), "degree", "class", "pk", "name")
 
 
 def actions(e: DataFrame, reach: DataFrame, node: str, cls: str) -> DataFrame:
@@ -110,14 +179,33 @@ def analyze(e: DataFrame, ents: DataFrame, reach: DataFrame, node: str) -> DataF
 
 
 def lifecycle(e: DataFrame, ents: DataFrame, node: str) -> DataFrame:
-    """(nth, stage, filled, status): entry, a stage a relation of the class, output and evidence."""
-    cls = ents.where(F.col("node_key") == node).select("class", "evidence").first()
-    rels = e.where(F.col("src_class") == cls["class"]).groupBy("rel").agg(F.min("ord").alias("first"), F.max((F.col("src") == node).cast("int")).alias("filled"))
-    middle = rels.select((F.row_number().over(Window.orderBy("first")) + 0).alias("nth"), F.col("rel").alias("stage"), (F.col("filled") == 1).alias("filled"))  # a row a relation
-    spark = e.sparkSession
-    has_out = not e.where(F.col("src") == node).limit(1).isEmpty()
-    ends = spark.createDataFrame([(0, "Entry", True), (1_000_000, "Output", has_out), (1_000_001, "Evidence", cls["evidence"] is not None)], "nth int, stage string, filled boolean")
-    return ends.unionByName(middle).select("nth", "stage", "filled", F.when(F.col("filled"), "filled").otherwise("not_referenced").alias("status")).orderBy("nth")
+    """(nth, stage, filled, status): entry, a stage a relation of the class, output and evidence.
+
+    Statuses: filled; not_referenced, where the row says nothing of a stage; compiler_missed, where it holds an entity's key or name
+    but there is no edge; genuine_metadata_gap, where it holds anything else; missing, for evidence.
+    """
+    row = ents.where(F.col("node_key") == node).select("class", "evidence", "metadata").first()
+    cells = {k.lower(): (v or "").strip() for k, v in (row["metadata"] or {}).items()}
+    rels = e.where(F.col("src_class") == row["class"]).groupBy("rel").agg(F.min("ord").alias("first"), F.max((F.col("src") == node).cast("int")).alias("filled")).orderBy("first").collect()  # a row a relation
+
+    def cell(stage: str) -> str:
+        value = next((v for k, v in cells.items() if stage.lower() in k), "")
+        return "" if value.lower() in NO_VALUE else value
+
+    def status(stage: str) -> str:
+        value = cell(stage)
+        if not value:
+            return "not_referenced"
+        known = not ents.where((F.col("pk") == value) | (F.lower("name") == value.lower())).limit(1).isEmpty()
+        return "compiler_missed" if known else "genuine_metadata_gap"
+
+    out = [(0, "Entry", bool(cell("entry")), "filled" if cell("entry") else "not_referenced")]
+    for i, r in enumerate(rels, 1):
+        out.append((i, r["rel"], r["filled"] == 1, "filled" if r["filled"] == 1 else status(r["rel"].replace("_", " "))))
+    out.append((1_000_000, "Output", bool(cell("output")), "filled" if cell("output") else "not_referenced"))
+    has = bool(row["evidence"]) and row["evidence"].lower() not in NO_VALUE
+    out.append((1_000_001, "Evidence", has, "filled" if has else "missing"))
+    return e.sparkSession.createDataFrame(out, "nth int, stage string, filled boolean, status string")
 
 
 def gap_analysis(wb: Workbook, sheet: str, pk: str, done: str = "✅") -> DataFrame:
@@ -146,7 +234,7 @@ class Diagnosis:
 def diagnose(checks: dict[str, int], resolved: bool, operations: list[str], has_result: bool) -> Diagnosis:
     """Six layers: structure, identity, relationships, evidence, the question's plan, its result."""
     return Diagnosis({
-        "structure": "PASS" if checks["has_catalog"] and not checks["empty_registries"] else "PARTIAL" if checks["registries"] else "FAIL",
+        "structure": "PASS" if checks["schema_catalog"] and not checks["empty_registries"] else "PARTIAL" if checks["types"] else "FAIL",
         "identity": "PASS" if not checks["duplicate_pk"] else "PARTIAL",
         "relationships": "FAIL" if not checks["relationships"] else "PARTIAL" if checks["broken_fk"] else "PASS",
         "evidence": "PASS" if checks["missing_evidence_pct"] <= 20 else "PARTIAL" if checks["missing_evidence_pct"] < 100 else "FAIL",

@@ -20,6 +20,7 @@ from loomgraph.storage import written
 from . import discovery
 from .identity import quoted
 
+FEW = 200  # so many nodes of a level, or fewer, are looked up by their keys
 EDGE = ["src", "rel", "dst", "src_class", "dst_class", "evidence", "flow", "source", "ord"]
 
 
@@ -173,15 +174,20 @@ def bfs(e: DataFrame, seeds: DataFrame, direction: str = "both", max_hops: int =
     With ``paths`` each node keeps its first-found parent and the edge to it. ``stop`` is a condition on the
     result's columns that ends the search when a level satisfies it.
     """
-    steps = written(both_ways(e, direction), "steps")
+    e = e if hasattr(e, "_stored_at") else written(e, "bfs-edges")  # each level reads the edges again
+    steps = both_ways(e, direction)
     extra = ["parent", "rel", "dir", "evidence", "qpos"] if paths else []
     null = lambda t: F.lit(None).cast(t)
     start = seeds.select("origin", "node").distinct().withColumns({"hop": F.lit(0), "node_class": null("string")})
     if paths:
         start = start.withColumns({"parent": null("string"), "rel": null("string"), "dir": null("string"), "evidence": null("string"), "qpos": F.array().cast("array<bigint>")})
     seen = frontier = written(start.select("origin", "node", "hop", "node_class", *extra), "bfs-0")
+    size = frontier.count()
     for hop in range(1, max_hops + 1):
-        next_ = frontier.select("origin", "node", *(["qpos"] if paths else [])).join(steps, "node")
+        near = steps
+        if size <= FEW:  # so few nodes are looked up by their keys, which reach the scan
+            near = steps.where(F.col("node").isin([r["node"] for r in frontier.select("node").distinct().collect()]))
+        next_ = frontier.select("origin", "node", *(["qpos"] if paths else [])).join(near, "node")
         if paths:
             # the place in the queue is the place of the parent, then the edge's order: arrays that compare level by level
             place = F.concat("qpos", F.array(F.col("step.side"), F.col("step.ord.sheet"), F.col("step.ord.row"), F.col("step.ord.nth")).cast("array<bigint>"))
@@ -192,7 +198,8 @@ def bfs(e: DataFrame, seeds: DataFrame, direction: str = "both", max_hops: int =
             next_ = next_.groupBy("origin", F.col("other").alias("node")).agg(F.lit(hop).alias("hop"), F.min("other_class").alias("node_class"))
         next_ = next_.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
         frontier = written(next_.select("origin", "node", "hop", "node_class", *extra), f"bfs-{hop}")
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
         seen = seen.unionByName(frontier)
         if stop is not None and not frontier.where(stop).isEmpty():
@@ -247,6 +254,57 @@ def all_reachable(e: DataFrame, node: str, target_class: str, max_depth: int = 5
     return bfs(e, one_seed(e, node), "out", max_depth).where((F.col("hop") > 0) & (F.col("node_class") == target_class)).select("node", "hop")
 
 
+def with_paths(found: DataFrame, rows: DataFrame, max_depth: int) -> DataFrame:
+    """rows (origin, node, hop) of a search with paths, with the nodes and the relations on the way, as arrays, a join a level."""
+    step = found.select("origin", F.col("node").alias("at"), "parent", "rel")
+    out = rows.select("origin", "node", "hop", F.col("node").alias("at"), F.array("node").alias("path"), F.array().cast("array<string>").alias("relations"))
+    for _ in range(max_depth):
+        on = F.col("parent").isNotNull()
+        out = out.join(step, ["origin", "at"], "left").select("origin", "node", "hop", F.when(on, F.col("parent")).otherwise(F.col("at")).alias("at"), F.when(on, F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"), F.when(on, F.concat(F.array("rel"), "relations")).otherwise(F.col("relations")).alias("relations"))
+    return out.drop("at")
+
+
+def all_reachable_paths(e: DataFrame, node: str, target_class: str, max_depth: int = 5, reach: DataFrame | None = None, source_class: str | None = None) -> DataFrame:
+    """(node, hop, path, relations): nodes of a class that edges lead to, with first-found shortest paths.
+
+    With the class pairs of :func:`reachability` and the node's class, a pair that isn't among them ends the search before it begins.
+    """
+    if reach is not None and reach.where((F.col("source_class") == source_class) & (F.col("target_class") == target_class)).isEmpty():
+        return e.sparkSession.createDataFrame([], "node string, hop int, path array<string>, relations array<string>")
+    found = bfs(e, one_seed(e, node), "out", max_depth, paths=True)
+    rows = found.where((F.col("hop") > 0) & (F.col("node_class") == target_class))
+    return with_paths(found, rows, max_depth).drop("origin")
+
+
+def path_to_class(e: DataFrame, node: str, target_class: str, max_depth: int = 5, reach: DataFrame | None = None, source_class: str | None = None) -> DataFrame:
+    """The nearest of :func:`all_reachable_paths`, at most one row; ties to the least node."""
+    return all_reachable_paths(e, node, target_class, max_depth, reach, source_class).orderBy("hop", "node").limit(1)
+
+
+def discovered_by_relation(e: DataFrame, node: str, relation: str, reach: DataFrame, source_class: str | None, max_depth: int = 5) -> DataFrame:
+    """(node, hop, path, relations): what several edges reach in the classes that relations of this name (or part) lead into."""
+    into = e.where(F.col("rel").contains(relation)).select(F.col("dst_class").alias("target_class")).distinct()
+    targets = [r["target_class"] for r in into.join(reach.where(F.col("source_class") == source_class), "target_class", "left_semi").collect()]  # a row a class
+    found = bfs(e, one_seed(e, node), "out", max_depth if targets else 0, paths=True)
+    rows = found.where((F.col("hop") > 0) & F.col("node_class").isin(targets))
+    return with_paths(found, rows, max_depth if targets else 0).drop("origin")
+
+
+def intersect_paths(e: DataFrame, a: str, b: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
+    """(node, hop_a, hop_b, distance, path_a, path_b): what both reach, with the paths, nearest first."""
+    seeds = e.sparkSession.createDataFrame([(a, a), (b, b)], "origin string, node string")
+    found = bfs(e, seeds, direction, max_hops, paths=True)
+    rows = with_paths(found, found.where((F.col("hop") > 0) & ~F.col("node").isin(a, b)), max_hops)
+    one = lambda x, n: rows.where(F.col("origin") == x).select("node", F.col("hop").alias(f"hop_{n}"), F.col("path").alias(f"path_{n}"))
+    return one(a, "a").join(one(b, "b"), "node").withColumn("distance", F.col("hop_a") + F.col("hop_b")).orderBy("distance", "node")
+
+
+def direct_reach(e: DataFrame, a: str, b: str, direction: str = "out", max_hops: int = 6) -> dict:
+    """Whether each of two nodes reaches the other, and how."""
+    there, back = path_between(e, a, b, max_hops, direction), path_between(e, b, a, max_hops, direction)
+    return {"a_reaches_b": there is not None, "b_reaches_a": back is not None, "path_ab": there, "path_ba": back}
+
+
 def intersect(e: DataFrame, a: str, b: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
     """(node, hop_a, hop_b, distance): what both reach, themselves left out, nearest first."""
     seeds = e.sparkSession.createDataFrame([(a, a), (b, b)], "origin string, node string")

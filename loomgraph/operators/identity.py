@@ -97,50 +97,56 @@ class Resolution:
         return self.found[0] if len(self.found) == 1 and not self.how.startswith("ambiguous") and self.how not in ("fuzzy", "typo", "unresolved") else None
 
 
-def resolve(ents: DataFrame, token: str, promoted: DataFrame | None = None, most: int = 8) -> Resolution:
+SHOWN = ["node_key", "class", "pk", "name", "canonical"]
+
+
+def resolve(ents: DataFrame, token: str, promoted: DataFrame | None = None, most: int = 8, loosely: bool = True) -> Resolution:
     """Stages in order, the first with a hit decides: id, Class:name, name, promoted value, part of a name, typo.
 
-    Each stage is a filter that stops at a few rows. Several hits of an exact stage make the token ambiguous. Of typos the
-    closest come first.
+    All stages but promoted values and typos are found in one pass that keeps the rows of the least stage. Several hits of an
+    exact stage make the token ambiguous. Of typos the closest come first. Without ``loosely`` the exact stages only.
     """
     t = token.strip()
     low = t.lower()
-    shown = ["node_key", "class", "pk", "name", "canonical"]
-
-    def probe(df: DataFrame, n: int = most + 1, by: tuple = ()) -> list[dict]:
-        return [r.asDict() for r in df.orderBy(*by, "ord").select(*shown).limit(n).collect()]
-
-    if found := probe(ents.where((F.col("pk") == t) | (F.col("node_key") == t) | (F.col("canonical") == t))):
-        return Resolution("id" if len(found) == 1 else "ambiguous_id", found[:most])
     name = F.lower(F.col("name"))
-    if ":" in t:
-        cls, _, rest = t.partition(":")
-        if found := probe(ents.where(F.lower("class").startswith(cls.strip().lower()) & ((name == rest.strip().lower()) | (F.col("pk") == rest.strip())))):
-            return Resolution("class_name" if len(found) == 1 else "ambiguous_name", found[:most])
-    if found := probe(ents.where(name == low)):
-        return Resolution("name" if len(found) == 1 else "ambiguous_name", found[:most])
+    stage = F.when((F.col("pk") == t) | (F.col("node_key") == t) | (F.col("canonical") == t), 0)
+    cls, colon, rest = t.partition(":")
+    if colon:
+        rest = rest.strip()
+        stage = stage.when(F.lower("class").startswith(cls.strip().lower()) & ((name == rest.lower()) | (F.col("pk") == rest)), 1)
+    stage = stage.when(name == low, 2)
+    if low and loosely:
+        stage = stage.when(name.contains(low), 3)
+    rows = ents.withColumn("stage", stage).where("stage IS NOT NULL").orderBy("stage", "ord").select("stage", *SHOWN).limit(most + 1).collect()
+    least = rows[0]["stage"] if rows else None
+    found = [{c: r[c] for c in SHOWN} for r in rows if r["stage"] == least]
+    if least is not None and least < 3:
+        one, several = (("id", "ambiguous_id"), ("class_name", "ambiguous_name"), ("name", "ambiguous_name"))[least]
+        return Resolution(one if len(found) == 1 else several, found[:most])
     if promoted is not None:
-        hit = promoted.where(F.lower("value") == low).select("promoted_id", "registry", "col", "value").limit(1).collect()
+        hit = promoted.where((F.lower("value") == low) | (F.col("promoted_id") == t)).select("promoted_id", "registry", "col", "value").limit(1).collect()
         if hit:
             r = hit[0]
             return Resolution("promoted", [{"node_key": r["promoted_id"], "class": f"{r['registry']}.{r['col']}", "pk": r["promoted_id"], "name": r["value"], "canonical": r["promoted_id"]}])
-    if low and (found := probe(ents.where(name.contains(low)), most)):
-        return Resolution("fuzzy", found)
-    if len(low) >= 3:
-        close = F.greatest(S.typo_ratio(F.col("name"), t), S.typo_ratio(F.col("pk"), t))
-        if found := probe(ents.where(F.col("name").isNotNull()).withColumn("ratio", close).where("ratio >= 0.8"), most, (F.desc("ratio"),)):
-            return Resolution("typo", found)
+    if found:
+        return Resolution("fuzzy", found[:most])
+    if len(low) >= 3 and loosely:
+        # lengths first: the comparison sees only rows that they don't rule out, once
+        may = S.typo_possible(F.col("name"), low) | F.coalesce(S.typo_possible(F.col("pk"), low), F.lit(False))
+        close = ents.where(F.coalesce(may, F.lit(False))).withColumn("ratio", S.typo_ratio(low)(F.col("name"), F.col("pk")))
+        rows = close.where("ratio >= 0.8").orderBy(F.desc("ratio"), "ord").select(*SHOWN).limit(most).collect()
+        if rows:
+            return Resolution("typo", [r.asDict() for r in rows])
     return Resolution("unresolved", [])
 
 
 def reference_lookup(wb: Workbook, value: str, but: str | None = None) -> DataFrame:
     """Rows of other sheets that have a cell equal to the value: (sheet, row, col)."""
-    cells = wb.cells([s for s in wb.frames if s != but])
-    return cells.where(F.col("value") == value).select("sheet", "row", "col")
+    return wb.hits(value, [s for s in wb.frames if s != but]).select("sheet", "row", "col")
 
 
 def evidence_jump(ents: DataFrame, wb: Workbook, pk: str) -> DataFrame:
     """(class, pk, col, value, cell_count): the row's columns that point at sources, and how often the id occurs in cells."""
-    n = wb.cells().where(F.col("value") == pk).count()
+    n = wb.hits(pk).count()
     row = resolve_pk(ents, pk).select("class", "pk", F.explode("metadata").alias("col", "value"))
     return row.where(F.lower("col").rlike("evidence|source|cell|ref|sheet|row")).withColumn("cell_count", F.lit(n))

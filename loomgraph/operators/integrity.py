@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.functions import scalars as S
 from loomgraph.sources.workbook import Workbook
@@ -66,43 +67,71 @@ def duplicate_names(ents: DataFrame) -> DataFrame:
     return ents.where("name <> ''").groupBy("name").agg(F.countDistinct("class").alias("n_classes")).where("n_classes > 1")
 
 
+def shared_pks(wb: Workbook) -> DataFrame:
+    """(pk, n): keys that owner rows have more than once, in one sheet or in several."""
+    out = wb.spark.createDataFrame([], "pk string")
+    for s in wb.owners():
+        out = out.unionByName(wb.rows(s.name).select(quoted(s.pk).cast("string").alias("pk")))
+    return out.where("pk <> ''").groupBy("pk").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def name_changes(ents: DataFrame) -> DataFrame:
+    """(name, n): trimmed, lower-cased names with the times that the next entity of the name is of another class."""
+    name = F.lower(F.trim("name"))
+    before = F.lag("class").over(Window.partitionBy("clean").orderBy("ord"))
+    rows = ents.select(name.alias("clean"), "class", "ord").where("clean <> ''").withColumn("before", before)
+    return rows.where(F.col("before") != F.col("class")).groupBy(F.col("clean").alias("name")).agg(F.count("*").alias("n"))
+
+
 def checks(wb: Workbook, ents: DataFrame, e: DataFrame) -> dict[str, int]:
-    """Counts of what the checks find, each a distributed aggregate."""
-    n = ents.count()
-    with_evidence = ents.where("has_evidence").count()
-    per_class = {r["class"]: r["n"] for r in ents.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    """The twelve integrity metrics, from one aggregate over the entities and one over each kind of finding."""
+    owners = wb.owners()
+    a = ents.agg(F.count("*").alias("n"), F.count_if(~F.col("has_evidence")).alias("missing"), F.collect_set("class").alias("classes")).first()  # a class a sheet
+    edges = e.count()
     return {
-        "registries": len(wb.owners()),
-        "entities": n,
-        "relationships": e.count(),
-        "relation_types": e.select("rel").distinct().count(),
+        "objects": a["n"],
+        "types": len(owners),
+        "relationships": edges,
+        "duplicate_pk": shared_pks(wb).count(),
         "broken_fk": check_fk(wb, ents).count(),
-        "duplicate_pk": duplicate_pks(wb).count(),
-        "duplicate_names": duplicate_names(ents).count(),
-        "empty_registries": sum(s.name not in per_class for s in wb.owners()),
-        "missing_evidence_pct": int(100 * (n - with_evidence) / n) if n else 0,
-        "has_catalog": int(wb.declared),
+        "empty_registries": sum(s.name not in a["classes"] for s in owners),
+        "missing_evidence": a["missing"],
+        "missing_evidence_pct": round(100 * a["missing"] / a["n"]) if a["n"] else 0,
+        "duplicate_names": name_changes(ents).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0],
+        "schema_catalog": int(wb.declared),
+        "schema_evidence": int(any(s.evidence for s in owners)),
+        "schema_fk": int(edges > 0),
     }
 
 
+def dashboard(c: dict[str, int]) -> str:
+    """The metrics as text."""
+    yes = lambda x: "yes" if x else "no"
+    lines = [f"Confidence            {confidence(c)} of 100", f"Objects, types        {c['objects']}, {c['types']}", f"Relationships         {c['relationships']}"]
+    lines += [f"{label:<21} {c[key]}" for label, key in (("Repeated keys", "duplicate_pk"), ("Broken links", "broken_fk"), ("Empty registries", "empty_registries"), ("Repeated names", "duplicate_names"))]
+    lines.append(f"Without evidence      {c['missing_evidence']} ({c['missing_evidence_pct']} %)")
+    lines.append(f"Catalog, evidence, links: {yes(c['schema_catalog'])}, {yes(c['schema_evidence'])}, {yes(c['schema_fk'])}")
+    return "\n".join(lines)
+
+
 def confidence(c: dict[str, int]) -> int:
     """100 less capped penalties."""
     # Penalty a finding and its cap.
     penalty = min(20, 2 * c["broken_fk"]) + min(20, 5 * c["duplicate_pk"]) + min(10, 3 * c["empty_registries"])
     if c["missing_evidence_pct"] > 20:
         penalty += min(15, (c["missing_evidence_pct"] - 20) // 5)
-    penalty += 5 * (not c["has_catalog"]) + 20 * (not c["relationships"])
+    penalty += 5 * (not c["schema_catalog"]) + 20 * (not c["relationships"])
     return max(0, 100 - penalty)
 
 
 def find_sheets(wb: Workbook, value: str) -> DataFrame:
     """(sheet, n): sheets whose cells equal the value."""
-    return wb.cells().where(F.col("value") == value).groupBy("sheet").agg(F.count("*").alias("n"))
+    return wb.hits(value).groupBy("sheet").agg(F.count("*").alias("n"))
 
 
 def observe(wb: Workbook, value: str) -> dict[str, object]:
     """What cells say of an identifier: occurrences, sheets, columns, rows, source files."""
-    hits = wb.cells().where(F.col("value") == value)
+    hits = wb.hits(value)
     r = hits.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("sheet")).alias("sheets"), F.array_sort(F.collect_set("col")).alias("columns"), F.countDistinct("sheet", "row").alias("rows")).first()
     files = wb.cells().join(hits.select("sheet", "row").distinct(), ["sheet", "row"], "left_semi").select(F.explode(F.regexp_extract_all("value", F.lit(r"[\w./]+\.py:\d+"), F.lit(0))).alias("f")).distinct()
     found = {"occurrences": r["n"], "sheets": r["sheets"], "columns": r["columns"], "rows": r["rows"], "files": sorted(x["f"] for x in files.collect())}

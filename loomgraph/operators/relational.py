@@ -40,22 +40,22 @@ def ordered_metrics(df: DataFrame, column: str, descending: bool = False) -> Dat
     return df.orderBy(quoted(column).desc_nulls_first() if descending else quoted(column).asc_nulls_last())
 
 
-def limited(df: DataFrame, n: object = 10, order: Sequence[str] = (ORD,)) -> DataFrame:
-    """The first n rows in row order; what isn't a number is 10, negative numbers are 0."""
+def count_of(n: object) -> int:
+    """A number of rows: what isn't a number is 10, negative numbers are 0."""
     try:
-        count = max(0, int(n))
+        return max(0, int(n))
     except (TypeError, ValueError):
-        count = 10
-    return df.orderBy(*order).limit(count)
+        return 10
+
+
+def limited(df: DataFrame, n: object = 10, order: Sequence[str] = (ORD,)) -> DataFrame:
+    """The first n rows in row order."""
+    return df.orderBy(*order).limit(count_of(n))
 
 
 def top(df: DataFrame, column: str, n: object = 10, descending: bool = True) -> DataFrame:
     """Sort and limit in one: the first n by the value as text."""
-    try:
-        count = max(0, int(n))
-    except (TypeError, ValueError):
-        count = 10
-    return ordered(df, column, descending).limit(count)
+    return ordered(df, column, descending).limit(count_of(n))
 
 
 def distinct_entities(df: DataFrame, pk: str) -> DataFrame:
@@ -128,5 +128,6 @@ def ranked_search(ents: DataFrame, term: str, limit: int = 50) -> DataFrame:
 PREDICATES: dict[str, Callable[[Column, str | None], Column]] = {
     "not_null": lambda c, _: c.isNotNull(),
     "non_empty": lambda c, _: F.coalesce(F.length(c.cast("string")) > 0, F.lit(False)),
+    "equals": lambda c, target: F.coalesce(c.cast("string") == F.lit(target), F.lit(False)),
     "matches": lambda c, target: F.coalesce(c.cast("string").rlike(target or ""), F.lit(False)),
 }

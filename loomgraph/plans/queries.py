@@ -486,16 +486,20 @@ def duplicate_names(spark, d):
     return integrity.duplicate_names(engine(spark, d).entities)
 
 
-@query("""SELECT 'entities' AS metric, count(*) AS value FROM ent UNION ALL SELECT 'relationships', count(*) FROM edges
-UNION ALL SELECT 'relation_types', count(DISTINCT rel) FROM edges UNION ALL SELECT 'registries', 6
+@query("""
+, changed AS (SELECT class <> lag(class) OVER (PARTITION BY lower(trim(name)) ORDER BY sheet, rn) AS other FROM ent WHERE trim(name) <> '')
+SELECT 'objects' AS metric, count(*) AS value FROM ent UNION ALL SELECT 'types', 6 UNION ALL SELECT 'relationships', count(*) FROM edges
+UNION ALL SELECT 'duplicate_pk', count(*) FROM (SELECT pk FROM ent0 GROUP BY pk HAVING count(*) > 1)
 UNION ALL SELECT 'broken_fk', (SELECT count(*) FROM raw WHERE NOT EXISTS (SELECT 1 FROM ent WHERE class = dc AND pk = dp))
-UNION ALL SELECT 'duplicate_pk', 0 UNION ALL SELECT 'empty_registries', 0 UNION ALL SELECT 'missing_evidence_pct', 100 UNION ALL SELECT 'has_catalog', 1
-UNION ALL SELECT 'duplicate_names', (SELECT count(*) FROM (SELECT name FROM ent WHERE name <> '' GROUP BY name HAVING count(DISTINCT class) > 1))""")
+UNION ALL SELECT 'empty_registries', 6 - count(DISTINCT class) FROM ent UNION ALL SELECT 'missing_evidence', count(*) FROM ent UNION ALL SELECT 'missing_evidence_pct', 100
+UNION ALL SELECT 'duplicate_names', count(*) FROM changed WHERE other UNION ALL SELECT 'schema_catalog', 1 UNION ALL SELECT 'schema_evidence', 0 UNION ALL SELECT 'schema_fk', 1""")
 def validation_checks(spark, d):
     return spark.createDataFrame(list(engine(spark, d).checks().items()), "metric string, value long")
 
 
-@query("SELECT 85 AS score", False)
+@query("""
+, v AS (SELECT (SELECT count(*) FROM raw WHERE NOT EXISTS (SELECT 1 FROM ent WHERE class = dc AND pk = dp)) AS f, (SELECT count(*) FROM (SELECT pk FROM ent0 GROUP BY pk HAVING count(*) > 1)) AS d)
+SELECT CAST(100 - least(20, 2 * f) - least(20, 5 * d) - least(15, (100 - 20) // 5) AS INTEGER) AS score FROM v""")
 def confidence_score(spark, d):
     return spark.createDataFrame([(engine(spark, d).confidence(),)], "score int")
 
@@ -535,18 +539,6 @@ def invariants(spark, d):
     return engine(spark, d).invariants()
 
 
-@query(FOUND + """SELECT CASE kind WHEN 'attribute' THEN 'completeness' ELSE 'referential' END AS kind, scope, property, target,
-  CASE kind WHEN 'attribute' THEN scope || ' without ' || property ELSE scope || ' without ' || property || ' to ' || target END AS condition,
-  'report' AS action, CASE kind WHEN 'attribute' THEN 'warning' ELSE 'error' END AS severity FROM inv""")
-def rules(spark, d):
-    return derive.rules(engine(spark, d).invariants())
-
-
-@query(FOUND + "SELECT verb || '_' || upper(scope) || '_' || upper(property) AS name, kind AS from_kind, scope, property FROM inv, (SELECT unnest(['GET', 'FIND_MISSING']) AS verb)")
-def derived_queries(spark, d):
-    return derive.derived_queries(engine(spark, d).invariants())
-
-
 @query("SELECT 'GET_' || upper(rel) AS name, rel FROM (SELECT DISTINCT rel FROM edges)")
 def relation_queries(spark, d):
     return derive.relation_queries(engine(spark, d).edges)
@@ -558,13 +550,17 @@ def relation_groups(spark, d):
 
 
 CAPABILITIES = """
-, c AS (
-  SELECT class, count(*) AS n, count(*) FILTER (node_key IN (SELECT src FROM edges)) AS o, count(*) FILTER (node_key IN (SELECT dst FROM edges)) AS i FROM ent GROUP BY class),
-  q AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', '{q}')" for c, q in derive.QUESTIONS) + """) AS t(category, question)),
-  caps AS (
-    SELECT class, category, question, CASE WHEN question IN ('What does it refer to?', 'What can be reached from it?', 'What are its siblings?') THEN o
-      WHEN question = 'What refers to it?' THEN i WHEN question IN ('What is its evidence?', 'Which stages has it?', 'Is it executed?') THEN 0 ELSE n END AS supported
-    FROM c, q)
+, q(category, question, kind) AS (VALUES
+  ('Identity', 'WHAT_IS', 'row'), ('Identity', 'GET_NAME', 'name'), ('Identity', 'GET_PURPOSE', 'row'), ('Relationships', 'GET_NEIGHBORS', 'edges'), ('Relationships', 'GET_INCOMING', 'edges'),
+  ('Relationships', 'GET_OUTGOING', 'edges'), ('Dependency', 'GET_UPSTREAM', 'edges'), ('Dependency', 'GET_DOWNSTREAM', 'edges'), ('Dependency', 'IS_ROOT', 'edges'), ('Dependency', 'IS_LEAF', 'edges'),
+  ('Integrity', 'CHECK_FK', 'row'), ('Integrity', 'IS_ORPHAN', 'row'), ('Integrity', 'IS_DUPLICATE', 'row'), ('Coverage', 'MISSING_EVIDENCE', 'row'), ('Coverage', 'EMPTY_FIELDS', 'row'),
+  ('Evidence', 'GET_EVIDENCE', 'none'), ('Evidence', 'GET_SOURCE_ROW', 'none')),
+n AS (SELECT class, count(*) AS row_n, count(*) FILTER (name <> '') AS name_n, count(*) FILTER (node_key IN (SELECT node FROM sides)) AS edges_n FROM ent GROUP BY class),
+ends AS (SELECT DISTINCT e.class, s.node, s.rel FROM sides s JOIN ent e ON e.node_key = s.node),
+caps AS (
+  SELECT class, category, question, CASE kind WHEN 'row' THEN row_n WHEN 'name' THEN name_n WHEN 'edges' THEN edges_n ELSE 0 END AS supported FROM n, q
+  UNION ALL
+  SELECT n.class, 'Relations (workbook)', 'GET_' || upper(a.rel), count(DISTINCT ends.node) FROM n CROSS JOIN (SELECT DISTINCT rel FROM edges) a LEFT JOIN ends ON ends.class = n.class AND contains(ends.rel, a.rel) GROUP BY n.class, a.rel)
 """
 
 
@@ -586,16 +582,16 @@ def registry_universe(spark, d):
     return engine(spark, d).registry_universe()
 
 
-@query("""
-, v AS (SELECT 'customer' AS registry, 'c_mktsegment' AS col, c_mktsegment AS value, count(*) AS members FROM customer GROUP BY ALL)
-SELECT registry, col, value, members, 'VPROM:C_MKTSEGMENT:' || value AS promoted_id FROM v WHERE members >= 2""")
-def promotion_candidates(spark, d):
-    return engine(spark, d).promoted.where("col = 'c_mktsegment'")
+PLAIN = {"customer": "c_acctbal c_mktsegment", "supplier": "s_acctbal", "part": "p_brand p_type p_size p_retailprice", "orders": "o_orderstatus o_totalprice o_orderdate o_orderpriority"}
+VALUES = " UNION ALL ".join(f"SELECT '{t}' AS registry, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {t}" for t, cs in PLAIN.items() for c in cs.split())
 
 
-@query()
-def promotion_candidates_all(spark, d):
-    """All sheets and columns; promotion_candidates keeps to what its SQL twin covers."""
+@query(f"""
+WITH cells AS (SELECT * FROM ({VALUES}) WHERE trim(value) <> ''),
+v AS (SELECT registry, col, value, count(*) AS members FROM cells GROUP BY ALL),
+fit AS (SELECT registry, col FROM v GROUP BY ALL HAVING count(*) >= 2 AND max(members) >= 2 AND count(*) <= greatest(3, floor(0.6 * sum(members))))
+SELECT registry, col, value, members, 'VPROM:' || upper(col) || ':' || trim(regexp_replace(upper(value), '[^A-Z0-9]+', '_', 'g'), '_') AS promoted_id FROM v JOIN fit USING (registry, col) WHERE members >= 2""", False)
+def promotion_candidates(spark, d):
     return engine(spark, d).promoted
 
 
@@ -639,29 +635,18 @@ def pk_detection(spark, d):
     return discovery.detect_pks(discovery.profile(engine(spark, d).wb, SMALL))
 
 
-KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+ALL_CELLS = " UNION ".join(f"SELECT DISTINCT '{t}' AS sheet, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {t}" for t, cs in COLUMNS.items() for c in cs.split() if c not in ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "o_orderdate"))
 
 
-@query("""
-WITH c AS (
-  SELECT DISTINCT 'nation' AS sheet, 'n_regionkey' AS col, CAST(n_regionkey AS VARCHAR) AS v FROM nation
-  UNION SELECT 'customer', 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer
-  UNION SELECT 'supplier', 's_nationkey', CAST(s_nationkey AS VARCHAR) FROM supplier),
-k AS (SELECT 'region' AS target, CAST(r_regionkey AS VARCHAR) AS v FROM region UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation
-  UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier),
-h AS (SELECT sheet, col, target, count(*) AS hits FROM c JOIN k USING (v) WHERE sheet <> target GROUP BY ALL),
+@query(f"""
+WITH c AS (SELECT * FROM ({ALL_CELLS}) WHERE v <> ''),
+k AS (SELECT sheet AS target, v FROM c WHERE col IN ('r_regionkey', 'n_nationkey', 'c_custkey', 's_suppkey', 'p_partkey', 'o_orderkey')),
+h AS (SELECT sheet, col, target, count(*) AS hits FROM c JOIN k USING (v) WHERE sheet <> target AND col NOT IN ('r_regionkey', 'n_nationkey', 'c_custkey', 's_suppkey', 'p_partkey', 'o_orderkey') GROUP BY ALL),
 n AS (SELECT sheet, col, count(*) AS total FROM c GROUP BY ALL)
 SELECT sheet, col, target, round(hits / total, 4) AS overlap FROM h JOIN n USING (sheet, col)
 WHERE hits / total >= 0.5 OR (contains(col, substr(target, 1, 8)) AND hits / total >= 0.3)""", False)
 def fk_overlap(spark, d):
-    wb = engine(spark, d).wb
-    few = Workbook(spark, {s: wb.frames[s] for s in KEYS})
-    return discovery.fk_overlap(few, KEYS).where(F.col("col").isin("n_regionkey", "c_nationkey", "s_nationkey"))
-
-
-@query()
-def fk_overlap_all(spark, d):
-    """All sheets, detected keys and columns; fk_overlap keeps to what its SQL twin covers."""
+    """All sheets, detected keys and columns. The twin leaves out amounts and dates, whose texts are no whole numbers."""
     wb = engine(spark, d).wb
     keys = {r["sheet"]: r["col"] for r in discovery.detect_pks(discovery.profile(wb)).collect()}  # a row a sheet
     return discovery.fk_overlap(wb, keys)
@@ -732,7 +717,7 @@ def analyze(spark, d):
     return engine(spark, d).analyze(CUSTOMER)
 
 
-@query("SELECT 0 AS nth, 'Entry' AS stage, TRUE AS filled, 'filled' AS status UNION ALL SELECT 1, 'c_nationkey', TRUE, 'filled' UNION ALL SELECT 1000000, 'Output', TRUE, 'filled' UNION ALL SELECT 1000001, 'Evidence', FALSE, 'not_referenced'", False)
+@query("SELECT 0 AS nth, 'Entry' AS stage, FALSE AS filled, 'not_referenced' AS status UNION ALL SELECT 1, 'c_nationkey', c_nationkey IS NOT NULL, 'filled' FROM customer WHERE c_custkey = 10 UNION ALL SELECT 1000000, 'Output', FALSE, 'not_referenced' UNION ALL SELECT 1000001, 'Evidence', FALSE, 'missing'", False)
 def lifecycle(spark, d):
     return engine(spark, d).lifecycle(CUSTOMER)
 
@@ -745,16 +730,19 @@ def strided_sample(spark, d):
     return explore.strided_sample(engine(spark, d).entities, ["class"], "pk").select("class", "pk")
 
 
-@query("SELECT sheet, feature FROM (VALUES ('region','primary_key'),('region','measure'),('nation','primary_key'),('nation','measure')) AS t(sheet, feature)", False)
-def structural_features(spark, d):
-    wb = engine(spark, d).wb
-    return discovery.features(Workbook(spark, {s: wb.frames[s] for s in ("region", "nation")}))
+FIRST_TEXTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS sheet, v FROM (SELECT {c} AS v FROM {t} ORDER BY {cs.split()[0]} LIMIT 1)"
+    for t, cs in {"region": "r_regionkey r_name", "nation": "n_nationkey n_name", "customer": "c_custkey c_name c_mktsegment", "supplier": "s_suppkey s_name", "part": "p_partkey p_name p_brand p_type", "orders": "o_orderkey o_orderstatus o_orderpriority"}.items()
+    for c in cs.split()[1:]
+)
 
 
-@query()
-def structural_features_all(spark, d):
-    """All sheets; structural_features keeps to what its SQL twin covers."""
-    return discovery.features(engine(spark, d).wb)
+@query(f"""
+WITH t AS ({FIRST_TEXTS}), m AS (SELECT DISTINCT sheet FROM t WHERE length(v) > 12 AND NOT regexp_matches(v, '^[A-Z]+-\\w') AND NOT regexp_matches(v, ':\\d+$'))
+SELECT 'Descriptive Metadata' AS feature, list_aggregate(list(sheet ORDER BY sheet)[1:3], 'string_agg', ',') AS detected_in FROM m HAVING count(*) > 0
+UNION ALL SELECT 'Ordered Sequence (ordinal)', 'customer,nation,orders' UNION ALL SELECT 'Occurrence Frequency', 'ALL' UNION ALL SELECT 'Row/Column Location', 'ALL'""", False)
+def structural_features(spark, d):
+    return engine(spark, d).features().select("feature", F.array_join("detected_in", ",").alias("detected_in"))
 
 
 @query("SELECT 'resolved' AS outcome, count(*) AS n FROM customer", False)
@@ -768,14 +756,11 @@ def render_timeline(spark, d):
     return derive.stages(engine(spark, d).wb, "nation", "7", 1)
 
 
-@query("SELECT sheet, col, n, d FROM (SELECT 'nation' AS sheet, 'n_name' AS col, count(*) AS n, count(DISTINCT n_name) AS d FROM nation UNION ALL SELECT 'nation', 'n_nationkey', count(*), count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'nation', 'n_regionkey', count(*), count(DISTINCT n_regionkey) FROM nation)", False)
-def column_profile(spark, d):
-    return discovery.profile(engine(spark, d).wb, ["nation"]).select("sheet", "col", "n", "d")
+PROFILE = " UNION ALL ".join(f"SELECT '{t}' AS sheet, '{c}' AS col, count(*) AS n, count(DISTINCT {c}) AS d FROM {t}" for t, cs in COLUMNS.items() for c in cs.split())
 
 
-@query()
-def column_profile_all(spark, d):
-    """All sheets; column_profile keeps to what its SQL twin covers."""
+@query(PROFILE, False)
+def column_profile(spark, d):
     return discovery.profile(engine(spark, d).wb).select("sheet", "col", "n", "d")
 
 
@@ -800,3 +785,9 @@ def discover_path(spark, d):
     region = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey = 10").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
     x = engine(spark, d).discover(cid("region", region), CUSTOMER)
     return spark.createDataFrame([(x["status"], x["distance"], x["confidence"], x["weakest_tier"])], "status string, distance int, confidence double, weakest_tier string")
+
+
+from . import registry_queries  # noqa: E402
+
+QUERIES |= registry_queries.QUERIES
+ORACLES |= registry_queries.ORACLES

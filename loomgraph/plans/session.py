@@ -14,7 +14,7 @@ from loomgraph.sources import sinks, workbook
 from loomgraph.sources.workbook import Workbook
 from loomgraph.storage import written
 
-from . import language
+from . import language, planner
 
 
 class Engine:
@@ -41,7 +41,8 @@ class Engine:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return written(graph.edges(self.wb, self.entities), "edges")
+        # near their sources, so that lookups by source read few row groups
+        return written(graph.edges(self.wb, self.entities).repartitionByRange("src").sortWithinPartitions("src"), "edges")
 
     @cached_property
     def promoted(self) -> DataFrame:
@@ -166,7 +167,7 @@ class Engine:
 
     def diagnose(self, text: str) -> explore.Diagnosis:
         answer = self.ask(text)
-        return explore.diagnose(self.checks(), bool(answer["intent"].targets or answer["intent"].unresolved), answer["operations"], answer["result"] is not None)
+        return explore.diagnose(self.checks(), answer["execution"].target is not None, answer["operations"], answer["result"] is not None)
 
     def discover(self, query: str, context: str | None = None, max_hops: int = 6) -> dict:
         """What a token is and, from a context, the path to it with the confidence of its hops."""
@@ -204,62 +205,106 @@ class Engine:
                 return {"entity": token, "relation": relation, "mode": "discovered", "items": far}
         return {"entity": token, "relation": relation, "mode": "empty", "items": rows.select("dir", "other", "evidence"), "reason": f"no edge or path of {rel} starts at {token}"}
 
+    @cached_property
+    def queries(self) -> dict[str, dict]:
+        """The canonical queries and one a relation, by name."""
+        return {r["name"]: r.asDict() for r in derive.workbook_queries(self.edges).collect()}  # a row a relation
+
     def answer(self, query: str, token: str) -> dict:
-        """A canonical query: GET_<RELATION> of an entity; unknown names give a note."""
-        names = {r["name"]: r["rel"] for r in derive.relation_queries(self.edges).collect()}  # a row a relation
-        if query not in names:
-            return {"query": query, "entity": token, "result": None, "note": "there is no such query"}
-        return {"query": query, "entity": token} | self.explain_relation(token, names[query])
+        """A canonical query of an entity, by its plan; unknown names give a note."""
+        q = self.queries.get(query)
+        out: dict = {"query": query, "entity": token}
+        if q is None:
+            return out | {"result": None, "note": "there is no such query"}
+        node = self._node(token)
+        plan = planner.query_plan_for(self, q, node)
+        if q["objective"] == "traverse" and q["relation"] != "*":
+            return out | self.explain_relation(token, q["relation"]) | {"plan": plan}
+        state = planner.run(self, plan, token)
+        items = state.edges if q["objective"] == "traverse" else state.evidence if q["objective"] == "attribute" else state.rows
+        return out | {"mode": "direct", "items": items, "result": state.result, "plan": plan, "trace": list(state.trace)}
 
     # --- questions in words ------------------------------------------------------------------------------------------
 
-    def ask(self, text: str) -> dict:
-        """Tokens, intent, operations and the result of a question about a registry or entities."""
+    def node_of(self, token: str) -> str | None:
+        """The node of a token that names one exactly."""
+        found = identity.resolve(self.entities, token, self.promoted, loosely=False).one
+        return found and found["node_key"]
+
+    def class_of(self, node: str) -> str | None:
+        r = self.entities.where(F.col("node_key") == node).select("class").first()
+        return r and r["class"]
+
+    def pk_of(self, node: str) -> str | None:
+        r = self.entities.where(F.col("node_key") == node).select("pk").first()
+        return r and r["pk"]
+
+    def relation_between(self, a: str, b: str) -> tuple[str | None, str]:
+        """The first relation between two classes, and its direction seen from the second: 'in' where a's edges lead to b."""
+        rows = self.edges.where(((F.col("src_class") == a) & (F.col("dst_class") == b)) | ((F.col("src_class") == b) & (F.col("dst_class") == a)))
+        r = rows.groupBy("rel", "src_class").agg(F.min("ord").alias("first")).orderBy("first").first()
+        return (None, "in") if r is None else (r["rel"], "in" if r["src_class"] == a else "out")
+
+    def classify_word(self, token: str) -> planner.Meaning:
+        """A number, a word of the grammar, of the workbook, an entity (exactly), several entities, or nothing known."""
+        if planner.looks_like_number(token):
+            return planner.Meaning("number", token, value=int(token) if token.isdigit() else float(token))
+        found = self.vocabulary.candidates(token)
+        if found:
+            c = found[0]
+            kind = "concept" if c.owner == "grammar" else "workbook"
+            return planner.Meaning(kind, token, c.canonical, c.type, candidates=tuple(found))
+        hit = identity.resolve(self.entities, token, self.promoted, loosely=False)
+        if hit.one:
+            return planner.Meaning("entity", token, hit.one["node_key"], hit.one["class"])
+        if hit.found:
+            return planner.Meaning("ambiguous", token, candidates=tuple(x["node_key"] for x in hit.found))
+        return planner.Meaning("unresolved", token)
+
+    def plan(self, text: str) -> dict:
+        """Tokens, meanings, the trees of scopes and tasks, and the plan of a question, before it runs."""
         tokens = language.tokenize(text, self.vocabulary)
-        intent = language.intent_of(tokens, self.vocabulary)
-        ops = language.operations(intent)
-        out: dict = {"query": text, "tokens": tokens, "intent": intent, "operations": ops, "result": None}
-        registry = next((c.canonical for c in intent.targets if c.type == "registry"), None)
-        named = [n for n in (self.node(x) for x in intent.unresolved) if n]
-        if "PATH" in ops and len(named) >= 2:
-            out["result"] = graph.path_between(self.edges, named[0], named[1])
-        elif "COMPARE" in ops and len(named) >= 2:
-            out["result"] = compare.compare_pair(self.edges, named[0], named[1])
-        elif "DEPENDENCY" in ops and named:
-            out["result"] = graph.neighbors(self.edges, named[0], "in")
-        elif "REACHABILITY" in ops and named:
-            out["result"] = graph.neighbors(self.edges, named[0], "out")
-        elif "REVERSE" in ops and named and not registry:
-            out["result"] = graph.reverse_lookup(self.edges, self.entities, named[0])
-        elif "EVIDENCE" in ops and named:
-            out["result"] = self.entities.where(F.col("node_key") == named[0]).select("class", "pk", "evidence", "metadata")
-        elif "SEARCH" in ops and intent.unresolved and not registry:
-            out["result"] = self.search(" ".join(intent.unresolved))
-        elif registry and named:
-            prefix = self.wb.sheet(registry).prefix
-            out["result"] = graph.reverse_lookup(self.edges, self.entities, named[0], source_prefix=prefix)
-            if "COUNT" in ops:
-                out["result"] = out["result"].select("src").distinct().count()
-        elif registry:
-            rows = self.wb.rows(registry)
-            n = intent.values[0] if intent.values else 10
-            if "COUNT" in ops:
-                out["result"] = rows.count()
-            elif "DISTINCT" in ops:
-                out["result"] = relational.distinct_entities(rows, self.wb.sheet(registry).pk)
-            elif {"SUM", "AVG", "MIN", "MAX"} & set(ops):
-                # a column that the question names, or else a count, as the operation without a column gives
-                fn = next(o for o in ops if o in ("SUM", "AVG", "MIN", "MAX")).lower()
-                column = next((c for c in self.wb.header(registry) if c.lower() in {x.lower() for x in intent.unresolved}), None)
-                out["result"] = relational.aggregate(rows, fn, column)
-            elif "SORT_DESC" in ops or "SORT_ASC" in ops:
-                sheet = self.wb.sheet(registry)
-                out["result"] = relational.top(rows, sheet.label or sheet.pk, n, "SORT_DESC" in ops)
-            else:
-                out["result"] = relational.limited(rows, n)
-        elif named:
-            out["result"] = self.discover(intent.unresolved[-1], intent.unresolved[0] if len(named) > 1 else None)
-        return out
+        meanings = [self.classify_word(t.text) for t in tokens]
+        # relations are named in passing: they aren't targets
+        scope = planner.scopes([m for m in meanings if m.type != "relation"])
+        task = planner.resolved(planner.tasks(scope), self)
+        words = [m.text for m in meanings if m.kind == "unresolved"]
+        operations = list(dict.fromkeys(op for t in task.walk() for op in t.operations))
+        return {"query": text, "tokens": tokens, "meanings": meanings, "intent": language.intent_of(tokens, self.vocabulary), "scopes": scope, "execution": task, "operations": operations, "plan": planner.compiled(task), "words": words}
+
+    def ask(self, text: str) -> dict:
+        """A question about registries or entities: its plan, what ran, and the result."""
+        made = self.plan(text)
+        state = planner.run(self, made["plan"], made["execution"].target, made["words"])
+        return made | {"trace": list(state.trace), "result": state.result, "state": state}
+
+    def open_entity(self, token: str | None) -> object:
+        """A registry's members in order, or what an entity is."""
+        if token is None:
+            return None
+        if self.wb.sheet(token):
+            return self.wb.rows(token).orderBy(workbook.ORD)
+        return self.discover(token)
+
+    def suggest(self, token: str, limit: int = 8) -> dict:
+        """Next steps from an entity; the candidates of an ambiguous token; for an unknown one search hits or the busiest nodes."""
+        r = self.resolve(token)
+        if r.one and not r.one["node_key"].startswith("VPROM:"):
+            return {"status": "resolved", "items": self.suggest_next(token, limit=limit)}
+        if r.found:
+            return {"status": "ambiguous", "items": r.found[:limit]}
+        hits = self.search(token).limit(limit)
+        return {"status": "search", "items": hits} if not hits.isEmpty() else {"status": "unknown", "items": explore.busiest(self.edges, self.entities, limit)}
+
+    def promoted_entity(self, promoted_id: str) -> dict | None:
+        return explore.promoted_view(self.wb, self.promoted, promoted_id)
+
+    def pipelines(self, token: str) -> list[dict]:
+        return explore.applicable_pipelines(self.wb, self.edges, self.entities, self._node(token))
+
+    def reachable(self, token: str, target_class: str) -> DataFrame:
+        node, cls = self._known(token)
+        return graph.all_reachable_paths(self.edges, node, target_class, reach=self.reachability, source_class=cls)
 
     def request(self, text: str, target: str | None = None, verb: str = "", stage: str | None = None) -> dict:
         """A request by its class: data flow, dependencies, execution stages, rows at a stage, audits, gaps, or a lookup."""
@@ -296,9 +341,27 @@ class Engine:
     def invariants(self, threshold: float = 1.0) -> DataFrame:
         return derive.invariants(self.wb, self.entities, self.edges, threshold)
 
+    def property_invariants(self, threshold: float = 1.0) -> DataFrame:
+        return derive.property_invariants(self.wb, self.entities, self.edges, threshold)
+
     def derive_all(self) -> dict[str, DataFrame]:
-        found = written(self.invariants(), "invariants")
-        return {"invariants": found, "rules": derive.rules(found), "queries": derive.derived_queries(found)}
+        """Invariants, the rules that they become, and the queries that these become, by the workbook's own registries if it has them."""
+        found = written(self.property_invariants(), "invariants")
+        ruled = derive.rules_by_templates(found, derive.rule_templates(self.wb))
+        return {"invariants": found, "rules": ruled, "queries": derive.queries_by_families(ruled, derive.query_families(self.wb))}
+
+    def features(self) -> DataFrame:
+        return discovery.features(self.wb, self.entities)
+
+    def closure(self) -> DataFrame:
+        return discovery.closure(self.features())
+
+    def overview(self) -> str:
+        """The workbook's kind, its registries and relations, and its integrity, as text."""
+        kinds = self.registry_universe().join(derive.registry_previews(self.entities), "class").orderBy("class").collect()  # a row a sheet
+        rels = derive.relation_universe(self.edges).orderBy(F.desc("n"), "rel").collect()  # a row a relation
+        lines = [discovery.summary(self.wb), "", *(f"{r['class']}: {r['entities']} ({', '.join(r['preview'])})" for r in kinds), "", *(f"{r['rel']}: {r['n']} ({r['kind']})" for r in rels)]
+        return "\n".join([*lines, "", integrity.dashboard(self.checks())])
 
     def checks(self) -> dict[str, int]:
         return integrity.checks(self.wb, self.entities, self.edges)
@@ -314,5 +377,5 @@ class Engine:
 
     def export(self, path: str) -> dict[str, int]:
         """Report tables as a ZIP; entities and edges themselves go to Parquet."""
-        tables = self.derive_all() | {"cardinality": graph.cardinality(self.edges), "capabilities": self.capabilities(), "registries": self.registry_universe(), "reachability": self.reachability, "features": discovery.features(self.wb)}
+        tables = self.derive_all() | {"cardinality": graph.cardinality(self.edges), "capabilities": self.capabilities(), "registries": self.registry_universe(), "reachability": self.reachability, "features": self.features().withColumn("detected_in", F.array_join("detected_in", ", ")), "nodes": self.entities.drop("metadata", "ord"), "edges": self.edges.drop("ord")}
         return sinks.export_zip(tables, path, {"checks": self.checks(), "classification": discovery.classify(self.wb)})

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import date
+from decimal import Decimal
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +107,45 @@ class Workbook:
         return out
 
 
+    def hits(self, value: str, sheets: Iterable[str] | None = None) -> DataFrame:
+        """Cells that equal the value, as (sheet, row, col_ix, col, value): a filter on typed columns first, which reaches the scan."""
+        out = self.spark.createDataFrame([], "sheet string, row long, col_ix int, col string, value string")
+        for name in self.frames if sheets is None else sheets:
+            df = self.frame(name)
+            head = self.header(name)
+            tests = [(i, c, t) for i, c in enumerate(head) if (t := _equal(F.col(f"`{c}`"), df.schema[c].dataType, value)) is not None]
+            if not tests:
+                continue
+            any_ = tests[0][2]
+            for *_, t in tests[1:]:
+                any_ = any_ | t
+            items = F.array(*(F.struct(F.lit(i).alias("col_ix"), F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for i, c, _ in tests))
+            part = df.where(any_).select(F.lit(name).alias("sheet"), F.col(ORD).alias("row"), F.explode(items).alias("c"))
+            out = out.unionByName(part.select("sheet", "row", "c.col_ix", "c.col", "c.value").where(F.col("value") == value))
+        return out
+
+
+def _equal(column: Column, kind: T.DataType, value: str) -> Column | None:
+    """A condition that a column has to meet for its cells to read like the value, without a cast of the column; None if none can."""
+    try:
+        if isinstance(kind, T.StringType):
+            return column == value
+        if isinstance(kind, T.BooleanType):
+            return column == (value == "true") if value in ("true", "false") else None
+        if isinstance(kind, T.IntegralType):
+            bits = {"byte": 7, "short": 15, "integer": 31, "long": 63}[kind.typeName()]
+            return column == int(value) if str(int(value)) == value and -(1 << bits) <= int(value) < 1 << bits else None
+        if isinstance(kind, T.DecimalType):
+            return column == Decimal(value)
+        if isinstance(kind, T.FractionalType):
+            return column == F.lit(float(value)).cast(kind)
+        if isinstance(kind, T.DateType):
+            return column == F.lit(date.fromisoformat(value))
+    except (ValueError, ArithmeticError):
+        return None
+    return column.cast("string") == value
+
+
 def unique_header(labels: Sequence[object]) -> list[str]:
     """Labels as column names; repeated ones get a number, blank ones a place."""
     out: list[str] = []

@@ -261,7 +261,7 @@ def test_exploring(robot):
     assert {r["mode"] for r in robot.applicable_queries("JNT-1").collect()} == {"direct", "discovered"}
     kinds = {r["kind"] for r in robot.analyze("JNT-1").collect()}
     assert {"registry_membership", "evidence", "siblings", "reachable_relations", "next_steps", "dependencies"} <= kinds
-    assert [r["status"] for r in robot.lifecycle("JNT-1").collect()] == ["filled"] * 5
+    assert [r["status"] for r in robot.lifecycle("JNT-1").collect()] == ["not_referenced", "filled", "filled", "not_referenced", "filled"]
     assert robot.diagnose("count joints").band == "green"
     assert robot.observe("ACT-1")["occurrences"] == 3 and robot.observe("ACT-1")["files"] == ["act.py:5", "robot.py:10", "robot.py:30"]
     assert all(x["supported"] for x in robot.describe("JNT-1") if x["category"] == "identity")

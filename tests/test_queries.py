@@ -9,6 +9,10 @@ SMALL = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+# The driver's tables have no such flaws; the registry workbook has: reg_check_fk and others.
+EMPTY = {"resolve_pk", "reverse_lookup", "explain_relation", "intersect_two", "check_fk", "find_dead", "duplicate_pk", "duplicate_names"}
+
+
 def plain(v):
     if isinstance(v, bool) or v is None:
         return str(v)
@@ -30,6 +34,7 @@ def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    assert got or name in EMPTY
     quoted = ", ".join(f'"{c}"' for c in columns)
     assert sorted(con.sql(queries.ORACLES[name]).columns) == columns
     assert got == rows(con.sql(f"SELECT {quoted} FROM ({queries.ORACLES[name]})").fetchall())
@@ -46,21 +51,18 @@ def test_fk_overlap_of_all_sheets(spark):
             own = next(x for x in queries.CATALOG if x.name == s).pk
             if s != sheet.name and c != own and (share >= 0.5 or (sheet.name[:8] in c and share >= 0.3)):
                 want[s, c, sheet.name] = share
-    got = {(r["sheet"], r["col"], r["target"]): r["overlap"] for r in queries.QUERIES["fk_overlap_all"](spark, SMALL).collect()}
+    got = {(r["sheet"], r["col"], r["target"]): r["overlap"] for r in queries.QUERIES["fk_overlap"](spark, SMALL).collect()}
     assert got == pytest.approx(want, abs=1e-4) and ("orders", "o_custkey", "customer") in got
 
 
-def test_profile_features_and_promotion_of_all_sheets(spark):
+def test_profile_and_promotion_of_all_sheets(spark):
     wb, values = queries.engine(spark, SMALL).wb, {}
     for r in wb.cells().collect():
         values.setdefault((r["sheet"], r["col"]), []).append(r["value"])
     rows = {s.name: wb.frame(s.name).count() for s in queries.CATALOG}
     want = {k: (rows[k[0]], len(set(v))) for k, v in values.items()}
-    assert {(r["sheet"], r["col"]): (r["n"], r["d"]) for r in queries.QUERIES["column_profile_all"](spark, SMALL).collect()} == want
-    found = queries.QUERIES["structural_features_all"](spark, SMALL).collect()
-    assert {r["sheet"] for r in found if r["feature"] == "primary_key"} == {s.name for s in queries.CATALOG}
-    assert ("orders", "status") in {(r["sheet"], r["feature"]) for r in found}
-    promoted = queries.QUERIES["promotion_candidates_all"](spark, SMALL).collect()
+    assert {(r["sheet"], r["col"]): (r["n"], r["d"]) for r in queries.QUERIES["column_profile"](spark, SMALL).collect()} == want
+    promoted = queries.QUERIES["promotion_candidates"](spark, SMALL).collect()
     assert {"customer", "orders"} <= {r["registry"] for r in promoted}
     assert all(r["members"] == values[r["registry"], r["col"]].count(r["value"]) for r in promoted)
 
