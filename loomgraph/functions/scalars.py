@@ -87,4 +87,4 @@ def typo_ratio(token: str):
 
         return pd.Series([best(a, b) for a, b in zip(names, keys, strict=True)], dtype="float64")
 
-    return ratio
+    return ratio.asNondeterministic()  # so that a filter on it is not pushed below, where it would run again

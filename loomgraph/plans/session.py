@@ -278,6 +278,15 @@ class Engine:
         state = planner.run(self, made["plan"], made["execution"].target, made["words"])
         return made | {"trace": list(state.trace), "result": state.result, "state": state}
 
+    def query_entity(self, token: str, prefer: str | None = None) -> dict:
+        """The first of an entity's pipelines, or one whose name holds the preferred word, and what it is about."""
+        found = self.discover(token)
+        if found["status"] != "resolved":
+            return found
+        fits = self.pipelines(token)
+        chosen = next((p for p in fits if prefer and prefer.upper() in p["name"]), fits[0] if fits else None)
+        return found | {"pipelines": fits, "chosen": chosen, "result": self.relation_view(token)}
+
     def open_entity(self, token: str | None) -> object:
         """A registry's members in order, or what an entity is."""
         if token is None:
