@@ -95,7 +95,7 @@ def applicable_pipelines(wb: Workbook, e: DataFrame, ents: DataFrame, node: str)
     """Steps that fit what the entity has: owners, data flows, neighbours, stages, gaps, evidence, a reconstruction; with ids AQ-01 on."""
     row = ents.where(F.col("node_key") == node).select("class", "pk", "metadata").first()
     near = graph.neighbors(e, node)
-    parents = near.where("dir = 'out'").select("rel").limit(1).collect()
+    parents = near.where("dir = 'out'").orderBy("step").select("rel").limit(1).collect()
     flows = {r["dir"] for r in near.where(F.col("flow") == "Data").select("dir").distinct().collect()}
     linked = not near.isEmpty()
     holds = lambda s: s is not None and not wb.rows(s).where(quoted(wb.header(s)[0]).cast("string") == row["pk"]).isEmpty()

@@ -62,7 +62,7 @@ def relationship_edges(wb: Workbook, ents: DataFrame) -> DataFrame:
             raise ValueError(f"the relationship sheet {s.name!r} has no column {need!r}")
     text = lambda c: quoted(c).cast("string") if c else F.lit(None).cast("string")
     evidence = next((c for c in head if c.lower().startswith("evidence")), None)
-    flow = next((c for c in head if c.lower().startswith("flow")), None)
+    flow = next((c for c in head if c.lower().startswith("flow type")), next((c for c in head[1:] if c.lower().startswith("flow")), None))
     rows = wb.frame(s.name).select(text("Source (FK)").alias("src_pk"), text("Relation").alias("rel"), text("Target (FK)").alias("dst_pk"), text(flow).alias("flow"), text(evidence).alias("evidence"), F.struct(F.lit(-1).alias("sheet"), F.col(ORD).alias("row"), F.lit(0).alias("nth")).alias("ord"))
     a = ents.select(F.col("pk").alias("src_pk"), F.col("node_key").alias("src"), F.col("class").alias("src_class"))
     b = ents.select(F.col("pk").alias("dst_pk"), F.col("node_key").alias("dst"), F.col("class").alias("dst_class"))

@@ -1,7 +1,7 @@
 """Registered queries over a registry workbook made of the driver's tables: prefixed keys, marked links, evidence, states, prose
 and flaws (broken links, repeated rows, names that two classes share), so that what looks for flaws has some to find.
 
-Four sheets: Region, Nation, Supplier and Customer Registry. Every seventh supplier names a nation that isn't there, every
+Four sheets own entities: Region, Nation, Supplier and Customer Registry; a fifth holds flows from every third customer. Every seventh supplier names a nation that isn't there, every
 fifth is dead, every tenth row comes twice, every ninth is called like a nation; odd suppliers have no evidence.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import derive, discovery, explore, graph, identity, integrity, relational
-from loomgraph.sources.workbook import ORD, Link, Sheet, Workbook
+from loomgraph.sources.workbook import ORD, Link, Sheet, Workbook, from_csv
+from loomgraph.storage import scratch
 
 from . import language, planner
 from .session import Engine
@@ -24,6 +25,7 @@ CATALOG = (
     Sheet("Nation Registry", prefix="NAT", evidence="Evidence", entity="Nation", links=(Link("Region (FK)", "Region Registry"),)),
     Sheet("Supplier Registry", prefix="SUP", evidence="Evidence", entity="Supplier", links=(Link("Nation (FK)", "Nation Registry"),)),
     Sheet("Customer Registry", prefix="CUS", evidence="Evidence", entity="Customer", links=(Link("Nation (FK)", "Nation Registry"),)),
+    Sheet("Flow Registry", owner=False, relations=True),
 )
 # The sheets in SQL: text keys, links, evidence; supplier rows that come twice have a place after all others.
 SHEETS = {
@@ -34,6 +36,7 @@ SHEETS = {
         'formerly (until 1999); NATION_' || (s_suppkey + 1) % 25 AS "Nation Notes", CASE WHEN s_suppkey % 2 = 0 THEN 'sup.py:' || s_suppkey END AS "Evidence",
         CAST(s_suppkey AS BIGINT) + again * 1000000000 AS _ord FROM supplier, (SELECT 0 AS again UNION ALL SELECT 1) AS t WHERE again = 0 OR s_suppkey % 10 = 0""",
     "Customer Registry": "SELECT 'CUS-' || c_custkey AS \"Customer ID\", c_name AS \"Name\", 'NAT-' || c_nationkey AS \"Nation (FK)\", c_mktsegment AS \"Segment\", 'crm.py:' || c_custkey AS \"Evidence\", CAST(c_custkey AS BIGINT) AS _ord FROM customer",
+    "Flow Registry": "SELECT 'FLOW-' || c_custkey AS \"Flow ID\", 'CUS-' || c_custkey AS \"Source (FK)\", 'ships to' AS \"Relation\", 'NAT-' || c_nationkey AS \"Target (FK)\", CASE WHEN c_custkey % 2 = 0 THEN 'Data' ELSE 'Control' END AS \"Flow Type\", 'flow.py:' || c_custkey AS \"Evidence\", CAST(c_custkey AS BIGINT) AS _ord FROM customer WHERE c_custkey % 3 = 0",
 }
 _engines: dict[tuple[str, str], Engine] = {}
 
@@ -69,6 +72,7 @@ raw AS (
   SELECT 'Nation Registry' AS sc, "Nation ID" AS sp, 'Region (FK)' AS col, 'region' AS rel, "Region (FK)" AS dp, "Evidence" AS evidence, 'declared' AS source FROM nation_sheet
   UNION ALL SELECT 'Supplier Registry', "Supplier ID", 'Nation (FK)', 'nation', "Nation (FK)", "Evidence", 'declared' FROM supplier_sheet
   UNION ALL SELECT 'Customer Registry', "Customer ID", 'Nation (FK)', 'nation', "Nation (FK)", "Evidence", 'declared' FROM customer_sheet
+  UNION ALL SELECT 'Customer Registry', "Source (FK)", 'Flow', 'ships to', "Target (FK)", "Evidence", 'declared' FROM flow_sheet
   UNION ALL SELECT 'Supplier Registry', s."Supplier ID", 'Nation Notes', 'nation_notes', n."Nation ID", s."Evidence", 'inferred'
     FROM supplier_sheet s JOIN nation_sheet n ON lower(n."Name") = lower(trim(split_part(s."Nation Notes", ';', 2)))),
 edges AS (SELECT sp AS src, rel, e.pk AS dst, sc AS src_class, e.class AS dst_class, raw.evidence, source FROM raw JOIN ent e ON e.pk = dp),
@@ -285,7 +289,7 @@ n AS (SELECT class, count(*) AS row_n, count(*) FILTER (name <> '') AS name_n, c
 caps AS (
   SELECT class, category, question, CASE kind WHEN 'row' THEN row_n WHEN 'name' THEN name_n WHEN 'evidence' THEN evidence_n ELSE edges_n END AS supported FROM n, q
   UNION ALL
-  SELECT n.class, 'Relations (workbook)', 'GET_' || upper(a.rel), (SELECT count(DISTINCT e.pk) FROM ent e JOIN sides s ON s.node = e.pk WHERE e.class = n.class AND contains(s.rel, a.rel)) FROM n, (SELECT DISTINCT rel FROM edges) a)
+  SELECT n.class, 'Relations (workbook)', 'GET_' || replace(upper(a.rel), ' ', '_'), (SELECT count(DISTINCT e.pk) FROM ent e JOIN sides s ON s.node = e.pk WHERE e.class = n.class AND contains(s.rel, a.rel)) FROM n, (SELECT DISTINCT rel FROM edges) a)
 """
 
 
@@ -307,13 +311,13 @@ def reg_entity_capabilities(spark, d):
     return spark.createDataFrame([(x["category"], x["question"], x["supported"]) for x in got], "category string, question string, supported boolean").where(F.col("question").isin("GET_EVIDENCE", "GET_REGION", "GET_OUTGOING"))
 
 
-@query("""SELECT * FROM (VALUES ('Cross-Sheet Reference (FK)', 'Customer Registry,Nation Registry,Supplier Registry'), ('Descriptive Metadata', 'Customer Registry,Supplier Registry'), ('Entity-Identity (PK)', 'Customer Registry,Nation Registry,Region Registry'),
- ('Hierarchy (parent/child)', 'Customer Registry,Nation Registry,Supplier Registry'), ('Occurrence Frequency', 'ALL'), ('Provenance (file:line)', 'Customer Registry,Nation Registry,Supplier Registry'), ('Row/Column Location', 'ALL')) AS t(feature, detected_in)""")
+@query("""SELECT * FROM (VALUES ('Cross-Sheet Reference (FK)', 'Customer Registry,Flow Registry,Nation Registry'), ('Directed Edge (relationship)', 'Flow Registry'), ('Edge Attribute', 'Flow Registry'), ('Descriptive Metadata', 'Customer Registry,Supplier Registry'), ('Entity-Identity (PK)', 'Customer Registry,Flow Registry,Nation Registry'),
+ ('Hierarchy (parent/child)', 'Customer Registry,Flow Registry,Nation Registry'), ('Occurrence Frequency', 'ALL'), ('Provenance (file:line)', 'Customer Registry,Flow Registry,Nation Registry'), ('Row/Column Location', 'ALL')) AS t(feature, detected_in)""")
 def reg_features(spark, d):
     return engine(spark, d).features().select("feature", F.array_join("detected_in", ",").alias("detected_in"))
 
 
-@query("SELECT 7 AS value, 0 AS gaps")
+@query("SELECT 9 AS value, 0 AS gaps")
 def reg_closure(spark, d):
     return engine(spark, d).closure().agg(F.count("*").alias("value"), F.count_if(~F.col("covered")).alias("gaps"))
 
@@ -453,9 +457,9 @@ def reg_ask_count(spark, d):
     return one(spark, engine(spark, d).ask("count suppliers")["result"])
 
 
-@query("SELECT count(DISTINCT src) AS value FROM edges WHERE dst = 'NAT-3' AND src_class = 'Customer Registry' AND rel = 'nation'")
+@query("SELECT count(DISTINCT src) AS value FROM edges WHERE dst = 'NAT-3' AND src_class = 'Customer Registry' AND rel = 'ships to'")
 def reg_ask_count_related(spark, d):
-    """'count customers NAT-3': the relation between the classes is found in the edges."""
+    """'count customers NAT-3': the relation between the classes is the first in the edges, that of the flows."""
     got = engine(spark, d).ask("count customers NAT-3")
     return one(spark, got["result"]).where(F.lit(got["operations"] == ["COUNT_RELATED"]))
 
@@ -553,12 +557,6 @@ def reg_slugs(spark, d):
     return spark.createDataFrame([(h, S.relation_slug(h)) for h in ("Actuator (FK)", "Name(s)", "--")], "header string, slug string")
 
 
-def _rows(spark: SparkSession, d: str, name: str) -> list[list]:
-    df = workbook(spark, d).frame(name)
-    head = [c for c in df.columns if c != ORD]
-    return [head, *([r[c] for c in head] for r in df.orderBy(ORD).limit(50).collect())]
-
-
 @query("SELECT \"Region ID\" AS pk, \"Name\" AS name FROM region_sheet")
 def reg_inferred_catalog(spark, d):
     """The catalog of a workbook that declares none, from its identifiers."""
@@ -567,3 +565,141 @@ def reg_inferred_catalog(spark, d):
     links = {(s.name, x.column): x.target for s in wb.catalog for x in s.links}
     right = owners.get("Region Registry") == "REG" and links.get(("Nation Registry", "Region (FK)")) == "Region Registry" and "Supplier Registry" not in owners
     return identity.entities(wb).where((F.col("class") == "Region Registry") & F.lit(right)).select("pk", "name")
+
+
+# --- flows and requests ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT \"Source (FK)\" AS src, \"Relation\" AS rel, \"Target (FK)\" AS dst, \"Flow Type\" AS flow FROM flow_sheet")
+def reg_flow_edges(spark, d):
+    return engine(spark, d).edges.where("flow IS NOT NULL").select("src", "rel", "dst", "flow")
+
+
+@query("SELECT \"Target (FK)\" AS node, \"Source (FK)\" AS other FROM flow_sheet WHERE \"Flow Type\" = 'Data' AND \"Target (FK)\" IN ('NAT-3', 'NAT-4')")
+def reg_flow_walk(spark, d):
+    """Data flows into two nations."""
+    e = engine(spark, d)
+    seeds = spark.createDataFrame([("NAT-3",), ("NAT-4",)], "node string")
+    return graph.walk_relationship(e.edges, seeds, "in", flow="Data").select("node", "other")
+
+
+@query("SELECT * FROM (VALUES ('AQ-01', 'OWNER_via_ships to'), ('AQ-02', 'CONSUMERS'), ('AQ-03', 'NEIGHBORS'), ('AQ-04', 'EVIDENCE'), ('AQ-05', 'LIFECYCLE_RECONSTRUCT')) AS t(id, name)")
+def reg_flow_pipelines(spark, d):
+    return spark.createDataFrame([(x["id"], x["name"]) for x in engine(spark, d).pipelines("CUS-6")], "id string, name string")
+
+
+@query("SELECT \"Source (FK)\" AS node, \"Target (FK)\" AS other FROM flow_sheet WHERE \"Source (FK)\" = 'CUS-6' AND \"Flow Type\" = 'Data'")
+def reg_request_flow(spark, d):
+    return engine(spark, d).request("trace the flow", "CUS-6")["result"].select("node", "other")
+
+
+@query("SELECT pk, class FROM ent WHERE pk NOT IN (SELECT src FROM edges) ORDER BY sheet, _ord LIMIT 200")
+def reg_request_orphans(spark, d):
+    return engine(spark, d).request("orphan audit")["result"].select("pk", "class")
+
+
+@query("""SELECT "Supplier ID" AS pk, "Status" AS value FROM supplier_sheet WHERE "Status" LIKE 'Dead%'""")
+def reg_request_dead(spark, d):
+    return engine(spark, d).request("audit what is dead")["result"].select("pk", "value")
+
+
+@query("SELECT * FROM (VALUES ('trace data', 'Q-03'), ('which command runs', 'Q-05'), ('how does it run', 'Q-04'), ('audit keys', 'Q-07'), ('why is it so', 'Q-08'), ('used by whom', 'Q-02'), ('what is it', 'Q-01')) AS t(request, class)")
+def reg_request_classes(spark, d):
+    asked = ("trace data", "which command runs", "how does it run", "audit keys", "why is it so", "used by whom", "what is it")
+    return spark.createDataFrame([(a, language.request_class(a)) for a in asked], "request string, class string")
+
+
+@query(CHECKS + """, v AS (SELECT max(value) FILTER (metric = 'broken_fk') AS f, max(value) FILTER (metric = 'duplicate_pk') AS d, max(value) FILTER (metric = 'missing_evidence_pct') AS p FROM c)
+SELECT 'structure' AS layer, 'PASS' AS verdict FROM v UNION ALL SELECT 'identity', CASE WHEN d > 0 THEN 'PARTIAL' ELSE 'PASS' END FROM v UNION ALL SELECT 'relationships', CASE WHEN f > 0 THEN 'PARTIAL' ELSE 'PASS' END FROM v
+UNION ALL SELECT 'evidence', CASE WHEN p <= 20 THEN 'PASS' WHEN p < 100 THEN 'PARTIAL' ELSE 'FAIL' END FROM v UNION ALL SELECT 'plan', 'PASS' UNION ALL SELECT 'result', 'PASS'""")
+def reg_diagnose(spark, d):
+    return spark.createDataFrame(list(engine(spark, d).diagnose("count suppliers").layers.items()), "layer string, verdict string")
+
+
+@query("SELECT DISTINCT rel AS canonical, replace(rel, '_', ' ') AS word FROM edges")
+def reg_vocabulary_of_relations(spark, d):
+    found = [(c.canonical, c.word) for held in engine(spark, d).vocabulary.entries.values() for c in held if c.type == "relation"]
+    return spark.createDataFrame(found, "canonical string, word string")
+
+
+@query("SELECT * FROM (VALUES (1, 'superseded'), (2, 'deprecated'), (3, 'active')) AS t(version, status)")
+def reg_vocabulary_history(spark, d):
+    """Meanings are marked and added, never changed."""
+    v = language.Vocabulary()
+    v.add("client", "Customer Registry", "registry")
+    v.deprecate("client", "Customer Registry", "renamed")
+    v.add("client", "Customer Registry", "registry")
+    return spark.createDataFrame([(c.version, c.status) for c in v.history("client")], "version int, status string")
+
+
+# --- sources and schemas ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT \"Nation ID\", \"Name\", \"Region (FK)\", \"Evidence\" FROM nation_sheet")
+def reg_csv_workbook(spark, d):
+    """A sheet written as CSV and read as a workbook."""
+    path = f"{scratch(spark, 'csv')}/nations.csv"
+    workbook(spark, d).frame("Nation Registry").orderBy(ORD).drop(ORD).coalesce(1).write.csv(path, header=True)
+    return from_csv(spark, path).frame("nations").drop(ORD)
+
+
+@query("SELECT * FROM (VALUES ('registry sheets', 'Registry'), ('one flat sheet', 'Tabular'), ('a few rows', 'Unknown')) AS t(what, strategy)")
+def reg_strategies(spark, d):
+    flat = spark.range(40).selectExpr("id AS a", "id % 3 AS b", "'x' AS c", f"id AS {ORD}")
+    cases = {"registry sheets": workbook(spark, d), "one flat sheet": Workbook(spark, {"t": flat}), "a few rows": Workbook(spark, {"t": flat.limit(3)})}
+    return spark.createDataFrame([(k, discovery.strategy(w)) for k, w in cases.items()], "what string, strategy string")
+
+
+@query("SELECT * FROM (VALUES ('Nation Registry', 'Region (FK)', 'Region Registry'), ('Customer Registry', 'Nation (FK)', 'Nation Registry'), ('Flow Registry', 'Source (FK)', 'Customer Registry'), ('Flow Registry', 'Target (FK)', 'Nation Registry'), ('Supplier Registry', 'Nation (FK)', 'Nation Registry')) AS t(sheet, \"column\", target)")
+def reg_inferred_links(spark, d):
+    wb = discovery.infer_catalog(workbook(spark, d))
+    return spark.createDataFrame([(s.name, x.column, x.target) for s in wb.catalog for x in s.links], "sheet string, column string, target string")
+
+
+@query("SELECT * FROM (VALUES ('Region Registry', 'REG', 0), ('Nation Registry', 'NAT', 1), ('Customer Registry', 'CUS', 1)) AS t(name, prefix, links)")
+def reg_declared_catalog(spark, d):
+    """The catalog that a workbook declares in a sheet of its own."""
+    head = ["Registry (self)", "Role in Model", "PK Prefix", "FK Edges (→ owner registry)", "Evidence Col"]
+    rows = [("Region Registry", "Owner (entity: Region)", "REG", "", "Evidence", 0), ("Nation Registry", "Owner (entity: Nation)", "NAT", "Region → Region Registry", "Evidence", 1), ("Customer Registry", "Owner (entity: Customer)", "CUS", "Nation → Nation Registry", "Evidence", 2)]
+    frames = workbook(spark, d).frames | {"Registry Catalog": spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in head) + f", {ORD} long")}
+    wb = discovery.catalog_from_sheet(Workbook(spark, frames))
+    return spark.createDataFrame([(s.name, s.prefix, sum(x.target is not None for x in s.links)) for s in wb.owners()], "name string, prefix string, links int")
+
+
+@query("SELECT * FROM (VALUES ('Nation Notes', 'Nation Registry'), ('Regions served', 'Region Registry'), ('Status', NULL), ('Supplier', 'Supplier Registry')) AS t(header, target)")
+def reg_prose_targets(spark, d):
+    wb = engine(spark, d).wb
+    found = [(h, discovery.prose_target(wb, h)) for h in ("Nation Notes", "Regions served", "Status", "Supplier")]
+    return spark.createDataFrame([(h, t and t.name) for h, t in found], "header string, target string")
+
+
+@query("""SELECT "Supplier ID" AS pk, trim(regexp_replace(upper("Status"), '[^A-Z0-9]+', '_', 'g'), '_') AS slug, split_part("Supplier ID", '-', 1) AS prefix, lower(trim("Status")) IN ('none', 'unknown') AS no_value, TRY_CAST("Name" AS DOUBLE) IS NOT NULL AS is_number FROM supplier_sheet""")
+def reg_scalars(spark, d):
+    c = F.col
+    return engine(spark, d).wb.rows("Supplier Registry").select(c("Supplier ID").alias("pk"), S.upper_slug(c("Status")).alias("slug"), S.id_prefix(c("Supplier ID")).alias("prefix"), S.is_null_word(c("Status")).alias("no_value"), S.is_number(c("Name")).alias("is_number"))
+
+
+@query("SELECT * FROM (VALUES ('joints', 'joint'), ('Companies', 'company'), ('class', 'class')) AS t(word, \"one\")")
+def reg_singulars(spark, d):
+    return spark.createDataFrame([(w, S.singular(w)) for w in ("joints", "Companies", "class")], "word string, one string")
+
+
+@query("SELECT CASE WHEN \"Nation (FK)\" IN (SELECT pk FROM ent) THEN 'resolved' ELSE 'not_found' END AS outcome, count(*) AS n FROM supplier_sheet GROUP BY 1")
+def reg_canonicalization(spark, d):
+    e = engine(spark, d)
+    return explore.canonicalization_report(e.wb, "Supplier Registry", "Nation (FK)", e.entities)
+
+
+@query("SELECT a.pk AS source, CAST(2 AS INTEGER) AS distance, 'L1' AS weakest_tier, 1.0::DOUBLE AS confidence FROM ent a WHERE pk = 'CUS-2'")
+def reg_discover(spark, d):
+    """From a customer to its region, over declared edges."""
+    e = engine(spark, d)
+    target = graph.all_reachable_paths(e.edges, "CUS-2", "Region Registry").first()["node"]
+    x = e.discover(target, "CUS-2")
+    return spark.createDataFrame([(x["source"], x["distance"], x["weakest_tier"], x["confidence"])], "source string, distance int, weakest_tier string, confidence double")
+
+
+@query("SELECT 'SUP-2' AS src, \"dst\" AS other, rel FROM edges WHERE src = 'SUP-2' UNION ALL SELECT 'SUP-2', src, rel FROM edges WHERE dst = 'SUP-2'")
+def reg_query_entity(spark, d):
+    got = engine(spark, d).query_entity("SUP-2")["result"]
+    return got.select(F.lit("SUP-2").alias("src"), "other", "rel")
