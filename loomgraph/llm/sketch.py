@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import text_or_empty
+from .shared import small, text_or_empty
 
 K, WORDS = 128, 5
 
@@ -71,51 +71,62 @@ MOST_RANGES, STRIDE = 65_536, 256
 
 
 def id_ranges(docs: DataFrame, id_col: str, rows: int) -> list[int]:
-    """Bounds of id ranges of about so many rows each, at most 65,536."""
+    """Bounds of id ranges of about so many rows each, at most 65,536; an id that fills a range has one of its own."""
     n = docs.select(id_col).count()
     parts = min(MOST_RANGES, max(1, -(-n // rows)))
     if parts == 1:
         return []
     at = [i / parts for i in range(1, parts)]
     got = docs.select(F.percentile_approx(id_col, at, max(10_000, 4 * parts)).alias("x")).first()[0] or []
-    return sorted({int(x) for x in got})
+    often = {int(a) for a, b in zip(got, got[1:], strict=False) if a == b}
+    return sorted({int(x) for x in got} | {x + 1 for x in often if x < (1 << 63) - 1})
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, own: dict[str, Column], rows: int = 500) -> DataFrame:
     """(id, text, next_text) and, for each column of ``own`` (expressions over text), itself and that of the next row as next_*.
 
-    Rows are in ascending order of id, nulls last, ties by text; after the last comes the first. Ids are cut into ranges
-    at approximate percentiles, and the first row of a range is also put at the end of the one before, so that ranges
-    are ordered apart and no window spans the table. There are at most 65,536 ranges; bounds are longs.
+    Rows are in ascending order of id, nulls last, ties by a hash of the text, then the text; after the last comes the first. Ids
+    are cut into ranges at approximate percentiles, ranges of one id, or of null ids, that have many rows are cut by the hash,
+    and the first row of a range is also put at the end of the one before, so that ranges are ordered apart and no window
+    spans the table. Bounds are longs. (Only rows that repeat id and text stay together however many they are.)
     """
     bounds = id_ranges(docs.where(F.col(id_col).isNotNull()), id_col, rows)
-    rows_ = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("part", _range_of(bounds, F.col("id")))
-    # ranges that have rows, and their first ids: at most 65,536 rows of numbers
-    firsts = rows_.groupBy("part").agg(F.min("id").alias("first_id")).orderBy("part").collect()
-    before = {r["part"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    heads = docs.sparkSession.createDataFrame([(r["part"], r["first_id"], before[r["part"]]) for r in firsts], "part int, first_id long, before int")
-    # of the rows with a range's first id that with the smallest text is its first
+    rows_ = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    rows_ = rows_.withColumns({"h": F.xxhash64("text"), "range": _range_of(bounds, F.col("id"))})
+    # what ranges have: at most some 65,536 rows of numbers, from the ids alone
+    sizes = rows_.groupBy("range").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
+    hot = [(r["range"], min(MOST_RANGES, -(-r["n"] // rows))) for r in sizes if r["lo"] == r["hi"] and r["n"] > 2 * rows]
+    if hot:
+        cuts = small(docs.sparkSession.createDataFrame(hot, "range int, cuts int"), len(hot))
+        share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+        rows_ = rows_.join(cuts, "range", "left").withColumn("cut", F.coalesce(F.least(F.col("cuts") - 1, F.floor(share * F.col("cuts"))), F.lit(0)).cast("int")).drop("cuts")
+    else:
+        rows_ = rows_.withColumn("cut", F.lit(0))
+    parts = ["range", "cut"]
+    firsts = rows_.groupBy(*parts).agg(F.min("id").alias("first_id")).orderBy(*parts).collect()
+    heads = docs.sparkSession.createDataFrame([(*r, *firsts[i - 1][:2]) for i, r in enumerate(firsts)], "range int, cut int, first_id long, range_before int, cut_before int")
+    # of the rows with a range's first id that with the least hash and text is its first
     head = (
-        rows_.join(F.broadcast(heads), "part")
+        rows_.join(small(heads, len(firsts), 1_000_000), parts)
         .where(F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy("part", "before").agg(F.min("text").alias("text"))
-        .select(F.lit(None).cast("long").alias("id"), "text", F.col("before").alias("part"), F.lit(True).alias("sentinel"))
+        .groupBy(*parts, "range_before", "cut_before").agg(F.min(F.struct("h", "text")).alias("first"))
+        .select(F.lit(None).cast("long").alias("id"), "first.text", "first.h", F.col("range_before").alias("range"), F.col("cut_before").alias("cut"), F.lit(True).alias("sentinel"))
     )
-    both = rows_.withColumn("sentinel", F.lit(False)).unionByName(head).repartition("part")
+    both = rows_.withColumn("sentinel", F.lit(False)).unionByName(head).repartition(*parts)
     both = both.select("*", *(c.alias(name) for name, c in own.items()))
-    w = Window.partitionBy("part").orderBy("sentinel", F.col("id").asc_nulls_last(), "text")
+    w = Window.partitionBy(*parts).orderBy("sentinel", F.col("id").asc_nulls_last(), "h", "text")
     ahead = [F.lead(x).over(w).alias(f"next_{x}") for x in ("text", *own)]
     return both.select("id", "text", "sentinel", *own, *ahead).where(~F.col("sentinel")).drop("sentinel")
 
 
 def _range_of(bounds: list[int], column: Column) -> Column:
-    """The number of bounds that aren't above the id; null ids are in the last range. Every 256th bound is looked up first."""
+    """The number of bounds that aren't above the id; null ids are in a range after all. Every 256th bound is looked up first."""
     if not bounds:
-        return F.lit(0)
+        return F.when(column.isNull(), 1).otherwise(0)
     longs = lambda x: F.expr(f"cast(split('{','.join(map(str, x))}', ',') AS array<bigint>)")
     up_to = lambda x: F.size(F.filter(x, lambda b: b <= column))
     first = F.greatest(up_to(longs(bounds[::STRIDE])) - 1, F.lit(0)) * STRIDE
-    return F.when(column.isNull(), len(bounds)).otherwise(first + up_to(F.slice(longs(bounds), first + 1, STRIDE)))
+    return F.when(column.isNull(), len(bounds) + 1).otherwise(first + up_to(F.slice(longs(bounds), first + 1, STRIDE)))
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -127,7 +138,7 @@ def edited_text(text: Column, following: Column) -> Column:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likenesses; one row a row.
 
-    Null texts are empty. Rows are ordered by id (nulls last), ties by text; repeated rows follow one another, so that
+    Null texts are empty. Rows are ordered by id (nulls last), ties by a hash of the text; repeated rows follow one another, so that
     the next document of one may be its copy. A single row is its own next document. Texts are exchanged once.
     """
     rows = with_next(docs, id_col, text_col, {"a": sketch(F.col("text"), k)})

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomgraph.llm import sketch
@@ -21,7 +22,8 @@ def texts(n=40, seed=1):
 
 
 def brute(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t, seed=42)) - (h >> 63 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1] or ""), r[1] or ""))
     out = []
     for i, (id_, t) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
@@ -55,6 +57,17 @@ def test_ranges_give_the_same_next(spark, rows):
     assert sorted((r["id"] is None, r["id"] or 0, r["text"], r["next_text"]) for r in got) == want
 
 
+def test_many_rows_without_an_id_or_with_one(spark, monkeypatch):
+    """Ranges of one id are cut by the hash; no window has many more rows than a range is to have."""
+    data = [(None, f"n{i}") for i in range(300)] + [(5, f"t{i}") for i in range(300)] + [(i, f"s{i}") for i in range(40)] + [(None, "n7")] * 3
+    sizes, keep = [], sketch.small
+    monkeypatch.setattr(sketch, "small", lambda df, rows, most=100_000: sizes.append((df.columns, rows)) or keep(df, rows, most))
+    got = sketch.with_next(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text", {}, 20).collect()
+    want = sorted((id_ is None, id_ or 0, t, n) for id_, t, _, n in brute(data))
+    assert sorted((r["id"] is None, r["id"] or 0, r["text"], r["next_text"]) for r in got) == want
+    assert sizes[0][1] >= 2 and sizes[1][1] >= 2 * 300 // 20 * 0.8
+
+
 def test_merge_containment_and_counts(spark):
     a, b = texts(2, 5)[0] * 3, texts(2, 6)[1] * 2
     df = spark.createDataFrame([(a, b, a + " " + b)], "a string, b string, ab string").select(*(sketch.sketch(F.col(c)).alias(c) for c in ("a", "b", "ab")))
@@ -78,4 +91,4 @@ def test_many_ranges(spark):
     bounds = [3 * i - 700 for i in range(1200)]
     ids = [-10_000, -700, -699, 0, 1, 2, 68, 69, 1000, 2897, 2898, 99_999, None]
     got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", sketch._range_of(bounds, F.col("id")).alias("n")).collect()
-    assert {r["id"]: r["n"] for r in got} == {i: sum(i is None or b <= i for b in bounds) for i in ids}
+    assert {r["id"]: r["n"] for r in got} == {i: len(bounds) + 1 if i is None else sum(b <= i for b in bounds) for i in ids}
