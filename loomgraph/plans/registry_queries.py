@@ -575,11 +575,11 @@ def reg_flow_edges(spark, d):
     return engine(spark, d).edges.where("flow IS NOT NULL").select("src", "rel", "dst", "flow")
 
 
-@query("SELECT \"Target (FK)\" AS node, \"Source (FK)\" AS other FROM flow_sheet WHERE \"Flow Type\" = 'Data' AND \"Target (FK)\" IN ('NAT-3', 'NAT-4')")
+@query("SELECT \"Target (FK)\" AS node, \"Source (FK)\" AS other FROM flow_sheet WHERE \"Flow Type\" = 'Data'")
 def reg_flow_walk(spark, d):
-    """Data flows into two nations."""
+    """Data flows into nations."""
     e = engine(spark, d)
-    seeds = spark.createDataFrame([("NAT-3",), ("NAT-4",)], "node string")
+    seeds = e.entities.where("class = 'Nation Registry'").select(F.col("node_key").alias("node"))
     return graph.walk_relationship(e.edges, seeds, "in", flow="Data").select("node", "other")
 
 
