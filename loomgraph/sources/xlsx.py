@@ -74,7 +74,7 @@ def from_xlsx(spark: SparkSession, path: str) -> Workbook:
 
 
 class XlsxDataSource(DataSource):
-    """Cells of a local spreadsheet as (sheet, row, col_ix, value); one partition a sheet."""
+    """Cells of a spreadsheet as (sheet, row, col_ix, value), one partition a sheet; executors have to reach the path."""
 
     @classmethod
     def name(cls) -> str:
@@ -87,19 +87,29 @@ class XlsxDataSource(DataSource):
         return XlsxReader(self.options["path"])
 
 
+def content_of(path: str) -> bytes:
+    """A file's bytes, by the file system that the path names; a path without one is local to whoever reads it."""
+    if "://" not in path:
+        with open(path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as f:
+        return f.read()
+
+
 class XlsxReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
-        with open(self.path, "rb") as f:
-            return [InputPartition(name) for name, _ in read_sheets(f.read())] or [InputPartition(None)]
+        return [InputPartition(name) for name, _ in read_sheets(content_of(self.path))] or [InputPartition(None)]
 
     def read(self, partition):
-        with open(self.path, "rb") as f:
-            for name, rows in read_sheets(f.read()):
-                if name == partition.value:
-                    for r, row in enumerate(rows):
-                        for c, v in enumerate(row):
-                            if v is not None:
-                                yield name, r, c, str(v)
+        for name, rows in read_sheets(content_of(self.path)):
+            if name == partition.value:
+                for r, row in enumerate(rows):
+                    for c, v in enumerate(row):
+                        if v is not None:
+                            yield name, r, c, str(v)
