@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, jaccard, linededup, mixing, toxicity
 from loomgraph.llm.queries import RANK_FILE
-from loomgraph.llm.shared import table, written
+from loomgraph.llm.shared import discard, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,8 @@ ORACLE_SQL = None  # training and hashing are beyond SQL; tests compare the stag
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{i + 1}")
+            discard(before)
     return docs
