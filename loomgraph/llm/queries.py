@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, divergence, fim, jaccard, linededup, mixing, sharding, sketch, toxicity, urlfilter, warc
+from . import ann, bpe, divergence, fim, jaccard, linededup, mainext, mixing, sharding, sketch, toxicity, urlfilter, warc
 from .shared import scratch, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -63,13 +63,18 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return mainext.extracted(pages, mainext.fitted(pages))
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, new = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     output, form = F.col(new["output"]), F.col(new["form"])
     return rows.select("doc_id", new["n"], new["form"], new["prefix_chars"], new["middle_chars"], F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(form, output), 256).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_bpe, op3_fingerprints, op4_nearest, op5_mixing, op6_sharding, op7_urls, op8_lines, op9_near, op10_toxicity, op11_divergence, op13_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_bpe, op3_fingerprints, op4_nearest, op5_mixing, op6_sharding, op7_urls, op8_lines, op9_near, op10_toxicity, op11_divergence, op12_main_text, op13_middle)}
 
 ORACLES = {
     "op1_warc": """
