@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+from .adjacency import Adjacency
 
-def dimensions(e: DataFrame, node: str) -> DataFrame:
+
+def dimensions(e: DataFrame | Adjacency, node: str) -> DataFrame:
     """(rel, dst): outgoing targets by relation."""
-    return e.where(F.col("src") == node).select("rel", "dst", "dst_class").distinct()
+    return graph.neighbors(e, node, "out").select("rel", F.col("other").alias("dst"), F.col("other_class").alias("dst_class")).distinct()
+
+
+def siblings(e: DataFrame | Adjacency, node: str) -> DataFrame:
+    """(node): what has an edge of the same relation to the same target."""
+    mine = graph.neighbors(e, node, "out").select("rel", F.col("other").alias("node")).distinct()
+    return graph.met(e, mine, "in", "rel").where(F.col("via") == F.col("rel")).where(F.col("other") != node).select(F.col("other").alias("node")).distinct()
 
 
-def scope(e: DataFrame, ents: DataFrame, node: str, kind: str) -> DataFrame:
+def scope(e: DataFrame | Adjacency, ents: DataFrame, node: str, kind: str) -> DataFrame:
     """(node): the same class (layer), direct targets (downstream), direct sources (upstream), or sharers of a relation's target (siblings)."""
     if kind == "layer":
         cls = ents.where(F.col("node_key") == node).select("class")
         return ents.join(cls, "class", "left_semi").where(F.col("node_key") != node).select(F.col("node_key").alias("node"))
     if kind == "downstream":
-        return e.where(F.col("src") == node).select(F.col("dst").alias("node")).distinct()
+        return graph.neighbors(e, node, "out").select(F.col("other").alias("node")).distinct()
     if kind == "upstream":
-        return e.where(F.col("dst") == node).select(F.col("src").alias("node")).distinct()
+        return graph.neighbors(e, node, "in").select(F.col("other").alias("node")).distinct()
     if kind == "siblings":
-        mine = e.where(F.col("src") == node).select("rel", "dst").distinct()
-        return e.where(F.col("src") != node).join(mine, ["rel", "dst"], "left_semi").select(F.col("src").alias("node")).distinct()
+        return siblings(e, node)
     return ents.where(F.col("node_key") == kind).select(F.col("node_key").alias("node"))
 
 
-def compare_pair(e: DataFrame, a: str, b: str) -> DataFrame:
+def compare_pair(e: DataFrame | Adjacency, a: str, b: str) -> DataFrame:
     """(rel, n_common, n_left, n_right, status): common if the targets agree, different if both have some, else missing."""
     left = dimensions(e, a).select("rel", "dst", F.lit(1).alias("l"))
     right = dimensions(e, b).select("rel", "dst", F.lit(1).alias("r"))
@@ -37,9 +45,9 @@ def compare_pair(e: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("status", status)
 
 
-def compare_group(e: DataFrame, node: str, others: DataFrame) -> DataFrame:
+def compare_group(e: DataFrame | Adjacency, node: str, others: DataFrame) -> DataFrame:
     """(rel, dst, shared): the node's targets, and whether all others (column node) have them as well."""
     n = others.select("node").distinct().count()
     mine = dimensions(e, node).select("rel", "dst")
-    have = e.join(others.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select("src", "rel", "dst").distinct().groupBy("rel", "dst").agg(F.count("*").alias("have"))
+    have = graph.met(e, others.select("node").distinct(), "out").select(F.col("node").alias("src"), "rel", F.col("other").alias("dst")).distinct().groupBy("rel", "dst").agg(F.count("*").alias("have"))
     return mine.join(have, ["rel", "dst"], "left").select("rel", "dst", (F.coalesce("have", F.lit(0)) == n).alias("shared"))

@@ -7,10 +7,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomgraph.functions import scalars as S
 from loomgraph.sources.workbook import CATALOG, ORD, Link, Sheet, Workbook, WorkbookError
+from loomgraph.storage import written
 
 from .identity import quoted
 
@@ -389,7 +391,7 @@ def prose_edges(wb: Workbook, ents: DataFrame) -> DataFrame:
 
 FIRST = 20  # values of a column that features look at
 # A cell that names a file and line, and the words of a status.
-FILE_LINE = re.compile(r"[\w./]+\.py:\d+|:\d+$")
+FILE_LINE = r"[\w./]+\.py:\d+|:\d+$"
 STATUS = {"✅", "❌", "◐", "✓", "✗", "yes", "no", "Y", "N"}
 # Features of sheets, and what reads them.
 FEATURES = {
@@ -422,63 +424,85 @@ def first_values(wb: Workbook, sheet: str, n: int = FIRST, rows: int = 200) -> d
     return out
 
 
-def looks_like_id(v: object) -> bool:
-    return isinstance(v, str) and bool(re.match(S.ID_START, v))
+def leading_cells(wb: Workbook, n: int = FIRST) -> DataFrame:
+    """(sheet, col_ix, col, value, nth): the first n cells of each column that aren't null; tasks pass on n a column."""
+    nth = F.row_number().over(Window.partitionBy("sheet", "col_ix").orderBy("row"))
+    return wb.cells().withColumn("nth", nth).where(F.col("nth") <= n).select("sheet", "col_ix", "col", "value", "nth")
+
+
+def column_figures(wb: Workbook) -> DataFrame:
+    """A row a column: its place, how many of its leading cells look like what, the first of them, identifiers among them, and, of first columns, whether they are unique."""
+    spark = wb.spark
+    kinds = [(i, s, c, k, isinstance(wb.frame(s).schema[c].dataType, T.StringType), len(wb.header(s))) for i, s in enumerate(wb.frames) for k, c in enumerate(wb.header(s))]
+    known = F.broadcast(spark.createDataFrame(kinds, "sheet_ix int, sheet string, col string, col_ix int, is_text boolean, width int"))  # a row a column
+    v = F.col("value")
+    listed = F.array_sort(F.collect_list(F.struct("nth", "value")))
+    figures = leading_cells(wb).groupBy("sheet", "col_ix").agg(
+        F.count("*").alias("n"),
+        F.count_if(v.rlike(f"^(?:{S.ID_START})")).alias("ids"),
+        F.bool_or(v.rlike(FILE_LINE)).alias("places"),
+        F.count_if(v.isin(*STATUS)).alias("marks"),
+        F.bool_and(F.trim(v).rlike(r"^\d+$")).alias("numbers"),
+        F.transform(listed, lambda x: x["value"]).alias("values"),
+    )
+    firsts = None
+    for s in wb.frames:
+        part = wb.frame(s).agg(F.lit(s).alias("sheet"), F.lit(0).alias("col_ix"), (F.count(quoted(wb.header(s)[0])) == F.countDistinct(quoted(wb.header(s)[0]))).alias("unique"))
+        firsts = part if firsts is None else firsts.unionByName(part)
+    return figures.join(known, ["sheet", "col_ix"]).join(firsts, ["sheet", "col_ix"], "left")
+
+
+def _column_rules() -> list[tuple[str, Column]]:
+    """Features of a column, by its figures."""
+    half = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
+    whole = F.transform("values", lambda x: F.trim(x).try_cast("decimal(38,0)"))
+    rising = F.forall(F.sequence(F.lit(1), F.size("values")), lambda i: (i == 1) | (F.element_at(whole, i) > F.element_at(whole, F.greatest(i - 1, F.lit(1)))))
+    head = F.element_at("values", 1)
+    return [
+        ("Entity-Identity (PK)", (F.col("col_ix") == 0) & (F.col("ids") == F.col("n")) & F.col("unique")),
+        ("Provenance (file:line)", F.col("places") & F.col("is_text")),
+        ("Cross-Sheet Reference (FK)", (F.col("col_ix") > 0) & (F.col("col").contains("(FK)") | (F.col("is_text") & (F.col("ids") >= half)))),
+        ("Ordered Sequence (ordinal)", F.when((F.col("col_ix") == 0) & F.col("numbers"), rising).otherwise(False)),
+        ("Descriptive Metadata", F.col("is_text") & (F.length(head) > 12) & ~head.rlike(f"^(?:{S.ID_START})") & ~head.rlike(FILE_LINE)),
+        ("status", F.col("marks") >= half),
+    ]
+
+
+def _sheet_rules() -> list[tuple[str, Column]]:
+    """Features of a sheet, by the number of its columns that have features."""
+    return [
+        ("Directed Edge (relationship)", F.col("links") >= 2),
+        ("Edge Attribute", (F.col("links") >= 2) & (F.col("width") > F.col("links") + 1)),
+        ("Cell-Grid Status Matrix", F.col("statuses") >= 3),
+    ]
+
+
+def _holding(rules: list[tuple[str, Column]]) -> Column:
+    """Names of the rules that hold, as rows."""
+    return F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules))))
 
 
 def features(wb: Workbook, ents: DataFrame | None = None) -> DataFrame:
-    """(feature, detected_in, example): structural features of sheets by the first values of their columns.
+    """(feature, detected_in, example): structural features of sheets by the leading cells of their columns.
 
-    detected_in are the first three sheets by name. Entities, if given, tell whose key a link holds.
+    A column's figures come from one aggregate, its features from a table of rules over these, a sheet's from rules over its
+    columns' features. detected_in are the first three sheets by name, the example is the first in workbook order.
+    Entities, if given, tell whose key a link holds, by the first identifiers of the column that another sheet owns.
     """
-    found: dict[str, list[tuple[str, str]]] = {}
-    links: list[tuple[str, str, list[str]]] = []
-
-    def add(feature: str, sheet: str, example: str) -> None:
-        found.setdefault(feature, []).append((sheet, example))
-
-    for sheet in wb.frames:
-        head = wb.header(sheet)
-        values = first_values(wb, sheet)
-        keys = status = 0
-        for i, c in enumerate(head):
-            v, at = values[c], f"{sheet}.{c}"
-            if not v:
-                continue
-            half, ids = max(1, len(v) // 2), sum(map(looks_like_id, v))
-            if i == 0 and ids == len(v):
-                n = wb.frame(sheet).agg(F.count(quoted(c)).alias("n"), F.countDistinct(quoted(c)).alias("d")).first()
-                if n["n"] == n["d"]:
-                    add("Entity-Identity (PK)", sheet, at)
-            if any(isinstance(x, str) and FILE_LINE.search(x) for x in v):
-                add("Provenance (file:line)", sheet, at)
-            if i > 0 and ("(FK)" in c or ids >= half):
-                keys += 1
-                add("Cross-Sheet Reference (FK)", sheet, at)
-                links.append((sheet, c, [x for x in v[:5] if looks_like_id(x)]))
-            if i == 0 and all(str(x).strip().isdigit() for x in v):
-                numbers = [int(str(x)) for x in v]
-                if all(a < b for a, b in zip(numbers, numbers[1:], strict=False)):
-                    add("Ordered Sequence (ordinal)", sheet, at)
-            status += sum(str(x) in STATUS for x in v) >= half
-            if isinstance(v[0], str) and not looks_like_id(v[0]) and not FILE_LINE.search(v[0]) and len(v[0]) > 12:
-                add("Descriptive Metadata", sheet, at)
-        if keys >= 2:
-            add("Directed Edge (relationship)", sheet, sheet)
-            if len(head) > keys + 1:
-                add("Edge Attribute", sheet, sheet)
-        if status >= 3:
-            add("Cell-Grid Status Matrix", sheet, sheet)
-    wanted = sorted({v for _, _, vs in links for v in vs})  # at most five a column
-    owner = {} if ents is None or not wanted else {r["pk"]: r["class"] for r in ents.where(F.col("pk").isin(wanted)).select("pk", "class").collect()}
-    for sheet, c, vs in links:
-        other = next((owner[v] for v in vs if owner.get(v, sheet) != sheet), None)
-        if other:
-            add("Hierarchy (parent/child)", sheet, f"{sheet}.{c}→{other}")
-    for always in ("Occurrence Frequency", "Row/Column Location"):
-        add(always, "ALL", "cells")
-    rows = [(f, sorted({s for s, _ in at})[:3], at[0][1]) for f, at in found.items()]
-    return wb.spark.createDataFrame(rows, "feature string, detected_in array<string>, example string")
+    figures = written(column_figures(wb), "figures")
+    of_columns = figures.select("sheet", "sheet_ix", "col_ix", "width", F.concat_ws(".", "sheet", "col").alias("example"), _holding(_column_rules()).alias("feature"))
+    sheets = of_columns.groupBy("sheet", "sheet_ix", "width").agg(F.count_if(F.col("feature") == "Cross-Sheet Reference (FK)").alias("links"), F.count_if(F.col("feature") == "status").alias("statuses"))
+    of_sheets = sheets.select("sheet", "sheet_ix", F.lit(0).alias("col_ix"), F.col("sheet").alias("example"), _holding(_sheet_rules()).alias("feature"))
+    found = of_columns.drop("width").where("feature <> 'status'").unionByName(of_sheets)
+    if ents is not None:
+        link = dict(_column_rules())["Cross-Sheet Reference (FK)"]
+        named = figures.where(link).select("sheet", "sheet_ix", "col", "col_ix", F.posexplode(F.filter(F.slice("values", 1, 5), lambda x: x.rlike(f"^(?:{S.ID_START})"))).alias("nth", "pk"))
+        owned = named.join(ents.select("pk", "class"), "pk").where(F.col("class") != F.col("sheet"))
+        owned = owned.groupBy("sheet", "sheet_ix", "col", "col_ix").agg(F.min_by("class", F.struct("nth", "class")).alias("class"))
+        found = found.unionByName(owned.select("sheet", "sheet_ix", "col_ix", F.concat("sheet", F.lit("."), "col", F.lit("→"), "class").alias("example"), F.lit("Hierarchy (parent/child)").alias("feature")))
+    rows = found.groupBy("feature").agg(F.slice(F.array_sort(F.collect_set("sheet")), 1, 3).alias("detected_in"), F.min_by("example", F.struct("sheet_ix", "col_ix")).alias("example"))
+    always = wb.spark.createDataFrame([(f, ["ALL"], "cells") for f in ("Occurrence Frequency", "Row/Column Location")], rows.schema)
+    return rows.unionByName(always)
 
 
 def closure(found: DataFrame) -> DataFrame:

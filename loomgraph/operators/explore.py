@@ -13,10 +13,11 @@ from loomgraph.functions import scalars as S
 from loomgraph.sources.workbook import Workbook
 
 from . import derive, graph
+from .adjacency import Adjacency
 from .identity import quoted
 
 
-S_FILES = re.compile(r"[\w./]+\.py:\d+")
+S_FILES = r"[\w./]+\.py:\d+"
 NO_VALUE = ("not found", "none", "n/a")  # fixed values: what stands for nothing in a lifecycle
 
 
@@ -34,30 +35,28 @@ def walk_child(wb: Workbook, ents: DataFrame, node: str) -> DataFrame:
     return wb.hits(mine["pk"], [s for s in wb.frames if s != mine["class"]]).select("sheet", "row", "col")
 
 
-def relation_inventory(e: DataFrame, node: str) -> DataFrame:
+def relation_inventory(e: DataFrame, node: str, near: Adjacency | None = None) -> DataFrame:
     """(dir, rel, kind, n): an entity's relations with their groups."""
-    return graph.neighbors(e, node).groupBy("dir", "rel").agg(F.count("*").alias("n")).join(derive.relation_groups(e), "rel").select("dir", "rel", "kind", "n")
+    return graph.neighbors(near or e, node).groupBy("dir", "rel").agg(F.count("*").alias("n")).join(derive.relation_groups(e), "rel").select("dir", "rel", "kind", "n")
 
 
-def reachable_relations(e: DataFrame, reach: DataFrame, node: str, cls: str) -> DataFrame:
-    """(rel, target_class): relations into classes that only several edges reach, but those that the entity has itself."""
-    far = reach.where(F.col("source_class") == cls).select("target_class")
-    into = graph.relation_targets(e).withColumnRenamed("dst_class", "target_class").join(far, "target_class", "left_semi")
-    return into.join(e.where(F.col("src") == node).select("rel").distinct(), "rel", "left_anti").select("rel", "target_class")
+def reachable_relations(e: DataFrame | Adjacency, reach: DataFrame, node: str, cls: str) -> DataFrame:
+    """(rel, target_class): the last relations of the ways that lead from a class to others, but those that the entity has itself, in either direction."""
+    far = reach.where(F.col("source_class") == cls).select(F.element_at("relation_pattern", -1).alias("rel"), "target_class")
+    return far.join(graph.neighbors(e, node).select("rel").distinct(), "rel", "left_anti")
 
 
-def discover_relation(e: DataFrame, node: str, relation: str, max_depth: int = 5) -> DataFrame:
-    """(node, hop, path): what several edges reach in the target classes of a relation, with the relations on the way as text.
+def relation_classes(into: DataFrame, reach: DataFrame, relation: str, cls: str) -> list[str]:
+    """Classes that a relation leads into, by its edges or as the last of the ways from a class; into is :func:`graph.relation_targets`."""
+    last = reach.where((F.col("source_class") == cls) & (F.element_at("relation_pattern", -1) == relation)).select("target_class")
+    return sorted(r[0] for r in into.where(F.col("rel") == relation).select("dst_class").unionAll(last).distinct().collect())  # a row a class
 
-    Paths are rebuilt level by level from first-found parents, a join a level.
-    """
-    targets = [r["dst_class"] for r in graph.relation_targets(e).where(F.col("rel") == relation).collect()]  # a row a class
-    found = graph.bfs(e, graph.one_seed(e, node), "out", max_depth, paths=True)
-    rows = found.where((F.col("hop") > 0) & F.col("node_class").isin(*targets)).select("node", "hop", F.col("node").alias("at"), F.lit("").alias("path"))
-    step = found.select(F.col("node").alias("at"), "parent", "rel")
-    for _ in range(max_depth):
-        rows = rows.join(step, "at", "left").select("node", "hop", F.coalesce("parent", "at").alias("at"), F.when(F.col("rel").isNull(), F.col("path")).when(F.col("path") == "", F.col("rel")).otherwise(F.concat("rel", F.lit(" -> "), "path")).alias("path"))
-    return rows.select("node", "hop", "path")
+
+def discover_relation(e: DataFrame | Adjacency, node: str, targets: list[str], max_depth: int = 5) -> DataFrame:
+    """(node, hop, path): what several edges reach in the target classes of a relation, with the relations on the way as text."""
+    found = graph.bfs(e, graph.one_seed(e, node), "out", max_depth if targets else 0, paths=True)
+    rows = found.where((F.col("hop") > 0) & F.col("node_class").isin(targets))
+    return graph.with_paths(found, rows, max_depth if targets else 0).select("node", "hop", F.array_join("relations", " -> ").alias("path"))
 
 
 def strided_sample(rows: DataFrame, per: list[str], order: str, k: int = 40) -> DataFrame:
@@ -69,11 +68,11 @@ def strided_sample(rows: DataFrame, per: list[str], order: str, k: int = 40) ->
     return rows.where((F.col("_n") <= k) | picked).drop("_n", "_i")
 
 
-def applicable_queries(e: DataFrame, reach: DataFrame, node: str, cls: str) -> DataFrame:
-    """(name, rel, mode): GET_ queries that have an answer, direct or over several edges."""
-    direct = e.where(F.col("src") == node).select("rel").distinct().withColumn("mode", F.lit("direct"))
+def applicable_queries(e: DataFrame | Adjacency, reach: DataFrame, node: str, cls: str) -> DataFrame:
+    """(name, rel, mode): GET_ queries that have an answer, direct or over several edges, by the names that queries have."""
+    direct = graph.neighbors(e, node, "out").select("rel").distinct().withColumn("mode", F.lit("direct"))
     far = reachable_relations(e, reach, node, cls).select("rel").distinct().withColumn("mode", F.lit("discovered"))
-    return direct.unionByName(far).select(F.concat(F.lit("GET_"), S.upper_slug(F.col("rel"))).alias("name"), "rel", "mode")
+    return direct.unionByName(far).select(derive.get_name(F.col("rel")).alias("name"), "rel", "mode")
 
 
 def entity_capabilities(ents: DataFrame, e: DataFrame, node: str) -> list[dict]:
@@ -91,34 +90,45 @@ def entity_capabilities(ents: DataFrame, e: DataFrame, node: str) -> list[dict]:
     return out
 
 
-def applicable_pipelines(wb: Workbook, e: DataFrame, ents: DataFrame, node: str) -> list[dict]:
-    """Steps that fit what the entity has: owners, data flows, neighbours, stages, gaps, evidence, a reconstruction; with ids AQ-01 on."""
-    row = ents.where(F.col("node_key") == node).select("class", "pk", "metadata").first()
+# Pipelines with what an entity must have, any of these, their steps, and the direction of a data flow.
+PIPELINES = (
+    ("OWNER_via_", ("owner",), ("seed", "walk_parent", "attach_evidence", "render"), None),
+    ("PRODUCERS", ("data in",), ("seed", "walk", "attach_evidence", "render"), "in"),
+    ("CONSUMERS", ("data out",), ("seed", "walk", "attach_evidence", "render"), "out"),
+    ("NEIGHBORS", ("edges",), ("seed", "walk", "attach_evidence", "render"), None),
+    ("EXECUTION_STAGES", ("stages",), ("seed", "stages", "render"), None),
+    ("LIFECYCLE_GAP", ("lifecycle",), ("seed", "lifecycle", "walk", "stages", "gaps", "render"), None),
+    ("EVIDENCE", ("sources",), ("seed", "attach_evidence", "render"), None),
+    ("LIFECYCLE_RECONSTRUCT", ("stages", "edges"), ("seed", "stages", "walk", "attach_evidence", "render"), None),
+)
+
+
+def traits(wb: Workbook, e: DataFrame | Adjacency, ents: DataFrame, node: str) -> DataFrame:
+    """(trait, item): what an entity has: an owner (by its first outgoing relation), data flows by direction, edges, rows in sheets of stages or of a lifecycle, sources."""
+    one = ents.where(F.col("node_key") == node)
     near = graph.neighbors(e, node)
-    parents = near.where("dir = 'out'").orderBy("step").select("rel").limit(1).collect()
-    flows = {r["dir"] for r in near.where(F.col("flow") == "Data").select("dir").distinct().collect()}
-    linked = not near.isEmpty()
-    holds = lambda s: s is not None and not wb.rows(s).where(quoted(wb.header(s)[0]).cast("string") == row["pk"]).isEmpty()
-    executed = holds(next((s.name for s in wb.catalog if s.execution and s.name in wb.frames and "Profile" in s.name), None))
-    tracked = holds(next((s for s in wb.frames if "Lifecycle Status" in s), None))
-    sourced = any(v and S_FILES.search(v) for v in (row["metadata"] or {}).values())
-    found: list[tuple[str, list[str], dict]] = []
-    if parents:
-        found.append((f"OWNER_via_{parents[0]['rel']}", ["seed", "walk_parent", "attach_evidence", "render"], {}))
-    for name, d in (("PRODUCERS", "in"), ("CONSUMERS", "out")):
-        if d in flows:
-            found.append((name, ["seed", "walk", "attach_evidence", "render"], {"direction": d, "flow": "Data"}))
-    if linked:
-        found.append(("NEIGHBORS", ["seed", "walk", "attach_evidence", "render"], {}))
-    if executed:
-        found.append(("EXECUTION_STAGES", ["seed", "stages", "render"], {}))
-    if tracked:
-        found.append(("LIFECYCLE_GAP", ["seed", "lifecycle", "walk", "stages", "gaps", "render"], {}))
-    if sourced:
-        found.append(("EVIDENCE", ["seed", "attach_evidence", "render"], {}))
-    if executed or linked:
-        found.append(("LIFECYCLE_RECONSTRUCT", ["seed", "stages", "walk", "attach_evidence", "render"], {}))
-    return [{"id": f"AQ-{i:02d}", "name": n, "pipeline": p, "bind": b} for i, (n, p, b) in enumerate(found, 1)]
+    none = F.lit(None).cast("string")
+    at_edges = near.select("dir", "rel", "flow", "step", F.explode(F.array_compact(F.array(F.lit("edges"), F.when(F.col("dir") == "out", "owner"), F.when(F.col("flow") == "Data", F.concat(F.lit("data "), "dir"))))).alias("trait"))
+    out = at_edges.groupBy("trait").agg(F.min_by("rel", "step").alias("item"))
+    sourced = one.where(F.exists(F.map_values("metadata"), lambda v: F.coalesce(v.rlike(S_FILES), F.lit(False))))
+    out = out.unionByName(sourced.select(F.lit("sources").alias("trait"), none.alias("item")))
+    profile = next((s.name for s in wb.catalog if s.execution and s.name in wb.frames and "Profile" in s.name), None)
+    status = next((s for s in wb.frames if "Lifecycle Status" in s), None)
+    for trait, sheet in (("stages", profile), ("lifecycle", status)):
+        if sheet is not None:
+            rows = wb.rows(sheet).select(quoted(wb.header(sheet)[0]).cast("string").alias("pk")).join(one.select("pk"), "pk", "left_semi")
+            out = out.unionByName(rows.groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.lit(trait).alias("trait"), none.alias("item")))
+    return out
+
+
+def applicable_pipelines(wb: Workbook, e: DataFrame | Adjacency, ents: DataFrame, node: str) -> list[dict]:
+    """The pipelines that an entity's traits allow, in their order, with ids AQ-01 on."""
+    spark = ents.sparkSession
+    known = spark.createDataFrame([(i, n, list(needs), list(steps), d) for i, (n, needs, steps, d) in enumerate(PIPELINES)], "place int, name string, needs array<string>, steps array<string>, direction string")
+    has = traits(wb, e, ents, node)
+    fits = known.withColumn("trait", F.explode("needs")).join(has, "trait").groupBy("place", "name", "steps", "direction").agg(F.min(F.when(F.col("trait") == "owner", F.col("item"))).alias("item"))
+    rows = fits.select("place", F.concat("name", F.coalesce("item", F.lit(""))).alias("name"), "steps", "direction").orderBy("place").collect()  # a row a pipeline
+    return [{"id": f"AQ-{i:02d}", "name": r["name"], "pipeline": r["steps"], "bind": {"direction": r["direction"], "flow": "Data"} if r["direction"] else {}} for i, r in enumerate(rows, 1)]
 
 
 def promoted_view(wb: Workbook, promoted: DataFrame, promoted_id: str) -> dict | None:

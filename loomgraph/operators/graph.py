@@ -1,10 +1,8 @@
-"""The typed property graph: edges from links, neighbourhoods, breadth-first traversal, paths and reachability.
+"""The typed property graph: edges from links, neighbourhoods, perspectives, paths.
 
-Traversal is a loop over levels on the driver; each level is one join of the frontier with the edges, written to the
-shared folder. Frontiers hold each node once, so work is bounded by the edges met, not by the number of paths. First-found
-parents follow the order of a queue: a node's place is that of its parent and the edge's order (outgoing before
-incoming), an array that grows by a step a level, which makes paths, not only distances, the same in every run. The least
-place of a node comes from an aggregate, so neither a hub nor a wide level is one task's work.
+What starts at nodes takes the edges as a table or as an :class:`Adjacency`, by which it reads the edges of these nodes only.
+Traversal is that of the module ``adjacency``: frontiers hold each node once, so work is bounded by the edges met, not by the
+number of paths, and parents are those that a queue would find first, which makes paths the same in every run.
 """
 
 from __future__ import annotations
@@ -15,12 +13,14 @@ from pyspark.sql.window import Window
 
 from loomgraph.functions import scalars as S
 from loomgraph.sources.workbook import ORD, Workbook
-from loomgraph.storage import written
+from loomgraph.storage import discard, written
 
+from . import adjacency as adj
 from . import discovery
+from .adjacency import Adjacency
 from .identity import quoted
+from .reach import reachability  # noqa: F401 - class-level reachability is part of this module's operators
 
-FEW = 200  # so many nodes of a level, or fewer, are looked up by their keys
 EDGE = ["src", "rel", "dst", "src_class", "dst_class", "evidence", "flow", "source", "ord"]
 
 
@@ -79,8 +79,10 @@ def _no_edges(wb: Workbook) -> DataFrame:
     return wb.spark.createDataFrame([], "src string, rel string, dst string, src_class string, dst_class string, evidence string, flow string, source string, ord struct<sheet:int,row:bigint,nth:int>")
 
 
-def both_ways(e: DataFrame, direction: str = "both") -> DataFrame:
+def both_ways(e: DataFrame | Adjacency, direction: str = "both") -> DataFrame:
     """(node, other, rel, dir, evidence, flow, other_class, step): edges from the side of each end, outgoing before incoming."""
+    if isinstance(e, Adjacency):
+        return adj.exploded(adj.blocks_of(e, direction))
     side = lambda a, b, d, n: e.select(F.col(a).alias("node"), F.col(b).alias("other"), "rel", F.lit(d).alias("dir"), "evidence", "flow", F.col(f"{b}_class").alias("other_class"), F.struct(F.lit(n).alias("side"), "ord").alias("step"))
     out, into = side("src", "dst", "out", 0), side("dst", "src", "in", 1)
     return out if direction == "out" else into if direction == "in" else out.unionByName(into)
@@ -89,23 +91,41 @@ def both_ways(e: DataFrame, direction: str = "both") -> DataFrame:
 # --- one hop -----------------------------------------------------------------------------------------------------
 
 
-def neighbors(e: DataFrame, node: str, direction: str = "both") -> DataFrame:
+def neighbors(e: DataFrame | Adjacency, node: str, direction: str = "both") -> DataFrame:
+    if isinstance(e, Adjacency):
+        return adj.edges_at(e, [node], direction)
     return both_ways(e, direction).where(F.col("node") == node)
 
 
-def walk_relationship(e: DataFrame, seeds: DataFrame, direction: str = "out", relation: str | None = None, flow: str | None = None) -> DataFrame:
-    """Edges at the seeds (column node). The relation matches as a part of the name; both ends in the seeds give two rows."""
-    rows = both_ways(e, direction)
+def met(e: DataFrame | Adjacency, nodes: DataFrame, direction: str = "both", via: str | None = None) -> DataFrame:
+    """Edges at a table of nodes, once each; a column of theirs comes along as ``via``."""
+    front = nodes.select("node", *([F.col(via).alias("via")] if via else []))
+    keep = ["via"] if via else []
+    if isinstance(e, Adjacency):
+        front = written(front, "met")  # small as the nodes are, and looked at twice
+        return adj.met(e, front, front.count(), direction, *keep)
+    return both_ways(e, direction).join(front, "node")
+
+
+def _of_relation(rows: DataFrame, relation: str | None, flow: str | None) -> DataFrame:
     if relation:
         rows = rows.where(F.col("rel").contains(relation))
-    if flow:
-        rows = rows.where(F.col("flow") == flow)
-    return rows.join(seeds.select("node").distinct(), "node", "left_semi")
+    return rows.where(F.col("flow") == flow) if flow else rows
+
+
+def walk_from(e: DataFrame | Adjacency, node: str, direction: str = "out", relation: str | None = None, flow: str | None = None) -> DataFrame:
+    """Edges at a node. The relation matches as a part of the name."""
+    return _of_relation(neighbors(e, node, direction), relation, flow)
+
+
+def walk_relationship(e: DataFrame | Adjacency, seeds: DataFrame, direction: str = "out", relation: str | None = None, flow: str | None = None) -> DataFrame:
+    """Edges at the seeds (column node). The relation matches as a part of the name; both ends in the seeds give two rows."""
+    return _of_relation(both_ways(e, direction), relation, flow).join(seeds.select("node").distinct(), "node", "left_semi")
 
 
-def reverse_lookup(e: DataFrame, ents: DataFrame, node: str, relation: str | None = None, source_prefix: str | None = None) -> DataFrame:
+def reverse_lookup(e: DataFrame | Adjacency, ents: DataFrame, node: str, relation: str | None = None, source_prefix: str | None = None) -> DataFrame:
     """Incoming edges of a node with the names of their sources; the relation must be equal, the prefix is that of the source's pk."""
-    rows = e.where(F.col("dst") == node)
+    rows = neighbors(e, node, "in").select("rel", F.col("other").alias("src"), F.col("other_class").alias("src_class"), F.col("step.ord").alias("ord"))
     if relation:
         rows = rows.where(F.col("rel") == relation)
     rows = rows.join(ents.select(F.col("node_key").alias("src"), F.col("pk").alias("src_pk"), F.col("name").alias("src_name")), "src")
@@ -131,8 +151,10 @@ def cardinality(e: DataFrame) -> DataFrame:
     return out.join(into, "rel").select("rel", F.concat(many("most_out"), F.lit("→"), many("most_in")).alias("cardinality"))
 
 
-def degrees(e: DataFrame) -> DataFrame:
+def degrees(e: DataFrame | Adjacency) -> DataFrame:
     """(node, degree): edges at either end."""
+    if isinstance(e, Adjacency):
+        return e.frame.groupBy("node").agg(F.sum(F.size("edges")).alias("degree"))
     return e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
@@ -141,7 +163,7 @@ def relation_targets(e: DataFrame) -> DataFrame:
     return e.select("rel", "dst_class").distinct()
 
 
-def discovery_chain(e: DataFrame, ents: DataFrame, node: str, items: int = 8) -> DataFrame:
+def discovery_chain(e: DataFrame | Adjacency, ents: DataFrame, node: str, items: int = 8) -> DataFrame:
     """Neighbours of a node by direction, relation and class: their count and the first few, largest groups first."""
     rows = neighbors(e, node)
     keys = ["dir", "rel", "other_class"]
@@ -152,7 +174,7 @@ def discovery_chain(e: DataFrame, ents: DataFrame, node: str, items: int = 8) ->
     return total.join(listed, keys).orderBy(F.desc("n"), "dir", "rel")
 
 
-def relation_view(e: DataFrame, node: str) -> DataFrame:
+def relation_view(e: DataFrame | Adjacency, node: str) -> DataFrame:
     """(dir, rel, other, evidence): incoming and outgoing edges, with evidence."""
     return neighbors(e, node).select("dir", "rel", "other", "other_class", "evidence")
 
@@ -168,71 +190,26 @@ def list_by_relation(e: DataFrame, ents: DataFrame, relation: str) -> DataFrame:
 # --- traversal ---------------------------------------------------------------------------------------------------
 
 
-def bfs(e: DataFrame, seeds: DataFrame, direction: str = "both", max_hops: int = 6, paths: bool = False, stop: Column | None = None) -> DataFrame:
-    """(origin, node, hop, node_class[, parent, rel, dir, evidence, qpos]) of everything reached from (origin, node) seeds, seeds at hop 0.
+def bfs(e: DataFrame | Adjacency, seeds: DataFrame, direction: str = "both", max_hops: int = 6, paths: bool = False, stop: Column | None = None) -> DataFrame:
+    """Everything reached from (origin, node) seeds: see :func:`adjacency.bfs`."""
+    return adj.bfs(e if isinstance(e, Adjacency) else adj.adjacency(e), seeds, direction, max_hops, paths, stop)
 
-    With ``paths`` each node keeps its first-found parent and the edge to it. ``stop`` is a condition on the
-    result's columns that ends the search when a level satisfies it.
-    """
-    e = e if hasattr(e, "_stored_at") else written(e, "bfs-edges")  # each level reads the edges again
-    steps = both_ways(e, direction)
-    extra = ["parent", "rel", "dir", "evidence", "qpos"] if paths else []
-    null = lambda t: F.lit(None).cast(t)
-    start = seeds.select("origin", "node").distinct().withColumns({"hop": F.lit(0), "node_class": null("string")})
-    if paths:
-        start = start.withColumns({"parent": null("string"), "rel": null("string"), "dir": null("string"), "evidence": null("string"), "qpos": F.array().cast("array<bigint>")})
-    seen = frontier = written(start.select("origin", "node", "hop", "node_class", *extra), "bfs-0")
-    size = frontier.count()
-    for hop in range(1, max_hops + 1):
-        near = steps
-        if size <= FEW:  # so few nodes are looked up by their keys, which reach the scan
-            near = steps.where(F.col("node").isin([r["node"] for r in frontier.select("node").distinct().collect()]))
-        next_ = frontier.select("origin", "node", *(["qpos"] if paths else [])).join(near, "node")
-        if paths:
-            # the place in the queue is the place of the parent, then the edge's order: arrays that compare level by level
-            place = F.concat("qpos", F.array(F.col("step.side"), F.col("step.ord.sheet"), F.col("step.ord.row"), F.col("step.ord.nth")).cast("array<bigint>"))
-            first = F.min(F.struct(place.alias("qpos"), F.col("node").alias("parent"), "rel", "dir", "evidence", F.col("other_class").alias("node_class"))).alias("first")
-            next_ = next_.groupBy("origin", F.col("other").alias("node")).agg(first)
-            next_ = next_.select("origin", "node", F.lit(hop).alias("hop"), *(f"first.{c}" for c in ("node_class", *extra)))
-        else:
-            next_ = next_.groupBy("origin", F.col("other").alias("node")).agg(F.lit(hop).alias("hop"), F.min("other_class").alias("node_class"))
-        next_ = next_.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
-        frontier = written(next_.select("origin", "node", "hop", "node_class", *extra), f"bfs-{hop}")
-        size = frontier.count()
-        if not size:
-            break
-        seen = seen.unionByName(frontier)
-        if stop is not None and not frontier.where(stop).isEmpty():
-            break
-    return seen
-
-
-def one_seed(e: DataFrame, node: str) -> DataFrame:
+
+def one_seed(e: DataFrame | Adjacency, node: str) -> DataFrame:
     return e.sparkSession.createDataFrame([(node, node)], "origin string, node string")
 
 
-def reachable(e: DataFrame, node: str, depth: int | None = None) -> DataFrame:
+def reachable(e: DataFrame | Adjacency, node: str, depth: int | None = None) -> DataFrame:
     """(node, hop): what edges lead to from the node, itself included; without a depth, however far."""
     return bfs(e, one_seed(e, node), "out", depth if depth is not None else 1_000_000).select("node", "hop")
 
 
-def path_between(e: DataFrame, source: str, target: str, max_depth: int = 6, direction: str = "both") -> list[dict] | None:
-    """Hops of the first-found shortest path: [] if source is target, None if there is none."""
-    if source == target:
-        return []
-    found = bfs(e, one_seed(e, source), direction, max_depth, paths=True, stop=F.col("node") == target)
-    hops: list[dict] = []
-    node = target
-    while node != source:
-        r = found.where((F.col("node") == node)).select("parent", "rel", "dir", "evidence", "node_class").first()
-        if r is None:
-            return None
-        hops.append({"from": r["parent"], "to": node, "relation": r["rel"], "direction": r["dir"], "evidence": r["evidence"]})
-        node = r["parent"]
-    return hops[::-1]
+def path_between(e: DataFrame | Adjacency, source: str, target: str, max_depth: int = 6, direction: str = "both") -> list[dict] | None:
+    """Hops of the first-found shortest path: [] if source is target, None if there is none. It is searched from both ends."""
+    return adj.two_ended(e if isinstance(e, Adjacency) else adj.adjacency(e), source, target, max_depth, direction).path
 
 
-def perspective(e: DataFrame, node: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
+def perspective(e: DataFrame | Adjacency, node: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
     """(node, hop, node_class): everything around a node by distance, the node itself left out."""
     return bfs(e, one_seed(e, node), direction, max_hops).where("hop > 0").select("node", "hop", "node_class")
 
@@ -249,11 +226,16 @@ def derive_table(view: DataFrame, ents: DataFrame) -> DataFrame:
     return rows.select("node", "node_class", "pk", "name", "hop", F.least(F.lit(1.0), F.bround(raw, 3)).alias("strength"), "evidence").orderBy(F.desc("strength"), "hop", "node")
 
 
-def all_reachable(e: DataFrame, node: str, target_class: str, max_depth: int = 5) -> DataFrame:
+def all_reachable(e: DataFrame | Adjacency, node: str, target_class: str, max_depth: int = 5) -> DataFrame:
     """(node, hop): nodes of a class that edges lead to."""
     return bfs(e, one_seed(e, node), "out", max_depth).where((F.col("hop") > 0) & (F.col("node_class") == target_class)).select("node", "hop")
 
 
+def reached_in(e: DataFrame | Adjacency, node: str, classes: list[str], max_depth: int = 5) -> DataFrame:
+    """(node, node_class, hop): nodes of some classes that edges lead to, by one search."""
+    return bfs(e, one_seed(e, node), "out", max_depth if classes else 0).where((F.col("hop") > 0) & F.col("node_class").isin(classes)).select("node", "node_class", "hop")
+
+
 def with_paths(found: DataFrame, rows: DataFrame, max_depth: int) -> DataFrame:
     """rows (origin, node, hop) of a search with paths, with the nodes and the relations on the way, as arrays, a join a level."""
     step = found.select("origin", F.col("node").alias("at"), "parent", "rel")
@@ -264,7 +246,7 @@ def with_paths(found: DataFrame, rows: DataFrame, max_depth: int) -> DataFrame:
     return out.drop("at")
 
 
-def all_reachable_paths(e: DataFrame, node: str, target_class: str, max_depth: int = 5, reach: DataFrame | None = None, source_class: str | None = None) -> DataFrame:
+def all_reachable_paths(e: DataFrame | Adjacency, node: str, target_class: str, max_depth: int = 5, reach: DataFrame | None = None, source_class: str | None = None) -> DataFrame:
     """(node, hop, path, relations): nodes of a class that edges lead to, with first-found shortest paths.
 
     With the class pairs of :func:`reachability` and the node's class, a pair that isn't among them ends the search before it begins.
@@ -276,21 +258,24 @@ def all_reachable_paths(e: DataFrame, node: str, target_class: str, max_depth: i
     return with_paths(found, rows, max_depth).drop("origin")
 
 
-def path_to_class(e: DataFrame, node: str, target_class: str, max_depth: int = 5, reach: DataFrame | None = None, source_class: str | None = None) -> DataFrame:
+def path_to_class(e: DataFrame | Adjacency, node: str, target_class: str, max_depth: int = 5, reach: DataFrame | None = None, source_class: str | None = None) -> DataFrame:
     """The nearest of :func:`all_reachable_paths`, at most one row; ties to the least node."""
     return all_reachable_paths(e, node, target_class, max_depth, reach, source_class).orderBy("hop", "node").limit(1)
 
 
-def discovered_by_relation(e: DataFrame, node: str, relation: str, reach: DataFrame, source_class: str | None, max_depth: int = 5) -> DataFrame:
-    """(node, hop, path, relations): what several edges reach in the classes that relations of this name (or part) lead into."""
-    into = e.where(F.col("rel").contains(relation)).select(F.col("dst_class").alias("target_class")).distinct()
-    targets = [r["target_class"] for r in into.join(reach.where(F.col("source_class") == source_class), "target_class", "left_semi").collect()]  # a row a class
+def discovered_by_relation(e: DataFrame | Adjacency, node: str, relation: str, reach: DataFrame, source_class: str | None, into: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(node, hop, path, relations): what several edges reach in the classes that relations of this name (or part) lead into.
+
+    into are the relations' target classes, by :func:`relation_targets`.
+    """
+    named = into.where(F.col("rel").contains(relation)).select(F.col("dst_class").alias("target_class")).distinct()
+    targets = [r["target_class"] for r in named.join(reach.where(F.col("source_class") == source_class), "target_class", "left_semi").collect()]  # a row a class
     found = bfs(e, one_seed(e, node), "out", max_depth if targets else 0, paths=True)
     rows = found.where((F.col("hop") > 0) & F.col("node_class").isin(targets))
     return with_paths(found, rows, max_depth if targets else 0).drop("origin")
 
 
-def intersect_paths(e: DataFrame, a: str, b: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
+def intersect_paths(e: DataFrame | Adjacency, a: str, b: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
     """(node, hop_a, hop_b, distance, path_a, path_b): what both reach, with the paths, nearest first."""
     seeds = e.sparkSession.createDataFrame([(a, a), (b, b)], "origin string, node string")
     found = bfs(e, seeds, direction, max_hops, paths=True)
@@ -299,13 +284,13 @@ def intersect_paths(e: DataFrame, a: str, b: str, direction: str = "out", max_ho
     return one(a, "a").join(one(b, "b"), "node").withColumn("distance", F.col("hop_a") + F.col("hop_b")).orderBy("distance", "node")
 
 
-def direct_reach(e: DataFrame, a: str, b: str, direction: str = "out", max_hops: int = 6) -> dict:
+def direct_reach(e: DataFrame | Adjacency, a: str, b: str, direction: str = "out", max_hops: int = 6) -> dict:
     """Whether each of two nodes reaches the other, and how."""
     there, back = path_between(e, a, b, max_hops, direction), path_between(e, b, a, max_hops, direction)
     return {"a_reaches_b": there is not None, "b_reaches_a": back is not None, "path_ab": there, "path_ba": back}
 
 
-def intersect(e: DataFrame, a: str, b: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
+def intersect(e: DataFrame | Adjacency, a: str, b: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
     """(node, hop_a, hop_b, distance): what both reach, themselves left out, nearest first."""
     seeds = e.sparkSession.createDataFrame([(a, a), (b, b)], "origin string, node string")
     seen = bfs(e, seeds, direction, max_hops).where((F.col("hop") > 0) & ~F.col("node").isin(a, b))
@@ -313,44 +298,16 @@ def intersect(e: DataFrame, a: str, b: str, direction: str = "out", max_hops: in
     return one(a, "hop_a").join(one(b, "hop_b"), "node").withColumn("distance", F.col("hop_a") + F.col("hop_b")).orderBy("distance", "node")
 
 
-def reachability(e: DataFrame, ents: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(source_class, target_class, hops, confirmed, candidates, confidence): class pairs that only several edges connect.
-
-    All entities search at once, forward. A pair with an edge in either direction is left out. hops is the least distance, confirmed
-    the number of source entities that reach the class, candidates the number of the class. Each (entity, class) is kept once per
-    level, so that the work is bounded by entities x classes met, whatever the number of nodes behind them.
-    """
-    steps = e.select("src", "dst").distinct()
-    cls = ents.select(F.col("node_key").alias("node"), F.col("class").alias("node_class"))
-    # distances are found backward, from classes: (node, target_class, hop), a node a class once
-    reached = written(cls.select("node", F.col("node_class").alias("target_class"), F.lit(0).alias("hop")), "reach-0")
-    frontier = reached
-    for hop in range(1, max_depth + 1):
-        back = frontier.select(F.col("node").alias("dst"), "target_class").join(steps, "dst").select(F.col("src").alias("node"), "target_class").distinct()
-        # a node's own class counts from the first step back on
-        known = reached.where("hop > 0").select("node", "target_class") if hop > 1 else reached.limit(0).select("node", "target_class")
-        frontier = written(back.join(known, ["node", "target_class"], "left_anti").withColumn("hop", F.lit(hop)), f"reach-{hop}")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    pairs = reached.where("hop > 0").join(cls, "node").groupBy(F.col("node_class").alias("source_class"), "target_class").agg(F.min("hop").alias("hops"), F.count("*").alias("confirmed"))
-    direct = e.select("src_class", "dst_class").distinct()
-    direct = direct.select(F.col("src_class").alias("source_class"), F.col("dst_class").alias("target_class")).union(direct.select("dst_class", "src_class")).distinct()
-    sizes = cls.groupBy(F.col("node_class").alias("source_class")).agg(F.count("*").alias("candidates"))
-    out = pairs.where("source_class <> target_class").join(direct, ["source_class", "target_class"], "left_anti").join(sizes, "source_class")
-    return out.select("source_class", "target_class", "hops", "confirmed", "candidates", F.bround(1.0 / F.col("hops"), 2).alias("confidence"))
-
-
-def suggest_next(e: DataFrame, ents: DataFrame, node: str, direction: str = "both", limit: int = 8) -> DataFrame:
+def suggest_next(e: DataFrame | Adjacency, ents: DataFrame, node: str, direction: str = "both", limit: int = 8) -> DataFrame:
     """Nodes within two hops by score: 1 / hop, degree against the largest, and how often they are met; at most 1."""
-    steps = both_ways(e, direction).select("node", "other", "rel")
-    one = steps.where((F.col("node") == node) & (F.col("other") != node))
-    first = one.groupBy(F.col("other").alias("mid")).agg(F.count("*").alias("n1"))
-    two = steps.join(first.select(F.col("mid").alias("node")), "node").where(F.col("other") != node).groupBy("other").agg(F.count("*").alias("n2"))
-    both = first.select(F.col("mid").alias("id"), "n1").join(two.select(F.col("other").alias("id"), "n2"), "id", "full_outer")
+    e = e if isinstance(e, Adjacency) else adj.adjacency(e)
+    one = neighbors(e, node, direction).where(F.col("other") != node)
+    first = written(one.groupBy(F.col("other").alias("node")).agg(F.count("*").alias("n1")), "suggest-one")
+    two = adj.met(e, first, first.count(), direction).where(F.col("other") != node).groupBy("other").agg(F.count("*").alias("n2"))
+    both = first.select(F.col("node").alias("id"), "n1").join(two.select(F.col("other").alias("id"), "n2"), "id", "full_outer")
     rows = both.select("id", F.when(F.col("n1").isNotNull(), 1).otherwise(2).alias("hop"), (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("mult"))
-    rows = rows.join(degrees(e).withColumnRenamed("node", "id"), "id")
-    rows = written(rows, "suggest")
+    rows = written(rows.join(degrees(e).withColumnRenamed("node", "id"), "id"), "suggest")
+    discard(first)
     most = rows.agg(F.max("degree")).first()[0] or 1
     score = (1.0 / F.col("hop")) * (0.5 + 0.5 * F.col("degree") / most) * (1 + 0.1 * (F.col("mult") - 1))
     rows = rows.select("id", "hop", "degree", F.least(F.lit(1.0), F.bround(score, 4)).alias("score"))

@@ -17,7 +17,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import compare, derive, graph, integrity, relational
+from loomgraph.operators import compare, derive, explore, graph, integrity, relational
 
 from .language import CONCEPTS
 
@@ -218,10 +218,11 @@ def query_plan_for(engine: Engine, query: dict[str, Any] | None, node: str) -> P
     if query is None or query["objective"] != "traverse" or query["relation"] == "*":
         return plan
     rel = query["relation"]
-    if not graph.neighbors(engine.edges, node).where(F.col("rel") == rel).isEmpty():
+    if not graph.neighbors(engine.adjacency, node).where(F.col("rel") == rel).isEmpty():
         return plan
-    into = graph.relation_targets(engine.edges).where(F.col("rel") == rel).select(F.col("dst_class").alias("target_class"))
-    far = engine.reachability.where(F.col("source_class") == engine.class_of(node)).join(into, "target_class", "left_semi").orderBy("hops", "target_class").first()
+    cls = engine.class_of(node)
+    targets = explore.relation_classes(engine.relation_targets, engine.reachability, rel, cls)
+    far = engine.reachability.where((F.col("source_class") == cls) & F.col("target_class").isin(targets)).orderBy("hops", "target_class").first()
     if far is None:
         return plan
     step = {"target_class": far["target_class"], "relation": rel, "hops": far["hops"], "confirmed": f"{far['confirmed']}/{far['candidates']}"}
@@ -367,11 +368,11 @@ def compare_(engine: Engine, s: State, source: str | None = None, target: str |
 @opcode
 def path(engine: Engine, s: State, source: str | None = None, target: str | None = None) -> State:
     a, b = (engine.node_of(x) if x else None for x in (source or s.token, target))
-    return replace(s, result=graph.path_between(engine.edges, a, b) if a and b else None)
+    return replace(s, result=graph.path_between(engine.adjacency, a, b) if a and b else None)
 
 
 def _around(engine: Engine, s: State, direction: str) -> State:
-    edges = graph.neighbors(engine.edges, s.node, direction) if s.node else None
+    edges = graph.neighbors(engine.adjacency, s.node, direction) if s.node else None
     return replace(s, edges=edges, nodes=edges and edges.select(F.col("other").alias("node")).distinct(), result=edges)
 
 
@@ -389,7 +390,7 @@ def reachability(engine: Engine, s: State) -> State:
 def reverse(engine: Engine, s: State, relation: str | None = None, source_class: str | None = None) -> State:
     if s.node is None:
         return replace(s, result=None)
-    out = graph.reverse_lookup(engine.edges, engine.entities, s.node, relation)
+    out = graph.reverse_lookup(engine.adjacency, engine.entities, s.node, relation)
     out = out.where(F.col("src_class") == source_class) if source_class else out
     return replace(s, edges=out, result=out)
 
@@ -428,9 +429,9 @@ def walk(engine: Engine, s: State, direction: str = "out", relation: str | None
     """Edges of a relation, equal or part of the name; an outgoing relation without edges is followed over several."""
     if s.node is None:
         return s
-    edges = graph.walk_relationship(engine.edges, graph.one_seed(engine.edges, s.node), direction, relation, flow)
+    edges = graph.walk_from(engine.adjacency, s.node, direction, relation, flow)
     if relation and direction == "out" and not flow and edges.isEmpty():
-        far = graph.discovered_by_relation(engine.edges, s.node, relation, engine.reachability, engine.class_of(s.node))
+        far = graph.discovered_by_relation(engine.adjacency, s.node, relation, engine.reachability, engine.class_of(s.node), engine.relation_targets)
         return replace(s, nodes=far, result=far)
     return replace(s, edges=edges, nodes=edges.select(F.col("other").alias("node")).distinct(), result=edges)
 
@@ -440,7 +441,7 @@ def walk_discovery(engine: Engine, s: State, target_class: str, relation: str |
     """A planned walk over several edges to a class: the nodes with their paths."""
     if s.node is None:
         return s
-    far = graph.all_reachable_paths(engine.edges, s.node, target_class, reach=engine.reachability, source_class=engine.class_of(s.node))
+    far = graph.all_reachable_paths(engine.adjacency, s.node, target_class, reach=engine.reachability, source_class=engine.class_of(s.node))
     return replace(s, nodes=far, result=far)
 
 

@@ -391,7 +391,7 @@ pairs AS (
   UNION ALL SELECT 'supplier', 'region', 2, count(DISTINCT c.src) FROM edges c JOIN edges n ON n.src = c.dst WHERE c.rel = 's_nationkey')
 SELECT source_class, target_class, hops, confirmed, (SELECT count(*) FROM ent WHERE class = source_class) AS candidates, round(1.0 / hops, 2) AS confidence FROM pairs""")
 def reachability_pairs(spark, d):
-    return engine(spark, d).reachability
+    return engine(spark, d).reachability.select("source_class", "target_class", "hops", "confirmed", "candidates", "confidence")
 
 
 @query(f"""

@@ -113,6 +113,62 @@ def reg_edges(spark, d):
     return engine(spark, d).edges.select("src", "rel", "dst", "src_class", "dst_class", "evidence", "source")
 
 
+# Orders, customers, nations and regions, of which some orders name a nation and some customers a region themselves: pairs
+# of classes that an edge joins for a part of their entities only.
+MIXED = {
+    "region": "SELECT CAST(r_regionkey AS BIGINT) AS _ord, 'R' || r_regionkey AS id, r_name AS name FROM region",
+    "nation": "SELECT CAST(n_nationkey AS BIGINT) AS _ord, 'N' || n_nationkey AS id, n_name AS name, 'R' || n_regionkey AS region FROM nation",
+    "customer": "SELECT CAST(c_custkey AS BIGINT) AS _ord, 'C' || c_custkey AS id, c_name AS name, 'N' || c_nationkey AS nation, CASE WHEN c_custkey % 3 = 0 THEN 'R' || c_custkey % 5 END AS region FROM customer",
+    "orders": "SELECT CAST(o_orderkey AS BIGINT) AS _ord, 'O' || o_orderkey AS id, o_orderstatus AS name, CASE WHEN o_orderkey % 4 > 0 THEN 'C' || o_custkey END AS customer, CASE WHEN o_orderkey % 5 = 0 THEN 'N' || o_orderkey % 25 END AS nation FROM orders",
+}
+MIXED_CATALOG = (
+    Sheet("region", pk="id", label="name"),
+    Sheet("nation", pk="id", label="name", links=(Link("region", "region"),)),
+    Sheet("customer", pk="id", label="name", links=(Link("nation", "nation"), Link("region", "region"))),
+    Sheet("orders", pk="id", label="name", links=(Link("customer", "customer"), Link("nation", "nation"))),
+)
+
+
+def mixed_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    key = (spark.sparkContext.applicationId, f"mixed {sf_dir}")
+    if key not in _engines:
+        frames = {n: spark.sql(sql.replace(f" FROM {n}", f" FROM parquet.`{sf_dir}/{n}.parquet`")) for n, sql in MIXED.items()}
+        _engines[key] = Engine(Workbook(spark, frames).with_catalog(MIXED_CATALOG))
+    return _engines[key]
+
+
+MIXED_SQL = "WITH RECURSIVE " + ", ".join(f"{n}_sheet AS ({sql})" for n, sql in MIXED.items()) + """,
+cls AS (SELECT id, 'region' AS class FROM region_sheet UNION ALL SELECT id, 'nation' FROM nation_sheet UNION ALL SELECT id, 'customer' FROM customer_sheet UNION ALL SELECT id, 'orders' FROM orders_sheet),
+links AS (
+  SELECT id AS src, 'region' AS rel, region AS dst, 0 AS nth FROM nation_sheet UNION ALL SELECT id, 'nation', nation, 0 FROM customer_sheet
+  UNION ALL SELECT id, 'region', region, 1 FROM customer_sheet UNION ALL SELECT id, 'customer', customer, 0 FROM orders_sheet UNION ALL SELECT id, 'nation', nation, 1 FROM orders_sheet),
+e AS (SELECT src, rel, dst, nth, a.class AS sc, b.class AS dc FROM links JOIN cls a ON a.id = src JOIN cls b ON b.id = dst),
+near AS (SELECT src AS id, dc AS other FROM e UNION SELECT dst, sc FROM e),
+walk AS (
+  SELECT src AS origin, dst AS at, dc, 1 AS hop, [nth] AS place, rel AS relations, src || ' ' || dst AS path FROM e
+  UNION ALL SELECT origin, e.dst, e.dc, hop + 1, list_append(place, e.nth), relations || ' ' || e.rel, path || ' ' || e.dst FROM walk JOIN e ON e.src = walk.at WHERE hop < 5),
+short AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY origin, dc ORDER BY hop, place) = 1),
+hits AS (SELECT c.class AS sc, s.* FROM short s JOIN cls c ON c.id = s.origin WHERE c.class <> s.dc AND NOT EXISTS (SELECT 1 FROM near WHERE near.id = s.origin AND near.other = s.dc)),
+sizes AS (SELECT a.class AS sc, b.class AS dc, count(*) FILTER (NOT EXISTS (SELECT 1 FROM near WHERE near.id = a.id AND near.other = b.class)) AS candidates FROM cls a, (SELECT DISTINCT class FROM cls) b GROUP BY ALL)
+"""
+
+
+def _reach_query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    ORACLES[f.__name__] = MIXED_SQL + """
+SELECT sc AS source_class, dc AS target_class, arg_min(relations, origin) AS relation_pattern, arg_min(hop, origin) AS hops, min(origin) AS example_source,
+       arg_min(path, origin) AS example_path, count(*) AS confirmed, any_value(candidates) AS candidates, round(1.0 / arg_min(hop, origin), 2) AS confidence
+FROM hits JOIN sizes USING (sc, dc) GROUP BY sc, dc"""
+    return f
+
+
+@_reach_query
+def reg_mixed_reachability(spark, d):
+    """Ways between classes that some entities have an edge for, and examples of them."""
+    rows = mixed_engine(spark, d).reachability
+    return rows.withColumns({c: F.array_join(c, " ") for c in ("relation_pattern", "example_path")})
+
+
 @query("SELECT src, dst, 0 AS how FROM edges WHERE source = 'inferred'")
 def reg_prose_edges(spark, d):
     e = engine(spark, d)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import compare, derive, discovery, explore, graph, identity, integrity, relational
+from loomgraph.operators.adjacency import Adjacency, adjacency
 from loomgraph.sources import sinks, workbook
 from loomgraph.sources.workbook import Workbook
 from loomgraph.storage import written
@@ -44,6 +45,15 @@ class Engine:
         # near their sources, so that lookups by source read few row groups
         return written(graph.edges(self.wb, self.entities).repartitionByRange("src").sortWithinPartitions("src"), "edges")
 
+    @cached_property
+    def adjacency(self) -> Adjacency:
+        """The edges at both of their ends, for what starts at nodes."""
+        return adjacency(self.edges)
+
+    @cached_property
+    def relation_targets(self) -> DataFrame:
+        return written(graph.relation_targets(self.edges), "targets")
+
     @cached_property
     def promoted(self) -> DataFrame:
         return written(derive.promotion_candidates(self.wb), "promoted")
@@ -99,22 +109,22 @@ class Engine:
     # --- graph ---------------------------------------------------------------------------------------------------
 
     def discovery_chain(self, token: str) -> DataFrame:
-        return graph.discovery_chain(self.edges, self.entities, self._node(token))
+        return graph.discovery_chain(self.adjacency, self.entities, self._node(token))
 
     def relation_view(self, token: str) -> DataFrame:
-        return graph.relation_view(self.edges, self._node(token))
+        return graph.relation_view(self.adjacency, self._node(token))
 
     def perspective(self, token: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
-        return graph.perspective(self.edges, self._node(token), direction, max_hops)
+        return graph.perspective(self.adjacency, self._node(token), direction, max_hops)
 
     def derive_table(self, token: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
         return graph.derive_table(self.perspective(token, direction, max_hops), self.entities)
 
     def intersect(self, a: str, b: str, direction: str = "out", max_hops: int = 6) -> DataFrame:
-        return graph.intersect(self.edges, self._node(a), self._node(b), direction, max_hops)
+        return graph.intersect(self.adjacency, self._node(a), self._node(b), direction, max_hops)
 
     def suggest_next(self, token: str, direction: str = "both", limit: int = 8) -> DataFrame:
-        return graph.suggest_next(self.edges, self.entities, self._node(token), direction, limit)
+        return graph.suggest_next(self.adjacency, self.entities, self._node(token), direction, limit)
 
     def list_by_relation(self, relation: str) -> DataFrame:
         return graph.list_by_relation(self.edges, self.entities, relation)
@@ -135,19 +145,20 @@ class Engine:
         return one["node_key"], one["class"]
 
     def reachable_relations(self, token: str) -> DataFrame:
-        return explore.reachable_relations(self.edges, self.reachability, *self._known(token))
+        return explore.reachable_relations(self.adjacency, self.reachability, *self._known(token))
 
     def discover_relation(self, token: str, relation: str) -> DataFrame:
-        return explore.discover_relation(self.edges, self._node(token), relation)
+        node, cls = self._known(token)
+        return explore.discover_relation(self.adjacency, node, explore.relation_classes(self.relation_targets, self.reachability, relation, cls))
 
     def relation_inventory(self, token: str) -> DataFrame:
-        return explore.relation_inventory(self.edges, self._node(token))
+        return explore.relation_inventory(self.edges, self._node(token), self.adjacency)
 
     def entity_actions(self, token: str) -> DataFrame:
         return explore.actions(self.edges, self.reachability, *self._known(token))
 
     def applicable_queries(self, token: str) -> DataFrame:
-        return explore.applicable_queries(self.edges, self.reachability, *self._known(token))
+        return explore.applicable_queries(self.adjacency, self.reachability, *self._known(token))
 
     def describe(self, token: str) -> list[dict]:
         return explore.entity_capabilities(self.entities, self.edges, self._node(token))
@@ -179,7 +190,7 @@ class Engine:
         out = {"status": "resolved", "target": r.one, "path": [], "reachable": True, "distance": 0, "confidence": 1.0, "weakest_tier": "L1"}
         if context is None:
             return out
-        hops = graph.path_between(self.edges, self._node(context), r.one["node_key"], max_hops)
+        hops = graph.path_between(self.adjacency, self._node(context), r.one["node_key"], max_hops)
         if hops is None:
             return out | {"source": context, "reachable": False, "distance": None, "confidence": 0.0, "weakest_tier": None}
         tiers = {x["rel"]: (x["tier"], x["confidence"]) for x in derive.relation_tiers(self.edges).collect()}  # a row a relation
@@ -190,19 +201,18 @@ class Engine:
         return out | {"source": context, "path": hops, "distance": len(hops), "confidence": round(confidence, 3), "weakest_tier": max((h["tier"] for h in hops), default="L1")}
 
     def explain_relation(self, token: str, relation: str) -> dict:
-        """Direct targets of a relation, or those that several edges lead to, or why there are none."""
+        """Direct targets of a relation, or those that several edges lead to, in all classes it leads into, or why there are none."""
         rel, _, cls = relation.partition("::")
-        node = self._node(token)
-        rows = graph.neighbors(self.edges, node).where(F.col("rel") == rel)
+        node, own = self._known(token)
+        rows = graph.neighbors(self.adjacency, node).where(F.col("rel") == rel)
         if cls:
             rows = rows.where(F.col("other_class") == cls)
         if not rows.isEmpty():
             return {"entity": token, "relation": relation, "mode": "direct", "items": rows.select("dir", "other", "evidence")}
-        targets = [x["dst_class"] for x in graph.relation_targets(self.edges).where(F.col("rel") == rel).collect()]
-        for t in sorted(targets):
-            far = graph.all_reachable(self.edges, node, t)
-            if not far.isEmpty():
-                return {"entity": token, "relation": relation, "mode": "discovered", "items": far}
+        targets = [t for t in explore.relation_classes(self.relation_targets, self.reachability, rel, own) if not cls or t == cls]
+        far = graph.reached_in(self.adjacency, node, targets)
+        if not far.isEmpty():
+            return {"entity": token, "relation": relation, "mode": "discovered", "items": far}
         return {"entity": token, "relation": relation, "mode": "empty", "items": rows.select("dir", "other", "evidence"), "reason": f"no edge or path of {rel} starts at {token}"}
 
     @cached_property
@@ -216,13 +226,18 @@ class Engine:
         out: dict = {"query": query, "entity": token}
         if q is None:
             return out | {"result": None, "note": "there is no such query"}
-        node = self._node(token)
-        plan = planner.query_plan_for(self, q, node)
-        if q["objective"] == "traverse" and q["relation"] != "*":
-            return out | self.explain_relation(token, q["relation"]) | {"plan": plan}
+        plan = planner.query_plan_for(self, q, self._node(token))
         state = planner.run(self, plan, token)
-        items = state.edges if q["objective"] == "traverse" else state.evidence if q["objective"] == "attribute" else state.rows
-        return out | {"mode": "direct", "items": items, "result": state.result, "plan": plan, "trace": list(state.trace)}
+        out |= {"plan": plan, "trace": list(state.trace), "result": state.result}
+        if q["objective"] == "attribute":
+            return out | {"mode": "direct", "items": state.evidence}
+        if q["objective"] != "traverse":
+            return out | {"mode": "direct", "items": state.rows}
+        found = state.nodes if state.edges is None else state.edges
+        mode = "discovered" if state.edges is None else "direct"
+        if found is None or found.isEmpty():
+            return out | {"mode": "empty", "items": found, "reason": f"no edge or path of {q['relation']} starts at {token}"}
+        return out | {"relation": q["relation"], "mode": mode, "items": found if mode == "discovered" else found.select("dir", "other", "evidence")}
 
     # --- questions in words ------------------------------------------------------------------------------------------
 
@@ -309,11 +324,11 @@ class Engine:
         return explore.promoted_view(self.wb, self.promoted, promoted_id)
 
     def pipelines(self, token: str) -> list[dict]:
-        return explore.applicable_pipelines(self.wb, self.edges, self.entities, self._node(token))
+        return explore.applicable_pipelines(self.wb, self.adjacency, self.entities, self._node(token))
 
     def reachable(self, token: str, target_class: str) -> DataFrame:
         node, cls = self._known(token)
-        return graph.all_reachable_paths(self.edges, node, target_class, reach=self.reachability, source_class=cls)
+        return graph.all_reachable_paths(self.adjacency, node, target_class, reach=self.reachability, source_class=cls)
 
     def request(self, text: str, target: str | None = None, verb: str = "", stage: str | None = None) -> dict:
         """A request by its class: data flow, dependencies, execution stages, rows at a stage, audits, gaps, or a lookup."""
@@ -336,13 +351,13 @@ class Engine:
         elif node is None:
             out["note"] = "the target names no single entity"
         elif q == "Q-03":
-            out["result"] = graph.walk_relationship(self.edges, graph.one_seed(self.edges, node), flow="Data")
+            out["result"] = graph.neighbors(self.adjacency, node, "out").where(F.col("flow") == "Data")
         elif q == "Q-04" and runs:
             out["result"] = derive.stages(self.wb, runs.name, self.resolve(target).one["pk"], 2)
         elif q == "Q-08":
             out["result"] = self.lifecycle(target).where("NOT filled")
         else:
-            out["result"] = graph.neighbors(self.edges, node)
+            out["result"] = graph.neighbors(self.adjacency, node)
         return out
 
     # --- the whole workbook --------------------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +31,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it again, which cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write a table, in a folder a value of some columns, and read it again, which cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -52,6 +54,18 @@ def discard(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+@contextmanager
+def scope(*kept: DataFrame) -> Iterator[None]:
+    """Tables that are written within go at its end, but those kept: for what answers one question after another."""
+    before = set(_held)
+    try:
+        yield
+    finally:
+        stay = before | {getattr(t, "_stored_at", None) for t in kept}
+        for path in [p for p in _held if p not in stay]:
+            remove(_held.pop(path), path)
+
+
 @atexit.register
 def discard_all() -> None:
     """What results still read when they were returned goes when the process ends."""

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import deque
@@ -139,25 +140,49 @@ def test_first_found_parents_follow_the_queue(spark, seed):
     assert got == queue_bfs(edges, "n0")
 
 
-def test_reachability_against_search(spark):
-    rng = random.Random(9)
-    nodes = [(f"n{i}", f"C{i % 5}") for i in range(40)]
-    edges = [(f"n{rng.randrange(40)}", "r", f"n{rng.randrange(40)}") for _ in range(45)]
-    edges = [x for x in edges if x[0] != x[2]]
+def class_records(nodes, edges, max_depth=5):
+    """Class-level reachability by a queue from every entity."""
     cls = dict(nodes)
-    direct = {(cls[s], cls[d]) for s, _, d in edges} | {(cls[d], cls[s]) for s, _, d in edges}
-    want = {}
-    for n, c in nodes:
-        hops = {}
-        for m, (h, _) in queue_bfs(edges, n, both=False).items():
-            if 0 < h <= 5 and cls[m] != c and (c, cls[m]) not in direct:
-                hops[cls[m]] = min(h, hops.get(cls[m], 9))
-        for t, h in hops.items():
-            k, old = want.get((c, t), (0, 9))
-            want[c, t] = (k + 1, min(old, h))
-    e, ents = made(spark, edges, nodes)
-    got = {(r["source_class"], r["target_class"]): (r["confirmed"], r["hops"]) for r in graph.reachability(e, ents).collect()}
-    assert got == want
+    near = {n: {cls[d] for s, _, d in edges if s == n} | {cls[s] for s, _, d in edges if d == n} for n in cls}
+    out = {}
+    for a, b in itertools.permutations(sorted(set(cls.values())), 2):
+        candidates = sorted(n for n in cls if cls[n] == a and b not in near[n])
+        hits = []
+        for n in candidates:
+            found, paths, todo = None, {n: ([n], [])}, deque([n])
+            while todo and found is None:
+                x = todo.popleft()
+                for s, r, d in edges:
+                    if s == x and d not in paths and len(paths[x][1]) < max_depth:
+                        paths[d] = (paths[x][0] + [d], paths[x][1] + [r])
+                        todo.append(d)
+                        if cls[d] == b:
+                            found = paths[d]
+                            break
+            if found:
+                hits.append((n, found))
+        if hits:
+            n, (path, rels) = hits[0]
+            out[a, b] = (tuple(rels), len(rels), n, tuple(path), len(hits), len(candidates), round(1 / len(rels), 2))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n", "classes", "edges"), [(9, 40, 5, 45), (3, 60, 9, 70), (5, 150, 75, 200)])
+def test_reachability_against_search(spark, seed, n, classes, edges):
+    rng = random.Random(seed)
+    nodes = [(f"n{i}", f"C{i % classes}") for i in range(n)]
+    links = [(f"n{rng.randrange(n)}", f"r{rng.randrange(3)}", f"n{rng.randrange(n)}") for _ in range(edges)]
+    links = [x for x in links if x[0] != x[2]]
+    e, ents = made(spark, links, nodes)
+    got = {(r["source_class"], r["target_class"]): (tuple(r["relation_pattern"]), r["hops"], r["example_source"], tuple(r["example_path"]), r["confirmed"], r["candidates"], r["confidence"]) for r in graph.reachability(e, ents).collect()}
+    assert got == class_records(nodes, links)
+
+
+def test_reachability_counts_entities_without_an_edge(spark):
+    nodes = [("a1", "A"), ("a2", "A"), ("b1", "B"), ("c1", "C")]
+    e, ents = made(spark, [("a1", "r", "c1"), ("a2", "s", "b1"), ("b1", "t", "c1")], nodes)
+    got = [tuple(r) for r in graph.reachability(e, ents).where("source_class = 'A' AND target_class = 'C'").collect()]
+    assert got == [("A", "C", ["s", "t"], 2, "a2", ["a2", "b1", "c1"], 1, 1, 0.5)]
 
 
 @pytest.mark.parametrize(("edges", "nodes"), [([], []), ([], [("a", "A")]), ([("a", "r", "b"), ("b", "r", "a")], [("a", "A"), ("b", "B")]), ([("a", "r", "a")], [("a", "A")]), ([("a", "r", "b"), ("a", "r", "b")], [("a", "A"), ("b", "B")]), ([("a", "r", "ghost")], [("a", "A")])])

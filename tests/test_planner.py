@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import contracts, derive, discovery, graph
+from loomgraph.operators import adjacency, contracts, derive, discovery, graph
 from loomgraph.plans import planner, server
 from loomgraph.plans.session import Engine
 from loomgraph.sources import sinks
@@ -111,13 +111,33 @@ def test_a_single_hit_makes_no_link(spark):
 
 
 def test_one_hop_writes_no_edges(robot, monkeypatch):
-    robot.edges  # noqa: B018 - built before
-    names, keep = [], graph.written
-    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or keep(df, name))
-    assert graph.perspective(robot.edges, "JNT-1", max_hops=1).count() == 2
+    near = robot.adjacency  # built before
+    names, keep = [], adjacency.written
+    monkeypatch.setattr(adjacency, "written", lambda df, name, *by: names.append(name) or keep(df, name, *by))
+    assert graph.perspective(near, "JNT-1", max_hops=1).count() == 2
     assert names == ["bfs-0", "bfs-1"]
 
 
+def test_rules_of_sheets_are_one_plan_over_all_sheets(robot):
+    plan = discovery.column_figures(robot.wb)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Python" not in plan
+
+
+def test_pipelines_follow_traits(robot):
+    assert [p["name"] for p in robot.pipelines("JNT-1")] == ["OWNER_via_actuator", "NEIGHBORS", "EVIDENCE", "LIFECYCLE_RECONSTRUCT"]
+    assert [p["id"] for p in robot.pipelines("CTRL-1")] == ["AQ-01", "AQ-02", "AQ-03"]
+
+
+def test_answers_run_their_plans(robot):
+    far = robot.answer("GET_CONTROLLER", "JNT-1")
+    assert far["mode"] == "discovered" and far["trace"] == ["seed", "walk_discovery", "attach_evidence", "render"] and [r["node"] for r in far["items"].collect()] == ["CTRL-1"]
+    near = robot.answer("GET_ACTUATOR", "JNT-1")
+    assert near["mode"] == "direct" and "walk" in near["trace"] and [r["other"] for r in near["items"].collect()] == ["ACT-1"]
+    none = robot.answer("GET_ACTUATOR", "CTRL-1")
+    assert none["mode"] == "empty" and none["reason"]
+    assert {r["name"] for r in robot.applicable_queries("JNT-1").collect()} <= set(robot.queries)
+
+
 def test_cell_lookups_reach_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id AS k", "concat('n', id) AS name", "id / 4 AS x", "date_add(DATE'2020-01-01', cast(id AS int)) AS d", "cast(id AS decimal(6, 2)) AS c").write.parquet(str(tmp_path / "t.parquet"))
     from loomgraph.sources.workbook import Sheet, from_parquet
