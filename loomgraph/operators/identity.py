@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from loomgraph.functions import scalars as S
 from loomgraph.sources.workbook import ORD, Sheet, Workbook
 
+from .textindex import TextIndex, text_index
+
 
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -97,46 +99,31 @@ class Resolution:
         return self.found[0] if len(self.found) == 1 and not self.how.startswith("ambiguous") and self.how not in ("fuzzy", "typo", "unresolved") else None
 
 
-SHOWN = ["node_key", "class", "pk", "name", "canonical"]
-
-
-def resolve(ents: DataFrame, token: str, promoted: DataFrame | None = None, most: int = 8, loosely: bool = True) -> Resolution:
+def resolve(ents: DataFrame, token: str, promoted: DataFrame | None = None, most: int = 8, loosely: bool = True, index: TextIndex | None = None) -> Resolution:
     """Stages in order, the first with a hit decides: id, Class:name, name, promoted value, part of a name, typo.
 
-    All stages but promoted values and typos are found in one pass that keeps the rows of the least stage. Several hits of an
-    exact stage make the token ambiguous. Of typos the closest come first. Without ``loosely`` the exact stages only.
+    Several hits of an exact stage make the token ambiguous. Of typos the closest come first. Without ``loosely`` the exact stages
+    only. An index of the entities answers what it can; it is built for the question if none is given.
     """
     t = token.strip()
     low = t.lower()
-    name = F.lower(F.col("name"))
-    stage = F.when((F.col("pk") == t) | (F.col("node_key") == t) | (F.col("canonical") == t), 0)
-    cls, colon, rest = t.partition(":")
-    if colon:
-        rest = rest.strip()
-        stage = stage.when(F.lower("class").startswith(cls.strip().lower()) & ((name == rest.lower()) | (F.col("pk") == rest)), 1)
-    stage = stage.when(name == low, 2)
-    if low and loosely:
-        stage = stage.when(name.contains(low), 3)
-    rows = ents.withColumn("stage", stage).where("stage IS NOT NULL").orderBy("stage", "ord").select("stage", *SHOWN).limit(most + 1).collect()
-    least = rows[0]["stage"] if rows else None
-    found = [{c: r[c] for c in SHOWN} for r in rows if r["stage"] == least]
-    if least is not None and least < 3:
-        one, several = (("id", "ambiguous_id"), ("class_name", "ambiguous_name"), ("name", "ambiguous_name"))[least]
+    index = index or text_index(ents)
+    found = index.exact(t, most + 1)
+    if found:
+        one, several = (("id", "ambiguous_id"), ("class_name", "ambiguous_name"), ("name", "ambiguous_name"))[found[0].pop("stage")]
+        for x in found[1:]:
+            del x["stage"]
         return Resolution(one if len(found) == 1 else several, found[:most])
     if promoted is not None:
         hit = promoted.where((F.lower("value") == low) | (F.col("promoted_id") == t)).select("promoted_id", "registry", "col", "value").limit(1).collect()
         if hit:
             r = hit[0]
             return Resolution("promoted", [{"node_key": r["promoted_id"], "class": f"{r['registry']}.{r['col']}", "pk": r["promoted_id"], "name": r["value"], "canonical": r["promoted_id"]}])
-    if found:
-        return Resolution("fuzzy", found[:most])
-    if len(low) >= 3 and loosely:
-        # lengths first: the comparison sees only rows that they don't rule out, once
-        may = S.typo_possible(F.col("name"), low) | F.coalesce(S.typo_possible(F.col("pk"), low), F.lit(False))
-        close = ents.where(F.coalesce(may, F.lit(False))).withColumn("ratio", S.typo_ratio(low)(F.col("name"), F.col("pk")))
-        rows = close.where("ratio >= 0.8").orderBy(F.desc("ratio"), "ord").select(*SHOWN).limit(most).collect()
-        if rows:
-            return Resolution("typo", [r.asDict() for r in rows])
+    if low and loosely:
+        if held := index.parts_of_names(low, most):
+            return Resolution("fuzzy", held)
+        if len(low) >= 3 and (close := index.typos(t, most)):
+            return Resolution("typo", close)
     return Resolution("unresolved", [])
 
 

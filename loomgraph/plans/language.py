@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 # Concepts, their kinds, the words that name them, and the operations they ask for.
@@ -125,14 +126,24 @@ def grammar(vocabulary: Vocabulary | None = None) -> Vocabulary:
     return v
 
 
-def tokenize(text: str, vocabulary: Vocabulary, longest: int = 5) -> list[Token]:
-    """Words, the longest phrase of the vocabulary first, with their places in the text."""
-    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\s?]+", text)]
+def words_of(text: str) -> list[tuple[str, int, int]]:
+    return [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\s?]+", text)]
+
+
+def runs(text: str, longest: int) -> list[str]:
+    """Runs of words of a question, as they stand there."""
+    words = words_of(text)
+    return [text[words[i][1] : words[j - 1][2]] for i in range(len(words)) for j in range(i + 1, min(i + longest, len(words)) + 1)]
+
+
+def tokenize(text: str, vocabulary: Vocabulary, longest: int = 5, named: Callable[[str], bool] = lambda _: False) -> list[Token]:
+    """Words, the longest phrase first that the vocabulary has or that is a name, with their places in the text."""
+    words = words_of(text)
     out, i = [], 0
     while i < len(words):
         for n in range(min(longest, len(words) - i), 0, -1):
             norm = " ".join(w[0] for w in words[i : i + n]).lower()
-            if n == 1 or vocabulary.candidates(norm):
+            if n == 1 or vocabulary.candidates(norm) or named(text[words[i][1] : words[i + n - 1][2]]):
                 out.append(Token(text[words[i][1] : words[i + n - 1][2]], norm, words[i][1], words[i + n - 1][2]))
                 i += n
                 break

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import derive, discovery, explore, graph, identity, integrity, relational
+from loomgraph.operators.textindex import normal
 from loomgraph.sources.workbook import ORD, Link, Sheet, Workbook, from_csv
 from loomgraph.storage import scratch
 
@@ -205,6 +206,45 @@ def reg_resolution_stages(spark, d):
     return spark.createDataFrame(rows, "token string, how string, found long")
 
 
+# Suppliers with names of several words, of which some are shared.
+PHRASES = "SELECT CAST(s_suppkey AS BIGINT) AS _ord, 'S-' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 1 THEN 'Left Shoulder ' || s_suppkey ELSE 'Upper  Arm, ' || s_suppkey % 4 END AS name, 'sup.py:' || s_suppkey AS Evidence FROM supplier"
+QUESTION = "evidence left shoulder 3, upper arm 2 and Upper Arm 77 of S-2"
+
+
+def phrase_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    key = (spark.sparkContext.applicationId, f"phrases {sf_dir}")
+    if key not in _engines:
+        frame = spark.sql(PHRASES.replace(" FROM supplier", f" FROM parquet.`{sf_dir}/supplier.parquet`"))
+        _engines[key] = Engine(Workbook(spark, {"Part Registry": frame}).with_catalog([Sheet("Part Registry", pk="id", label="name", evidence="Evidence", entity="Part")]))
+    return _engines[key]
+
+
+def _phrase_query(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = f"WITH p AS ({PHRASES}), n AS (SELECT *, regexp_replace(lower(name), '[\\s,]+', ' ', 'g') AS phrase FROM p)\n" + sql
+        return f
+
+    return add
+
+
+@_phrase_query("SELECT phrase, id AS pk FROM n WHERE phrase IN ('left shoulder 3', 'upper arm 2', 'upper arm 77') QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY _ord) <= 8")
+def reg_phrases(spark, d):
+    """Names of several words in a question; of a shared name the first eight entities."""
+    e = phrase_engine(spark, d)
+    found = e.names.phrases(normal(r) for r in language.runs(QUESTION, 5))
+    return spark.createDataFrame([(p, x["pk"]) for p, xs in found.items() for x in xs], "phrase string, pk string")
+
+
+@_phrase_query("""SELECT 'evidence' AS text, 'concept' AS kind, 0 AS n UNION ALL SELECT 'left shoulder 3,', 'entity', 0 UNION ALL SELECT 'S-2', 'entity', 0 UNION ALL SELECT 'of', 'concept', 0
+UNION ALL SELECT 'and', 'concept', 0 UNION ALL SELECT 'upper arm 2', CASE WHEN count(*) = 1 THEN 'entity' ELSE 'ambiguous' END, CASE WHEN count(*) = 1 THEN 0 ELSE least(8, count(*)) END FROM n WHERE phrase = 'upper arm 2'
+UNION ALL SELECT 'Upper', 'unresolved', 0 UNION ALL SELECT 'Arm', 'unresolved', 0 UNION ALL SELECT '77', 'number', 0""")
+def reg_phrase_meanings(spark, d):
+    """What the words of a question mean, names of several words and shared ones included."""
+    made = phrase_engine(spark, d).plan(QUESTION)
+    return spark.createDataFrame([(m.text, m.kind, len(m.candidates) if m.kind == "ambiguous" else 0) for m in made["meanings"]], "text string, kind string, n int")
+
+
 @query("SELECT pk, class FROM ent WHERE pk = 'SUP-2'")
 def reg_typo(spark, d):
     """A mistyped name finds its entity."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as S
 from loomgraph.operators import compare, derive, discovery, explore, graph, identity, integrity, relational
 from loomgraph.operators.adjacency import Adjacency, adjacency
+from loomgraph.operators.textindex import TextIndex, normal, text_index
 from loomgraph.sources import sinks, workbook
 from loomgraph.sources.workbook import Workbook
 from loomgraph.storage import written
@@ -50,6 +51,11 @@ class Engine:
         """The edges at both of their ends, for what starts at nodes."""
         return adjacency(self.edges)
 
+    @cached_property
+    def names(self) -> TextIndex:
+        """What entities are called, for lookups by names, phrases and parts of names."""
+        return text_index(self.entities)
+
     @cached_property
     def relation_targets(self) -> DataFrame:
         return written(graph.relation_targets(self.edges), "targets")
@@ -64,7 +70,7 @@ class Engine:
 
     @cached_property
     def vocabulary(self) -> language.Vocabulary:
-        """Grammar words, then registries (with and without their suffix) and relations."""
+        """Grammar words, then registries (with and without their suffix), relations and columns. Names are in an index of their own."""
         v = language.grammar()
         for s in self.wb.owners():
             for w in {s.name, s.name.removesuffix(" Registry"), s.entity or s.name}:
@@ -72,12 +78,15 @@ class Engine:
                     v.add(form, s.name, "registry", "workbook")
         for r in self.edges.select("rel").distinct().orderBy("rel").collect():
             v.add(r["rel"].replace("_", " "), r["rel"], "relation", "workbook", 0.5)
+        for s in self.wb.owners():
+            for c in self.wb.header(s.name):
+                v.add(c, f"{s.name}.{c}", "attribute", s.name, 0.4)
         return v
 
     # --- lookups -------------------------------------------------------------------------------------------------
 
     def resolve(self, token: str) -> identity.Resolution:
-        return identity.resolve(self.entities, token, self.promoted)
+        return identity.resolve(self.entities, token, self.promoted, index=self.names)
 
     def node(self, token: str) -> str | None:
         found = self.resolve(token).one
@@ -243,7 +252,7 @@ class Engine:
 
     def node_of(self, token: str) -> str | None:
         """The node of a token that names one exactly."""
-        found = identity.resolve(self.entities, token, self.promoted, loosely=False).one
+        found = identity.resolve(self.entities, token, self.promoted, loosely=False, index=self.names).one
         return found and found["node_key"]
 
     def class_of(self, node: str) -> str | None:
@@ -260,32 +269,46 @@ class Engine:
         r = rows.groupBy("rel", "src_class").agg(F.min("ord").alias("first")).orderBy("first").first()
         return (None, "in") if r is None else (r["rel"], "in" if r["src_class"] == a else "out")
 
-    def classify_word(self, token: str) -> planner.Meaning:
-        """A number, a word of the grammar, of the workbook, an entity (exactly), several entities, or nothing known."""
+    def classify_word(self, token: str, named: dict[str, list[dict]] | None = None) -> planner.Meaning:
+        """A number, a word of the grammar, of the workbook, an entity (exactly), several entities, or nothing known.
+
+        named are the phrases of a question that are names, as :meth:`TextIndex.phrases` has them. A column's name means
+        the column only if no entity is called like it.
+        """
         if planner.looks_like_number(token):
             return planner.Meaning("number", token, value=int(token) if token.isdigit() else float(token))
         found = self.vocabulary.candidates(token)
-        if found:
+        if found and found[0].type != "attribute":
             c = found[0]
             kind = "concept" if c.owner == "grammar" else "workbook"
             return planner.Meaning(kind, token, c.canonical, c.type, candidates=tuple(found))
-        hit = identity.resolve(self.entities, token, self.promoted, loosely=False)
-        if hit.one:
-            return planner.Meaning("entity", token, hit.one["node_key"], hit.one["class"])
-        if hit.found:
-            return planner.Meaning("ambiguous", token, candidates=tuple(x["node_key"] for x in hit.found))
+        called = (named or {}).get(normal(token))
+        if called is None and not found:
+            hit = identity.resolve(self.entities, token, self.promoted, loosely=False, index=self.names)
+            called = hit.found
+        if called:
+            if len(called) == 1:
+                return planner.Meaning("entity", token, called[0]["node_key"], called[0]["class"])
+            return planner.Meaning("ambiguous", token, candidates=tuple(x["node_key"] for x in called))
+        if found:
+            return planner.Meaning("attribute", token, found[0].canonical, "attribute", candidates=tuple(found))
         return planner.Meaning("unresolved", token)
 
     def plan(self, text: str) -> dict:
-        """Tokens, meanings, the trees of scopes and tasks, and the plan of a question, before it runs."""
-        tokens = language.tokenize(text, self.vocabulary)
-        meanings = [self.classify_word(t.text) for t in tokens]
+        """Tokens, meanings, the trees of scopes and tasks, and the plan of a question, before it runs.
+
+        All runs of words are looked up as names at once; the longest that is one is a token.
+        """
+        longest = max(5, min(self.names.longest, 12))
+        named = self.names.phrases(normal(r) for r in language.runs(text, longest))
+        tokens = language.tokenize(text, self.vocabulary, longest, lambda run: normal(run) in named)
+        meanings = [self.classify_word(t.text, named) for t in tokens]
         # relations are named in passing: they aren't targets
         scope = planner.scopes([m for m in meanings if m.type != "relation"])
         task = planner.resolved(planner.tasks(scope), self)
-        words = [m.text for m in meanings if m.kind == "unresolved"]
+        words = [m.text for m in meanings if m.kind in ("unresolved", "attribute")]
         operations = list(dict.fromkeys(op for t in task.walk() for op in t.operations))
-        return {"query": text, "tokens": tokens, "meanings": meanings, "intent": language.intent_of(tokens, self.vocabulary), "scopes": scope, "execution": task, "operations": operations, "plan": planner.compiled(task), "words": words}
+        return {"query": text, "tokens": tokens, "meanings": meanings, "intent": language.intent_of(tokens, self.vocabulary), "scopes": scope, "execution": task, "operations": operations, "plan": planner.compiled(task), "words": words, "ambiguous": {m.text: list(m.candidates) for m in meanings if m.kind == "ambiguous"}}
 
     def ask(self, text: str) -> dict:
         """A question about registries or entities: its plan, what ran, and the result."""
