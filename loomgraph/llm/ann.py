@@ -104,8 +104,10 @@ def balanced_partition(graph: np.ndarray, start: np.ndarray, parts: int, slack:
 
 @dataclass
 class Router:
-    """Softmax over a hidden layer; mean and scale standardise the input."""
+    """Softmax over a hidden layer; low and high clip the input, mean and scale standardise it."""
 
+    low: np.ndarray
+    high: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -115,7 +117,7 @@ class Router:
     mass: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0)
+        h = np.maximum((np.clip(x, self.low, self.high) - self.mean) / self.scale @ self.w1 + self.b1, 0)
         return h @ self.w2 + self.b2
 
     def home(self, x: np.ndarray) -> np.ndarray:
@@ -141,9 +143,18 @@ class Router:
         return out
 
 
+def usual_range(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each component, wide of the middle 98 % of rows: beyond them a few huge values would decide scales and parts."""
+    low, high = np.quantile(x, 0.01, axis=0), np.quantile(x, 0.99, axis=0)
+    room = 3 * (high - low) + 1e-6 * (1 + np.abs(low) + np.abs(high))
+    return low - room, high + room
+
+
 def fit_classifier(x: np.ndarray, labels: np.ndarray, parts: int, hidden: int = 128, epochs: int = 30, seed: int = 7) -> Router:
     """Adam on cross entropy with soft labels, a row's being the shares of its label list, in minibatches; float32."""
     rng = np.random.default_rng(seed)
+    low, high = usual_range(x)
+    x = np.clip(x, low, high)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = ((x - mean) / scale).astype(np.float32)
     shapes = [(x.shape[1], hidden), (hidden,), (hidden, parts), (parts,)]
@@ -166,7 +177,7 @@ def fit_classifier(x: np.ndarray, labels: np.ndarray, parts: int, hidden: int =
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.999 * v[j] + 0.001 * g * g
                 p[j] -= rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.999**step)) + 1e-8)
-    return Router(mean, scale, *(q.astype(np.float64) for q in p))
+    return Router(low, high, mean, scale, *(q.astype(np.float64) for q in p))
 
 
 def parts_for(n: int, most: int = MOST_PARTS) -> int:
@@ -184,9 +195,10 @@ def fit(x: np.ndarray, parts: int, k: int = 20, target: float = TARGET, seed: in
     near = min(k, len(base) - 1)
     if parts < 2 or near < 1:  # fewer than some eight vectors
         d = x.shape[1] if x.ndim == 2 else 1
-        return Router(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = neighbour_graph(base, min(20, len(base) - 1))
-    label = balanced_partition(graph, balanced_start(base, parts), parts)
+        return Router(np.full(d, -np.inf), np.full(d, np.inf), np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    tame = np.clip(base, *usual_range(base))
+    graph = neighbour_graph(tame, min(20, len(base) - 1))
+    label = balanced_partition(graph, balanced_start(tame, parts), parts)
     router = fit_classifier(base, np.column_stack([label, label[graph]]), parts, seed=seed)
     home = router.home(base)
     # the mass before a true neighbour's part: beyond which share of them do queries have to look?
@@ -194,7 +206,7 @@ def fit(x: np.ndarray, parts: int, k: int = 20, target: float = TARGET, seed: in
     queries = x[held]
     for i in range(0, len(queries), 500):
         q = queries[i : i + 500]
-        true = np.argpartition(-(q @ base.T), near - 1, axis=1)[:, :near]
+        true = np.argpartition(-products(q, base), near - 1, axis=1)[:, :near]
         order, ahead = router.ranked(q)
         by_part = np.empty_like(ahead)
         np.put_along_axis(by_part, order, ahead, 1)
@@ -243,26 +255,38 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
         near = min(k, len(ids))
         for i in range(0, len(asks), 256):
             q = q_all[asks[i : i + 256]]
-            s = q @ x.T
+            s = products(q, x)
             # every candidate that ties with the k-th or comes within rounding of it goes on to the exact comparison
             floor = np.partition(s, len(ids) - near, axis=1)[:, len(ids) - near]
-            a, b = np.nonzero(s >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
+            floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), floor)
+            a, b = np.nonzero(s >= floor[:, None])
             kept.append(top(q_ids[asks[i + a]], ids[b], exact_scores(q[a], x[b]), k))
     out = [np.concatenate(c) for c in zip(*kept, strict=True)] if kept else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
     out = top(*out, k)
     return pd.DataFrame({"query": out[0], "vec_id": out[1], "score": out[2]})
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of a block with those of another; what overflows both ways counts least."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = a @ b.T
+    return np.where(np.isnan(s), -np.inf, s)
+
+
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, the same whatever the block they are computed in."""
-    return np.einsum("ij,ij->i", a, b, optimize=False)
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = np.einsum("ij,ij->i", a, b, optimize=False)
+    return np.where(np.isnan(s), -np.inf, s)
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, most_parts: int = MOST_PARTS, sample: int = SAMPLE, bin_rows: int = BIN, target: float = TARGET, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest other rows found, for ids divisible by ``every``.
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length than the most frequent (ties: the longest). Repeated rows (id and vector) count once. Ties
-    go to the smaller id.
+    go to the smaller id. Products beyond the range of doubles are infinite, and minus infinity where their terms are so in both
+    directions. The router sees components clipped to some width around the middle 98 % of the sample, so that a few huge vectors
+    don't hide the others from it.
     """
     spark: SparkSession = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
@@ -299,7 +323,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     bins = bins_of(sizes, bin_rows)
     room = np.array([sizes.get(p, 0) for p in range(parts)])
 
-    def routes(batches: Iterator[pd.DataFrame], vectors_too: bool = True) -> Iterator[pd.DataFrame]:
+    def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Router(**held.value)
         for b in batches:
             rows: list[tuple] = []
@@ -309,21 +333,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                     for x in range(*bins.get(p, (0, 0))):
                         by_bin.setdefault(x, []).append(p)
                 rows += [(i, x, ps) for x, ps in by_bin.items()]
-            of = np.array([x[1] for x in rows], np.int32)
-            if vectors_too:
-                yield b.iloc[[x[0] for x in rows]].assign(bin=of, parts=[x[2] for x in rows])
-            else:
-                yield pd.DataFrame({"bin": of})
+            yield pd.DataFrame({"query": b["query"].to_numpy()[[x[0] for x in rows]], "bin": np.array([x[1] for x in rows], np.int32), "parts": [x[2] for x in rows]})
 
     # a bin's queries go in blocks of a bounded size as well, as many as are routed to it; its candidates are repeated for each
     distinct_queries = queries.dropDuplicates(["query"]).select("query", "v")
-    routed = distinct_queries.mapInPandas(lambda b: routes(b, False), "bin int").groupBy("bin").count().collect()  # a row a bin
-    blocks = [(r["bin"], -(-r["count"] // bin_rows)) for r in routed]
+    routed = written(distinct_queries.mapInPandas(routes, "query long, bin int, parts array<int>"), "ann-routes")
+    blocks = [(r["bin"], -(-r["count"] // bin_rows)) for r in routed.groupBy("bin").count().collect()]  # a row a bin
     blocks = small(spark.createDataFrame(blocks, "bin int, blocks int"), len(blocks))
     ranges = small(spark.createDataFrame([(p, lo, hi - lo) for p, (lo, hi) in bins.items()], "part int, lo int, wide int"), len(bins))
     placed = placed.join(ranges, "part").select((F.col("lo") + F.pmod(F.xxhash64("rep"), F.col("wide"))).cast("int").alias("bin"), "part", F.col("rep").alias("vec_id"), "v")
     placed = placed.join(blocks, "bin").select("bin", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    sent = distinct_queries.mapInPandas(routes, "query long, v array<double>, bin int, parts array<int>").join(blocks, "bin")
+    sent = routed.join(distinct_queries, "query").join(blocks, "bin")
     sent = sent.select("query", "v", "bin", "parts", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

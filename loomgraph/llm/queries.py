@@ -93,13 +93,13 @@ h AS (
   SELECT page_id, CASE WHEN has THEN lower(regexp_extract(rest, '^([^/?#]*)', 1)) ELSE '' END AS host,
          CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
 bare AS (
-  SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM h),
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS b, string_split(b, '.') AS l FROM h),
 parts AS (
-  SELECT *, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM bare),
+  SELECT *, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one, regexp_matches(b, '^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$') AS address FROM bare),
 named AS (
   SELECT page_id, host, path,
-         CASE WHEN regexp_matches(two, '^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN three ELSE two END AS domain,
-         CASE WHEN regexp_matches(two, '^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN two ELSE one END AS suffix
+         CASE WHEN address THEN b WHEN regexp_matches(two, '^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN three ELSE two END AS domain,
+         CASE WHEN address THEN b WHEN regexp_matches(two, '^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN two ELSE one END AS suffix
   FROM parts),
 lab AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 hosts AS (

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import small, text_or_empty
+from .shared import small, text_or_empty, written
 
 K, WORDS = 128, 5
 
@@ -103,11 +103,17 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, own: dict[str, Column
     else:
         rows_ = rows_.withColumn("cut", F.lit(0))
     parts = ["range", "cut"]
-    firsts = rows_.groupBy(*parts).agg(F.min("id").alias("first_id")).orderBy(*parts).collect()
-    heads = docs.sparkSession.createDataFrame([(*r, *firsts[i - 1][:2]) for i, r in enumerate(firsts)], "range int, cut int, first_id long, range_before int, cut_before int")
+    # the range, or cut, before each: within a range that of the next lower cut, else the last cut of the range before
+    firsts = rows_.groupBy(*parts).agg(F.min("id").alias("first_id"))
+    firsts = written(firsts.withColumn("cut_before", F.lag("cut").over(Window.partitionBy("range").orderBy("cut"))), "range-firsts")
+    order = sorted(r["range"] for r in sizes)
+    before = docs.sparkSession.createDataFrame([(r, order[i - 1]) for i, r in enumerate(order)], "range int, other int")
+    lasts = firsts.groupBy(F.col("range").alias("other")).agg(F.max("cut").alias("last_cut"))
+    heads = firsts.join(before.join(lasts, "other"), "range")
+    heads = heads.select(*parts, "first_id", F.when(F.col("cut_before").isNull(), F.col("other")).otherwise(F.col("range")).alias("range_before"), F.coalesce("cut_before", "last_cut").alias("cut_before"))
     # of the rows with a range's first id that with the least hash and text is its first
     head = (
-        rows_.join(small(heads, len(firsts), 1_000_000), parts)
+        rows_.join(small(heads, firsts.count(), 1_000_000), parts)
         .where(F.col("id").eqNullSafe(F.col("first_id")))
         .groupBy(*parts, "range_before", "cut_before").agg(F.min(F.struct("h", "text")).alias("first"))
         .select(F.lit(None).cast("long").alias("id"), "first.text", "first.h", F.col("range_before").alias("range"), F.col("cut_before").alias("cut"), F.lit(True).alias("sentinel"))

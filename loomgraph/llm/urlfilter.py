@@ -13,7 +13,7 @@ beta law, is above ``most_bad``. Only counts by host are aggregated, with partia
 The registered domain is the suffix and one more label. Suffixes come from a table in the form of the public suffix list
 (:func:`read_suffix_table`: plain, ``*.`` and ``!`` rules, the longest that fits); without a table the suffix is the last label,
 or the last two where the last has two letters and the one before is one of the usual second levels. A port and user part
-don't count for these.
+don't count for these. A host that is an address (four numbers, or one in brackets) is a domain and a suffix of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .shared import written
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SECOND_LEVEL = r"^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$"
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,7 +81,8 @@ def with_levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFram
         tails = hosts.select("host", F.explode(F.flatten(at)).alias("t")).select("host", "t.*")
         fits = tails.join(suffixes.select("rule"), "rule").groupBy("host").agg(F.max(F.struct("first", "labels")).alias("best"))
         rows = hosts.join(fits.select("host", F.col("best.labels").alias("suffix_labels")), "host", "left").withColumn("suffix_labels", F.coalesce("suffix_labels", F.lit(1)))
-    return rows.withColumns({"domain": tail(F.col("suffix_labels") + 1), "suffix": tail(F.col("suffix_labels"))}).drop("suffix_labels")
+    address = name.rlike(ADDRESS)
+    return rows.withColumns({"domain": F.when(address, name).otherwise(tail(F.col("suffix_labels") + 1)), "suffix": F.when(address, name).otherwise(tail(F.col("suffix_labels")))}).drop("suffix_labels")
 
 
 def strength(groups: DataFrame) -> float:

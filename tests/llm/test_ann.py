@@ -100,3 +100,21 @@ def test_bins():
         for b in range(lo, hi):
             load[b] = load.get(b, 0) + sizes[p] / (hi - lo)
     assert max(load.values()) <= 100 and sorted(load) == list(range(len(load)))
+
+
+def test_a_huge_vector_does_not_hide_the_others(spark):
+    rows = clustered(300)
+    x = np.array([v for _, v in rows])
+    router = ann.fit(x, 17)
+    huge = np.vstack([x, np.full((1, x.shape[1]), 1e200)])
+    got = ann.fit(huge, 17)
+    assert len(np.unique(got.home(x))) >= 0.6 * len(np.unique(router.home(x))) and np.isfinite(got.logits(huge)).all() and got.mass > 1e-6
+    df = spark.createDataFrame([*rows, (9001, huge[-1].tolist()), (9020, [-1e200, 1e200] + [0.0] * (x.shape[1] - 2))], "vec_id long, embedding array<double>")
+    found = collected(ann.nearest(df))
+    assert all(len(v) == 20 for v in found.values()) and found[9020][0][1] < np.inf
+
+
+def test_products_beyond_doubles():
+    a, b = np.array([[1e200, 1e200]]), np.array([[1e200, -1e200], [1e200, 1e200], [-1e200, -1e200], [1.0, 1.0]])
+    assert ann.products(a, b).tolist() == [[-np.inf, np.inf, -np.inf, 2e200]]
+    assert ann.exact_scores(np.repeat(a, 4, 0), b).tolist() == [-np.inf, np.inf, -np.inf, 2e200]

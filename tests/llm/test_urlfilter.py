@@ -106,3 +106,9 @@ def test_empty(spark):
     assert urlfilter.judged(spark.createDataFrame([], PAGES), spark.createDataFrame([], LABELS)).count() == 0
     one = urlfilter.judged(spark.createDataFrame([(1, "http://a.org/", "x"), (1, "http://a.org/", "x")], PAGES), spark.createDataFrame([(1, None, None), (1, 0, None)], LABELS)).collect()
     assert len(one) == 2
+
+
+def test_addresses_are_domains_of_their_own(spark):
+    hosts = ["10.0.3.4", "8.8.3.4", "user@10.0.3.4:8080", "[::1]:80", "[2001:db8::2]", "1.2.3.example.com", "1.2.3"]
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in urlfilter.with_levels(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
+    assert got == {"10.0.3.4": ("10.0.3.4",) * 2, "8.8.3.4": ("8.8.3.4",) * 2, "user@10.0.3.4:8080": ("10.0.3.4",) * 2, "[::1]:80": ("[::1]",) * 2, "[2001:db8::2]": ("[2001:db8::2]",) * 2, "1.2.3.example.com": ("example.com", "com"), "1.2.3": ("2.3", "3")}
