@@ -168,10 +168,17 @@ def workbook_queries(e: DataFrame) -> DataFrame:
     return given.unionByName(own).select("name", "objective", is_("traverse").alias("relation"), is_("attribute").alias("attribute"), "direction", "render")
 
 
-def relation_groups(e: DataFrame) -> DataFrame:
-    """(rel, kind): structural if it joins a class to itself, reference if it has one target class, association otherwise."""
-    rows = e.groupBy("rel").agg(F.countDistinct("dst_class").alias("targets"), F.bool_or(F.col("src_class") == F.col("dst_class")).alias("own"))
-    return rows.select("rel", F.when(F.col("own"), "Structural").when(F.col("targets") == 1, "Reference").otherwise("Association").alias("kind"))
+def relation_groups(e: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """(rel, kind) by what a relation joins: structural if a class is at both of its ends, classification if it leads into one class, association otherwise.
+
+    Relations that are only named (column rel), without an edge, are references if they are called ..._name or ..._path, else other.
+    """
+    rows = e.groupBy("rel").agg(F.collect_set("src_class").alias("into"), F.collect_set("dst_class").alias("out"))  # names of classes
+    found = rows.select("rel", F.when(F.arrays_overlap("into", "out"), "Structural").when(F.size("out") == 1, "Classification").otherwise("Association").alias("kind"))
+    if named is None:
+        return found
+    alone = named.select("rel").distinct().join(found, "rel", "left_anti")
+    return found.unionByName(alone.select("rel", F.when(F.col("rel").rlike("_(name|path)$"), "Reference").otherwise("Other").alias("kind")))
 
 
 def relation_names(e: DataFrame) -> list[str]:

@@ -167,7 +167,9 @@ def actions(e: DataFrame, reach: DataFrame, node: str, cls: str) -> DataFrame:
     arrow = F.when(F.col("dir") == "out", " → ").otherwise(" ← ")
     direct = mine.select(F.concat_ws("::", "dir", key).alias("key"), F.concat(F.lit(cls), arrow, "other_class").alias("label"), F.lit("relation").alias("kind"), "n", F.lit("direct").alias("mode"))
     far = reachable_relations(e, reach, node, cls).select(F.concat(F.lit("out::"), "rel", F.lit("::"), "target_class").alias("key"), F.concat(F.lit(f"{cls} → "), "target_class").alias("label"), F.lit("relation").alias("kind"), F.lit(-1).cast("long").alias("n"), F.lit("discovered").alias("mode"))
-    return direct.unionByName(far).dropDuplicates(["key"])
+    # equal keys are one action: what the entity has itself comes before what is discovered
+    first = F.min_by(F.struct("label", "kind", "n", "mode"), F.struct(F.col("mode") != "direct", "label")).alias("a")
+    return direct.unionByName(far).groupBy("key").agg(first).select("key", "a.*")
 
 
 def analyze(e: DataFrame, ents: DataFrame, reach: DataFrame, node: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import scalars as S
-from loomgraph.sources.workbook import Workbook
+from loomgraph.sources.workbook import ORD, Workbook
+from loomgraph.storage import written
 
 from .identity import quoted
 
@@ -129,10 +130,35 @@ def find_sheets(wb: Workbook, value: str) -> DataFrame:
     return wb.hits(value).groupBy("sheet").agg(F.count("*").alias("n"))
 
 
-def observe(wb: Workbook, value: str) -> dict[str, object]:
-    """What cells say of an identifier: occurrences, sheets, columns, rows, source files."""
-    hits = wb.hits(value)
-    r = hits.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("sheet")).alias("sheets"), F.array_sort(F.collect_set("col")).alias("columns"), F.countDistinct("sheet", "row").alias("rows")).first()
-    files = wb.cells().join(hits.select("sheet", "row").distinct(), ["sheet", "row"], "left_semi").select(F.explode(F.regexp_extract_all("value", F.lit(r"[\w./]+\.py:\d+"), F.lit(0))).alias("f")).distinct()
-    found = {"occurrences": r["n"], "sheets": r["sheets"], "columns": r["columns"], "rows": r["rows"], "files": sorted(x["f"] for x in files.collect())}
-    return {k: v or "UNKNOWN" for k, v in found.items()}
+def source_files(wb: Workbook, hits: DataFrame) -> DataFrame:
+    """(file): files and lines that the rows of the hits name, in any of their cells; other rows' cells aren't looked at."""
+    out = wb.spark.createDataFrame([], "file string")
+    for name in wb.frames:
+        rows = wb.frame(name).join(hits.where(F.col("sheet") == name).select(F.col("row").alias(ORD)).distinct(), ORD, "left_semi")
+        cells = rows.select(F.explode(F.array(*(quoted(c).cast("string") for c in wb.header(name)))).alias("value"))
+        out = out.unionByName(cells.select(F.explode(F.regexp_extract_all("value", F.lit(r"[\w./]+\.py:\d+"), F.lit(0))).alias("file")))
+    return out.distinct()
+
+
+def observe(wb: Workbook, value: str, ents: DataFrame | None = None, near: DataFrame | None = None) -> dict[str, object]:
+    """What a workbook says of an identifier, in ten observations; what is empty is UNKNOWN.
+
+    Cells: occurrences, sheets, columns, rows, files and lines. With entities and the edges at the identifier: the sheet
+    that owns it and those that refer to it, neighbours (a table), parents by its links and the sheets below it, in how many sheets it
+    is, and its own row.
+    """
+    hits = written(wb.hits(value), "hits")
+    r = hits.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("sheet")).alias("sheets"), F.array_sort(F.collect_set(F.concat_ws(".", "sheet", "col"))).alias("columns"), F.countDistinct("sheet", "row").alias("rows")).first()
+    files = sorted(x["file"] for x in source_files(wb, hits).collect())
+    found: dict[str, object] = {"occurrences": r["n"], "sheets": r["sheets"], "columns": r["columns"], "rows": r["rows"], "files": files}
+    if ents is not None:
+        own = ents.where((F.col("pk") == value) | (F.col("node_key") == value)).orderBy("ord").select("class", "metadata").first()
+        others = [s for s in r["sheets"] if own is None or s != own["class"]]
+        links = {x.column for x in wb.sheet(own["class"]).links} if own else set()
+        parents = [{"role": c, "id": own["metadata"][c]} for c in wb.header(own["class"]) if (c in links or "(FK)" in c) and own["metadata"].get(c)] if own else []
+        found["keys"] = {"pk_in": own and own["class"], "fk_in": others} if own or others else None
+        found["hierarchy"] = {"parents": parents, "children": others} if parents or others else None
+        found["duplicates"] = {"sheets": r["sheets"], "count": len(r["sheets"])} if r["sheets"] else None
+        found["metadata"] = own and own["metadata"]
+        found["neighbors"] = None if near is None or near.isEmpty() else near
+    return {k: "UNKNOWN" if v is None or (not isinstance(v, DataFrame) and not v) else v for k, v in found.items()}

@@ -544,7 +544,7 @@ def relation_queries(spark, d):
     return derive.relation_queries(engine(spark, d).edges)
 
 
-@query("SELECT rel, CASE WHEN bool_or(src_class = dst_class) THEN 'Structural' WHEN count(DISTINCT dst_class) = 1 THEN 'Reference' ELSE 'Association' END AS kind FROM edges GROUP BY rel")
+@query("SELECT rel, CASE WHEN len(list_intersect(list(src_class), list(dst_class))) > 0 THEN 'Structural' WHEN count(DISTINCT dst_class) = 1 THEN 'Classification' ELSE 'Association' END AS kind FROM edges GROUP BY rel")
 def relation_groups(spark, d):
     return derive.relation_groups(engine(spark, d).edges)
 
@@ -687,7 +687,7 @@ def walk_child(spark, d):
     return explore.walk_child(e.wb, e.entities, NATION)
 
 
-@query(f"SELECT dir, rel, 'Reference' AS kind, count(*) AS n FROM sides WHERE node = '{NATION}' GROUP BY ALL")
+@query(f"SELECT dir, rel, 'Classification' AS kind, count(*) AS n FROM sides WHERE node = '{NATION}' GROUP BY ALL")
 def relation_inventory(spark, d):
     return engine(spark, d).relation_inventory(NATION)
 

@@ -260,6 +260,45 @@ def reg_classify_words(spark, d):
     return spark.createDataFrame([(e.classify_word(w).kind,) for w in ("12", "count", "suppliers", "SUP-1", "blorp")], "kind string").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("""
+, mine AS (SELECT * FROM sides WHERE node = 'CUS-3'), sib AS (SELECT count(DISTINCT src) AS n FROM edges WHERE src <> 'CUS-3' AND (rel, dst) IN (SELECT (rel, dst) FROM edges WHERE src = 'CUS-3')),
+  far AS (SELECT count(DISTINCT c.src) AS confirmed, min(c.src) AS first FROM edges c JOIN edges n ON n.src = c.dst AND n.dst_class = 'Region Registry' WHERE c.src_class = 'Customer Registry'),
+  size AS (SELECT count(*) AS n FROM ent WHERE class = 'Customer Registry'),
+  a(id, label, mode, count, capability, confidence, evidence) AS (
+    SELECT 'attribute::class::', 'What is', 'fixed', 1, 'Identity', 1.0, 'owner registry row' UNION ALL SELECT 'attribute::name::', 'Name', 'fixed', 1, 'Identity', 1.0, 'owner registry row'
+    UNION ALL SELECT 'relation_direct::' || rel || '::Nation Registry', CASE rel WHEN 'nation' THEN 'Nation' ELSE 'Ships To' END, 'direct', count(*), 'Relationships', 1.0, 'Relationship (Universal Property Graph)' FROM mine GROUP BY rel
+    UNION ALL SELECT 'relation_discovered::region::Region Registry', 'Region', 'discovered', -1, 'Relationships', round_even(CAST(confirmed AS DOUBLE) / n, 3), CASE WHEN first IN (SELECT src FROM edges WHERE rel = 'ships to') THEN 'ships to' ELSE 'nation' END || ' -> region (' || confirmed || '/' || n || ')' FROM far, size
+    UNION ALL SELECT 'attribute::' || c || '::', c, 'fixed', 1, 'Attributes', 1.0, 'owner registry row' FROM (VALUES ('Nation (FK)'), ('Segment')) AS t(c)
+    UNION ALL SELECT 'neighbors::*::', 'Neighbors', 'fixed', count(*), 'Relationships', 1.0, 'Universal Property Graph' FROM mine
+    UNION ALL SELECT 'meta::evidence::', 'Evidence', 'fixed', 1, 'Evidence', 1.0, 'owner registry row' UNION ALL SELECT 'meta::source_row::', 'Source row', 'fixed', 5, 'Evidence', 1.0, 'owner registry row'
+    UNION ALL SELECT 'analysis::ANALYZE_ENTITY::', 'Analyze this entity', 'analysis', 1, 'Analysis', 1.0, 'graph + registry (derived)'
+    UNION ALL SELECT 'analysis::COMPARE_SIBLINGS::', 'Compare with siblings', 'analysis', n, 'Analysis', CAST(n > 0 AS INTEGER), CASE WHEN n > 0 THEN 'graph + registry (derived)' ELSE 'No siblings share a direct parent.' END FROM sib
+    UNION ALL SELECT 'analysis::COMPARE_LAYER::', 'Compare with layer', 'analysis', n - 1, 'Analysis', 1.0, 'graph + registry (derived)' FROM size)
+SELECT id, label, mode, CAST(count AS BIGINT) AS count, capability, CAST(confidence AS DOUBLE) AS confidence, evidence FROM a""")
+def reg_entity_menu(spark, d):
+    """All actions of a customer that has flows."""
+    return engine(spark, d).menu("CUS-3").select("id", "label", "mode", "count", "capability", "confidence", "evidence")
+
+
+@query("""
+, c AS (
+  SELECT 'Nation Registry' AS sheet, _ord AS row, 'Nation ID' AS col FROM nation_sheet WHERE "Nation ID" = 'NAT-3' UNION ALL SELECT 'Supplier Registry', _ord, 'Nation (FK)' FROM supplier_sheet WHERE "Nation (FK)" = 'NAT-3'
+  UNION ALL SELECT 'Customer Registry', _ord, 'Nation (FK)' FROM customer_sheet WHERE "Nation (FK)" = 'NAT-3' UNION ALL SELECT 'Flow Registry', _ord, 'Target (FK)' FROM flow_sheet WHERE "Target (FK)" = 'NAT-3'),
+  others AS (SELECT string_agg(DISTINCT sheet, ',' ORDER BY sheet) AS s FROM c WHERE sheet <> 'Nation Registry')
+SELECT 'occurrences' AS observation, CAST(count(*) AS VARCHAR) AS value FROM c UNION ALL SELECT 'sheets', string_agg(DISTINCT sheet, ',' ORDER BY sheet) FROM c
+UNION ALL SELECT 'columns', string_agg(DISTINCT sheet || '.' || col, ',' ORDER BY sheet || '.' || col) FROM c UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT sheet, row FROM c)
+UNION ALL SELECT 'files', 'geo.py:3' UNION ALL SELECT 'keys', 'Nation Registry <- ' || s FROM others UNION ALL SELECT 'neighbors', CAST(count(*) AS VARCHAR) FROM sides WHERE node = 'NAT-3'
+UNION ALL SELECT 'hierarchy', 'Region (FK)=' || "Region (FK)" || ' > ' || s FROM nation_sheet, others WHERE "Nation ID" = 'NAT-3'
+UNION ALL SELECT 'duplicates', CAST(count(DISTINCT sheet) AS VARCHAR) FROM c UNION ALL SELECT 'metadata', 'NAT-3,' || "Name" || ',' || "Region (FK)" || ',' || "Evidence" FROM nation_sheet WHERE "Nation ID" = 'NAT-3'""")
+def reg_observations(spark, d):
+    """The ten observations of a nation."""
+    e = engine(spark, d)
+    o = e.observe("NAT-3")
+    rows = [("occurrences", str(o["occurrences"])), ("sheets", ",".join(o["sheets"])), ("columns", ",".join(o["columns"])), ("rows", str(o["rows"])), ("files", ",".join(f for f in o["files"] if f.startswith("geo"))), ("keys", f"{o['keys']['pk_in']} <- {','.join(o['keys']['fk_in'])}"), ("neighbors", str(o["neighbors"].count()))]
+    rows += [("hierarchy", ",".join(f"{p['role']}={p['id']}" for p in o["hierarchy"]["parents"]) + " > " + ",".join(o["hierarchy"]["children"])), ("duplicates", str(o["duplicates"]["count"])), ("metadata", ",".join(o["metadata"][c] for c in e.wb.header("Nation Registry")))]
+    return spark.createDataFrame(rows, "observation string, value string")
+
+
 # --- flaws -----------------------------------------------------------------------------------------------------------
 
 
@@ -424,7 +463,7 @@ def reg_previews(spark, d):
     return derive.registry_previews(e.entities).join(e.registry_universe().select("class", "entities"), "class").select("class", "entities", F.array_join("preview", ",").alias("preview"))
 
 
-@query("SELECT rel, count(*) AS n, CASE WHEN bool_or(src_class = dst_class) THEN 'Structural' WHEN count(DISTINCT dst_class) = 1 THEN 'Reference' ELSE 'Association' END AS kind FROM edges GROUP BY rel")
+@query("SELECT rel, count(*) AS n, CASE WHEN len(list_intersect(list(src_class), list(dst_class))) > 0 THEN 'Structural' WHEN count(DISTINCT dst_class) = 1 THEN 'Classification' ELSE 'Association' END AS kind FROM edges GROUP BY rel")
 def reg_relation_universe(spark, d):
     return derive.relation_universe(engine(spark, d).edges)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import compare, derive, discovery, explore, graph, identity, integrity, relational
+from loomgraph.operators import capability, compare, derive, discovery, explore, graph, identity, integrity, relational
 from loomgraph.operators.adjacency import Adjacency, adjacency
 from loomgraph.operators.textindex import TextIndex, normal, text_index
 from loomgraph.sources import sinks, workbook
@@ -166,6 +166,11 @@ class Engine:
     def entity_actions(self, token: str) -> DataFrame:
         return explore.actions(self.edges, self.reachability, *self._known(token))
 
+    def menu(self, token: str) -> DataFrame:
+        """All actions of an entity, merged by identity, with their provenance."""
+        node, cls = self._known(token)
+        return capability.menu(self.adjacency, self.entities, self.reachability, self.relation_targets, node, cls, self.wb.header(cls))
+
     def applicable_queries(self, token: str) -> DataFrame:
         return explore.applicable_queries(self.adjacency, self.reachability, *self._known(token))
 
@@ -183,7 +188,8 @@ class Engine:
         return r and r["metadata"]
 
     def observe(self, token: str) -> dict[str, object]:
-        return integrity.observe(self.wb, token)
+        node = self.node_of(token)
+        return integrity.observe(self.wb, token, self.entities, node and graph.neighbors(self.adjacency, node))
 
     def diagnose(self, text: str) -> explore.Diagnosis:
         answer = self.ask(text)
