@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -14,6 +15,7 @@ from loomgraph.functions import scalars as S
 from loomgraph.sources.workbook import CATALOG, ORD, Link, Sheet, Workbook, WorkbookError
 from loomgraph.storage import written
 
+from . import numbering
 from .identity import quoted
 
 ID = re.compile(S.ID_REGISTRY)
@@ -53,22 +55,65 @@ def detect_pks(columns: DataFrame) -> DataFrame:
     return pk_scores(columns).withColumn("r", F.row_number().over(w)).where("r = 1").select("sheet", "col", "score")
 
 
-def fk_overlap(wb: Workbook, pks: dict[str, str], least: float = 0.5, hinted: float = 0.3) -> DataFrame:
+SAMPLED = 1024  # distinct values of a column that its overlaps are estimated by
+MISSED = 1e-12  # probability that an overlap is estimated too low to be looked at
+
+
+def column_cells(wb: Workbook, columns: Iterable[tuple[str, str]]) -> DataFrame:
+    """(sheet, col, value) of some columns' cells that aren't empty; other columns aren't read."""
+    by_sheet: dict[str, list[str]] = {}
+    for s, c in columns:
+        by_sheet.setdefault(s, []).append(c)
+    out = wb.spark.createDataFrame([], "sheet string, col string, value string")
+    for s, cs in by_sheet.items():
+        items = F.array(*(F.struct(F.lit(c).alias("col"), quoted(c).cast("string").alias("value")) for c in cs))
+        out = out.unionByName(wb.frame(s).select(F.lit(s).alias("sheet"), F.explode(items).alias("x")).select("sheet", "x.*"))
+    return out.where("value <> ''")
+
+
+def sampled_values(wb: Workbook, columns: list[tuple[str, str]], k: int) -> DataFrame:
+    """(sheet, col, value, whole): the distinct values of each column whose hashes are below a bound, some k of them; all, if there are no more.
+
+    Columns are counted roughly first. Both passes exchange a sketch or a sample of each column, not its cells.
+    """
+    counts = column_cells(wb, columns).groupBy("sheet", "col").agg(F.approx_count_distinct("value", 0.02).alias("d"))
+    bounds = [(r["sheet"], r["col"], min(1.0, k / max(1, r["d"])), r["d"] < 0.8 * k) for r in counts.collect()]  # a row a column
+    known = F.broadcast(wb.spark.createDataFrame([(s, c, 1.0 if whole else share, whole) for s, c, share, whole in bounds], "sheet string, col string, share double, whole boolean"))
+    at = F.pmod(F.xxhash64("value"), F.lit(1 << 30)) / float(1 << 30)
+    return column_cells(wb, columns).join(known, ["sheet", "col"]).where(at < F.col("share")).select("sheet", "col", "value", "whole").distinct()
+
+
+def fk_overlap(wb: Workbook, pks: dict[str, str], least: float = 0.5, hinted: float = 0.3, k: int = SAMPLED) -> DataFrame:
     """(sheet, col, target, overlap): columns whose distinct values are keys of another sheet, by share.
 
-    A share of ``hinted`` is enough where the column's name holds the target's (its first eight letters).
+    A share of ``hinted`` is enough where the column's name holds the target's (its first eight letters). The shares are estimated
+    by a sample of each column first: for columns of few values they are exact, of the others only those pairs are joined
+    whose share may be large enough, by Hoeffding's bound, so that a true pair is lost with a probability of MISSED at most.
     """
-    cells = wb.cells().where("value <> ''").select("sheet", "col", "value").distinct()
-    keys = cells.join(F.broadcast(wb.spark.createDataFrame([(s, c) for s, c in pks.items()], "sheet string, col string")), ["sheet", "col"])  # a row a sheet
-    keys = keys.select(F.col("sheet").alias("target"), "value")
-    total = cells.groupBy("sheet", "col").agg(F.count("*").alias("total"))
-    hits = cells.join(keys, "value").where(F.col("sheet") != F.col("target")).groupBy("sheet", "col", "target").agg(F.count("*").alias("hits"))
-    own = F.create_map(*(x for s, c in pks.items() for x in (F.lit(s), F.lit(c)))) if pks else None
-    rows = hits.join(total, ["sheet", "col"]).withColumn("overlap", F.bround(F.col("hits") / F.col("total"), 4))
-    if own is not None:
-        rows = rows.where(~F.col("col").eqNullSafe(own[F.col("sheet")]))
-    hint = F.lower("col").contains(F.lower(F.substring("target", 1, 8)))
-    return rows.where((F.col("overlap") >= least) | (hint & (F.col("overlap") >= hinted))).select("sheet", "col", "target", "overlap")
+    spark, schema = wb.spark, "sheet string, col string, target string, overlap double"
+    columns = [(s, c) for s in wb.frames for c in wb.header(s) if c != pks.get(s)]
+    if not pks or not columns:
+        return spark.createDataFrame([], schema)
+    sample = written(sampled_values(wb, columns, k), "overlap-sample")
+    keys = column_cells(wb, pks.items()).select(F.col("sheet").alias("target"), "value")
+    sizes = sample.groupBy("sheet", "col", "whole").agg(F.count("*").alias("n"))
+    met = F.broadcast(sample) if sample.count() <= 200_000 else sample
+    hits = keys.join(met, "value").where(F.col("sheet") != F.col("target")).groupBy("sheet", "col", "target").agg(F.countDistinct("value").alias("hits"))
+    need = F.when(F.lower("col").contains(F.lower(F.substring("target", 1, 8))), F.lit(hinted)).otherwise(F.lit(least))
+    rows = hits.join(sizes, ["sheet", "col"]).withColumn("share", F.col("hits") / F.col("n")).withColumn("need", need)
+    rows = written(rows, "overlap-estimates")  # a row a pair of columns that meet
+    exact = rows.where("whole").select("sheet", "col", "target", F.bround("share", 4).alias("overlap"), "need")
+    slack = F.sqrt(F.lit(math.log(1 / MISSED)) / (2 * F.col("n")))
+    left = [(r["sheet"], r["col"], r["target"], r["need"]) for r in rows.where(~F.col("whole") & (F.col("share") + slack >= F.col("need"))).collect()]  # a row a pair that is left
+    if left:
+        values = column_cells(wb, dict.fromkeys((s, c) for s, c, *_ in left)).distinct()
+        total = values.groupBy("sheet", "col").agg(F.count("*").alias("total"))
+        asked = F.broadcast(spark.createDataFrame(left, "sheet string, col string, target string, need double"))
+        targets = column_cells(wb, {t: pks[t] for *_, t, _ in left}.items()).select(F.col("sheet").alias("target"), "value")
+        found = values.join(targets, "value").join(asked, ["sheet", "col", "target"]).groupBy("sheet", "col", "target", "need").agg(F.countDistinct("value").alias("hits"))
+        found = found.join(total, ["sheet", "col"]).select("sheet", "col", "target", F.bround(F.col("hits") / F.col("total"), 4).alias("overlap"), "need")
+        exact = exact.unionByName(found)
+    return exact.where(F.col("overlap") >= F.col("need")).select("sheet", "col", "target", "overlap")
 
 
 def slug_prefix(name: str, used: set[str]) -> str:
@@ -81,24 +126,47 @@ def slug_prefix(name: str, used: set[str]) -> str:
     return out
 
 
+def key_map(wb: Workbook, sheet: str, pk: str, prefix: str) -> DataFrame:
+    """(old, new): PREFIX-nnn by the row's number for each key that doesn't look like one already."""
+    rows = numbering.dense_numbers(wb.frame(sheet).select(ORD, quoted(pk).cast("string").alias("old")), [ORD]).where("old IS NOT NULL")
+    new = F.when(F.col("old").rlike(r"^[A-Z]{2,6}-\w"), F.col("old")).otherwise(F.format_string(f"{prefix}-%03d", "number"))
+    return rows.groupBy("old").agg(F.max_by(new, "number").alias("new"))
+
+
 def discovered(wb: Workbook) -> Workbook:
-    """A catalog from the data: keys, and links to the first sheet, in workbook order, that holds a column's values."""
+    """A catalog from the data: keys, and links to the first sheet, in workbook order, that holds a column's values.
+
+    Keys become PREFIX-nnn, by a prefix of the sheet's name and the row's number, unless they have that form, and links are
+    rewritten alike, by joins with the keys' map; their columns are marked (FK). Values that are no keys stay.
+    """
     pks = {r["sheet"]: r["col"] for r in detect_pks(profile(wb)).collect()}  # a row a sheet
     order = list(wb.frames)
-    links: dict[str, list[Link]] = {}
-    taken: set[tuple[str, str]] = set()
+    target: dict[tuple[str, str], str] = {}
     for r in sorted(fk_overlap(wb, pks).collect(), key=lambda r: (order.index(r["sheet"]), wb.header(r["sheet"]).index(r["col"]), order.index(r["target"]))):
-        if (r["sheet"], r["col"]) not in taken:
-            taken.add((r["sheet"], r["col"]))
-            links.setdefault(r["sheet"], []).append(Link(r["col"], r["target"]))
+        target.setdefault((r["sheet"], r["col"]), r["target"])
     used: set[str] = set()
-    sheets = []
+    prefix = {s: slug_prefix(s, used) for s in order}
+    maps = {s: written(key_map(wb, s, c, prefix[s]), "keys") for s, c in pks.items()}
+
+    def rewritten(df: DataFrame, column: str, of: str) -> DataFrame:
+        keys = maps[of].select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        kept = [quoted(c) if c != column else F.coalesce("_new", quoted(c).cast("string")).alias(c) for c in df.columns]
+        return df.join(keys, quoted(column).cast("string") == F.col("_old"), "left").select(*kept)
+
+    frames, sheets = {}, []
     for s in order:
-        head = wb.header(s)
-        pk = pks.get(s)
+        df, pk = wb.frame(s), pks.get(s)
+        marked = {c: c if "(FK)" in c else f"{c} (FK)" for c in wb.header(s) if (s, c) in target}
+        for c in [pk] if pk else []:
+            df = rewritten(df, c, s)
+        for c in marked:
+            df = rewritten(df, c, target[s, c])
+        frames[s] = df.withColumnsRenamed(marked)
+        head = [c for c in frames[s].columns if c != ORD]
         label = next((c for c in head if "name" in c.lower() and c != pk), next((c for c in head if c != pk), pk))
-        sheets.append(Sheet(s, pk=pk, label=label, links=tuple(links.get(s, ())), prefix=slug_prefix(s, used), owner=pk is not None, evidence=next((c for c in head if "evidence" in c.lower()), None)))
-    return wb.with_catalog(sheets, declared=False)
+        links = tuple(Link(marked[c], target[s, c]) for c in marked)
+        sheets.append(Sheet(s, pk=pk, label=label, links=links, prefix=prefix[s], owner=pk is not None, evidence=next((c for c in head if any(x in c.lower() for x in ("evidence", "source", "reference", "citation"))), None)))
+    return Workbook(wb.spark, frames).with_catalog(sheets, declared=False)
 
 
 def catalog_from_sheet(wb: Workbook) -> Workbook | None:
@@ -182,7 +250,7 @@ def dimension_values(wb: Workbook, sheet: str, columns: Iterable[str]) -> DataFr
     items = F.array(*(F.struct(F.lit(c).alias("col"), quoted(c).cast("string").alias("value")) for c in columns))
     rows = wb.frame(sheet).select(F.col(ORD), F.explode(items).alias("x")).select(ORD, "x.*").where("value <> ''")
     first = rows.groupBy("col", "value").agg(F.min(ORD).alias("at"))
-    return first.select("col", "value", F.row_number().over(Window.partitionBy("col").orderBy("at", "value")).alias("number"))
+    return numbering.dense_numbers(first, ["at", "value"], within="col").select("col", "value", F.col("number").cast("int").alias("number"))
 
 
 def star_schema(wb: Workbook, sheet: str | None = None) -> Workbook:

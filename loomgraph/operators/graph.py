@@ -27,28 +27,62 @@ EDGE = ["src", "rel", "dst", "src_class", "dst_class", "evidence", "flow", "sour
 # --- edges -------------------------------------------------------------------------------------------------------
 
 
-def link_edges(wb: Workbook, ents: DataFrame) -> DataFrame:
-    """Edges of foreign-key columns.
+STAGES = ("key", "id in text", "name")
 
-    A declared target restricts the lookup to its class; without one every class that has the key is a target. Cells may
-    list several keys (separated by ; , / or |). Keys without an owner make no edge, nor does a row that names itself.
-    """
-    source = F.lit("declared" if wb.declared else "inferred")
+
+def link_parts(wb: Workbook) -> DataFrame | None:
+    """(src_class, src_pk, evidence, rel, target, part, at): what the cells of link columns list, separated by ; , / or |."""
     raw = None
     for s in wb.owners():
         if not s.links:
             continue
         items = F.array(*(F.struct(F.lit(l.relation).alias("rel"), F.lit(l.target).cast("string").alias("target"), quoted(l.column).cast("string").alias("cell"), F.lit(i).alias("col")) for i, l in enumerate(s.links)))
         df = wb.rows(s.name).select(F.lit(s.name).alias("src_class"), quoted(s.pk).cast("string").alias("src_pk"), (quoted(s.evidence).cast("string") if s.evidence else F.lit(None).cast("string")).alias("evidence"), F.col(ORD).alias("row"), F.lit(s.ix).alias("sheet"), F.explode(items).alias("l"))
-        df = df.select("src_class", "src_pk", "evidence", "l.rel", "l.target", F.posexplode(F.split("l.cell", r"\s*[;,/|]\s*")).alias("nth", "dst_pk"), F.struct("sheet", "row", "l.col").alias("at"))
+        df = df.select("src_class", "src_pk", "evidence", "l.rel", "l.target", F.posexplode(F.split("l.cell", r"\s*[;,/|]\s*")).alias("nth", "part"), F.struct("sheet", "row", "l.col").alias("at"))
         raw = df if raw is None else raw.unionByName(df)
-    if raw is None:
+    return None if raw is None else raw.where(F.col("part") != "").withColumn("at", F.struct("at.sheet", "at.row", "at.col", "nth")).drop("nth")
+
+
+def linked(wb: Workbook, ents: DataFrame) -> DataFrame | None:
+    """Parts of link cells with the entities (dst, dst_class) they name and the stage that found them.
+
+    A part is looked up as a key; where no entity has it, the identifiers within it are; where none of these is known, it is
+    looked up as a name, the first entity of that name being meant. A declared target restricts all stages to its class.
+    Parts that are plain keys (most are) need one join; the others' lookups are joined at once and the least stage with
+    a hit stays.
+    """
+    parts = link_parts(wb)
+    if parts is None:
+        return None
+    keys = ents.select(F.lit(0).alias("kind"), F.col("pk").alias("key"), F.col("node_key").alias("dst"), F.col("class").alias("dst_class"), "ord")
+    ok = F.col("target").isNull() | (F.col("target") == F.col("dst_class"))
+    plain = F.col("part").rlike(r"^[A-Za-z]+-\w+$") | ~F.col("part").rlike(r"\p{L}")
+    simple = parts.where(plain).join(keys, F.col("part") == F.col("key")).where(ok).withColumn("stage", F.lit(0))
+    clean = lambda c: F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")
+    names = ents.where("name <> ''").select(F.lit(1).alias("kind"), clean(F.col("name")).alias("key"), F.col("node_key").alias("dst"), F.col("class").alias("dst_class"), "ord")
+    lookup = lambda stage, kind, key: F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), key.alias("key"))
+    inner = F.transform(F.regexp_extract_all("part", F.lit(S.ID_ANYWHERE), F.lit(0)), lambda x: lookup(1, 0, x))
+    asked = parts.where(~plain).select("*", F.explode(F.concat(F.array(lookup(0, 0, F.col("part"))), inner, F.array(lookup(2, 1, clean(F.col("part")))))).alias("x")).select(*parts.columns, "x.stage", "x.kind", "x.key")
+    found = asked.join(keys.unionByName(names), ["kind", "key"]).where(ok)
+    order = F.when(F.col("stage") == 2, F.col("ord"))  # the first of a name; keys may be those of several classes
+    found = found.withColumn("r", F.rank().over(Window.partitionBy("at").orderBy("stage", order))).where("r = 1")
+    kept = [*parts.columns, "dst", "dst_class", "stage"]
+    return simple.select(*kept).unionByName(found.select(*kept))
+
+
+def link_edges(wb: Workbook, ents: DataFrame) -> DataFrame:
+    """Edges of foreign-key columns, by :func:`linked`.
+
+    A declared target restricts the lookup to its class; without one every class that has the key is a target. Parts that name
+    nothing make no edge, nor does a row that names itself.
+    """
+    found = linked(wb, ents)
+    if found is None:
         return _no_edges(wb)
-    keys = ents.select(F.col("class").alias("dst_class"), F.col("pk").alias("dst_pk"), F.col("node_key").alias("dst"))
+    source = F.lit("declared" if wb.declared else "inferred")
     mine = ents.select(F.col("class").alias("src_class"), F.col("pk").alias("src_pk"), F.col("node_key").alias("src"))
-    out = raw.where(F.col("dst_pk") != "").join(keys, "dst_pk").where(F.col("target").isNull() | (F.col("target") == F.col("dst_class")))
-    out = out.join(mine, ["src_class", "src_pk"]).where(F.col("src") != F.col("dst"))
-    return out.select("src", "rel", "dst", "src_class", "dst_class", "evidence", F.lit(None).cast("string").alias("flow"), source.alias("source"), F.struct(F.col("at.sheet").alias("sheet"), F.col("at.row").alias("row"), (F.col("at.col") * 1000 + F.col("nth")).alias("nth")).alias("ord"))
+    out = found.join(mine, ["src_class", "src_pk"]).where(F.col("src") != F.col("dst"))
+    return out.select("src", "rel", "dst", "src_class", "dst_class", "evidence", F.lit(None).cast("string").alias("flow"), source.alias("source"), F.struct(F.col("at.sheet").alias("sheet"), F.col("at.row").alias("row"), (F.col("at.col") * 1000 + F.col("at.nth")).alias("nth")).alias("ord"))
 
 
 def relationship_edges(wb: Workbook, ents: DataFrame) -> DataFrame:

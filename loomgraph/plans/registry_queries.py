@@ -192,6 +192,29 @@ def reg_owner_of_prefix(spark, d):
     return spark.createDataFrame([(s.name, s.prefix)], "name string, prefix string")
 
 
+# Two sheets without a catalog: their keys are found, numbered and rewritten, and so is the column that holds the other's keys.
+UNKNOWN = {
+    "Nations": "SELECT CAST(n_nationkey AS BIGINT) + 100 AS _ord, n_nationkey * 7 AS \"Nation Key\", n_name AS \"Name\" FROM nation",
+    "Vendors": "SELECT CAST(s_suppkey AS BIGINT) * 3 AS _ord, 'V' || s_suppkey AS \"Vendor Code\", s_name AS \"Name\", s_nationkey * 7 AS \"Home\" FROM supplier",
+}
+
+
+def reg_rewritten_keys(spark, d):
+    """Keys as PREFIX-nnn by the row's number, and links rewritten alike, of sheets that declare nothing."""
+    frames = {n: spark.sql(sql.replace('"', "`").replace(" FROM nation", f" FROM parquet.`{d}/nation.parquet`").replace(" FROM supplier", f" FROM parquet.`{d}/supplier.parquet`")) for n, sql in UNKNOWN.items()}
+    wb = discovery.discovered(Workbook(spark, frames))
+    rows = [wb.frame(s.name).select(F.lit(s.name).alias("sheet"), F.col(f"`{s.pk}`").alias("pk"), F.col("Name").alias("name"), (F.col(f"`{s.links[0].column}`") if s.links else F.lit(None).cast("string")).alias("link")) for s in wb.catalog]
+    return rows[0].unionByName(rows[1])
+
+
+QUERIES["reg_rewritten_keys"] = reg_rewritten_keys
+ORACLES["reg_rewritten_keys"] = f"""WITH n AS ({UNKNOWN["Nations"]}), v AS ({UNKNOWN["Vendors"]}),
+nk AS (SELECT *, 'NATI-' || lpad(CAST(row_number() OVER (ORDER BY _ord) AS VARCHAR), 3, '0') AS pk FROM n)
+SELECT 'Nations' AS sheet, pk, "Name" AS name, NULL AS link FROM nk
+UNION ALL SELECT 'Vendors', 'VEND-' || CASE WHEN r < 1000 THEN lpad(CAST(r AS VARCHAR), 3, '0') ELSE CAST(r AS VARCHAR) END, v."Name", nk.pk
+FROM (SELECT *, row_number() OVER (ORDER BY _ord) AS r FROM v) v JOIN nk ON nk."Nation Key" = v."Home\""""
+
+
 @query("""
 , t(token, how, found) AS (VALUES ('NAT-3', 'id', 1), ('Supplier:supplier#000000001', 'class_name', 1), ('supplier#000000002', 'name', 1), ('Active', 'promoted', 1), ('zzqx-77', 'unresolved', 0))
 SELECT token, how, CAST(found AS BIGINT) AS found FROM t UNION ALL
@@ -299,6 +322,39 @@ def reg_observations(spark, d):
     return spark.createDataFrame(rows, "observation string, value string")
 
 
+# Parts that name their nation by key, by an identifier within a text, by name, and not at all.
+STAGED = {
+    "Place Registry": "SELECT CAST(n_nationkey AS BIGINT) AS _ord, 'PLC-' || n_nationkey AS id, n_name AS name FROM nation",
+    "Part Registry": """SELECT CAST(s_suppkey AS BIGINT) AS _ord, 'PRT-' || s_suppkey AS id, s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'PLC-' || s_nationkey || '; PLC-0'
+        WHEN 1 THEN 'see PLC-' || s_nationkey || ' (new)' WHEN 2 THEN 'nation_' || s_nationkey || ' / NATION_1' WHEN 3 THEN 'PLC-777' ELSE 'nowhere at all' END AS place FROM supplier""",
+}
+
+
+def staged_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    key = (spark.sparkContext.applicationId, f"staged {sf_dir}")
+    if key not in _engines:
+        frames = {n: spark.sql(sql.replace(" FROM nation", f" FROM parquet.`{sf_dir}/nation.parquet`").replace(" FROM supplier", f" FROM parquet.`{sf_dir}/supplier.parquet`")) for n, sql in STAGED.items()}
+        _engines[key] = Engine(Workbook(spark, frames).with_catalog([Sheet("Place Registry", pk="id", label="name"), Sheet("Part Registry", pk="id", label="name", links=(Link("place"),))]))
+    return _engines[key]
+
+
+def reg_link_stages(spark, d):
+    """Entities that the parts of link cells name, with the stage that found them."""
+    e = staged_engine(spark, d)
+    rows = graph.linked(e.wb, e.entities)
+    return rows.select("src_pk", F.col("at.nth").alias("nth"), "part", "dst", F.element_at(F.array(*(F.lit(x) for x in graph.STAGES)), F.col("stage") + 1).alias("stage"))
+
+
+QUERIES["reg_link_stages"] = reg_link_stages
+ORACLES["reg_link_stages"] = f"""WITH place AS ({STAGED["Place Registry"]}), part AS ({STAGED["Part Registry"]}),
+parts AS (SELECT id AS src_pk, trim(unnest(string_split_regex(place, '[;,/|]'))) AS part, generate_subscripts(string_split_regex(place, '[;,/|]'), 1) - 1 AS nth FROM part),
+hits AS (
+  SELECT parts.*, place.id AS dst, 'key' AS stage, 0 AS k FROM parts JOIN place ON place.id = part
+  UNION ALL SELECT parts.*, place.id, 'id in text', 1 FROM parts JOIN place ON list_contains(regexp_extract_all(part, '[A-Za-z]+-\\w+'), place.id)
+  UNION ALL SELECT parts.*, arg_min(place.id, place._ord), 'name', 2 FROM parts JOIN place ON lower(place.name) = lower(part) GROUP BY ALL)
+SELECT src_pk, CAST(nth AS INTEGER) AS nth, part, dst, stage FROM hits QUALIFY k = min(k) OVER (PARTITION BY src_pk, nth)"""
+
+
 # --- flaws -----------------------------------------------------------------------------------------------------------
 
 

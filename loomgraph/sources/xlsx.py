@@ -1,4 +1,11 @@
-"""Spreadsheets in Office Open XML, by the standard library: shared and inline strings, numbers, booleans, cached results."""
+"""Spreadsheets in Office Open XML, by the standard library: shared and inline strings, numbers, booleans, cached results.
+
+A workbook's parts are members of a ZIP archive. The driver reads the list of sheets and each sheet's first row; the rows are
+read by executors, a sheet a partition, as a stream of events: a row's elements are dropped once it is read, so that memory
+holds one row and the shared strings, which a worker reads once a file. The file is opened by the file system that its path
+names and read in pieces; a file of a store that Spark alone can open is handed to the executors by Spark, row by row of
+bytes, and is then held whole by the task that reads it.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +13,20 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .workbook import Workbook, WorkbookError, from_rows
+from .workbook import ORD, Workbook, WorkbookError, unique_header
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+INVALID = "the file is not a valid .xlsx workbook; save it again as .xlsx or export it to CSV"
+_strings: dict[str, list[str]] = {}  # of the file that a worker reads
 
 
 def column_number(ref: str) -> int:
@@ -40,76 +52,172 @@ def cell_value(cell: ET.Element, strings: list[str]) -> object:
     return int(number) if number.is_integer() else number
 
 
-def read_sheets(data: bytes) -> Iterator[tuple[str, list[list[object]]]]:
-    """(title, rows) of every sheet, in workbook order."""
+def opened(path: str) -> IO[bytes]:
+    """A file that can be read from any place, by the file system that the path names; a path without one is local to whoever reads it."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_input_file(at)
+
+
+def elements(member: IO[bytes], tag: str) -> Iterator[ET.Element]:
+    """Whole elements of a name, one after the other; each is dropped before the next is read."""
+    events = ET.iterparse(member, events=("start", "end"))
+    _, root = next(events)
+    above = [root]
+    for event, x in events:
+        if event == "start":
+            above.append(x)
+            continue
+        above.pop()
+        if x.tag == tag:
+            yield x
+            if above:
+                above[-1].remove(x)
+
+
+def archive(data: IO[bytes]) -> zipfile.ZipFile:
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-        book = ET.fromstring(z.read("xl/workbook.xml"))
-    except (zipfile.BadZipFile, KeyError) as e:
-        raise WorkbookError("the file is not a valid .xlsx workbook; save it again as .xlsx or export it to CSV") from e
-    links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    strings = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        strings = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
-    for s in book.iter(f"{MAIN}sheet"):
-        target = links[s.get(f"{REL}id")].lstrip("/")
-        rows: list[list[object]] = []
-        for row in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{MAIN}row"):
-            at = int(row.get("r") or len(rows) + 1) - 1
-            rows += [[] for _ in range(at + 1 - len(rows))]
+        return zipfile.ZipFile(data)
+    except zipfile.BadZipFile as e:
+        raise WorkbookError(INVALID) from e
+
+
+def sheet_members(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(title, member) of every sheet, in workbook order."""
+    try:
+        book, rels = ET.fromstring(z.read("xl/workbook.xml")), ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+    except (KeyError, zipfile.BadZipFile) as e:
+        raise WorkbookError(INVALID) from e
+    links = {r.get("Id"): r.get("Target").lstrip("/") for r in rels}
+    found = [(s.get("name"), links[s.get(f"{REL}id")]) for s in book.iter(f"{MAIN}sheet")]
+    return [(name, t if t.startswith("xl/") else f"xl/{t}") for name, t in found]
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    with z.open("xl/sharedStrings.xml") as member:
+        return ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in elements(member, f"{MAIN}si")]
+
+
+def sheet_rows(z: zipfile.ZipFile, member: str, strings: list[str]) -> Iterator[tuple[int, list[object]]]:
+    """(place from 0, values) of the rows that a sheet has; a value's place is its column's."""
+    last = -1
+    with z.open(member) as data:
+        for row in elements(data, f"{MAIN}row"):
+            last = int(row.get("r") or last + 2) - 1
+            values: list[object] = []
             for cell in row.iter(f"{MAIN}c"):
-                i = column_number(cell.get("r") or "") if cell.get("r") else len(rows[at])
-                rows[at] += [None] * (i + 1 - len(rows[at]))
-                rows[at][i] = cell_value(cell, strings)
-        yield s.get("name"), rows
+                i = column_number(cell.get("r") or "") if cell.get("r") else len(values)
+                values += [None] * (i + 1 - len(values))
+                values[i] = cell_value(cell, strings)
+            yield last, values
+
+
+def read_sheets(data: bytes) -> Iterator[tuple[str, list[list[object]]]]:
+    """(title, rows) of every sheet of a small workbook, in workbook order."""
+    z = archive(io.BytesIO(data))
+    strings = shared_strings(z)
+    for name, member in sheet_members(z):
+        rows: list[list[object]] = []
+        for at, values in sheet_rows(z, member, strings):
+            rows += [[] for _ in range(at - len(rows))] + [values]
+        yield name, rows
+
+
+def text(v: object) -> str | None:
+    return None if v is None else str(v)
+
+
+def first_rows(z: zipfile.ZipFile) -> list[tuple[str, str, list[object]]]:
+    """(title, member, first row) of every sheet that has rows. The shared strings are read as far as the first rows need them."""
+    out, strings = [], None
+    for name, member in sheet_members(z):
+        if strings is None:
+            strings = shared_strings(z)
+        row = next(sheet_rows(z, member, strings), None)
+        if row is not None:
+            out.append((name, member, row[1] if row[0] == 0 else []))
+    return out
 
 
 def from_xlsx(spark: SparkSession, path: str) -> Workbook:
-    """A workbook's sheets; the file is read through Spark, so any store that Spark reads will do."""
+    """A workbook's sheets, the first row of each being its header; cells are strings. Rows go from executors to Spark."""
     try:
-        found = spark.read.format("binaryFile").load(path).select("content").first()
-    except Exception as e:
-        raise WorkbookError(f"Workbook not found: {path}") from e
-    return from_rows(spark, {name: rows for name, rows in read_sheets(bytes(found[0])) if rows})
+        with opened(path) as f:
+            found = first_rows(archive(f))
+        through = False
+    except (OSError, ValueError) as e:  # no such path for Python's file systems; Spark may have one
+        if isinstance(e, WorkbookError):
+            raise
+        try:
+            content = spark.read.format("binaryFile").load(path).select("content").first()
+        except Exception as x:
+            raise WorkbookError(f"Workbook not found: {path}") from x
+        found, through = first_rows(archive(io.BytesIO(bytes(content[0])))), True
+    spark.dataSource.register(XlsxDataSource)
+    frames = {}
+    for name, member, top in found:
+        head = unique_header([text(x) for x in top])
+        if through:
+            rows = rows_through_spark(spark, path, member)
+        else:
+            rows = spark.read.format(XlsxDataSource.name()).option("path", path).option("member", member).load()
+        cells = [F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(head)]
+        frames[name] = rows.where("row > 0").select(*cells, (F.col("row") - 1).alias(ORD))
+    return Workbook(spark, frames)
+
+
+def rows_through_spark(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """(row, cells) of a sheet of a file that Spark opens."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for content in b["content"]:
+                z = archive(io.BytesIO(content))
+                held: list[tuple[int, list[str | None]]] = []
+                for at, values in sheet_rows(z, member, shared_strings(z)):
+                    held.append((at, [text(v) for v in values]))
+                    if len(held) == 5000:
+                        yield pd.DataFrame(held, columns=["row", "cells"])
+                        held = []
+                yield pd.DataFrame(held, columns=["row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, cells array<string>")
 
 
 class XlsxDataSource(DataSource):
-    """Cells of a spreadsheet as (sheet, row, col_ix, value), one partition a sheet; executors have to reach the path."""
+    """Rows of a sheet (option member) of a spreadsheet (option path) as (row, cells); executors have to reach the path."""
 
     @classmethod
     def name(cls) -> str:
         return "loom_xlsx"
 
-    def schema(self) -> str:
-        return "sheet string, row long, col_ix int, value string"
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField("row", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))])
 
     def reader(self, schema):
-        return XlsxReader(self.options["path"])
-
-
-def content_of(path: str) -> bytes:
-    """A file's bytes, by the file system that the path names; a path without one is local to whoever reads it."""
-    if "://" not in path:
-        with open(path, "rb") as f:
-            return f.read()
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_file(at) as f:
-        return f.read()
+        return XlsxReader(self.options["path"], self.options["member"])
 
 
 class XlsxReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, member: str):
+        self.path, self.member = path, member
 
     def partitions(self):
-        return [InputPartition(name) for name, _ in read_sheets(content_of(self.path))] or [InputPartition(None)]
+        return [InputPartition(self.member)]
 
     def read(self, partition):
-        for name, rows in read_sheets(content_of(self.path)):
-            if name == partition.value:
-                for r, row in enumerate(rows):
-                    for c, v in enumerate(row):
-                        if v is not None:
-                            yield name, r, c, str(v)
+        with opened(self.path) as f:
+            z = archive(f)
+            key = f"{self.path} {getattr(f, 'size', lambda: 0)() if '://' in self.path else f.seek(0, 2)}"
+            if key not in _strings:
+                _strings.clear()
+                _strings[key] = shared_strings(z)
+            for at, values in sheet_rows(z, partition.value, _strings[key]):
+                yield at, [text(v) for v in values]
