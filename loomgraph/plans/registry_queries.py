@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,10 +187,12 @@ def reg_list_entities(spark, d):
     return engine(spark, d).list_entities("nat").select("pk", "class", "name")
 
 
-@query("SELECT 'Nation Registry' AS name, 'NAT' AS prefix")
+@query("SELECT split_part(pk, '-', 1) AS prefix, CASE split_part(pk, '-', 1) WHEN 'NAT' THEN 'Nation Registry' WHEN 'REG' THEN 'Region Registry' WHEN 'SUP' THEN 'Supplier Registry' WHEN 'CUS' THEN 'Customer Registry' END AS name, count(*) AS n FROM ent GROUP BY 1")
 def reg_owner_of_prefix(spark, d):
-    s = engine(spark, d).wb.owner_of_prefix("NAT")
-    return spark.createDataFrame([(s.name, s.prefix)], "name string, prefix string")
+    """The sheets that own the prefixes that entities have."""
+    e = engine(spark, d)
+    found = e.entities.groupBy(S.id_prefix(F.col("pk")).alias("prefix")).agg(F.count("*").alias("n")).collect()  # a row a prefix
+    return spark.createDataFrame([(r["prefix"], (o := e.wb.owner_of_prefix(r["prefix"])) and o.name, r["n"]) for r in found], "prefix string, name string, n long")
 
 
 # Two sheets without a catalog: their keys are found, numbered and rewritten, and so is the column that holds the other's keys.
@@ -736,16 +739,27 @@ def reg_answer_evidence(spark, d):
     return engine(spark, d).answer("GET_EVIDENCE", "SUP-2")["items"]
 
 
-@query("SELECT * FROM (VALUES ('How', 0, 3), ('many', 4, 8), ('suppliers', 9, 18)) AS t(text, \"start\", \"end\")")
+@query("""SELECT "Supplier ID" AS pk, t.text, t.a AS "start", t.b AS "end" FROM supplier_sheet, (VALUES ('How', 0, 3), ('many', 4, 8), ('orders', 9, 15), ('of', 16, 18)) AS t(text, a, b) WHERE _ord < 1000000000
+UNION ALL SELECT "Supplier ID", "Name", 19, 19 + length("Name") FROM supplier_sheet WHERE _ord < 1000000000""")
 def reg_tokens(spark, d):
-    """Words with their places; a phrase of the vocabulary is one."""
-    toks = language.tokenize("How many suppliers?", language.Vocabulary())
-    return spark.createDataFrame([(t.text, t.start, t.end) for t in toks], "text string, start long, end long")
+    """Words of a question about each supplier, with their places."""
+
+    def tokens(batches):
+        for b in batches:
+            found = [(k, t.text, t.start, t.end) for k, n in zip(b["pk"], b["name"], strict=True) for t in language.tokenize(f"How many orders of {n}?", language.Vocabulary())]
+            yield pd.DataFrame(found, columns=["pk", "text", "start", "end"])
 
+    return engine(spark, d).entities.where("class = 'Supplier Registry'").select("pk", "name").mapInPandas(tokens, "pk string, text string, start long, end long")
 
-@query("SELECT * FROM (VALUES ('Actuator (FK)', 'actuator'), ('Name(s)', 'name'), ('--', 'references')) AS t(header, slug)")
+
+@query("""SELECT DISTINCT header, CASE WHEN slug = '' THEN 'references' ELSE slug END AS slug FROM (
+  SELECT header, trim(regexp_replace(lower(regexp_replace(header, '\\(FK\\)|\\(s\\)', '', 'gi')), '[^a-z0-9]+', '_', 'g'), '_') AS slug
+  FROM (SELECT "Name" || ' (FK)' AS header FROM customer_sheet UNION ALL SELECT "Segment" || '(s)' FROM customer_sheet UNION ALL SELECT '(' || upper('fk') || ')' FROM region_sheet))""")
 def reg_slugs(spark, d):
-    return spark.createDataFrame([(h, S.relation_slug(h)) for h in ("Actuator (FK)", "Name(s)", "--")], "header string, slug string")
+    """Names of relations from headers, which here are made of names and segments."""
+    rows = engine(spark, d).wb.rows("Customer Registry")
+    headers = rows.select(F.explode(F.array(F.concat("Name", F.lit(" (FK)")), F.concat("Segment", F.lit("(s)")), F.lit("(FK)"))).alias("header")).distinct()
+    return headers.withColumn("slug", F.udf(S.relation_slug)("header"))
 
 
 @query("SELECT \"Region ID\" AS pk, \"Name\" AS name FROM region_sheet")
@@ -794,10 +808,13 @@ def reg_request_dead(spark, d):
     return engine(spark, d).request("audit what is dead")["result"].select("pk", "value")
 
 
-@query("SELECT * FROM (VALUES ('trace data', 'Q-03'), ('which command runs', 'Q-05'), ('how does it run', 'Q-04'), ('audit keys', 'Q-07'), ('why is it so', 'Q-08'), ('used by whom', 'Q-02'), ('what is it', 'Q-01')) AS t(request, class)")
+@query("SELECT CASE CAST(split_part(pk, '-', 2) AS BIGINT) % 7 WHEN 0 THEN 'Q-03' WHEN 1 THEN 'Q-05' WHEN 2 THEN 'Q-04' WHEN 3 THEN 'Q-07' WHEN 4 THEN 'Q-08' WHEN 5 THEN 'Q-02' ELSE 'Q-01' END AS class, count(*) AS n FROM ent WHERE class IN ('Supplier Registry', 'Customer Registry') GROUP BY 1")
 def reg_request_classes(spark, d):
-    asked = ("trace data", "which command runs", "how does it run", "audit keys", "why is it so", "used by whom", "what is it")
-    return spark.createDataFrame([(a, language.request_class(a)) for a in asked], "request string, class string")
+    """Classes of a request for each supplier and customer."""
+    asked = F.array(*(F.lit(x) for x in ("trace data of", "which command runs", "how does it run", "audit keys of", "why is it so with", "used by whom:", "what is")))
+    rows = engine(spark, d).entities.where(F.col("class").isin("Supplier Registry", "Customer Registry"))
+    text = F.concat_ws(" ", F.get(asked, (F.split_part("pk", F.lit("-"), F.lit(2)).cast("long") % 7).cast("int")), "pk")
+    return rows.select(F.udf(language.request_class)(text).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
 @query(CHECKS + """, v AS (SELECT max(value) FILTER (metric = 'broken_fk') AS f, max(value) FILTER (metric = 'duplicate_pk') AS d, max(value) FILTER (metric = 'missing_evidence_pct') AS p FROM c)
@@ -813,14 +830,16 @@ def reg_vocabulary_of_relations(spark, d):
     return spark.createDataFrame(found, "canonical string, word string")
 
 
-@query("SELECT * FROM (VALUES (1, 'superseded'), (2, 'deprecated'), (3, 'active')) AS t(version, status)")
+@query("SELECT rel AS word, version, status FROM (SELECT DISTINCT rel FROM edges), (VALUES (1, 'superseded'), (2, 'deprecated'), (3, 'active')) AS t(version, status)")
 def reg_vocabulary_history(spark, d):
-    """Meanings are marked and added, never changed."""
+    """Meanings, here of the workbook's relations, are marked and added, never changed."""
     v = language.Vocabulary()
-    v.add("client", "Customer Registry", "registry")
-    v.deprecate("client", "Customer Registry", "renamed")
-    v.add("client", "Customer Registry", "registry")
-    return spark.createDataFrame([(c.version, c.status) for c in v.history("client")], "version int, status string")
+    words = derive.relation_names(engine(spark, d).edges)
+    for w in words:
+        v.add(w, w, "relation")
+        v.deprecate(w, w, "renamed")
+        v.add(w, w, "relation")
+    return spark.createDataFrame([(w, c.version, c.status) for w in words for c in v.history(w)], "word string, version int, status string")
 
 
 # --- sources and schemas ---------------------------------------------------------------------------------------------
@@ -857,11 +876,13 @@ def reg_declared_catalog(spark, d):
     return spark.createDataFrame([(s.name, s.prefix, sum(x.target is not None for x in s.links)) for s in wb.owners()], "name string, prefix string, links int")
 
 
-@query("SELECT * FROM (VALUES ('Nation Notes', 'Nation Registry'), ('Regions served', 'Region Registry'), ('Status', NULL), ('Supplier', 'Supplier Registry')) AS t(header, target)")
+@query("SELECT DISTINCT split_part(class, ' ', 1) || ' Notes' AS header, class AS target FROM ent UNION ALL SELECT DISTINCT split_part(class, ' ', 1) || 's served', class FROM ent UNION ALL SELECT DISTINCT \"Segment\", NULL FROM customer_sheet")
 def reg_prose_targets(spark, d):
-    wb = engine(spark, d).wb
-    found = [(h, discovery.prose_target(wb, h)) for h in ("Nation Notes", "Regions served", "Status", "Supplier")]
-    return spark.createDataFrame([(h, t and t.name) for h, t in found], "header string, target string")
+    """The registries that headers speak of; headers are made of the classes of entities and of segments."""
+    e = engine(spark, d)
+    first = F.split_part("class", F.lit(" "), F.lit(1))
+    headers = e.entities.select(F.explode(F.array(F.concat(first, F.lit(" Notes")), F.concat(first, F.lit("s served")))).alias("header")).union(e.wb.rows("Customer Registry").select("Segment")).distinct().collect()  # a row a class or segment
+    return spark.createDataFrame([(r["header"], (t := discovery.prose_target(e.wb, r["header"])) and t.name) for r in headers], "header string, target string")
 
 
 @query("""SELECT "Supplier ID" AS pk, trim(regexp_replace(upper("Status"), '[^A-Z0-9]+', '_', 'g'), '_') AS slug, split_part("Supplier ID", '-', 1) AS prefix, lower(trim("Status")) IN ('none', 'unknown') AS no_value, TRY_CAST("Name" AS DOUBLE) IS NOT NULL AS is_number FROM supplier_sheet""")
@@ -870,9 +891,13 @@ def reg_scalars(spark, d):
     return engine(spark, d).wb.rows("Supplier Registry").select(c("Supplier ID").alias("pk"), S.upper_slug(c("Status")).alias("slug"), S.id_prefix(c("Supplier ID")).alias("prefix"), S.is_null_word(c("Status")).alias("no_value"), S.is_number(c("Name")).alias("is_number"))
 
 
-@query("SELECT * FROM (VALUES ('joints', 'joint'), ('Companies', 'company'), ('class', 'class')) AS t(word, \"one\")")
+@query("""SELECT word, CASE WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%s' AND NOT w LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS "one" FROM (
+  SELECT DISTINCT word, lower(word) AS w FROM (SELECT "Name" || 's' AS word FROM customer_sheet UNION ALL SELECT "Segment" || 'ies' FROM customer_sheet UNION ALL SELECT "Segment" || 'ss' FROM customer_sheet))""")
 def reg_singulars(spark, d):
-    return spark.createDataFrame([(w, S.singular(w)) for w in ("joints", "Companies", "class")], "word string, one string")
+    """The singular of names and segments in the plural."""
+    rows = engine(spark, d).wb.rows("Customer Registry")
+    words = rows.select(F.explode(F.array(F.concat("Name", F.lit("s")), F.concat("Segment", F.lit("ies")), F.concat("Segment", F.lit("ss")))).alias("word")).distinct()
+    return words.withColumn("one", F.udf(S.singular)("word"))
 
 
 @query("SELECT CASE WHEN \"Nation (FK)\" IN (SELECT pk FROM ent) THEN 'resolved' ELSE 'not_found' END AS outcome, count(*) AS n FROM supplier_sheet GROUP BY 1")
