@@ -6,7 +6,9 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import Engine
+from loomgraph.storage import scope
+
+from .session import KEPT, Engine
 
 COMMANDS = {
     "search": lambda e, *a: e.search(" ".join(a)),
@@ -14,7 +16,7 @@ COMMANDS = {
     "rel": lambda e, t, r: e.explain_relation(t, r)["items"],
     "compare": lambda e, a, b: e.compare(a, b),
     "analyze": lambda e, t: e.analyze(t),
-    "actions": lambda e, t: e.entity_actions(t),
+    "actions": lambda e, t: e.menu(t),
     "chain": lambda e, t: e.discovery_chain(t),
     "perspective": lambda e, t: e.perspective(t),
     "discover": lambda e, t, c=None: e.discover(t, c),
@@ -53,7 +55,8 @@ def main(argv: list[str]) -> int:
     for line in sys.stdin:
         if line.strip() in ("quit", "exit"):
             break
-        print(handle(engine, line.split()))
+        with scope(*KEPT):
+            print(handle(engine, line.split()))
     return 0
 
 

@@ -20,9 +20,10 @@ from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph import storage
 from loomgraph.sources.workbook import WorkbookError
 
-from .session import Engine
+from .session import KEPT, Engine
 
 # How long a session lives without use, in seconds, and how many there are at once.
 TTL, MOST = 3600, 20
@@ -98,7 +99,7 @@ def _look(s: Session, a: dict[str, str]) -> Any:
     found = s.engine.discover(token, a.get("context"))
     if found["status"] == "resolved":
         s.trail.append(token)
-        return found | {"actions": s.engine.entity_actions(token)}
+        return found | {"actions": s.engine.menu(token)}
     return found
 
 
@@ -160,10 +161,11 @@ def respond(sessions: Sessions, method: str, path: str, args: dict[str, str], bo
         if s is None:
             return send(404, {"error": "there is no such session, or it has ended"})
         if name == "export":
-            with tempfile.TemporaryDirectory() as folder:
+            with tempfile.TemporaryDirectory() as folder, storage.scope(*KEPT):
                 s.engine.export(f"{folder}/export.zip")
                 return 200, "application/zip", Path(f"{folder}/export.zip").read_bytes()
-        return send(200, plain(ROUTES[name](s, args), int(args.get("limit", 100)), int(args.get("offset", 0))))
+        with storage.scope(*KEPT):  # levels of searches and the like go with the request
+            return send(200, plain(ROUTES[name](s, args), int(args.get("limit", 100)), int(args.get("offset", 0))))
     except WorkbookError as x:
         return send(422, {"error": str(x)})
     except (KeyError, ValueError) as x:

@@ -19,6 +19,9 @@ from loomgraph.storage import written
 from . import language, planner
 
 
+KEPT = ("entities", "edges", "adjacency", "names", "grams", "promoted", "reachability", "targets", "cells")  # tables that an engine holds
+
+
 class Engine:
     """Entities and edges are written once; every question is a plan over these two tables.
 

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.scalars import relation_slug
+from loomgraph.storage import written
 
 CATALOG = "Registry Catalog"
 ORD = "_ord"
+INDEX_AFTER = 20  # lookups of values that scan the sheets, before the cells are indexed
 
 
 class WorkbookError(ValueError):
@@ -62,6 +64,9 @@ class Workbook:
     frames: dict[str, DataFrame]
     catalog: list[Sheet] = field(default_factory=list)
     declared: bool = True
+    looked_up: int = 0
+    cell_index: DataFrame | None = None
+    index_parts: int = 0
 
     def frame(self, name: str) -> DataFrame:
         if name not in self.frames:
@@ -107,8 +112,31 @@ class Workbook:
         return out
 
 
+    def index_cells(self, per_part: int = 1 << 20) -> None:
+        """Writes all cells in folders by a hash of the value, sorted by it, with bloom filters: a lookup reads one folder of all."""
+        cells = self.cells()
+        self.index_parts = min(4096, max(8, cells.count() // per_part))
+        part = F.pmod(F.xxhash64("value"), F.lit(self.index_parts)).cast("int")
+        rows = cells.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("sheet", "row"), F.lit(16))).sortWithinPartitions("part", "value")
+        self.cell_index = written(rows, "cells", "part", **{"parquet.bloom.filter.enabled#value": "true"})
+
     def hits(self, value: str, sheets: Iterable[str] | None = None) -> DataFrame:
-        """Cells that equal the value, as (sheet, row, col_ix, col, value): a filter on typed columns first, which reaches the scan."""
+        """Cells that equal the value, as (sheet, row, col_ix, col, value), of all or some sheets.
+
+        The first lookups filter the sheets by typed columns, which reaches the scans; a workbook that is asked more often gets an
+        index of its cells.
+        """
+        self.looked_up += 1
+        if self.cell_index is None and self.looked_up > INDEX_AFTER:
+            self.index_cells()
+        if self.cell_index is not None:
+            part = F.pmod(F.xxhash64(F.lit(value)), F.lit(self.index_parts)).cast("int")
+            found = self.cell_index.where((F.col("part") == part) & (F.col("value") == value)).drop("part")
+            return found if sheets is None else found.where(F.col("sheet").isin(list(sheets)))
+        return self.scanned_hits(value, sheets)
+
+    def scanned_hits(self, value: str, sheets: Iterable[str] | None = None) -> DataFrame:
+        """The same by a filter on typed columns of each sheet."""
         out = self.spark.createDataFrame([], "sheet string, row long, col_ix int, col string, value string")
         for name in self.frames if sheets is None else sheets:
             df = self.frame(name)

@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _held: dict[str, SparkSession] = {}  # paths that this process wrote and did not yet discard
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)  # paths of the innermost scope of this thread
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,13 +30,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, which is removed when this process ends, if not before."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _held[path] = spark
+    if (here := _scope.get()) is not None:
+        here.append(path)
     return path
 
 
-def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+def written(df: DataFrame, name: str, *folders: str, **options: str) -> DataFrame:
     """Write a table, in a folder a value of some columns, and read it again, which cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
+    out = df.write.options(**options)
+    (out.partitionBy(*folders) if folders else out).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -55,15 +60,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scope(*kept: DataFrame) -> Iterator[None]:
-    """Tables that are written within go at its end, but those kept: for what answers one question after another."""
-    before = set(_held)
+def scope(*kept: str) -> Iterator[None]:
+    """Tables that this thread writes within go at its end, but those of the names kept: for what answers one question after another."""
+    written_here: list[str] = []
+    token = _scope.set(written_here)
     try:
         yield
     finally:
-        stay = before | {getattr(t, "_stored_at", None) for t in kept}
-        for path in [p for p in _held if p not in stay]:
-            remove(_held.pop(path), path)
+        _scope.reset(token)
+        for path in written_here:
+            if path.rpartition("/")[2].rpartition("-")[0] not in kept and path in _held:
+                remove(_held.pop(path), path)
 
 
 @atexit.register

@@ -9,6 +9,7 @@ from test_graph import made, queue_bfs
 from loomgraph import storage
 from loomgraph.operators import adjacency as adj
 from loomgraph.operators import graph
+from loomgraph.sources import workbook
 
 
 def read_files(df):
@@ -95,7 +96,27 @@ def test_two_ended_paths_are_the_queues(spark, seed, direction):
 
 
 def test_scope_discards_what_was_written(spark):
-    with storage.scope():
-        t = storage.written(spark.range(3).toDF("x"), "scoped")
+    with storage.scope("kept"):
+        t, k = storage.written(spark.range(3).toDF("x"), "scoped"), storage.written(spark.range(3).toDF("x"), "kept")
         assert t.count() == 3 and t._stored_at in storage._held
-    assert t._stored_at not in storage._held
+    assert t._stored_at not in storage._held and k.count() == 3
+    storage.discard(k)
+
+
+def test_cells_by_value(spark):
+    from test_graph import ROBOT
+
+    wb = workbook.from_rows(spark, ROBOT)
+    key = lambda df: sorted(tuple(r) for r in df.select("sheet", "row", "col_ix", "col", "value").collect())
+    values = ["ACT-1", "shoulder", "nothing", "LNK-2", ""]
+    want = {v: key(wb.scanned_hits(v)) for v in values}
+    wb.index_cells()
+    assert {v: key(wb.hits(v)) for v in values} == want and key(wb.hits("ACT-1", ["Joint Registry"])) == [r for r in want["ACT-1"] if r[0] == "Joint Registry"]
+    rows = wb.hits("ACT-1")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "EqualTo(value,ACT-1)" in plan and read_files(rows) <= 2
+    asked = workbook.from_rows(spark, ROBOT)
+    for _ in range(workbook.INDEX_AFTER):
+        asked.hits("x")
+    assert asked.cell_index is None
+    assert key(asked.hits("ACT-1")) == want["ACT-1"] and asked.cell_index is not None
