@@ -74,18 +74,22 @@ def edges_at(adj: Adjacency, nodes: Iterable[str], direction: str = "both") -> D
     return exploded(blocks_of(adj, direction, nodes))
 
 
-def met(adj: Adjacency, frontier: DataFrame, size: int, direction: str, *keep: str) -> DataFrame:
-    """Edges that a frontier (node, and columns to keep) meets."""
-    nodes = [r["node"] for r in frontier.select("node").distinct().collect()] if size <= FEW else None
+def few(frontier: DataFrame) -> list[str] | None:
+    """The nodes of a frontier that has few rows, none if it is empty; None of a larger one."""
+    rows = frontier.select("node").limit(FEW + 1).collect()
+    return None if len(rows) > FEW else sorted({r["node"] for r in rows})
+
+
+def met(adj: Adjacency, frontier: DataFrame, nodes: list[str] | None, direction: str, *keep: str) -> DataFrame:
+    """Edges that a frontier (node, and columns to keep) meets; nodes are :func:`few` of it."""
     return exploded(blocks_of(adj, direction, nodes).join(frontier.select("node", *keep), "node"), *keep)
 
 
-def edges_ahead(adj: Adjacency, frontier: DataFrame, size: int, direction: str) -> int:
+def edges_ahead(adj: Adjacency, frontier: DataFrame, nodes: list[str] | None, direction: str) -> int:
     """Edges that a frontier of few nodes would meet; of more, that there is one each at least."""
-    if size > FEW:
-        return size
-    blocks = blocks_of(adj, direction, [r["node"] for r in frontier.select("node").collect()])
-    return blocks.agg(F.sum(F.size("edges"))).first()[0] or 0
+    if nodes is None:
+        return frontier.count()
+    return blocks_of(adj, direction, nodes).agg(F.sum(F.size("edges"))).first()[0] or 0
 
 
 def place(step: str = "step") -> Column:
@@ -110,9 +114,9 @@ def bfs(adj: Adjacency, seeds: DataFrame, direction: str = "both", max_hops: int
         start = start.withColumns({"parent": null("string"), "rel": null("string"), "dir": null("string"), "evidence": null("string"), "qpos": F.array().cast("array<bigint>")})
     columns = ["origin", "node", "hop", "node_class", *extra]
     frontier = written(start.select(*columns), "bfs-0")
-    kept, size = [frontier], frontier.count()
+    kept, nodes = [frontier], few(frontier)
     for hop in range(1, max_hops + 1):
-        near = met(adj, frontier, size, direction, "origin", *(["qpos"] if paths else []))
+        near = met(adj, frontier, nodes, direction, "origin", *(["qpos"] if paths else []))
         if paths:
             first = F.min(F.struct(place().alias("qpos"), F.col("node").alias("parent"), "rel", "dir", "evidence", F.col("other_class").alias("node_class"))).alias("first")
             level = near.groupBy("origin", F.col("other").alias("node")).agg(first).select("origin", "node", F.lit(hop).alias("hop"), *(f"first.{c}" for c in ("node_class", *extra)))
@@ -120,8 +124,8 @@ def bfs(adj: Adjacency, seeds: DataFrame, direction: str = "both", max_hops: int
             level = near.groupBy("origin", F.col("other").alias("node")).agg(F.lit(hop).alias("hop"), F.min("other_class").alias("node_class"))
         level = level.join(union(kept).select("origin", "node"), ["origin", "node"], "left_anti")
         frontier = written(level.select(*columns), f"bfs-{hop}")
-        size = frontier.count()
-        if not size:
+        nodes = few(frontier)
+        if nodes == []:
             discard(frontier)
             break
         kept.append(frontier)
@@ -156,29 +160,29 @@ def two_ended(adj: Adjacency, source: str, target: str, max_depth: int = 6, dire
     edge = "rel string, dir string, evidence string"
     ahead = [written(spark.createDataFrame([(source, None, None, None, None, [])], f"node string, parent string, {edge}, qpos array<long>"), "path-f")]
     back = [written(spark.createDataFrame([(target, None, None, None, None)], f"node string, next string, {edge}"), "path-b")]
-    n, m = (edges_ahead(adj, x[-1], 1, d) for x, d in ((ahead, direction), (back, TURNED[direction])))
-    n_nodes, m_nodes = 1, 1
+    at, to = [source], [target]  # the last levels' nodes, if they are few
+    n, m = edges_ahead(adj, ahead[0], at, direction), edges_ahead(adj, back[0], to, TURNED[direction])
     total = Found(None, 1, 1)
     try:
         while len(ahead) + len(back) - 2 < max_depth:
             if n <= m:
-                near = met(adj, ahead[-1], n_nodes, direction, "qpos")
+                near = met(adj, ahead[-1], at, direction, "qpos")
                 first = F.min(F.struct(place().alias("qpos"), F.col("node").alias("parent"), "rel", "dir", "evidence")).alias("f")
                 level = near.groupBy(F.col("other").alias("node")).agg(first).select("node", "f.parent", "f.rel", "f.dir", "f.evidence", "f.qpos")
                 level = level.join(union([x.select("node") for x in ahead]), "node", "left_anti")
                 ahead.append(written(level, "path-f"))
-                n_nodes = ahead[-1].count()
-                n = edges_ahead(adj, ahead[-1], n_nodes, direction)
-                total.forward += n_nodes
+                at = few(ahead[-1])
+                n = edges_ahead(adj, ahead[-1], at, direction)
+                total.forward += n if at is None else len(at)
             else:
-                near = met(adj, back[-1], m_nodes, TURNED[direction])
+                near = met(adj, back[-1], to, TURNED[direction])
                 seen_from_other = F.struct((1 - F.col("step.side")).alias("side"), F.col("step.ord").alias("ord"), F.col("node").alias("next"), "rel", F.when(F.col("dir") == "out", "in").otherwise("out").alias("dir"), "evidence")
                 level = near.groupBy(F.col("other").alias("node")).agg(F.min(seen_from_other).alias("f")).select("node", "f.next", "f.rel", "f.dir", "f.evidence")
                 level = level.join(union([x.select("node") for x in back]), "node", "left_anti")
                 back.append(written(level, "path-b"))
-                m_nodes = back[-1].count()
-                m = edges_ahead(adj, back[-1], m_nodes, TURNED[direction])
-                total.backward += m_nodes
+                to = few(back[-1])
+                m = edges_ahead(adj, back[-1], to, TURNED[direction])
+                total.backward += m if to is None else len(to)
             meeting = ahead[-1].select("node", "qpos").join(back[-1].select("node"), "node").orderBy("qpos").first()
             if meeting is not None:
                 total.path = joined(spark, meeting["node"], ahead, back)

@@ -137,7 +137,7 @@ def met(e: DataFrame | Adjacency, nodes: DataFrame, direction: str = "both", via
     keep = ["via"] if via else []
     if isinstance(e, Adjacency):
         front = written(front, "met")  # small as the nodes are, and looked at twice
-        return adj.met(e, front, front.count(), direction, *keep)
+        return adj.met(e, front, adj.few(front), direction, *keep)
     return both_ways(e, direction).join(front, "node")
 
 
@@ -337,7 +337,7 @@ def suggest_next(e: DataFrame | Adjacency, ents: DataFrame, node: str, direction
     e = e if isinstance(e, Adjacency) else adj.adjacency(e)
     one = neighbors(e, node, direction).where(F.col("other") != node)
     first = written(one.groupBy(F.col("other").alias("node")).agg(F.count("*").alias("n1")), "suggest-one")
-    two = adj.met(e, first, first.count(), direction).where(F.col("other") != node).groupBy("other").agg(F.count("*").alias("n2"))
+    two = adj.met(e, first, adj.few(first), direction).where(F.col("other") != node).groupBy("other").agg(F.count("*").alias("n2"))
     both = first.select(F.col("node").alias("id"), "n1").join(two.select(F.col("other").alias("id"), "n2"), "id", "full_outer")
     rows = both.select("id", F.when(F.col("n1").isNotNull(), 1).otherwise(2).alias("hop"), (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("mult"))
     rows = written(rows.join(degrees(e).withColumnRenamed("node", "id"), "id"), "suggest")
