@@ -47,7 +47,6 @@ def levels(e: DataFrame, nodes: DataFrame, n_words: int, max_depth: int) -> Data
     words = range(n_words)
     zero = F.lit(0).cast("long")
     state = nodes.select("node", "c", *(bit(F.col("c"), j).alias(f"new{j}") for j in words), *(zero.alias(f"seen{j}") for j in words), F.array().cast("array<array<bigint>>").alias("by_level"))
-    state = written(state, "reach-0")
     for hop in range(1, max_depth + 1):
         some = F.lit(False)
         for j in words:
@@ -64,23 +63,22 @@ def levels(e: DataFrame, nodes: DataFrame, n_words: int, max_depth: int) -> Data
     return state
 
 
-def example_paths(e: DataFrame, state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(c, t, path, relations) of pairs (c, t, source, hops): from each source the first edges that lead nearer."""
+def example_paths(e: DataFrame, state: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+    """(c, t, path, relations) of pairs (c, t, source, hops): from each source the first edges that lead nearer.
+
+    All steps are one plan: a pair that has arrived stays as it is.
+    """
     where = state.select(F.col("node").alias("to"), F.col("c").alias("to_c"), "by_level")
-    steps = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "rel", "ord")
-    empty = F.array().cast("array<string>")
-    going = pairs.select("c", "t", F.col("source").alias("at"), F.col("hops").alias("left"), F.array("source").alias("path"), empty.alias("relations"))
-    arrived, longest = None, pairs.agg(F.max("hops")).first()[0] or 0
+    steps = e.select(F.col("src").alias("from"), F.col("dst").alias("to"), "rel", "ord")
+    going = pairs.select("c", "t", F.col("source").alias("at"), F.col("hops").alias("left"), F.array("source").alias("path"), F.array().cast("array<string>").alias("relations"))
     for _ in range(longest):
-        near = going.join(steps, "at").join(where, "to")
-        nearer = F.when(F.col("left") == 1, F.col("to_c") == F.col("t")).otherwise((F.size("by_level") >= F.col("left") - 1) & has(F.element_at("by_level", F.greatest(F.col("left") - 1, F.lit(1))), F.col("t")))
-        step = near.where(nearer).groupBy("c", "t").agg(F.min_by(F.struct("at", "to", "rel", "left", "path", "relations"), F.struct("ord", "to")).alias("s"))
-        rows = step.select("c", "t", F.col("s.to").alias("at"), (F.col("s.left") - 1).alias("left"), F.concat("s.path", F.array("s.to")).alias("path"), F.concat("s.relations", F.array("s.rel")).alias("relations"))
-        rows = written(rows, "reach-example")  # a row a pair of classes
-        done = rows.where("left = 0").select("c", "t", "path", "relations")
-        arrived = done if arrived is None else arrived.unionByName(done)
-        going = rows.where("left > 0")
-    return arrived if arrived is not None else going.select("c", "t", "path", "relations")
+        near = going.join(steps, (F.col("at") == F.col("from")) & (F.col("left") > 0), "left").join(where, "to", "left")
+        before = F.greatest(F.col("left") - 1, F.lit(1))
+        nearer = F.when(F.col("left") == 1, F.col("to_c") == F.col("t")).otherwise((F.size("by_level") >= before) & has(F.element_at("by_level", F.least(before, F.greatest(F.size("by_level"), F.lit(1)))), F.col("t")))
+        step = near.groupBy("c", "t").agg(F.first(F.struct("at", "left", "path", "relations")).alias("s"), F.min_by(F.struct("to", "rel"), F.when(nearer, F.struct("ord", "to"))).alias("n"))
+        on = F.col("n").isNotNull()
+        going = step.select("c", "t", F.when(on, F.col("n.to")).otherwise(F.col("s.at")).alias("at"), F.when(on, F.col("s.left") - 1).otherwise(F.col("s.left")).alias("left"), F.when(on, F.concat("s.path", F.array("n.to"))).otherwise(F.col("s.path")).alias("path"), F.when(on, F.concat("s.relations", F.array("n.rel"))).otherwise(F.col("s.relations")).alias("relations"))
+    return going.select("c", "t", "path", "relations")
 
 
 def reachability(e: DataFrame, ents: DataFrame, max_depth: int = 5) -> DataFrame:
@@ -113,5 +111,6 @@ def reachability(e: DataFrame, ents: DataFrame, max_depth: int = 5) -> DataFrame
     pairs = pairs.select("c", "t", F.col("first.node").alias("source"), F.col("first.hops").alias("hops"), "confirmed", (F.col("size") - F.coalesce("joined", F.lit(0))).alias("candidates"))
     pairs = written(pairs, "reach-pairs")
     named = lambda k, name: number.select(F.col("c").alias(k), F.col("class").alias(name))
-    out = pairs.join(example_paths(e, state, pairs), ["c", "t"]).join(named("c", "source_class"), "c").join(named("t", "target_class"), "t")
+    longest = pairs.agg(F.max("hops")).first()[0] or 0
+    out = pairs.join(example_paths(e, state, pairs, longest), ["c", "t"]).join(named("c", "source_class"), "c").join(named("t", "target_class"), "t")
     return out.select("source_class", "target_class", F.col("relations").alias("relation_pattern"), "hops", F.col("source").alias("example_source"), F.col("path").alias("example_path"), "confirmed", "candidates", F.bround(1.0 / F.col("hops"), 2).alias("confidence"))
