@@ -13,12 +13,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import IO
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .workbook import ORD, Workbook, WorkbookError, unique_header
@@ -26,7 +26,7 @@ from .workbook import ORD, Workbook, WorkbookError, unique_header
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 INVALID = "the file is not a valid .xlsx workbook; save it again as .xlsx or export it to CSV"
-_strings: dict[str, list[str]] = {}  # of the file that a worker reads
+_strings: dict[tuple[str, int], list[str]] = {}  # of the file that a worker reads, by its path and size
 
 
 def column_number(ref: str) -> int:
@@ -192,32 +192,49 @@ def rows_through_spark(spark: SparkSession, path: str, member: str) -> DataFrame
 
 
 class XlsxDataSource(DataSource):
-    """Rows of a sheet (option member) of a spreadsheet (option path) as (row, cells); executors have to reach the path."""
+    """A spreadsheet (option path), a sheet a partition; executors have to reach the path.
+
+    Cells of all sheets as (sheet, row, col_ix, value), or the rows of one sheet (option member) as (row, cells).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "loom_xlsx"
 
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField("row", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+    def schema(self) -> str:
+        return "row long, cells array<string>" if "member" in self.options else "sheet string, row long, col_ix int, value string"
 
     def reader(self, schema):
-        return XlsxReader(self.options["path"], self.options["member"])
+        return XlsxReader(self.options["path"], self.options.get("member"))
+
+
+@dataclass
+class SheetPart(InputPartition):
+    title: str
+    member: str
 
 
 class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, member: str):
+    def __init__(self, path: str, member: str | None):
         self.path, self.member = path, member
 
     def partitions(self):
-        return [InputPartition(self.member)]
+        if self.member is not None:
+            return [SheetPart("", self.member)]
+        with opened(self.path) as f:
+            return [SheetPart(*x) for x in sheet_members(archive(f))] or [SheetPart("", "")]
 
     def read(self, partition):
+        if not partition.member:
+            return
         with opened(self.path) as f:
             z = archive(f)
-            key = f"{self.path} {getattr(f, 'size', lambda: 0)() if '://' in self.path else f.seek(0, 2)}"
-            if key not in _strings:
+            size = f.seek(0, 2)
+            if (self.path, size) not in _strings:
                 _strings.clear()
-                _strings[key] = shared_strings(z)
-            for at, values in sheet_rows(z, partition.value, _strings[key]):
-                yield at, [text(v) for v in values]
+                _strings[self.path, size] = shared_strings(z)
+            for at, values in sheet_rows(z, partition.member, _strings[self.path, size]):
+                if self.member is not None:
+                    yield at, [text(v) for v in values]
+                else:
+                    yield from ((partition.title, at, i, str(v)) for i, v in enumerate(values) if v is not None)
