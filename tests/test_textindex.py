@@ -96,3 +96,11 @@ def test_names_of_several_words_in_questions(parts):
     assert shared > 1 and len(made["ambiguous"]["Left Shoulder"]) == min(8, shared)
     assert parts.ask("evidence unique pair")["result"].collect()[0]["pk"] == "Q-2"
     assert parts.classify_word("Name").kind == "attribute" and parts.classify_word("Name").canonical == "Part Registry.Name"
+
+
+def test_all_entities_of_a_shared_name_are_counted(spark):
+    rows = [["ID", "Name", "Evidence"]] + [[f"PRT-{i}", "Same" if i < 12 else f"n{i}", None] for i in range(15)]
+    e = Engine.from_rows(spark, {"Registry Catalog": CATALOG + [owner("Part Registry", "PRT")], "Part Registry": rows})
+    got = e.resolve("same")
+    assert (got.how, len(got.found), got.total) == ("ambiguous_name", 8, 12)
+    assert e.resolve("PRT-3").total == 1 and e.resolve("zzzz").total == 0
