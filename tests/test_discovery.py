@@ -137,3 +137,16 @@ def test_rows_are_dropped_as_they_are_read():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert n == 60_001 and peak < 4_000_000
+
+
+def test_samples_of_groups_are_ranked_without_a_window(spark):
+    from loomgraph.operators import explore
+
+    rows = [(g, f"k{i:03d}") for g, n in (("a", 130), ("b", 40), (None, 41), ("c", 1)) for i in range(n)]
+    got = explore.strided_sample(spark.createDataFrame(rows, "g string, k string"), ["g"], "k")
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for g in ("a", "b", None, "c"):
+        mine = sorted(k for h, k in rows if h == g)
+        want += [(g, k) for k in (mine if len(mine) <= 40 else [mine[i] for i in sorted({j * len(mine) // 40 for j in range(40)})])]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
