@@ -104,3 +104,14 @@ def test_all_entities_of_a_shared_name_are_counted(spark):
     got = e.resolve("same")
     assert (got.how, len(got.found), got.total) == ("ambiguous_name", 8, 12)
     assert e.resolve("PRT-3").total == 1 and e.resolve("zzzz").total == 0
+
+
+def test_first_lookups_write_no_index(spark):
+    rows = [["ID", "Name", "Evidence"]] + [[f"PRT-{i}", f"Left Arm {i}", None] for i in range(5)]
+    e = Engine.from_rows(spark, {"Registry Catalog": CATALOG + [owner("Part Registry", "PRT")], "Part Registry": rows})
+    for token in ("PRT-3", "Part:Left Arm 3", "left arm 3"):
+        assert e.resolve(token).one["pk"] == "PRT-3"
+    assert e.plan("evidence of left arm 4")["execution"].target == "PRT-4"
+    assert not {"names", "grams"} & set(vars(e.names)) and "promoted" not in vars(e)
+    e.names.looked_up = textindex.INDEX_AFTER
+    assert e.resolve("left arm 3").one["pk"] == "PRT-3" and "names" in vars(e.names)
