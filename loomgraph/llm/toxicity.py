@@ -9,11 +9,13 @@ out-of-fold prediction, and no threshold chosen by them, has seen its own label
 Features are presences: words in lower case and their first 4, 5 and 6 letters (for stems), of whole texts. The model
 keeps at most ``most_features`` of them, those whose presence differs most between a category's classes (chi square, at
 least its 99.9 % point), found on a bounded sample of labelled rows (``sample``, by the hash of the id). Of rows with the same id the text that sorts
-first is trained on, of repeated labels the largest. All documents are scored, by whole text, a batch at a time.
+first is trained on, of repeated labels the largest. The sample's features meet in one task, which trains; the driver gets the
+model alone. All documents are scored, by whole text, a batch at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -88,6 +90,11 @@ class Chain:
     models: list[Linear]
     thresholds: list[float]
 
+    @property
+    def plain(self) -> tuple:
+        """What makes the chain again, without classes of this module, which tasks get by value."""
+        return self.categories, self.kept, [(m.weights, m.bias) for m in self.models], self.thresholds
+
     def probabilities(self, bag: Bag) -> np.ndarray:
         """A row a text, a column a category."""
         out = np.zeros((bag.n, 0))
@@ -96,6 +103,11 @@ class Chain:
         return out
 
 
+def chain_of(plain: tuple) -> Chain:
+    categories, kept, models, thresholds = plain
+    return Chain(categories, kept, [Linear(*m) for m in models], thresholds)
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -124,15 +136,19 @@ def train_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, n:
 
 def counted(rows: list[np.ndarray], n: int, step: int = 500) -> np.ndarray:
     """How many rows have each feature, a few hundred rows at a time."""
-    out = np.zeros(n)
+    out = np.zeros(n, np.int64)
     for i in range(0, len(rows), step):
         out += np.bincount(np.concatenate(rows[i : i + step]), minlength=n)
     return out
 
 
 def select_features(rows: list[np.ndarray], ys: np.ndarray, most: int, least_rows: int = 4) -> dict[int, int]:
-    """The features of the largest chi square for any category, numbered from the largest on."""
-    n = 1 << BITS
+    """The features of the largest chi square for any category, numbered from the largest on.
+
+    Only features of ``least_rows`` rows can be; these are counted by category, so that all else is as long as they are many.
+    """
+    common = np.flatnonzero(counted(rows, 1 << BITS) >= least_rows) if rows else np.zeros(0, np.int64)
+    rows, n = renumbered(rows, {f: i for i, f in enumerate(common.tolist())}), len(common)
     best = np.zeros(n)
     for c in range(ys.shape[1]):
         known = ys[:, c] >= 0
@@ -145,7 +161,7 @@ def select_features(rows: list[np.ndarray], ys: np.ndarray, most: int, least_row
         chi[a + b < least_rows] = 0
         best = np.maximum(best, chi)
     order = np.argsort(-best, kind="stable")[:most]
-    return {int(f): i for i, f in enumerate(order) if best[f] > CHI_SQUARE}
+    return {int(common[f]): i for i, f in enumerate(order) if best[f] > CHI_SQUARE}
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -162,9 +178,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def renumbered(rows: list[np.ndarray], kept: dict[int, int]) -> list[np.ndarray]:
     """The rows' kept features, by number."""
-    table = np.full(1 << BITS, -1, np.int64)
-    for f, i in kept.items():
-        table[f] = i
+    table = np.full(1 << BITS, -1, np.int32)
+    table[np.fromiter(kept.keys(), np.int64, len(kept))] = np.fromiter(kept.values(), np.int32, len(kept))
     return [(x := table[r])[x >= 0] for r in rows]
 
 
@@ -191,8 +206,8 @@ def train(rows: list[np.ndarray], ys: np.ndarray, categories: Sequence[str], mos
     return Chain(list(categories), kept, models, thresholds)
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str, text_col: str, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature hashes and labels of at most ``sample`` labelled documents, the same ones at each run."""
+def labelled_features(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str, text_col: str, sample: int) -> DataFrame:
+    """(id, y0 .., f): labels and feature hashes, as bytes, of at most ``sample`` labelled documents, the same ones at each run."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(*(F.max(c.cast("int")).alias(f"y{i}") for i, c in enumerate(categories.values())))
     ys = [f"y{i}" for i in range(len(categories))]
     both = docs.select(F.col(id_col).alias("label_id")).join(known, "label_id").dropDuplicates(["label_id"])
@@ -206,16 +221,34 @@ def sample_features(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
             found = [np.array(sorted(seen.of(t)), np.int32).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(y).cast(pa.int32()) for y in ys), pa.array(found, pa.binary())], names=["id", *ys, "f"])
 
-    got = texts.mapInArrow(run, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").toArrow()
+    return texts.mapInArrow(run, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary")
+
+
+def in_order(got: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature hashes by row, and labels (-1: none), of :func:`labelled_features`, in the order of their ids."""
+    ys = [c for c in got.column_names if c not in ("id", "f")]
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     rows = [np.frombuffer(got.column("f")[int(i)].as_py(), np.int32) for i in order]
-    labels_ = np.column_stack([np.array([-1 if v is None else v for v in got.column(y).to_pylist()], int)[order] for y in ys]) if len(order) else np.zeros((0, len(ys)), int)
-    return rows, labels_
+    labels = np.column_stack([np.array([-1 if v is None else v for v in got.column(y).to_pylist()], int)[order] for y in ys]) if len(order) else np.zeros((0, len(ys)), int)
+    return rows, labels
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str, text_col: str, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """:func:`labelled_features` on the driver, to look at what a model is trained on."""
+    return in_order(labelled_features(docs, labels, categories, id_col, text_col, sample).toArrow())
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_features: int = FEATURES) -> Chain:
-    rows, ys = sample_features(docs, labels, categories, id_col, text_col, sample)
-    return train(rows, ys, list(categories), most_features)
+    """Trained by one task on the bounded sample, some tens of MB; the driver gets at most most_features weights a category."""
+    names = list(categories)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows, ys = in_order(pa.Table.from_batches(held)) if held else ([], np.zeros((0, len(names)), int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, ys, names, most_features).plain)], pa.binary())], names=["chain"])
+
+    made = labelled_features(docs, labels, categories, id_col, text_col, sample).repartition(1).mapInArrow(run, "chain binary").first()
+    return chain_of(pickle.loads(made["chain"])) if made else train([], np.zeros((0, len(names)), int), names, most_features)
 
 
 def label_categories() -> dict[str, Column]:
@@ -228,12 +261,10 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> tuple[DataF
     names = []
     for c in chain.categories:
         names.append(fresh([*docs.columns, *names], f"p_{c}"))
-    plain = (chain.categories, chain.kept, [(m.weights, m.bias) for m in chain.models], chain.thresholds)
-    held = docs.sparkSession.sparkContext.broadcast(plain)  # at most most_features weights a category
+    held = docs.sparkSession.sparkContext.broadcast(chain.plain)  # at most most_features weights a category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        categories, kept, models, thresholds = held.value
-        c = Chain(categories, kept, [Linear(*m) for m in models], thresholds)
+        c = chain_of(held.value)
         known = Features(c.kept)
         for b in batches:
             p = c.probabilities(Bag([np.array(sorted(known.of(t.as_py() or "")), np.int64) for t in b.column(at)]))

@@ -166,3 +166,28 @@ def test_accepted_keeps_columns_and_odd_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.toxicity(df, spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_features_stay_with_the_executors(spark, monkeypatch):
+    docs, labels = corpus(300)
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    want = toxicity.train(*toxicity.sample_features(df, known, toxicity.label_categories(), "doc_id", "text", 200), ["junk", "toxic"])
+    monkeypatch.setattr(type(df), "toArrow", lambda self: pytest.fail("features came to the driver"))
+    got = toxicity.train_chain(df, known, toxicity.label_categories(), sample=200)
+    assert got.kept == want.kept and got.kept and np.allclose(got.thresholds, want.thresholds)
+    assert all(np.allclose(a.weights, b.weights) for a, b in zip(got.models, want.models, strict=True))
+    none = toxicity.train_chain(df, known.limit(0), toxicity.label_categories())
+    assert none.kept == {} and len(none.models) == 2
+
+
+def test_features_are_selected_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 1 << toxicity.BITS, 50)).astype(np.int32) for _ in range(40)]
+    rows = [np.append(r, [7] if i % 2 else [9]).astype(np.int32) for i, r in enumerate(rows)]
+    tracemalloc.start()
+    kept = toxicity.select_features(rows, np.arange(40)[:, None] % 2, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(kept) == {7, 9} and peak < 60e6
